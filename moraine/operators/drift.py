@@ -194,7 +194,8 @@ def rename_candidates(diff: DataFrame, max_distance: int = 2) -> DataFrame:
 
 def escape_html(text: Column) -> Column:
     """The escapes a canonical JSON text uses beyond the usual ones."""
-    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"),
+                       (chr(0x2028), "\\u2028"), (chr(0x2029), "\\u2029")):
         text = F.replace(text, F.lit(char), F.lit(code))
     return text
 

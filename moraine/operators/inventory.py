@@ -93,7 +93,7 @@ def grouped_keys(df: DataFrame, name: str, lists: Sequence[str], singles: Sequen
         parts.alias("_p"), *[F.first(c).alias(c) for c in singles]
     ).select(
         *table_key, name,
-        *[F.transform("_p", lambda p, c=c: p[c]).alias(f"{c}s") for c in lists],
+        *[F.col(f"_p.{c}").alias(f"{c}s") for c in lists],
         *singles,
     )
 

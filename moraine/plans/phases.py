@@ -81,7 +81,7 @@ def null_backfill(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.expr(value).cast(dict(df.dtypes)[column])))
 
 
-def not_null_pipeline(df: DataFrame, column: str, value: str, rules: Sequence[RowRule] = ()) -> DataFrame:
+def not_null_migration(df: DataFrame, column: str, value: str, rules: Sequence[RowRule] = ()) -> DataFrame:
     """Backfill, then validate NOT NULL and any further rules; the outcome may be published."""
     filled = null_backfill(df, column, value)
     broken = failures(check_summary(filled, [NotNull(column), *rules]))
@@ -90,7 +90,7 @@ def not_null_pipeline(df: DataFrame, column: str, value: str, rules: Sequence[Ro
     return filled
 
 
-def unique_pipeline(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def unique_migration(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row of each key, then validate UNIQUE on what is left."""
     kept = dedupe_keep_first(df, keys, order)
     broken = failures(check_summary(kept, [Unique(tuple(keys))]))
@@ -99,11 +99,15 @@ def unique_pipeline(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return kept
 
 
+def _bucket(key: str, size: int) -> Column:
+    # whole-number arithmetic: exact for any long key
+    return F.expr(f"(`{key}` - pmod(`{key}`, {size}L)) div {size}L")
+
+
 def batched_backfill(df: DataFrame, key: str, size: int, new: str, old: str) -> DataFrame:
     """Progress by key range: ``bucket, rows, pending, done``; work is left where pending > 0."""
-    bucket = F.floor(F.col(key) / F.lit(size)).cast("bigint")
     todo = pending(new, old)
-    return df.groupBy(bucket.alias("bucket")).agg(
+    return df.groupBy(_bucket(key, size).alias("bucket")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(todo).alias("pending"),
         F.count_if(F.col(new).isNotNull() & F.col(old).isNotNull()).alias("done"),
@@ -111,7 +115,7 @@ def batched_backfill(df: DataFrame, key: str, size: int, new: str, old: str) ->
 
 
 def backfill_pending_batches(
-    df: DataFrame, key: str, size: int, new: str, old: str, data_type: str, path: str, partitions: int = 200
+    df: DataFrame, key: str, size: int, new: str, old: str, data_type: str, path: str
 ) -> None:
     """Fill and write only the buckets that still have pending rows, one folder per bucket.
 
@@ -119,11 +123,11 @@ def backfill_pending_batches(
     rewrites the unfinished buckets and leaves the finished ones alone.
     """
     todo = batched_backfill(df, key, size, new, old).filter("pending > 0").select("bucket")
-    bucketed = df.withColumn("bucket", F.floor(F.col(key) / F.lit(size)).cast("bigint"))
+    bucketed = df.withColumn("bucket", _bucket(key, size))
     filled = type_change_backfill(bucketed.join(todo, "bucket", "left_semi"), old, new, data_type)
     # key ranges spread a large bucket over several tasks and files
     (
-        filled.repartitionByRange(partitions, "bucket", key)
+        filled.repartitionByRange("bucket", key)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
 

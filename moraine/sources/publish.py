@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moraine.operators.checks import KeyRule, RowRule, check_summary
+from moraine.operators.evolve import recreate_copy
 from moraine.sources.files import read_text, replace_text
 
 POINTER = "_CURRENT"
@@ -70,3 +71,14 @@ def publish_table(
         raise StaleError(f"{root} is no longer at {expected_version}")
     replace_text(spark, f"{root}/{POINTER}", version)
     return version
+
+
+def recreate_table(
+    df: DataFrame,
+    columns: Sequence[tuple[str, str]],
+    root: str,
+    rules: Sequence[RowRule | KeyRule] = (),
+    parents: Mapping[str, DataFrame] | None = None,
+) -> str:
+    """Rebuild a table under a new definition and its rules, as one published step."""
+    return publish_table(recreate_copy(df, columns), root, rules, parents)

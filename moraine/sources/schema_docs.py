@@ -140,15 +140,16 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
     return SchemaDocs(Inventory(good.select(*TABLE_KEY, "rls_enabled"), cols, idx, fks), rejected)
 
 
-def write_inventory(inv: Inventory, path: str, buckets: int = 64) -> None:
+def write_inventory(inv: Inventory, path: str, buckets: int = 64, files: int = 4) -> None:
     """Each environment's schema as a JSON document, one per line, in hashed folders.
 
     Folders are hash buckets rather than environments, so a fleet of millions
-    does not become millions of folders.
+    does not become millions of folders; each gets about ``files`` files.
     """
     docs = canonical_schema(inv)
     lines = docs.select(
         F.pmod(F.xxhash64("env_id"), F.lit(buckets)).alias("env_bucket"),
         F.to_json(F.struct(F.col("env_id").cast("string").alias("env_id"), "document")).alias("value"),
     )
-    lines.repartition("env_bucket").write.mode("overwrite").partitionBy("env_bucket").text(path)
+    spread = F.pmod(F.hash("value"), F.lit(files))
+    lines.repartition("env_bucket", spread).write.mode("overwrite").partitionBy("env_bucket").text(path)
