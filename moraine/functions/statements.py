@@ -34,8 +34,16 @@ _DROPS_COLUMN = (
 )
 
 
-def _text(sql: Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(sql, r"^[\s]+|[\s]+$", "")))
+_SPACE = " \t\n\r\x0b\x0c"
+
+
+def normalized(sql: Column) -> Column:
+    """Trimmed, upper-cased text.  The lock and impact tests take this form.
+
+    Callers put it in a column of its own first, so it is computed once a row
+    and not once per test.
+    """
+    return F.upper(F.trim(sql, F.lit(_SPACE)))
 
 
 def _starts(text: Column, *prefixes: str) -> Column:
@@ -46,9 +54,8 @@ def _mode(name: str) -> Column:
     return F.lit(LOCK_MODES.index(name))
 
 
-def lock_level(sql: Column) -> Column:
-    """Strength 0..7 of the lock a statement takes; unknown text counts as strongest."""
-    text = _text(sql)
+def lock_level(text: Column) -> Column:
+    """Strength 0..7 of the lock a normalized statement takes; unknown text counts as strongest."""
     index = F.when(text.contains("CONCURRENTLY"), _mode("SHARE UPDATE EXCLUSIVE")).otherwise(_mode("SHARE"))
     alter = F.when(
         text.contains("VALIDATE CONSTRAINT") & ~text.contains("ADD CONSTRAINT"), _mode("SHARE UPDATE EXCLUSIVE")
@@ -106,9 +113,11 @@ def constraint_name(sql: Column) -> Column:
     return F.coalesce(named, derived, F.lit("constraint_name"))
 
 
-def rewrite_kind(sql: Column) -> Column:
-    """``concurrent_index``, ``not_valid_then_validate``, ``type_change`` or null."""
-    text = _text(sql)
+def rewrite_kind(sql: Column, text: Column) -> Column:
+    """``concurrent_index``, ``not_valid_then_validate``, ``type_change`` or null.
+
+    ``text`` is the normalized form of ``sql``.
+    """
     index = _starts(text, "CREATE INDEX", "CREATE UNIQUE INDEX") & ~text.contains("CONCURRENTLY")
     add = (
         text.contains("ALTER TABLE") & text.contains("ADD CONSTRAINT")
@@ -121,10 +130,9 @@ def rewrite_kind(sql: Column) -> Column:
     return F.when(index, "concurrent_index").when(add, "not_valid_then_validate").when(retype, "type_change")
 
 
-def rewritten(sql: Column) -> Column:
-    """The safer statements as an array; empty for ``type_change``, null when none exists."""
-    body = F.regexp_replace(sql, r"^\s+|\s+$", "")
-    kind = rewrite_kind(sql)
+def rewritten(sql: Column, kind: Column) -> Column:
+    """The safer statements of a rewrite kind as an array; empty for ``type_change``, null for none."""
+    body = F.trim(sql, F.lit(_SPACE))
     index = F.regexp_replace(body, r"(?i)^(CREATE\s+(?:UNIQUE\s+)?INDEX)", "$1 CONCURRENTLY")
     not_valid = F.when(body.endswith(";"), F.concat(F.regexp_replace(body, ";$", ""), F.lit(" NOT VALID;"))).otherwise(
         F.concat(body, F.lit(" NOT VALID"))
@@ -139,9 +147,8 @@ def rewritten(sql: Column) -> Column:
     )
 
 
-def should_rewrite(sql: Column, duration_ms: Column | None = None) -> Column:
+def should_rewrite(level: Column, duration_ms: Column | None = None) -> Column:
     """Impact MEDIUM or more; a measured duration adds > 1000 ms and blocked writes."""
-    level = lock_level(sql)
     by_impact = impact_level(level) >= 2
     if duration_ms is None:
         return by_impact
@@ -149,15 +156,14 @@ def should_rewrite(sql: Column, duration_ms: Column | None = None) -> Column:
 
 
 def blank_literals(sql: Column) -> Column:
-    """Text with comments and quoted strings blanked, for keyword tests."""
+    """Trimmed text with comments and quoted strings blanked; the flags below take this form."""
     text = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
     text = F.regexp_replace(text, r"--[^\n]*", " ")
-    return F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
+    return F.trim(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), F.lit(_SPACE))
 
 
-def dangerous_code(sql: Column) -> Column:
+def dangerous_code(text: Column) -> Column:
     """Code of the data-losing statement, or null."""
-    text = F.trim(blank_literals(sql))
     return (
         F.when(text.rlike(r"(?is)^\s*DROP\s+TABLE\b"), "dangerous_drop_table")
         .when(text.rlike(r"(?is)^\s*TRUNCATE\b"), "dangerous_truncate")
@@ -168,9 +174,8 @@ def dangerous_code(sql: Column) -> Column:
     )
 
 
-def non_declarative_code(sql: Column) -> Column:
+def non_declarative_code(text: Column) -> Column:
     """Code of a statement that does not belong in a declared schema, or null."""
-    text = F.trim(blank_literals(sql))
     return (
         F.when(
             text.rlike(r"(?is)^\s*CREATE\s+(?:TEMP\s+|UNLOGGED\s+)?TABLE\s+IF\s+NOT\s+EXISTS\b")

@@ -13,14 +13,20 @@ from moraine.functions import statements as st
 STEP_KEY = ["env_id", "plan_id", "step_no"]
 
 
+def _prepared(log: DataFrame) -> DataFrame:
+    """The normalized text and the lock level as columns, so each is computed once per row."""
+    text = log.withColumn("_text", st.normalized(F.col("sql_text")))
+    return text.withColumn("lock_level", st.lock_level(F.col("_text")))
+
+
 def classify_statement_lock(log: DataFrame) -> DataFrame:
     level = F.col("lock_level")
-    return log.withColumn("lock_level", st.lock_level(F.col("sql_text"))).withColumns({
+    return _prepared(log).withColumns({
         "lock_mode": st.lock_name(level),
         "blocks_reads": st.blocks_reads(level),
         "blocks_writes": st.blocks_writes(level),
         "impact": st.impact_name(st.impact_level(level)),
-    })
+    }).drop("_text")
 
 
 def statement_names(log: DataFrame) -> DataFrame:
@@ -35,55 +41,60 @@ def statement_names(log: DataFrame) -> DataFrame:
 def rewrite_statement(log: DataFrame) -> DataFrame:
     """Statements that have a safer form, with its kind and its statements."""
     sql = F.col("sql_text")
-    return log.withColumn("rewrite", st.rewrite_kind(sql)).filter("rewrite is not null").withColumn(
-        "statements", st.rewritten(sql)
+    kinds = log.withColumn("_text", st.normalized(sql)).withColumn("rewrite", st.rewrite_kind(sql, F.col("_text")))
+    return kinds.drop("_text").filter("rewrite is not null").withColumn(
+        "statements", st.rewritten(sql, F.col("rewrite"))
     )
 
 
 def should_rewrite(log: DataFrame) -> DataFrame:
     """Adds the flag; a ``duration_ms`` column, where present, counts as a measured duration."""
     measured = F.col("duration_ms") if "duration_ms" in log.columns else None
-    return log.withColumn("should_rewrite", st.should_rewrite(F.col("sql_text"), measured))
+    flagged = _prepared(log).withColumn("should_rewrite", st.should_rewrite(F.col("lock_level"), measured))
+    return flagged.drop("_text", "lock_level")
 
 
 def step_lock_impact(log: DataFrame) -> DataFrame:
     """The statement with the highest impact per step; the first one among equals.
 
-    A step without any statement above NONE reports ACCESS SHARE.
+    A step without any statement above NONE reports ACCESS SHARE.  The order is
+    packed into one struct whose maximum is taken map-side.
     """
-    level = st.lock_level(F.col("sql_text"))
-    rank = F.struct(st.impact_level(level).alias("i"), (-F.col("stmt_no")).alias("s"))
-    worst = log.groupBy(*STEP_KEY).agg(
-        F.max_by(F.struct(level.alias("l"), F.col("stmt_no").alias("n")), rank).alias("_w")
-    )
-    none = st.impact_level(F.col("_w.l")) == 0
-    kept = F.when(none, F.lit(0)).otherwise(F.col("_w.l"))
-    return worst.select(
+    level = F.col("lock_level")
+    rank = F.struct(st.impact_level(level).alias("i"), (-F.col("stmt_no")).alias("s"), level.alias("l"))
+    worst = _prepared(log).groupBy(*STEP_KEY).agg(F.max(rank).alias("_w"))
+    kept = worst.select(*STEP_KEY, F.when(F.col("_w.i") == 0, 0).otherwise(F.col("_w.l")).alias("lock_level"))
+    return kept.select(
         *STEP_KEY,
-        st.lock_name(kept).alias("lock_mode"),
-        st.impact_name(st.impact_level(kept)).alias("impact"),
-        st.blocks_reads(kept).alias("blocks_reads"),
-        st.blocks_writes(kept).alias("blocks_writes"),
-        (st.impact_level(kept) >= 2).alias("rewritable"),
+        st.lock_name(level).alias("lock_mode"),
+        st.impact_name(st.impact_level(level)).alias("impact"),
+        st.blocks_reads(level).alias("blocks_reads"),
+        st.blocks_writes(level).alias("blocks_writes"),
+        (st.impact_level(level) >= 2).alias("rewritable"),
     )
 
 
+def _flagged(log: DataFrame, code) -> DataFrame:
+    blanked = log.withColumn("_text", st.blank_literals(F.col("sql_text")))
+    return blanked.withColumn("code", code(F.col("_text"))).drop("_text").filter("code is not null")
+
+
 def flag_dangerous_statements(log: DataFrame) -> DataFrame:
-    return log.withColumn("code", st.dangerous_code(F.col("sql_text"))).filter("code is not null")
+    return _flagged(log, st.dangerous_code)
 
 
 def flag_non_declarative(log: DataFrame) -> DataFrame:
-    return log.withColumn("code", st.non_declarative_code(F.col("sql_text"))).filter("code is not null")
+    return _flagged(log, st.non_declarative_code)
 
 
 def audit_rollup(log: DataFrame) -> DataFrame:
     """Per environment: statements by impact, how many block reads or writes, how many have a safer form."""
     level, sql = F.col("lock_level"), F.col("sql_text")
-    locked = log.withColumn("lock_level", st.lock_level(sql))
+    locked = _prepared(log).withColumn("_kind", st.rewrite_kind(sql, F.col("_text")))
     return locked.groupBy("env_id").agg(
         F.count(F.lit(1)).alias("statements"),
         *[F.count_if(st.impact_level(level) == i).alias(f"impact_{n.lower()}") for i, n in enumerate(st.IMPACT_NAMES)],
         F.count_if(st.blocks_reads(level)).alias("blocking_reads"),
         F.count_if(st.blocks_writes(level)).alias("blocking_writes"),
-        F.count_if(st.rewrite_kind(sql).isNotNull()).alias("rewritable"),
+        F.count("_kind").alias("rewritable"),
     )

@@ -8,6 +8,7 @@ hot keys however uneven the fleet is.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moraine.functions.typenames import logical_type
-from moraine.operators.inventory import TABLE_KEY, group_foreign_keys, group_indexes
+from moraine.operators.inventory import ROW_TYPES, TABLE_KEY, group_foreign_keys, group_indexes
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
 
@@ -28,14 +29,22 @@ class Inventory:
     fks: DataFrame | None = None
 
 
-def desired_for(envs: DataFrame, rows: Sequence[dict]) -> DataFrame:
+def desired_for(envs: DataFrame, kind: str, rows: Sequence[dict]) -> DataFrame:
     """One declared schema, given as inventory rows without ``env_id``, for every environment.
 
     A declared schema is a document of some hundred rows; it travels in the plan
     as one literal and is unfolded per environment, so nothing is joined.
     """
-    literal = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
-    return envs.select("env_id").select("env_id", F.inline(literal))
+    return envs.select("env_id", F.inline(literal_rows(rows, ROW_TYPES[kind])))
+
+
+def literal_rows(rows: Sequence[dict], row_type: str) -> Column:
+    """An array of rows as a single literal, folded once while planning."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{_json_type(row_type)}>>")
+
+
+def _json_type(row_type: str) -> str:
+    return ", ".join(f"{n}: {t}" for n, t in (field.split() for field in row_type.split(",")))
 
 
 def _sides(current: DataFrame, desired: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -103,17 +112,21 @@ def diff_foreign_keys(current: Inventory, desired: Inventory) -> DataFrame:
     return diff.join(tables_in_both(current, desired), TABLE_KEY, "left_semi")
 
 
+def table_sides(current: Inventory, desired: Inventory) -> DataFrame:
+    """Every table with ``status`` of added, removed or both, and both row-security flags."""
+    return _sides(current.tables, desired.tables, TABLE_KEY, ["rls_enabled"])
+
+
 def diff_rls(current: Inventory, desired: Inventory) -> DataFrame:
     """Tables whose row-security flag changes, and the new value; a difference of its own, never dropped."""
-    sides = _sides(current.tables, desired.tables, TABLE_KEY, ["rls_enabled"])
-    return sides.filter("status = 'both' and not (old_rls_enabled <=> new_rls_enabled)").select(
+    return table_sides(current, desired).filter("status = 'both' and not (old_rls_enabled <=> new_rls_enabled)").select(
         *TABLE_KEY, F.col("new_rls_enabled").alias("rls_enabled")
     )
 
 
 def diff_tables(current: Inventory, desired: Inventory) -> DataFrame:
     """Added, removed and modified tables; modified means columns or row security differ."""
-    sides = _sides(current.tables, desired.tables, TABLE_KEY, ["rls_enabled"])
+    sides = table_sides(current, desired)
     touched = diff_columns(current, desired).groupBy(*TABLE_KEY).agg(F.lit(True).alias("_touched"))
     rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
     status = F.when(F.col("status") != "both", F.col("status")).when(
@@ -290,7 +303,7 @@ def drift_report(current: Inventory, desired: Inventory, subtotals: bool = False
     With ``subtotals`` the rows are per environment and table, with a total per
     environment and one for the fleet (null names).
     """
-    tables = _sides(current.tables, desired.tables, TABLE_KEY, ["rls_enabled"]).select(
+    tables = table_sides(current, desired).select(
         *TABLE_KEY,
         F.when((F.col("status") == "both") & ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled")), "modified")
         .otherwise(F.col("status")).alias("t"),

@@ -15,6 +15,17 @@ from moraine.functions.typenames import normalize_default
 
 TABLE_KEY = ["env_id", "schema_name", "table_name"]
 
+# Columns of the inventory frames, without the leading ``env_id``.
+ROW_TYPES = {
+    "tables": "schema_name string, table_name string, rls_enabled boolean",
+    "cols": "schema_name string, table_name string, ordinal int, column_name string, type_raw string, "
+            "nullable boolean, default_raw string, is_pk boolean",
+    "idx": "schema_name string, table_name string, index_name string, ordinal int, column_name string, "
+           "is_unique boolean",
+    "fks": "schema_name string, table_name string, fk_name string, ordinal int, column_name string, "
+           "ref_table string, ref_column string, on_delete string, on_update string",
+}
+
 # Policy command codes of the catalog.
 POLICY_COMMANDS = {"r": "SELECT", "a": "INSERT", "w": "UPDATE", "d": "DELETE", "*": "ALL"}
 

@@ -6,10 +6,12 @@ apart by expressions, not by scanning the diff once per kind.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.functions.typenames import is_widening
-from moraine.operators.drift import Inventory, diff_columns, diff_foreign_keys, diff_indexes, diff_rls, diff_tables
+from moraine.operators.drift import Inventory, diff_columns, diff_foreign_keys, diff_indexes, table_sides
 from moraine.operators.inventory import TABLE_KEY
 from moraine.operators.referential import fk_target_exists
 
@@ -29,37 +31,40 @@ def _verdict(df: DataFrame, **values) -> DataFrame:
     return df.select(*TABLE_KEY, *[as_columns[name].alias(name) for name in VERDICT])
 
 
-def classify_columns(diff: DataFrame) -> DataFrame:
-    """Verdict of every added, removed or retyped column; other changes carry none."""
-    retyped = F.array_contains("changes", "type")
-    judged = diff.filter((F.col("status") != "modified") | retyped)
+def verdict_columns() -> dict[str, Column]:
+    """The verdict on a row of a column diff, as Columns by name."""
     added, removed = F.col("status") == "added", F.col("status") == "removed"
     bare = added & ~F.col("new_nullable") & (F.coalesce("new_default", F.lit("")) == "")
     forward = is_widening(F.col("old_type"), F.col("new_type"))
     backward = is_widening(F.col("new_type"), F.col("old_type"))
     name = F.col("column_name")
     arrow = F.concat(F.col("old_type"), F.lit(" -> "), F.col("new_type"))
-    return _verdict(
-        judged,
-        operation=F.when(added, "add_column").when(removed, "drop_column").otherwise("alter_type"),
-        subject=name,
-        valid=F.when(added, ~bare).when(removed, True).otherwise(forward),
-        reversible=F.when(added, True).when(removed, False).otherwise(backward),
-        level=F.when(added, F.when(bare, DANGEROUS).otherwise(SAFE))
+    return {
+        "operation": F.when(added, "add_column").when(removed, "drop_column").otherwise("alter_type"),
+        "subject": name,
+        "valid": F.when(added, ~bare).when(removed, True).otherwise(forward),
+        "reversible": F.when(added, True).when(removed, False).otherwise(backward),
+        "level": F.when(added, F.when(bare, DANGEROUS).otherwise(SAFE))
         .when(removed, DANGEROUS)
         .otherwise(F.when(~forward, DANGEROUS).when(~backward, LOSSY).otherwise(SAFE)),
-        breaking_change=F.when(added, bare).otherwise(True),
-        data_loss=F.when(added, False).when(removed, True).otherwise(~forward),
-        rollback_data_loss=F.when(added, ~bare).when(removed, False).otherwise(~backward),
-        requires_multi_phase=F.when(added, bare).when(removed, True).otherwise(~forward),
-        lock_contention=~added,
-        message=F.when(bare, F.concat(F.lit("existing rows have no value for NOT NULL "), name))
+        "breaking_change": F.when(added, bare).otherwise(True),
+        "data_loss": F.when(added, False).when(removed, True).otherwise(~forward),
+        "rollback_data_loss": F.when(added, ~bare).when(removed, False).otherwise(~backward),
+        "requires_multi_phase": F.when(added, bare).when(removed, True).otherwise(~forward),
+        "lock_contention": ~added,
+        "message": F.when(bare, F.concat(F.lit("existing rows have no value for NOT NULL "), name))
         .when(added, F.concat(F.lit("rollback drops "), name))
         .when(removed, F.concat(F.lit("values of "), name, F.lit(" cannot be brought back")))
         .when(~forward, F.concat(F.lit("values may not fit: "), arrow))
         .when(~backward, F.concat(F.lit("values may not fit on rollback: "), arrow))
         .otherwise(arrow),
-    )
+    }
+
+
+def classify_columns(diff: DataFrame) -> DataFrame:
+    """Verdict of every added, removed or retyped column; other changes carry none."""
+    judged = diff.filter((F.col("status") != "modified") | F.array_contains("changes", "type"))
+    return _verdict(judged, **verdict_columns())
 
 
 def classify_add_column(diff: DataFrame) -> DataFrame:
@@ -116,26 +121,34 @@ def added_foreign_keys(current: Inventory, desired: Inventory) -> DataFrame:
     return desired.fks.select(*key).distinct().join(current.fks.select(*key).distinct(), key, "left_anti")
 
 
+def classify_tables(sides: DataFrame) -> DataFrame:
+    """Verdict of removed tables and of row-security changes, from one table-level join."""
+    changed = "status = 'both' and not (old_rls_enabled <=> new_rls_enabled)"
+    rls = sides.filter(changed).select(*TABLE_KEY, F.col("new_rls_enabled").alias("rls_enabled"))
+    return classify_drop_table(sides).unionByName(classify_rls(rls))
+
+
 def classify_diff(current: Inventory, desired: Inventory) -> DataFrame:
     """The static verdict on a whole diff.
 
     Judged are dropped tables, added, dropped and retyped columns, row security
     and added foreign keys; nullability, default, key and index changes are not.
     """
-    result = (
-        classify_drop_table(diff_tables(current, desired))
-        .unionByName(classify_columns(diff_columns(current, desired)))
-        .unionByName(classify_rls(diff_rls(current, desired)))
+    result = classify_tables(table_sides(current, desired)).unionByName(
+        classify_columns(diff_columns(current, desired))
     )
     if current.fks is not None and desired.fks is not None:
         result = result.unionByName(classify_foreign_keys(added_foreign_keys(current, desired), desired))
     return result
 
 
-# Level, reversible and multi-phase flag of the operations that
-# the static verdict leaves out.
+# Level, reversible and multi-phase flag of the operations whose
+# verdict does not depend on the column's definition.
 CATALOG = {
     "create_table": (SAFE, "yes", False),
+    "drop_table": (DANGEROUS, "no", True),
+    "enable_rls": (SAFE, "yes", False),
+    "disable_rls": (SAFE, "yes", False),
     "set_not_null": (LOSSY, "yes", True),
     "drop_not_null": (REVIEW, "yes", False),
     "set_default": (REVIEW, "yes", False),
@@ -151,12 +164,16 @@ CATALOG = {
 }
 
 
-def _catalogued(df: DataFrame) -> DataFrame:
+def _catalog_entry(operation: Column) -> Column:
     entries = [
         x for op, (level, reversible, multi) in CATALOG.items()
         for x in (F.lit(op), F.struct(F.lit(level).alias("l"), F.lit(reversible).alias("r"), F.lit(multi).alias("m")))
     ]
-    entry = F.create_map(*entries)[F.col("operation")]
+    return F.create_map(*entries)[operation]
+
+
+def _catalogued(df: DataFrame) -> DataFrame:
+    entry = _catalog_entry(F.col("operation"))
     return df.select(
         *TABLE_KEY, "operation", "subject", entry["l"].alias("level"), entry["r"].alias("reversible"),
         entry["m"].alias("requires_multi_phase"),
@@ -164,51 +181,65 @@ def _catalogued(df: DataFrame) -> DataFrame:
 
 
 def classify_diff_full(current: Inventory, desired: Inventory) -> DataFrame:
-    """The static verdict plus the catalogued level of every other change."""
+    """The static verdict plus the catalogued level of every other change.
+
+    Each diff row unfolds into the operations it stands for, so the column and
+    the table diff are computed once.
+    """
     columns = diff_columns(current, desired)
-    static = (
-        classify_columns(columns).unionByName(classify_drop_table(diff_tables(current, desired)))
-        .unionByName(classify_rls(diff_rls(current, desired)))
-        .select(*TABLE_KEY, "operation", "subject", "level",
-                F.when(F.col("reversible"), "yes").otherwise("no").alias("reversible"), "requires_multi_phase")
+    change = lambda x: (
+        F.when(x == "nullable", F.when(F.col("new_nullable"), "drop_not_null").otherwise("set_not_null"))
+        .when(x == "default", F.when(F.col("new_default").isNull(), "drop_default").otherwise("set_default"))
+        .when(x == "is_primary_key",
+              F.when(F.col("new_is_primary_key"), "add_primary_key").otherwise("drop_primary_key"))
+    )
+    unfolded = columns.withColumn("_op", F.explode(
+        F.when(F.col("status") == "modified", F.transform("changes", lambda x: F.coalesce(change(x), F.lit("static"))))
+        .otherwise(F.array(F.lit("static")))
+    ))
+    # the verdict of a row is kept beside it, for the operation it belongs to
+    judged = verdict_columns()
+    static = F.col("_op") == "static"
+    entry = _catalog_entry(F.col("_op"))
+    parts = unfolded.select(
+        *TABLE_KEY,
+        F.when(static, judged["operation"]).otherwise(F.col("_op")).alias("operation"),
+        F.col("column_name").alias("subject"),
+        F.when(static, judged["level"]).otherwise(entry["l"]).alias("level"),
+        F.when(static, F.when(judged["reversible"], "yes").otherwise("no")).otherwise(entry["r"]).alias("reversible"),
+        F.when(static, judged["requires_multi_phase"]).otherwise(entry["m"]).alias("requires_multi_phase"),
     )
-    change = F.col("change")
+    rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
     operation = (
-        F.when(change == "nullable", F.when(F.col("new_nullable"), "drop_not_null").otherwise("set_not_null"))
-        .when(change == "default", F.when(F.col("new_default").isNull(), "drop_default").otherwise("set_default"))
-        .when(change == "is_primary_key",
-              F.when(F.col("new_is_primary_key"), "add_primary_key").otherwise("drop_primary_key"))
+        F.when(F.col("status") == "added", "create_table").when(F.col("status") == "removed", "drop_table")
+        .when(rls, F.when(F.col("new_rls_enabled"), "enable_rls").otherwise("disable_rls"))
     )
-    others = columns.filter("status = 'modified'").withColumn("change", F.explode("changes")).select(
-        *TABLE_KEY, operation.alias("operation"), F.col("column_name").alias("subject")
+    tables = table_sides(current, desired).select(
+        *TABLE_KEY, operation.alias("operation"), F.col("table_name").alias("subject")
     ).filter("operation is not null")
-    created = diff_tables(current, desired).filter("status = 'added'").select(
-        *TABLE_KEY, F.lit("create_table").alias("operation"), F.col("table_name").alias("subject")
-    )
-    parts = others.unionByName(created)
+    named = [tables]
     if current.idx is not None and desired.idx is not None:
-        unique = F.coalesce("new_is_unique", "old_is_unique")
-        # a changed body is a drop and a create
-        step = F.explode(
-            F.when(F.col("status") == "added", F.array(F.lit("create")))
-            .when(F.col("status") == "removed", F.array(F.lit("drop")))
-            .otherwise(F.array(F.lit("drop"), F.lit("create")))
-        )
-        indexes = diff_indexes(current, desired).withColumn("_step", step).select(
-            *TABLE_KEY,
-            F.when(F.col("_step") == "create", F.when(F.coalesce("new_is_unique", F.lit(False)), "add_unique").otherwise("create_index"))
-            .otherwise(F.when(F.coalesce("old_is_unique", F.lit(False)), "drop_unique").otherwise("drop_index")).alias("operation"),
-            F.col("index_name").alias("subject"),
-        )
-        parts = parts.unionByName(indexes)
+        step = F.col("_step")
+        made = F.when(F.coalesce("new_is_unique", F.lit(False)), "add_unique").otherwise("create_index")
+        gone = F.when(F.coalesce("old_is_unique", F.lit(False)), "drop_unique").otherwise("drop_index")
+        named.append(_steps(diff_indexes(current, desired)).select(
+            *TABLE_KEY, F.when(step == "add", made).otherwise(gone).alias("operation"), F.col("index_name").alias("subject")
+        ))
     if current.fks is not None and desired.fks is not None:
-        keys = diff_foreign_keys(current, desired).withColumn("_step", F.explode(
-            F.when(F.col("status") == "added", F.array(F.lit("add")))
-            .when(F.col("status") == "removed", F.array(F.lit("drop")))
-            .otherwise(F.array(F.lit("drop"), F.lit("add")))
-        )).select(*TABLE_KEY, F.concat("_step", F.lit("_foreign_key")).alias("operation"), F.col("fk_name").alias("subject"))
-        parts = parts.unionByName(keys)
-    return static.unionByName(_catalogued(parts))
+        named.append(_steps(diff_foreign_keys(current, desired)).select(
+            *TABLE_KEY, F.concat("_step", F.lit("_foreign_key")).alias("operation"), F.col("fk_name").alias("subject")
+        ))
+    return parts.unionByName(_catalogued(reduce(DataFrame.unionByName, named)))
+
+
+def _steps(diff: DataFrame) -> DataFrame:
+    """A changed body is a drop and an add."""
+    steps = (
+        F.when(F.col("status") == "added", F.array(F.lit("add")))
+        .when(F.col("status") == "removed", F.array(F.lit("drop")))
+        .otherwise(F.array(F.lit("drop"), F.lit("add")))
+    )
+    return diff.withColumn("_step", F.explode(steps))
 
 
 def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:

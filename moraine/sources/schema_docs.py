@@ -9,8 +9,6 @@ both are tested by expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from moraine.operators.drift import Inventory, canonical_schema
@@ -70,55 +68,56 @@ def _problem(text: Column, parsed: Column, contract, where: str) -> Column:
 
 
 def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
-    """``env_id, document`` to inventory frames of the accepted documents, and the rejected ones."""
-    raw = "array<string>"  # nested objects are kept as their JSON text for the field tests
-    top = docs.select(
-        "env_id", "document", F.from_json("document", f"struct<tables:{raw},dialect:string>").alias("d")
-    )
-    top = top.withColumn("p", _problem(F.col("document"), F.col("d"), DOCUMENT, "document"))
-    tables = top.select("env_id", "p", F.posexplode_outer("d.tables").alias("t_no", "t")).withColumn(
-        "tab",
-        F.from_json("t", f"struct<name:string,schema:string,rls_enabled:boolean,columns:{raw},indexes:{raw},foreign_keys:{raw}>"),
-    )
+    """``env_id, document`` to inventory frames of the accepted documents, and the rejected ones.
 
-    def children(field: str, kind: str, contract, where: str) -> Column:
-        items = F.coalesce(F.col(f"tab.{field}"), F.array().cast(raw))
-        problems = F.flatten(F.transform(items, lambda x: _problem(x, F.from_json(x, kind), contract, where)))
-        return problems
-
-    actions = F.flatten(F.transform(
-        F.coalesce(F.col("tab.foreign_keys"), F.array().cast(raw)),
-        lambda x: F.transform(
-            F.array_except(
-                F.array_compact(F.array(F.get_json_object(x, "$.on_delete"), F.get_json_object(x, "$.on_update"))),
-                F.array(*[F.lit(a) for a in ACTIONS]),
-            ),
-            lambda a: F.concat(F.lit("unknown action "), a),
-        ),
-    ))
-    no_columns = F.when(F.size("tab.columns") == 0, F.array(F.lit("table without columns"))).otherwise(
-        F.array().cast(raw)
+    A document is checked within its own row, so nothing is shuffled or joined.
+    """
+    raw = "array<string>"  # nested objects stay JSON text until their fields are tested
+    none = F.array().cast(raw)
+    table_type = (
+        f"struct<name:string,schema:string,rls_enabled:boolean,columns:{raw},indexes:{raw},foreign_keys:{raw}>"
     )
-    table_problems = F.when(F.col("t").isNotNull(), F.concat(
-        _problem(F.col("t"), F.col("tab"), TABLE, "table"),
-        children("columns", _COLUMN_TYPE, COLUMN, "column"),
-        children("indexes", _INDEX_TYPE, INDEX, "index"),
-        children("foreign_keys", _FK_TYPE, FOREIGN_KEY, "foreign key"),
-        actions, no_columns,
-    )).otherwise(F.array().cast(raw))
-    checked = tables.withColumn("problems", F.concat("p", table_problems))
-    rejected = (
-        checked.select("env_id", F.explode("problems").alias("problem"))
-        .groupBy("env_id").agg(F.min("problem").alias("problem"))
+
+    def objects(items: Column, kind: str, contract, where: str) -> Column:
+        """Each item parsed, beside its problems."""
+        return F.transform(F.coalesce(items, none), lambda x: F.struct(
+            F.from_json(x, kind).alias("v"), _problem(x, F.from_json(x, kind), contract, where).alias("p")
+        ))
+
+    def actions(fk: Column) -> Column:
+        named = F.array_compact(F.array(fk["v"]["on_delete"], fk["v"]["on_update"]))
+        unknown = F.array_except(named, F.array(*[F.lit(a) for a in ACTIONS]))
+        return F.transform(unknown, lambda a: F.concat(F.lit("unknown action "), a))
+
+    top = docs.select("env_id", "document", F.from_json("document", f"struct<tables:{raw},dialect:string>").alias("d"))
+    # each step is a column of its own, so no text is parsed twice over
+    parsed = top.select(
+        "env_id", _problem(F.col("document"), F.col("d"), DOCUMENT, "document").alias("p"),
+        objects(F.col("d.tables"), table_type, TABLE, "table").alias("ts"),
     )
-    good = checked.filter("t is not null").join(rejected, "env_id", "left_anti").select(
+    deep = parsed.select("env_id", "p", F.transform("ts", lambda t: F.struct(
+        t["v"]["name"].alias("name"), t["v"]["schema"].alias("schema"), t["v"]["rls_enabled"].alias("rls"),
+        t["p"].alias("p"),
+        objects(t["v"]["columns"], _COLUMN_TYPE, COLUMN, "column").alias("cs"),
+        objects(t["v"]["indexes"], _INDEX_TYPE, INDEX, "index").alias("xs"),
+        objects(t["v"]["foreign_keys"], _FK_TYPE, FOREIGN_KEY, "foreign key").alias("fs"),
+    )).alias("ts"))
+    problems = F.concat("p", F.flatten(F.transform("ts", lambda t: F.concat(
+        t["p"],
+        F.flatten(F.transform(t["cs"], lambda o: o["p"])),
+        F.flatten(F.transform(t["xs"], lambda o: o["p"])),
+        F.flatten(F.transform(t["fs"], lambda o: o["p"])),
+        F.flatten(F.transform(t["fs"], actions)),
+        F.when(F.size(t["cs"]) == 0, F.array(F.lit("table without columns"))).otherwise(none),
+    ))))
+    checked = deep.withColumn("problem", F.array_min(problems))
+    rejected = checked.filter("problem is not null").select("env_id", "problem")
+    good = checked.filter("problem is null").select("env_id", F.explode("ts").alias("t")).select(
         "env_id",
-        F.coalesce("tab.schema", F.lit("public")).alias("schema_name"),
-        F.col("tab.name").alias("table_name"),
-        F.coalesce("tab.rls_enabled", F.lit(False)).alias("rls_enabled"),
-        F.transform("tab.columns", lambda x: F.from_json(x, _COLUMN_TYPE)).alias("cs"),
-        F.transform("tab.indexes", lambda x: F.from_json(x, _INDEX_TYPE)).alias("xs"),
-        F.transform("tab.foreign_keys", lambda x: F.from_json(x, _FK_TYPE)).alias("fs"),
+        F.coalesce("t.schema", F.lit("public")).alias("schema_name"),
+        F.col("t.name").alias("table_name"),
+        F.coalesce("t.rls", F.lit(False)).alias("rls_enabled"),
+        F.col("t.cs.v").alias("cs"), F.col("t.xs.v").alias("xs"), F.col("t.fs.v").alias("fs"),
     )
     cols = good.select(*TABLE_KEY, F.posexplode("cs").alias("i", "c")).select(
         *TABLE_KEY, (F.col("i") + 1).alias("ordinal"), F.col("c.name").alias("column_name"),

@@ -12,7 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moraine.operators.drift import Inventory, desired_for
+from moraine.operators.drift import Inventory, desired_for, literal_rows
+from moraine.operators.inventory import ROW_TYPES
 from moraine.sources.tables import read_table_set
 
 SCHEMAS = {
@@ -310,26 +311,20 @@ class Data:
     def envs(self) -> DataFrame:
         return self.customer.select(F.col("c_custkey").alias("env_id"))
 
-    def unfold(self, rows: list[dict]) -> DataFrame:
-        """The rows once per tenant, with the tenant's attributes."""
-        literal = F.array(*[F.struct(*[
-            (F.lit(None).cast("string") if v is None else F.lit(v)).alias(k) for k, v in r.items()
-        ]) for r in rows])
-        tenants = self.customer.select(F.col("c_custkey").alias("env_id"), *_ATTRS)
-        return tenants.select("env_id", *_ATTRS, F.inline(literal))
-
     def current(self, kind: str) -> DataFrame:
-        rows, (keep, changed) = BASE[kind], DRIFT[kind]
-        names = list(rows[0])
-        df = self.unfold(rows).filter(keep).select(
-            "env_id", *[F.expr(changed[c]).alias(c) if c in changed else F.col(c) for c in names]
-        )
-        for row, where in EXTRA[kind]:
-            df = df.unionByName(self.unfold([row]).filter(where).select("env_id", *names))
-        return df
+        """The drifted inventory, unfolded from one literal in one scan of the tenants."""
+        (keep, changed), extra = DRIFT[kind], EXTRA[kind]
+        rows = [{**r, "rule": 0} for r in BASE[kind]] + [{**r, "rule": i} for i, (r, _) in enumerate(extra, 1)]
+        tenants = self.customer.select(F.col("c_custkey").alias("env_id"), *_ATTRS)
+        unfolded = tenants.select("env_id", *_ATTRS, F.inline(literal_rows(rows, ROW_TYPES[kind] + ", rule int")))
+        applies = " OR ".join([f"(rule = 0 AND {keep})"] + [f"(rule = {i} AND {w})" for i, (_, w) in enumerate(extra, 1)])
+        return unfolded.filter(applies).select("env_id", *[
+            F.expr(f"CASE WHEN rule = 0 THEN {changed[c]} ELSE {c} END").alias(c) if c in changed else F.col(c)
+            for c in BASE[kind][0]
+        ])
 
     def desired(self, kind: str) -> DataFrame:
-        return desired_for(self.envs, BASE[kind])
+        return desired_for(self.envs, kind, BASE[kind])
 
     @cached_property
     def cur(self) -> Inventory:
