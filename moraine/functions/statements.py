@@ -156,27 +156,32 @@ def should_rewrite(level: Column, duration_ms: Column | None = None) -> Column:
 
 
 def blank_literals(sql: Column) -> Column:
-    """Trimmed text with comments and quoted strings blanked; the flags below take this form."""
+    """Trimmed text with comments and quoted strings blanked, for keyword tests."""
     text = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
     text = F.regexp_replace(text, r"--[^\n]*", " ")
     return F.trim(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), F.lit(_SPACE))
 
 
-def dangerous_code(text: Column) -> Column:
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also after a filter on it moved down the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
+def dangerous_code(sql: Column) -> Column:
     """Code of the data-losing statement, or null."""
-    return (
+    return _once(blank_literals(sql), lambda text: (
         F.when(text.rlike(r"(?is)^\s*DROP\s+TABLE\b"), "dangerous_drop_table")
         .when(text.rlike(r"(?is)^\s*TRUNCATE\b"), "dangerous_truncate")
         .when(
             text.rlike(r"(?is)^\s*DELETE\s+FROM\b") & ~text.rlike(r"(?is)\bWHERE\b"), "dangerous_delete_all"
         )
         .when(text.rlike(_DROPS_COLUMN), "dangerous_drop_column")
-    )
+    ))
 
 
-def non_declarative_code(text: Column) -> Column:
+def non_declarative_code(sql: Column) -> Column:
     """Code of a statement that does not belong in a declared schema, or null."""
-    return (
+    return _once(blank_literals(sql), lambda text: (
         F.when(
             text.rlike(r"(?is)^\s*CREATE\s+(?:TEMP\s+|UNLOGGED\s+)?TABLE\s+IF\s+NOT\s+EXISTS\b")
             | text.rlike(r"(?is)^\s*CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?IF\s+NOT\s+EXISTS\b"),
@@ -188,4 +193,4 @@ def non_declarative_code(text: Column) -> Column:
         )
         .when(text.rlike(r"(?is)^\s*CREATE\s+OR\s+REPLACE\s+(?:TEMP\s+|RECURSIVE\s+)?VIEW\b"),
               "non_declarative_or_replace")
-    )
+    ))

@@ -104,12 +104,14 @@ def base_type(raw: Column) -> Column:
 
 def normalize_type(raw: Column) -> Column:
     """Standard type name; ``(p,s)`` is kept, any array prints as one ``[]``."""
-    base = base_type(raw)
     known = {**STANDARD_NAMES, **{n: n for n in PLAIN_NAMES}}
+    # most names are one bare word: those need a lookup and no pattern
+    bare = ~raw.contains("(") & ~raw.contains("[") & ~raw.startswith("pg_catalog.")
+    base = base_type(raw)
     name = F.coalesce(_lookup(known, F.lower(base)), base)
     mods = F.regexp_replace(F.regexp_extract(raw, r"(\([0-9, ]*\))", 1), " ", "")
     dims = F.when(raw.contains("["), F.lit("[]")).otherwise(F.lit(""))
-    return F.concat(name, mods, dims)
+    return F.when(bare, F.coalesce(_lookup(known, F.lower(raw)), F.trim(raw))).otherwise(F.concat(name, mods, dims))
 
 
 def logical_type(raw: Column) -> Column:

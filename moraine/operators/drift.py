@@ -156,48 +156,47 @@ def rename_candidates(diff: DataFrame, max_distance: int = 2) -> DataFrame:
     """Removed columns with the nearest added column of their table and type, by edit distance.
 
     Two names within distance d differ in length by at most d, and of d + 1
-    pieces of one of them at least one occurs in the other, shifted by at most
-    d.  Joining on those pieces finds every pair in reach without pairing all
-    removed with all added columns of a table; the distance itself then decides.
+    pieces of the one at least one occurs in the other, shifted by at most d.
+    Names that share such a piece meet; the distance itself then decides.  No
+    pair in reach is missed, and removed and added columns of a table are not
+    paired wholesale.  The diff is read once: both kinds of row are keyed by
+    piece and meet in one grouping, whose groups are bounded by the number of
+    columns a table can have.
     """
     d, pieces = max_distance, max_distance + 1
-    added = diff.filter("status = 'added'").select(
-        *TABLE_KEY, F.col("new_type").alias("type"), F.col("column_name").alias("new_name"),
-        F.col("new_ordinal").alias("_ord"), F.lower("column_name").alias("_a"),
-    )
-    removed = diff.filter("status = 'removed'").select(
-        *TABLE_KEY, F.col("old_type").alias("type"), F.col("column_name").alias("old_name"),
-        F.lower("column_name").alias("_r"),
-    )
-    piece_no = F.array(*[F.lit(i) for i in range(pieces)])
+    one = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_dl"), F.lit(0).alias("_sh")) for i in range(pieces)])
     moves = F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(dl).alias("_dl"), F.lit(s).alias("_sh"))
         for i in range(pieces) for dl in range(-d, d + 1) for s in range(-d, d + 1)
     ])
-
-    def start(n: Column) -> Column:
-        base, extra = F.floor(n / pieces), n % pieces
-        return F.col("_i") * base + F.greatest(F.lit(0), F.col("_i") - (pieces - extra))
-
-    def width(n: Column) -> Column:
-        return F.floor(n / pieces) + F.when(F.col("_i") >= pieces - n % pieces, 1).otherwise(0)
-
-    n = F.char_length("_a")
-    left = added.select("*", F.explode(piece_no).alias("_i"), n.alias("_n")).withColumn(
-        "_piece", F.substring(F.col("_a"), (start(F.col("_n")) + 1).cast("int"), width(F.col("_n")).cast("int"))
+    added = F.col("status") == "added"
+    names = diff.filter(F.col("status").isin("added", "removed")).select(
+        *TABLE_KEY, F.when(added, F.col("new_type")).otherwise(F.col("old_type")).alias("type"),
+        F.col("column_name").alias("_name"), F.lower("column_name").alias("_low"),
+        F.col("new_ordinal").alias("_ord"), added.alias("_added"),
+        F.when(added, one).otherwise(moves).alias("_moves"),
+    )
+    keyed = names.select("*", F.inline("_moves")).drop("_moves").withColumn("_n", F.char_length("_low") + F.col("_dl"))
+    n, i = F.col("_n"), F.col("_i")
+    # pieces of nearly equal width; the last n % pieces of them are one longer
+    base, extra = F.expr(f"_n div {pieces}"), n % pieces
+    at = i * base + F.greatest(F.lit(0), i - (pieces - extra)) + F.col("_sh")
+    width = base + F.when(i >= pieces - extra, 1).otherwise(0)
+    placed = keyed.filter(n >= 0).withColumn("_at", at.cast("int")).withColumn("_w", width.cast("int"))
+    cut = placed.filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_w") <= F.char_length("_low")))
+    piece = F.substring(F.col("_low"), F.col("_at") + 1, F.col("_w"))
+    meeting = cut.withColumn("_piece", piece).groupBy(*TABLE_KEY, "type", "_n", "_i", "_piece").agg(
+        F.collect_set(F.when(F.col("_added"), F.struct("_ord", "_name"))).alias("_news"),
+        F.collect_set(F.when(~F.col("_added"), F.col("_name"))).alias("_olds"),
     )
-    right = removed.select("*", F.inline(moves)).withColumn("_n", F.char_length("_r") + F.col("_dl"))
-    at = start(F.col("_n")) + F.col("_sh")
-    fits = (F.col("_n") >= 0) & (at >= 0) & (at + width(F.col("_n")) <= F.char_length("_r"))
-    right = right.filter(fits).withColumn(
-        "_piece", F.substring(F.col("_r"), (at + 1).cast("int"), width(F.col("_n")).cast("int"))
+    pairs = meeting.select(*TABLE_KEY, "type", F.explode("_olds").alias("old_name"), "_news").select(
+        *TABLE_KEY, "type", "old_name", F.inline("_news")
     )
-    pairs = left.join(right, [*TABLE_KEY, "type", "_n", "_i", "_piece"])
-    distance = F.levenshtein("_a", "_r")
+    distance = F.levenshtein(F.lower("old_name"), F.lower("_name"))
     near = pairs.withColumn("distance", distance).filter(F.col("distance") <= d)
-    best = F.min(F.struct("distance", "_ord", "new_name")).alias("_best")
+    best = F.min(F.struct("distance", "_ord", "_name")).alias("_best")
     return near.groupBy(*TABLE_KEY, "type", "old_name").agg(best).select(
-        *TABLE_KEY, "type", "old_name", F.col("_best.new_name").alias("new_name"),
+        *TABLE_KEY, "type", "old_name", F.col("_best._name").alias("new_name"),
         F.col("_best.distance").alias("distance"),
     )
 

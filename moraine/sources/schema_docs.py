@@ -80,8 +80,9 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
 
     def objects(items: Column, kind: str, contract, where: str) -> Column:
         """Each item parsed, beside its problems."""
-        return F.transform(F.coalesce(items, none), lambda x: F.struct(
-            F.from_json(x, kind).alias("v"), _problem(x, F.from_json(x, kind), contract, where).alias("p")
+        read = F.transform(F.coalesce(items, none), lambda x: F.struct(x.alias("t"), F.from_json(x, kind).alias("v")))
+        return F.transform(read, lambda o: F.struct(
+            o["v"].alias("v"), _problem(o["t"], o["v"], contract, where).alias("p")
         ))
 
     def actions(fk: Column) -> Column:
@@ -112,7 +113,10 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
     ))))
     checked = deep.withColumn("problem", F.array_min(problems))
     rejected = checked.filter("problem is not null").select("env_id", "problem")
-    good = checked.filter("problem is null").select("env_id", F.explode("ts").alias("t")).select(
+    # unfolding a conditional array, not filtering first: a filter would move down
+    # and parse every document a second time
+    accepted = F.when(F.col("problem").isNull(), F.col("ts"))
+    good = checked.select("env_id", F.explode(accepted).alias("t")).select(
         "env_id",
         F.coalesce("t.schema", F.lit("public")).alias("schema_name"),
         F.col("t.name").alias("table_name"),

@@ -88,13 +88,14 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
 def run_quarantine(df: DataFrame, rules: Sequence[RowRule], path: str, checkpoint: str) -> None:
     """Split arriving rows into good and quarantined ones while they are written.
 
-    Each micro-batch is one write, partitioned by whether a rule is broken, into
-    a folder named after the batch.  A replayed batch overwrites its own folder,
+    Each micro-batch is one write, partitioned by ``outcome`` (good or
+    quarantined), into a folder named after the batch.  A replayed batch overwrites its own folder,
     so a retry after a failure repeats no row.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        flagged = flag_reasons(batch, rules).withColumn("quarantined", F.size("reasons") > 0)
-        flagged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("quarantined").parquet(
+        outcome = F.when(F.size("reasons") > 0, "quarantined").otherwise("good")
+        flagged = flag_reasons(batch, rules).withColumn("outcome", outcome)
+        flagged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("outcome").parquet(
             f"{path}/batch_id={batch_id}"
         )
 

@@ -57,12 +57,12 @@ def stream_write_monitor(d: Data):
 @query("stream_quarantine", """
 SELECT event_id, concat_ws(';', CASE WHEN value >= 60 THEN 'check(value)' END,
   CASE WHEN event_type NOT IN ('view', 'click', 'signup', 'purchase') THEN 'enum(event_type)' END) AS reasons,
-  value >= 60 OR event_type NOT IN ('view', 'click', 'signup', 'purchase') AS quarantined FROM events""")
+  CASE WHEN value >= 60 OR event_type NOT IN ('view', 'click', 'signup', 'purchase') THEN 'quarantined' ELSE 'good' END AS outcome FROM events""")
 def stream_quarantine(d: Data):
     path = scratch_dir(d.spark, "quarantine")
     rules = [ck.Check("value", "value < 60"), ck.OneOf("event_type", ("view", "click", "signup", "purchase"))]
     jobs.run_quarantine(_stream(d), rules, f"{path}/rows", f"{path}/checkpoint")
-    return d.spark.read.parquet(f"{path}/rows").select("event_id", F.array_join("reasons", ";").alias("reasons"), F.col("quarantined").cast("boolean").alias("quarantined"))
+    return d.spark.read.parquet(f"{path}/rows").select("event_id", F.array_join("reasons", ";").alias("reasons"), "outcome")
 
 
 @query("stream_dedupe", "SELECT count(DISTINCT (user_id, event_type)) AS keys, count(DISTINCT (user_id, event_type)) AS rows FROM events")
