@@ -55,15 +55,15 @@ def should_rewrite(log: DataFrame) -> DataFrame:
 
 
 def step_lock_impact(log: DataFrame) -> DataFrame:
-    """The statement with the highest impact per step; the first one among equals.
+    """The highest impact among the statements of each step.
 
-    A step without any statement above NONE reports ACCESS SHARE.  The order is
-    packed into one struct whose maximum is taken map-side.
+    Impact grows with the strength of the lock, and statements of equal impact
+    take the same lock, so the strongest lock decides: one integer maximum per
+    step.  A step without any statement above NONE reports ACCESS SHARE.
     """
     level = F.col("lock_level")
-    rank = F.struct(st.impact_level(level).alias("i"), (-F.col("stmt_no")).alias("s"), level.alias("l"))
-    worst = _prepared(log).groupBy(*STEP_KEY).agg(F.max(rank).alias("_w"))
-    kept = worst.select(*STEP_KEY, F.when(F.col("_w.i") == 0, 0).otherwise(F.col("_w.l")).alias("lock_level"))
+    worst = _prepared(log).groupBy(*STEP_KEY).agg(F.max(level).alias("_l"))
+    kept = worst.select(*STEP_KEY, F.when(st.impact_level(F.col("_l")) == 0, 0).otherwise(F.col("_l")).alias("lock_level"))
     return kept.select(
         *STEP_KEY,
         st.lock_name(level).alias("lock_mode"),

@@ -16,7 +16,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from moraine.session import staged
 
 
 @dataclass(frozen=True)
@@ -146,10 +148,15 @@ def check_max_length(df: DataFrame, column: str, length: int) -> DataFrame:
 
 
 def check_one_of(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
-    """Rows whose value is outside the list; a DataFrame is a one-column value table."""
+    """Rows whose value is outside the list; a DataFrame is a one-column value table.
+
+    With a table, distinct values meet the allowed ones, and the rows follow the
+    values found wanting, so a frequent good value is never shuffled row by row.
+    """
     if isinstance(values, DataFrame):
-        allowed = values.toDF(column).distinct()
-        return df.filter(F.col(column).isNotNull()).join(allowed, column, "left_anti")
+        present = df.filter(F.col(column).isNotNull()).select(column).distinct()
+        wrong = staged(present.join(values.toDF(column).distinct(), column, "left_anti"))
+        return df.join(wrong, column, "left_semi").select(*df.columns)
     return df.filter(OneOf(column, tuple(values)).violation())
 
 
@@ -217,6 +224,16 @@ def check_summary(
     return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
 
 
+def observe_row_rules(df: DataFrame, rules: Sequence[RowRule], observation: Observation) -> DataFrame:
+    """The same rows, counting violations on the way to wherever they are written.
+
+    After the write ``observation.get`` holds ``rows`` and one count per rule
+    name, so checking a table costs no scan of its own.
+    """
+    counts = [F.count_if(r.violation()).alias(r.name) for r in rules]
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *counts)
+
+
 def failures(summary: DataFrame) -> list[str]:
     """Names of failed rules; a summary has one row per declared rule."""
     return [r.rule for r in summary.filter("not passed").collect()]

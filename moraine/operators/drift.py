@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moraine.functions.typenames import logical_type
 from moraine.operators.inventory import ROW_TYPES, TABLE_KEY, group_foreign_keys, group_indexes
+from moraine.session import staged
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
 
@@ -374,7 +375,9 @@ def replay_change_log(cols: DataFrame, tables: DataFrame, log: DataFrame, block:
         .filter((F.col("action") != ADD) & ~F.col("_state"))
         .select(*COLUMN_KEY, "seq", "action", F.lit("unknown_column").alias("error"))
     )
-    missing = log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")
+    missing = staged(
+        log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti"), "unknown"
+    )
     orphan = log.join(missing, TABLE_KEY, "left_semi").select(
         *COLUMN_KEY, "seq", "action", F.lit("unknown_table").alias("error")
     )

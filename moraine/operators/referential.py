@@ -3,8 +3,9 @@
 A child table may hold a third of its rows under one key.  Every operator here
 therefore first reduces a side to its distinct keys, with a map-side combine,
 decides on those, and only then goes back to the rows.  The key set that goes
-back is the exceptional one (orphans, deleted keys); Spark broadcasts it at run
-time when its measured size allows, and otherwise splits the hot partition.
+back is the exceptional one (orphans, deleted keys).  It is staged as a file, so
+that its real size decides whether it is broadcast, which leaves the child rows
+where they are, or shuffled, where Spark splits the hot partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.operators.checks import any_null, key_counts
-from moraine.session import shared_root
+from moraine.session import staged
 
 
 def parent_keys(parent: DataFrame, parent_cols: Sequence[str], child_cols: Sequence[str]) -> DataFrame:
@@ -36,17 +37,17 @@ def fk_orphans(
 ) -> DataFrame:
     """Child rows whose key has no parent.
 
-    Whole rows are never shuffled to find them: keys meet keys, and the rows
-    follow in a semi-join that Spark drops altogether when there are no orphans.
+    Keys meet keys to find the orphaned ones, now; the rows follow in a
+    semi-join with that set when the result is used.
     """
     if len(child_cols) != len(parent_cols):
         raise ValueError("key column counts differ")
-    missing = orphan_keys(child, child_cols, parent, parent_cols).drop("n")
+    missing = staged(orphan_keys(child, child_cols, parent, parent_cols).drop("n"), "orphans")
     return child.join(missing, list(child_cols), "left_semi")
 
 
 def _flag(child: DataFrame, child_cols: Sequence[str], deleted: DataFrame, parent_cols: Sequence[str], name: str):
-    keys = parent_keys(deleted, parent_cols, child_cols).withColumn(name, F.lit(True))
+    keys = staged(parent_keys(deleted, parent_cols, child_cols), "deleted").withColumn(name, F.lit(True))
     return child.join(keys, list(child_cols), "left")
 
 
@@ -113,11 +114,12 @@ def fk_on_delete_cascade(
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
     """``{table: (removed rows, kept rows)}`` when the ``deleted`` rows of ``start`` go.
 
-    An acyclic graph becomes one lazy plan in topological order.  A cyclic one
+    An acyclic graph is walked in topological order; only the deleted keys of each
+    level are staged, the rows stay lazy.  A cyclic one
     (a table that references itself, say) is iterated until nothing more is
     removed; ``keys`` then names each table's primary key, and every level is
-    checkpointed to the shared folder, so lost executors cost no recomputation
-    of earlier levels.
+    written to the shared folder, so lost executors cost no recomputation of
+    earlier levels.
     """
     order = _topological(edges, start)
     if order is None:
@@ -126,9 +128,9 @@ def fk_on_delete_cascade(
     for name in order:
         df = tables[name]
         if name == start:
-            gone = deleted.select(*df.columns)
-            same = [F.col(c) for c in (keys or {}).get(name, df.columns)]
-            result[name] = (gone, df.join(gone.select(*same).distinct(), [c for c in (keys or {}).get(name, df.columns)], "left_anti"))
+            gone, same = deleted.select(*df.columns), list((keys or {}).get(name, df.columns))
+            kept = df.join(staged(gone.select(*same).distinct(), "deleted"), same, "left_anti")
+            result[name] = (gone, kept.select(*df.columns))
             continue
         incoming = [e for e in edges if e.child == name and e.parent in result]
         flagged = df
@@ -140,35 +142,39 @@ def fk_on_delete_cascade(
 
 
 def _cascade_cyclic(tables, edges, start, deleted, keys, max_levels):
-    spark = deleted.sparkSession
-    shared_root(spark)
-    removed = {start: deleted.checkpoint()}
-    frontier = dict(removed)
+    levels: dict[str, list[DataFrame]] = {start: [staged(deleted.select(*tables[start].columns), "level")]}
+    frontier = {start: levels[start][0]}
     for _ in range(max_levels):
-        following: dict[str, DataFrame] = {}
+        found: dict[str, list[DataFrame]] = {}
         for e in edges:
-            if e.parent not in frontier:
-                continue
-            gone = parent_keys(frontier[e.parent], e.ref_columns, e.columns)
-            hit = tables[e.child].join(gone, list(e.columns), "left_semi").select(*tables[e.child].columns)
-            pk = list(keys[e.child])
-            for earlier in (removed.get(e.child), following.get(e.child)):
-                if earlier is not None:
-                    hit = hit.join(earlier.select(*pk), pk, "left_anti")
-            hit = hit.select(*tables[e.child].columns)
-            following[e.child] = following[e.child].unionByName(hit) if e.child in following else hit
-        frontier = {n: df.checkpoint() for n, df in following.items()}
-        frontier = {n: df for n, df in frontier.items() if not df.isEmpty()}
+            if e.parent in frontier:
+                gone = staged(parent_keys(frontier[e.parent], e.ref_columns, e.columns), "deleted")
+                hit = tables[e.child].join(gone, list(e.columns), "left_semi").select(*tables[e.child].columns)
+                found.setdefault(e.child, []).append(hit)
+        frontier = {}
+        for name, hits in found.items():
+            pk = list(keys[name])
+            fresh = reduce(DataFrame.unionByName, hits)
+            if len(hits) > 1:  # a row reached by two edges of one level
+                fresh = fresh.dropDuplicates(pk)
+            if name in levels:
+                before = reduce(DataFrame.unionByName, [df.select(*pk) for df in levels[name]])
+                fresh = fresh.join(before, pk, "left_anti")
+            fresh = staged(fresh.select(*tables[name].columns), "level")
+            if not fresh.isEmpty():
+                frontier[name] = fresh
         if not frontier:
             break
-        for n, df in frontier.items():
-            removed[n] = removed[n].unionByName(df).checkpoint() if n in removed else df
+        for name, df in frontier.items():
+            levels.setdefault(name, []).append(df)
     else:
         raise RuntimeError(f"cascade did not end after {max_levels} levels")
-    return {
-        n: (df, tables[n].join(df.select(*keys[n]), list(keys[n]), "left_anti").select(*tables[n].columns))
-        for n, df in removed.items()
-    }
+    result = {}
+    for name, parts in levels.items():
+        removed = reduce(DataFrame.unionByName, parts)
+        kept = tables[name].join(removed.select(*keys[name]), list(keys[name]), "left_anti")
+        result[name] = (removed, kept.select(*tables[name].columns))
+    return result
 
 
 def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from moraine.functions.typenames import is_widening
 from moraine.operators.drift import Inventory, diff_columns, diff_foreign_keys, diff_indexes, table_sides
 from moraine.operators.inventory import TABLE_KEY
 from moraine.operators.referential import fk_target_exists
+from moraine.session import staged
 
 # Names of the safety levels.
 SAFE, REVIEW, LOSSY, DANGEROUS, MULTI_PHASE = (
@@ -250,7 +251,7 @@ def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
     without a probe keeps its static level.
     """
     probed = verdicts.join(
-        probes.withColumnRenamed("column_name", "subject"), ["table_name", "subject"], "left"
+        staged(probes.withColumnRenamed("column_name", "subject"), "probes"), ["table_name", "subject"], "left"
     )
     measured = F.col("failed").isNotNull()
     level = (

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of inserted, updated and deleted rows; the keys are unique in each snapshot.
 
-    Only the key and one 64-bit hash per row take part in the join, so the width
-    of the table does not matter to the shuffle.  Equal hashes of different rows
-    of the same key are the accepted 2^-64 chance; ``snapshot_diff_exact``
-    compares the values themselves.
+    Only the key and a 128-bit digest per row take part in the join, so the
+    width of the table does not matter to the shuffle.  ``snapshot_diff_exact``
+    compares the values themselves and names the changed columns.
     """
     columns = [c for c in old.columns if c not in keys]
-    digest = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+    flagged = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    digest = F.struct(F.xxhash64(*flagged), F.xxhash64(F.lit("second"), *flagged))
     a = old.select(*keys, digest.alias("_a"))
     b = new.select(*keys, digest.alias("_b"))
     change = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "deleted").when(

@@ -7,6 +7,7 @@ folds them over it.  No action runs: the outcome is one lazy plan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.operators import evolve
-from moraine.operators.checks import ForeignKey, KeyRule, NotNull, RowRule, Unique
+from moraine.operators.checks import Check, ForeignKey, KeyRule, NotNull, RowRule, Unique
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,9 @@ class RenameColumn:
     order = 1
 
     def apply(self, t: Table, now: Column | None = None) -> Table:
-        return replace(t, df=evolve.rename_column(t.df, self.old, self.new))
+        rules = tuple(_renamed(r, self.old, self.new) for r in t.rules)
+        defaults = {self.new if k == self.old else k: v for k, v in t.defaults.items()}
+        return replace(t, df=evolve.rename_column(t.df, self.old, self.new), rules=rules, defaults=defaults)
 
     def inverse(self, before: Table) -> "RenameColumn":
         return RenameColumn(self.new, self.old)
@@ -170,7 +173,7 @@ class DropColumn:
 
     def apply(self, t: Table, now: Column | None = None) -> Table:
         # a rule or default of the column goes with it
-        rules = tuple(r for r in t.rules if self.name not in _columns_of(r))
+        rules = tuple(r for r in t.rules if not _mentions(r, self.name))
         defaults = {k: v for k, v in t.defaults.items() if k != self.name}
         return replace(t, df=evolve.drop_column(t.df, self.name), rules=rules, defaults=defaults)
 
@@ -186,10 +189,21 @@ Change = (
 )
 
 
-def _columns_of(rule) -> tuple[str, ...]:
+def _mentions(rule: RowRule | KeyRule, column: str) -> bool:
+    if isinstance(rule, Check):
+        return re.search(rf"\b{re.escape(column)}\b", rule.predicate) is not None
+    return column in getattr(rule, "columns", ()) or column == getattr(rule, "column", None)
+
+
+def _renamed(rule: RowRule | KeyRule, old: str, new: str) -> RowRule | KeyRule:
+    """The rule under the column's new name."""
+    if not _mentions(rule, old):
+        return rule
+    if isinstance(rule, Check):
+        return replace(rule, predicate=re.sub(rf"\b{re.escape(old)}\b", new, rule.predicate))
     if hasattr(rule, "columns"):
-        return tuple(rule.columns)
-    return (rule.column,) if hasattr(rule, "column") else ()
+        return replace(rule, columns=tuple(new if c == old else c for c in rule.columns))
+    return replace(rule, column=new)
 
 
 def safe_order(changes: Sequence[Change]) -> list[Change]:

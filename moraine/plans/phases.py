@@ -14,6 +14,7 @@ from moraine.operators.checks import (
     NotNull, RowRule, Unique, check_summary, dedupe_keep_first, failures,
 )
 from moraine.operators.measures import backfill_gap_count, content_match, pending, row_count_match
+from moraine.session import staged
 
 
 class GateError(RuntimeError):
@@ -122,7 +123,7 @@ def backfill_pending_batches(
     ``path`` uses dynamic partition overwrite, so a rerun after a failure
     rewrites the unfinished buckets and leaves the finished ones alone.
     """
-    todo = batched_backfill(df, key, size, new, old).filter("pending > 0").select("bucket")
+    todo = staged(batched_backfill(df, key, size, new, old).filter("pending > 0").select("bucket"), "pending")
     bucketed = df.withColumn("bucket", _bucket(key, size))
     filled = type_change_backfill(bucketed.join(todo, "bucket", "left_semi"), old, new, data_type)
     # key ranges spread a large bucket over several tasks and files
@@ -190,17 +191,19 @@ def sample_production(
     minimum, at its maximum, and at null is added.  ``mask`` columns are
     replaced by their SHA-256.
     """
-    picks = []
-    for c in extremes:
-        picks += [
-            F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c), F.col(key).alias("k"))))["k"],
-            F.min(F.when(F.col(c).isNotNull(), F.struct(-F.col(c), F.col(key).alias("k"))))["k"],
-            F.min(F.when(F.col(c).isNull(), F.col(key))),
-        ]
-    edges = (
-        df.groupBy(stratum).agg(F.array(*picks).alias("k"))
-        .select(F.explode("k").alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn("_edge", F.lit(True))
-    )
+    lows = [F.min(c).alias(f"_lo{i}") for i, c in enumerate(extremes)]
+    highs = [F.max(c).alias(f"_hi{i}") for i, c in enumerate(extremes)]
+    bounds = staged(df.groupBy(stratum).agg(*lows, *highs), "bounds").withColumnRenamed(stratum, "_stratum")
+    at = []
+    for i, c in enumerate(extremes):
+        at += [F.col(c) == F.col(f"_lo{i}"), F.col(c) == F.col(f"_hi{i}"), F.col(c).isNull()]
+    # plain minima of numbers: hash aggregation, nothing is sorted
+    beside = df.join(bounds, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    picks = beside.groupBy(stratum).agg(*[F.min(F.when(test, F.col(key))).alias(f"_k{i}") for i, test in enumerate(at)])
+    edges = staged(
+        picks.select(F.explode(F.array(*[f"_k{i}" for i in range(len(at))])).alias(key))
+        .filter(F.col(key).isNotNull()).distinct(), "edges",
+    ).withColumn("_edge", F.lit(True))
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     drawn = df.join(edges, key, "left").filter((digest % modulus == 0) | F.col("_edge").isNotNull()).drop("_edge")
     return drawn.select(*[

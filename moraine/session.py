@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings whose Spark defaults do not fit large skewed tables.
 SETTINGS = {
@@ -51,3 +51,18 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path below the shared root."""
     return f"{shared_root(spark).rstrip('/')}/moraine-{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str = "keys") -> DataFrame:
+    """The rows, written to the shared folder now and read back.
+
+    Used for sets of exceptional keys before they meet a large table.  Adaptive
+    execution would start shuffling the large side while the set is still being
+    computed; once it is a file, its real size decides the plan beforehand: a
+    small set is broadcast and the large side stays where it is, a large one is
+    joined by a shuffle with skew splitting.  The file also cuts the lineage, so
+    a lost executor does not recompute the set.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moraine.operators.drift import Inventory, desired_for, literal_rows
+from moraine.operators.drift import desired_for, literal_rows
 from moraine.operators.inventory import ROW_TYPES
 from moraine.sources.tables import read_table_set
 
@@ -280,6 +280,18 @@ def log_sql() -> str:
     )
 
 
+class Lazy:
+    """An inventory whose frames are built when first used."""
+
+    def __init__(self, build):
+        self._build = build
+
+    tables = cached_property(lambda self: self._build("tables"))
+    cols = cached_property(lambda self: self._build("cols"))
+    idx = cached_property(lambda self: self._build("idx"))
+    fks = cached_property(lambda self: self._build("fks"))
+
+
 class Data:
     """Lazily read test tables and their derivations, as attributes."""
 
@@ -327,12 +339,12 @@ class Data:
         return desired_for(self.envs, kind, BASE[kind])
 
     @cached_property
-    def cur(self) -> Inventory:
-        return Inventory(*[self.current(k) for k in ("tables", "cols", "idx", "fks")])
+    def cur(self) -> Lazy:
+        return Lazy(self.current)
 
     @cached_property
-    def des(self) -> Inventory:
-        return Inventory(*[self.desired(k) for k in ("tables", "cols", "idx", "fks")])
+    def des(self) -> Lazy:
+        return Lazy(self.desired)
 
     @cached_property
     def stmt_log(self) -> DataFrame:

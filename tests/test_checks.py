@@ -127,6 +127,25 @@ def test_cascade_through_a_cycle(spark):
     assert sorted(r.id for r in kept.collect()) == [1, 10, 11]
 
 
+def test_cascade_through_two_tables_in_a_cycle(spark):
+    a = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(90, 91)], "id long, b_id long")
+    b = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(91, 90)], "id long, a_id long")
+    edges = [rf.Edge("a", ("b_id",), "b", ("id",)), rf.Edge("b", ("a_id",), "a", ("id",))]
+    out = rf.fk_on_delete_cascade({"a": a, "b": b}, edges, "a", a.filter("id = 0"), {"a": ["id"], "b": ["id"]})
+    gone = {"a": {0}, "b": set()}
+    while True:  # the same, row by row
+        more_b = {r.id for r in b.collect() if r.a_id in gone["a"]}
+        more_a = {r.id for r in a.collect() if r.b_id in gone["b"] | more_b} | gone["a"]
+        if (more_a, more_b) == (gone["a"], gone["b"]):
+            break
+        gone = {"a": more_a, "b": more_b}
+    for name in ("a", "b"):
+        assert sorted(r.id for r in out[name][0].collect()) == sorted(gone[name])
+    assert {r.id for r in out["a"][1].collect()} >= {90}
+    with pytest.raises(RuntimeError):
+        rf.fk_on_delete_cascade({"a": a, "b": b}, edges, "a", a.filter("id = 0"), {"a": ["id"], "b": ["id"]}, max_levels=1)
+
+
 def test_cascade_by_two_paths_removes_a_row_once(spark):
     a = spark.createDataFrame([(1,), (2,)], "id long")
     b = spark.createDataFrame([(10, 1), (11, 2)], "id long, a_id long")

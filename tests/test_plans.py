@@ -56,6 +56,23 @@ def test_drop_column_takes_its_rules(users):
     assert after.rules == (ck.Unique(("id",)),) and after.defaults == {}
 
 
+def test_rename_carries_rules_and_defaults(users):
+    table = ch.Table(users, (ck.NotNull("age"), ck.Check("adult", "age > 1"), ck.Unique(("id", "age"))), {"age": "1"})
+    after = ch.RenameColumn("age", "years").apply(table)
+    assert after.rules == (ck.NotNull("years"), ck.Check("adult", "years > 1"), ck.Unique(("id", "years")))
+    assert after.defaults == {"years": "1"}
+    assert ck.check_summary(after.df, after.rules).count() == 3
+    assert ch.DropColumn("years").apply(after).rules == ()
+
+
+def test_rules_are_counted_while_writing(users, scratch):
+    from pyspark.sql import Observation
+
+    seen = Observation("rules")
+    ck.observe_row_rules(users, [ck.NotNull("name"), ck.Check("adult", "age > 18")], seen).write.parquet(scratch)
+    assert seen.get == {"rows": 3, "not_null(name)": 1, "check(adult)": 1}
+
+
 def test_table_set_refuses_to_drop_a_referenced_table(users):
     child = ch.Table(users, (ck.ForeignKey(("id",), "users", ("id",)),))
     with pytest.raises(ValueError, match="referenced"):
