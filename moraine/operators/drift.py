@@ -218,13 +218,12 @@ def canonical_schema(inv: Inventory) -> DataFrame:
 
     Lists are sorted by name, object keys are alphabetical, absent parts are
     left out.  Row security, policies and schema names are not part of it.
-    Everything is first brought together by table, so columns, indexes and
-    foreign keys of a table meet without a further exchange.
+    Tables, columns, indexes and foreign keys are brought together by
+    environment in one exchange; tables and then the document are assembled
+    where they lie.  An environment's document is hashed as a whole, so it is
+    one row in the end; the lists are columns of a table, tables of a schema.
     """
-    def by_table(df: DataFrame) -> DataFrame:
-        return df.repartition(*TABLE_KEY)
-
-    col = F.struct(
+    column = F.struct(
         F.col("column_name").alias("k"),
         F.struct(
             F.col("default_raw").alias("default"),
@@ -234,44 +233,47 @@ def canonical_schema(inv: Inventory) -> DataFrame:
             logical_type(F.col("type_raw")).alias("type"),
         ).alias("v"),
     )
-    parts = by_table(inv.cols).groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(col)).alias("_c"))
-    tables = by_table(inv.tables.select(*TABLE_KEY)).join(parts, TABLE_KEY, "left")
-    if inv.idx is not None:
-        index = F.struct(
-            F.col("index_name").alias("k"),
-            F.struct(F.col("column_names").alias("columns"), F.col("index_name").alias("name"),
-                     F.col("is_unique").alias("unique")).alias("v"),
-        )
-        grouped = group_indexes(by_table(inv.idx)).groupBy(*TABLE_KEY)
-        tables = tables.join(grouped.agg(F.array_sort(F.collect_list(index)).alias("_x")), TABLE_KEY, "left")
-    else:
-        tables = tables.withColumn("_x", F.lit(None).cast("array<struct<k:string,v:struct<columns:array<string>,name:string,unique:boolean>>>"))
+    parts = [inv.tables.select(*TABLE_KEY, F.lit(True).alias("_t")), inv.cols.select(*TABLE_KEY, column.alias("_c"))]
+    lists = {"_c": F.array_sort(F.collect_list("_c"))}
+    body = {"columns": F.transform("_c", lambda c: c["v"])}
     if inv.fks is not None:
-        fk = F.struct(
-            F.col("fk_name").alias("k"),
-            F.struct(F.col("column_names").alias("columns"), F.col("fk_name").alias("name"), "on_delete", "on_update",
-                     F.col("ref_columns").alias("referenced_columns"),
-                     F.col("ref_table").alias("referenced_table")).alias("v"),
-        )
-        grouped = group_foreign_keys(by_table(inv.fks)).groupBy(*TABLE_KEY)
-        tables = tables.join(grouped.agg(F.array_sort(F.collect_list(fk)).alias("_f")), TABLE_KEY, "left")
-    else:
-        tables = tables.withColumn("_f", F.lit(None).cast(
-            "array<struct<k:string,v:struct<columns:array<string>,name:string,on_delete:string,on_update:string,"
-            "referenced_columns:array<string>,referenced_table:string>>>"))
-    columns = F.coalesce(F.transform("_c", lambda c: c["v"]), F.array())
-    body = F.struct(
-        columns.alias("columns"),
-        F.transform("_f", lambda f: f["v"]).alias("foreign_keys"),
-        F.transform("_x", lambda x: x["v"]).alias("indexes"),
-        F.col("table_name").alias("name"),
-    )
-    # one environment's document is hashed as a whole, so it is assembled as one row
-    docs = tables.groupBy("env_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("table_name").alias("k"), F.to_json(body).alias("v")))).alias("_t")
-    )
-    text = F.concat(F.lit('{"tables":['), F.array_join(F.transform("_t", lambda t: t["v"]), ","), F.lit("]}"))
-    return docs.select("env_id", escape_html(text).alias("document"))
+        parts.append(inv.fks.select(*TABLE_KEY, F.struct(
+            F.col("fk_name").alias("k"), "ordinal", "column_name", "ref_table", "ref_column", "on_delete", "on_update"
+        ).alias("_f")))
+        lists["_f"] = F.array_sort(F.collect_list("_f"))
+        body["foreign_keys"] = _by_name("_f", lambda name, rows: F.struct(
+            F.transform(rows, lambda r: r["column_name"]).alias("columns"), name.alias("name"),
+            rows[0]["on_delete"].alias("on_delete"), rows[0]["on_update"].alias("on_update"),
+            F.transform(rows, lambda r: r["ref_column"]).alias("referenced_columns"),
+            rows[0]["ref_table"].alias("referenced_table"),
+        ))
+    if inv.idx is not None:
+        parts.append(inv.idx.select(*TABLE_KEY, F.struct(
+            F.col("index_name").alias("k"), "ordinal", "column_name", "is_unique"
+        ).alias("_x")))
+        lists["_x"] = F.array_sort(F.collect_list("_x"))
+        body["indexes"] = _by_name("_x", lambda name, rows: F.struct(
+            F.transform(rows, lambda r: r["column_name"]).alias("columns"), name.alias("name"),
+            rows[0]["is_unique"].alias("unique"),
+        ))
+    body["name"] = F.col("table_name")
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("env_id")
+    tables = together.groupBy(*TABLE_KEY).agg(
+        F.bool_or("_t").alias("_t"), *[c.alias(name) for name, c in lists.items()]
+    ).filter("_t")
+    text = F.to_json(F.struct(*[c.alias(name) for name, c in body.items()]))
+    docs = tables.select("env_id", F.struct(F.col("table_name").alias("k"), text.alias("v")).alias("_t")).groupBy(
+        "env_id"
+    ).agg(F.array_sort(F.collect_list("_t")).alias("_t"))
+    document = F.concat(F.lit('{"tables":['), F.array_join(F.transform("_t", lambda t: t["v"]), ","), F.lit("]}"))
+    return docs.select("env_id", escape_html(document).alias("document"))
+
+
+def _by_name(column: str, build) -> Column:
+    """One object per name of a sorted list of key columns; null for an empty list."""
+    names = F.array_distinct(F.transform(column, lambda r: r["k"]))
+    objects = F.transform(names, lambda n: build(n, F.filter(column, lambda r: r["k"] == n)))
+    return F.when(F.size(column) > 0, objects)
 
 
 EMPTY_DOCUMENT = '{"tables":[]}'

@@ -13,42 +13,65 @@ from moraine.operators.inventory import TABLE_KEY
 WARNINGS = ("empty_table", "no_primary_key", "duplicate_index")
 
 
-def _issue(df: DataFrame, code: str, subject: Column) -> DataFrame:
+def _issues(code: str, subjects: Column) -> Column:
     severity = "warning" if code in WARNINGS else "error"
-    return df.select(
-        *TABLE_KEY, F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.alias("subject")
-    )
+    return F.transform(subjects, lambda s: F.struct(
+        F.lit(code).alias("code"), F.lit(severity).alias("severity"), s.alias("subject")
+    ))
 
 
-def _repeats(df: DataFrame, key: list[str]) -> DataFrame:
-    """n - 1 rows for a name that occurs n times."""
-    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return counted.select(*key, F.explode(F.sequence(F.lit(2), F.col("_n").cast("int"))).alias("_i"))
+def _repeats(names: Column) -> Column:
+    """Every occurrence of a name after its first."""
+    return F.array_compact(F.transform(names, lambda n, i: F.when(F.array_contains(F.slice(names, 1, i), n), n)))
 
 
 def lint_inventory(tables: DataFrame, cols: DataFrame, idx: DataFrame, fks: DataFrame) -> DataFrame:
-    columns = cols.select(*TABLE_KEY, "column_name").distinct().withColumn("_found", F.lit(True))
-    # one pass over the columns answers the two table-level questions
-    facts = cols.groupBy(*TABLE_KEY).agg(F.bool_or("is_pk").alias("_pk"))
-    judged = tables.select(*TABLE_KEY).join(facts, TABLE_KEY, "left")
-    key_columns = fks.select(*TABLE_KEY, "fk_name", "column_name").join(columns, [*TABLE_KEY, "column_name"], "left")
-    idx_columns = idx.select(*TABLE_KEY, "index_name", "column_name").join(columns, [*TABLE_KEY, "column_name"], "left")
+    """Issues of every table: ``code, severity, subject``.
+
+    All parts of a table meet in one exchange; its own issues are then found
+    inside its row, from lists as long as the table is wide.  Only the target of
+    a foreign key lies outside the table and is joined.
+    """
+    parts = [
+        tables.select(*TABLE_KEY, F.lit(True).alias("_t")),
+        cols.select(*TABLE_KEY, F.struct("column_name", "type_raw", "is_pk").alias("_c")),
+        idx.select(*TABLE_KEY, F.struct("index_name", "ordinal", "column_name").alias("_x")),
+        fks.select(*TABLE_KEY, F.struct("fk_name", "column_name").alias("_f")),
+    ]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    whole = together.groupBy(*TABLE_KEY).agg(
+        F.bool_or("_t").alias("_t"), *[F.collect_list(c).alias(c) for c in ("_c", "_x", "_f")]
+    ).withColumn("_names", F.transform("_c", lambda c: c["column_name"]))
+    none = F.array().cast("array<string>")
+    known = F.col("_t").isNotNull()
+
+    def on_table(test: Column) -> Column:
+        return F.when(known & test, F.array("table_name")).otherwise(none)
+
+    def unknown(column: str, label: str) -> Column:
+        strays = F.filter(column, lambda r: ~F.array_contains("_names", r["column_name"]))
+        return F.transform(strays, lambda r: F.concat_ws(".", r[label], r["column_name"]))
+
+    # an index is one entry per key column; its first column stands for the index
+    index_names = F.transform(F.filter("_x", lambda x: x["ordinal"] == 1), lambda x: x["index_name"])
+    found = F.concat(
+        _issues("empty_table", on_table(F.size("_c") == 0)),
+        _issues("no_primary_key", on_table(~F.exists("_c", lambda c: F.coalesce(c["is_pk"], F.lit(False))))),
+        _issues("duplicate_column", _repeats(F.col("_names"))),
+        _issues("missing_type", F.transform(F.filter("_c", lambda c: c["type_raw"] == ""), lambda c: c["column_name"])),
+        _issues("invalid_fk_column", unknown("_f", "fk_name")),
+        _issues("duplicate_index", _repeats(index_names)),
+        _issues("invalid_index_column", unknown("_x", "index_name")),
+    )
+    own = whole.select(*TABLE_KEY, F.inline(found))
     targets = fks.select(*TABLE_KEY, "fk_name", "ref_table").distinct().join(
         tables.select("env_id", F.col("table_name").alias("ref_table")).distinct(), ["env_id", "ref_table"], "left_anti"
     )
-    # an index is one row per key column; the first column stands for the whole index
-    index_names = idx.filter("ordinal = 1").select(*TABLE_KEY, "index_name")
-    issues = [
-        _issue(judged.filter("_pk is null"), "empty_table", F.col("table_name")),
-        _issue(judged.filter("not coalesce(_pk, false)"), "no_primary_key", F.col("table_name")),
-        _issue(_repeats(cols, [*TABLE_KEY, "column_name"]), "duplicate_column", F.col("column_name")),
-        _issue(cols.filter("type_raw = ''"), "missing_type", F.col("column_name")),
-        _issue(targets, "invalid_fk_table", F.concat_ws(".", "fk_name", "ref_table")),
-        _issue(key_columns.filter("_found is null"), "invalid_fk_column", F.concat_ws(".", "fk_name", "column_name")),
-        _issue(_repeats(index_names, [*TABLE_KEY, "index_name"]), "duplicate_index", F.col("index_name")),
-        _issue(idx_columns.filter("_found is null"), "invalid_index_column", F.concat_ws(".", "index_name", "column_name")),
-    ]
-    return reduce(DataFrame.unionByName, issues)
+    missing = targets.select(
+        *TABLE_KEY, F.lit("invalid_fk_table").alias("code"), F.lit("error").alias("severity"),
+        F.concat_ws(".", "fk_name", "ref_table").alias("subject"),
+    )
+    return own.unionByName(missing)
 
 
 def lint_duplicate_pk(declarations: DataFrame) -> DataFrame:
