@@ -5,7 +5,9 @@ UNIQUE key with a null never collides, and a foreign key with any null column
 is not looked up.
 
 Row rules of a table are fused into one aggregate, so any number of them costs
-one scan.  Key rules (unique, primary key, foreign key) first collapse equal
+one scan.  A row rule's ``violation`` is true on a broken row and false or null
+on a good one; it is not wrapped, so that as a filter it reaches the scan.  Key
+rules (unique, primary key, foreign key) first collapse equal
 keys with a map-side partial aggregate; a key held by a third of all rows is
 therefore a single record per task by the time it is shuffled.
 """
@@ -43,7 +45,7 @@ class Check:
         return f"check({self.label})"
 
     def violation(self) -> Column:
-        return ~F.coalesce(F.expr(self.predicate), F.lit(True))
+        return ~F.expr(self.predicate)
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ class MaxLength:
         return f"varchar({self.column},{self.length})"
 
     def violation(self) -> Column:
-        return F.coalesce(F.char_length(self.column) > self.length, F.lit(False))
+        return F.char_length(self.column) > self.length
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ class OneOf:
         return f"enum({self.column})"
 
     def violation(self) -> Column:
-        return F.coalesce(~F.col(self.column).isin(*self.values), F.lit(False))
+        return ~F.col(self.column).isin(*self.values)
 
 
 @dataclass(frozen=True)

@@ -29,9 +29,11 @@ class Policy:
 
 
 def _combine(policies: Sequence[Policy], clause) -> Column:
+    # AND and OR alone: the whole is true exactly when it is true with null read
+    # as false, so no clause needs wrapping and the filter reaches the scan
     def holds(p: Policy) -> Column:
         text = clause(p)
-        return F.lit(True) if text is None else F.coalesce(F.expr(text), F.lit(False))
+        return F.lit(True) if text is None else F.expr(text)
 
     permissive = [holds(p) for p in policies if p.permissive]
     restrictive = [holds(p) for p in policies if not p.permissive]
@@ -41,14 +43,17 @@ def _combine(policies: Sequence[Policy], clause) -> Column:
 
 
 def visible(policies: Sequence[Policy], role: str, command: str = "SELECT", rls: bool = True) -> Column:
-    """True on rows the role may read, update or delete."""
+    """True on rows the role may read, update or delete; false or null on hidden ones."""
     if not rls:
         return F.lit(True)
     return _combine([p for p in policies if p.covers(role, command)], lambda p: p.using)
 
 
 def writable(policies: Sequence[Policy], role: str, command: str = "INSERT", rls: bool = True) -> Column:
-    """True on rows the role may write; a policy without a check falls back to its filter."""
+    """True on rows the role may write; a policy without a check falls back to its filter.
+
+    False or null means rejected.
+    """
     if not rls:
         return F.lit(True)
     return _combine(
@@ -66,7 +71,7 @@ def rls_check_violations(
     df: DataFrame, policies: Sequence[Policy], role: str, command: str = "INSERT", rls: bool = True
 ) -> DataFrame:
     """Incoming rows the role may not write."""
-    return df.filter(~writable(policies, role, command, rls))
+    return df.filter(~F.coalesce(writable(policies, role, command, rls), F.lit(False)))
 
 
 def rls_coverage(df: DataFrame, policies: Sequence[Policy], roles: Sequence[str]) -> DataFrame:

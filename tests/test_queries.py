@@ -47,10 +47,18 @@ def test_probe_reads_only_its_column(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    (scan,) = _scan(QUERIES["rls_check_violations"](spark, FOLDER))
-    assert "PushedFilters: [Or(" in scan or "PushedFilters: [Not(" in scan
-    (scan,) = _scan(QUERIES["check_not_null"](spark, FOLDER))
-    assert "c_mktsegment" in scan
+    (scan,) = _scan(QUERIES["rls_select"](spark, FOLDER))
+    assert "PushedFilters: [IsNotNull(o_orderstatus)" in scan and "Or(" in scan
+    from moraine.operators import checks as ck
+    from moraine.workload.data import Data
+
+    d = Data(spark, FOLDER)
+    (scan,) = _scan(ck.check_expression(d.lineitem, "l_quantity > 0"))
+    assert "LessThanOrEqual(l_quantity,0.0)" in scan
+    (scan,) = _scan(ck.check_not_null(d.lineitem, "l_shipdate"))
+    assert "PushedFilters: [IsNull(l_shipdate)]" in scan
+    (scan,) = _scan(d.orders.filter(ck.OneOf("o_orderstatus", ("F", "O")).violation()))
+    assert "Not(In(o_orderstatus" in scan
 
 
 def test_changes_collapse_into_one_projection(spark):
