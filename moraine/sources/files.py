@@ -22,11 +22,6 @@ def is_dir(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.exists(p)
-
-
 def read_text(spark: SparkSession, path: str) -> str | None:
     """Content of one small file, None if there is none."""
     p, fs = _path(spark, path)
@@ -58,3 +53,9 @@ def replace_text(spark: SparkSession, path: str, content: str) -> None:
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temporary, target, options)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a file or a folder with all it holds; false when there is none."""
+    p, fs = _path(spark, path)
+    return fs.delete(p, True)

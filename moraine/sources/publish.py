@@ -11,11 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from moraine.operators.checks import KeyRule, RowRule, check_summary
 from moraine.operators.evolve import recreate_copy
-from moraine.sources.files import read_text, replace_text
+from moraine.sources.files import delete, read_text, replace_text
 
 POINTER = "_CURRENT"
 
@@ -32,11 +32,13 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return read_text(spark, f"{root.rstrip('/')}/{POINTER}")
 
 
-def read_published(spark: SparkSession, root: str) -> DataFrame:
+def read_published(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+    """The current version; a table partitioned into folders is best read with its schema."""
     version = current_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"nothing is published at {root}")
-    return spark.read.parquet(f"{root.rstrip('/')}/{version}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{root.rstrip('/')}/{version}")
 
 
 def publish_table(
@@ -50,7 +52,8 @@ def publish_table(
     """Stage, check and publish; returns the new version.
 
     With ``expected_version`` the switch is refused when another version has
-    been published in the meantime.
+    been published in the meantime.  The test and the switch are two steps, so
+    a table has one publisher at a time; readers need no such care.
     """
     spark, root = df.sparkSession, root.rstrip("/")
     version = f"v-{uuid.uuid4().hex}"
@@ -59,7 +62,7 @@ def publish_table(
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{version}")
     if rules:
-        staged = spark.read.parquet(f"{root}/{version}")
+        staged = spark.read.schema(df.schema).parquet(f"{root}/{version}")
         # one row per declared rule
         broken = [
             f"{r.rule}: {r.violations} of {r.rows} rows"
@@ -82,3 +85,14 @@ def recreate_table(
 ) -> str:
     """Rebuild a table under a new definition and its rules, as one published step."""
     return publish_table(recreate_copy(df, columns), root, rules, parents)
+
+
+def unpublish_table(spark: SparkSession, root: str) -> bool:
+    """Drop a published table: first the pointer, so no reader finds half of it, then the versions.
+
+    Call it once ``plans.phases.drop_table`` has found no references to the table
+    and its archive complete.
+    """
+    known = delete(spark, f"{root.rstrip('/')}/{POINTER}")
+    delete(spark, root)
+    return known

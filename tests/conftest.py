@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,7 @@ from moraine.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
+        "tests", "local[8]", spark__ui__enabled="false", spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="spark-"), spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

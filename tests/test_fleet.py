@@ -293,6 +293,16 @@ def test_table_set_needs_tables(spark, tmp_path):
     assert list(tables) == sorted(tables) and spark.table("region").count() == 5
 
 
+def test_live_catalog_becomes_inventory(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    spark.sql("CREATE TABLE shop.items (id BIGINT, label STRING) USING parquet")
+    try:
+        got = [(r.table_name, r.ordinal, r.column_name, r.type_raw) for r in iv.catalog_columns(spark, "shop", "e").orderBy("ordinal").collect()]
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")
+    assert got == [("items", 1, "id", "bigint"), ("items", 2, "label", "string")]
+
+
 def test_policies_combine(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, owner string")
     own = po.Policy("own", "SELECT", True, ("clerk",), "owner = 'a'")

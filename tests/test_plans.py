@@ -9,7 +9,9 @@ from moraine.plans import changes as ch
 from moraine.plans import phases as ph
 from moraine.plans import rollback as rb
 from moraine.sources.files import list_names
-from moraine.sources.publish import PublishError, StaleError, current_version, publish_table, read_published, recreate_table
+from moraine.sources.publish import (
+    PublishError, StaleError, current_version, publish_table, read_published, recreate_table, unpublish_table,
+)
 
 
 @pytest.fixture()
@@ -170,6 +172,15 @@ def test_publish_moves_only_when_checks_hold(users, spark, scratch):
     with pytest.raises(StaleError):
         publish_table(users, scratch, expected_version=first)
     assert "_CURRENT.new" not in list_names(spark, scratch)
+    assert unpublish_table(spark, scratch) and not unpublish_table(spark, scratch)
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, scratch)
+
+
+def test_partitioned_publish_keeps_types(users, spark, scratch):
+    coded = users.withColumn("code", F.lit("007"))
+    publish_table(coded, scratch, [ck.OneOf("code", ("007",))], partition_by=["code"])
+    assert read_published(spark, scratch, coded.schema).filter("code = '007'").count() == 3
 
 
 def test_recreate_checks_the_new_rule(users, spark, scratch):

@@ -61,6 +61,20 @@ def test_filters_reach_the_scan(spark):
     assert "Not(In(o_orderstatus" in scan
 
 
+@pytest.mark.parametrize("name", ["fk_orphans", "fk_on_delete_set_null", "check_enum_membership"])
+def test_rows_stay_in_place_when_few_keys_are_exceptional(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_environments_meet_in_one_exchange(spark):
+    from moraine.operators.drift import schema_hash
+    from moraine.workload.data import Data
+
+    plan = schema_hash(Data(spark, FOLDER).cur)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_changes_collapse_into_one_projection(spark):
     plan = QUERIES["apply_changes"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") == 1 and plan.count("Relation") == 1
