@@ -26,7 +26,7 @@ def add_column_default(d: Data):
 
 
 @query("default_expression", f"""
-SELECT c_custkey, 100 AS n, 0.5::DOUBLE AS f, 'it''s' AS s, true AS b, TIMESTAMP '{NOW}' AS at, DATE '2024-06-01' AS day,
+SELECT c_custkey, 100 AS n, 0.5::DOUBLE AS f, 'it''s' AS s, true AS b, TIMESTAMP '{NOW}' AS at, '2024-06-01' AS day,
   'abc' AS low, md5('x') AS dig, 7 AS casted FROM customer""")
 def default_expression(d: Data):
     df = d.customer.select("c_custkey")
@@ -36,7 +36,7 @@ def default_expression(d: Data):
         ("low", "string", "lower('ABC')"), ("dig", "string", "md5(lower('X'))"), ("casted", "int", "'7'::integer"),
     ):
         df = ev.add_column(df, name, kind, text, d.now)
-    return df
+    return df.withColumn("day", F.col("day").cast("string"))
 
 
 @query("drop_column", "SELECT * EXCLUDE (l_tax) FROM lineitem")
@@ -69,7 +69,7 @@ def set_not_null(d: Data):
 
 
 @query("append_with_defaults", using("gone_customers") + """
-SELECT c_custkey, c_nationkey, c_mktsegment FROM customer
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer
 UNION ALL SELECT c_custkey + 1000000, NULL, 'GENERAL' FROM gone_customers""")
 def append_with_defaults(d: Data):
     table = d.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -77,7 +77,8 @@ def append_with_defaults(d: Data):
     incoming = d.gone_customers.select(
         (F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(None).cast("int").alias("c_nationkey")
     )
-    return ev.append_with_defaults(table, incoming, {"c_mktsegment": "'GENERAL'", "c_nationkey": "0"})
+    appended = ev.append_with_defaults(table, incoming, {"c_mktsegment": "'GENERAL'", "c_nationkey": "0"})
+    return appended.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
 
 
 @query("recreate_copy", """
@@ -119,10 +120,11 @@ _ORDER_CHANGES = [
 
 
 @query("apply_changes", """
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice, o_orderdate,
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS o_totalprice, o_orderdate,
   CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority_no, 'web' AS channel FROM orders""")
 def apply_changes(d: Data):
-    return ch.apply_changes(ch.Table(d.orders), _ORDER_CHANGES).df
+    changed = ch.apply_changes(ch.Table(d.orders), _ORDER_CHANGES).df
+    return changed.withColumn("o_totalprice", F.col("o_totalprice").cast("string"))  # decimals compare as text
 
 
 _REVERSIBLE = [

@@ -70,8 +70,9 @@ def identity_high_water_mark(d: Data):
 
 
 @query("sample_compare", using("ord_text") + """
-SELECT o_orderkey, cust_text AS old_value, try_cast(cust_text AS BIGINT) AS new_value,
+SELECT o_orderkey, cust_text AS old_value, CAST(try_cast(cust_text AS BIGINT) AS VARCHAR) AS new_value,
        CAST(try_cast(cust_text AS BIGINT) AS VARCHAR) AS back_value
 FROM ord_text ORDER BY o_orderkey LIMIT 20""")
 def sample_compare(d: Data):
-    return pr.sample_compare(d.ord_text, "o_orderkey", "cust_text", "bigint", 20)
+    sample = pr.sample_compare(d.ord_text, "o_orderkey", "cust_text", "bigint", 20)
+    return sample.withColumn("new_value", F.col("new_value").cast("string"))

@@ -106,17 +106,17 @@ def smallest_fit(d: Data):
 
 
 @query("timestamp_to_date", """
-SELECT event_id, CAST(ts AS DATE) AS ts, ts <> date_trunc('day', ts) AS ts_lost_time FROM events""")
+SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS ts, ts <> date_trunc('day', ts) AS ts_lost_time FROM events""")
 def timestamp_to_date(d: Data):
-    return pr.timestamp_to_date(d.events, "ts").select("event_id", "ts", "ts_lost_time")
+    return pr.timestamp_to_date(d.events, "ts").select("event_id", F.col("ts").cast("string").alias("ts"), "ts_lost_time")
 
 
 @query("decimal_rescale", """
-SELECT l_orderkey, l_partkey, l_linenumber, round(exact, 1)::DECIMAL(12,1) AS price, exact <> round(exact, 1) AS price_changed
+SELECT l_orderkey, l_partkey, l_linenumber, CAST(round(exact, 1)::DECIMAL(12,1) AS VARCHAR) AS price, exact <> round(exact, 1) AS price_changed
 FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(20,2)) AS exact FROM lineitem)""")
 def decimal_rescale(d: Data):
     lines = d.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(20,2)").alias("price"))
-    return pr.decimal_rescale(lines, "price", 12, 1)
+    return pr.decimal_rescale(lines, "price", 12, 1).withColumn("price", F.col("price").cast("string"))
 
 
 @query("text_to_int", using("ord_text") + """
