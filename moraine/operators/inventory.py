@@ -172,9 +172,10 @@ def inventory_order(cols: DataFrame) -> DataFrame:
 
 
 def catalog_columns(spark, database: str, env_id: str) -> DataFrame:
-    """Inventory rows of a live Spark database, one environment; driver-side catalog calls only."""
+    """Inventory rows of the base tables of a live Spark database, one environment; catalog calls only."""
     rows = []
-    for table in sorted(spark.catalog.listTables(database), key=lambda t: t.name):
+    listed = [t for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW"]
+    for table in sorted(listed, key=lambda t: t.name):
         for i, c in enumerate(spark.catalog.listColumns(f"{database}.{table.name}"), start=1):
             rows.append((env_id, database, table.name, i, c.name, c.dataType, c.nullable, None, False))
     return spark.createDataFrame(
