@@ -4,9 +4,10 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from moraine import workload
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = workload.queries(), workload.oracles()
 STARTS_JOBS = {n for n in QUERIES if n.startswith("stream_")}
 
 
