@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import exact_dedup, mixing, packing
+from moraine.llm import exact_dedup, mixing, packing, scoring
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +29,17 @@ FROM d JOIN g USING (body)
 """
 
 
+def op3_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op5_pack)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_score_texts, op5_pack)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
 
 
