@@ -35,7 +35,7 @@ def _digit(body: Column, start: int, width: int) -> Column:
     return F.substring(body, start + 1, width)
 
 
-def copy_groups(rows: DataFrame, first: int = 64, growth: int = 8) -> DataFrame:
+def copy_groups(rows: DataFrame, first: int = 64, growth: int = 64) -> DataFrame:
     """row, keep_row, keep_id, group_size for every row that has a copy.
 
     ``rows`` holds row, id and body (binary) in files, so that it can be read
@@ -57,7 +57,8 @@ def copy_groups(rows: DataFrame, first: int = 64, growth: int = 8) -> DataFrame:
         longer = split.filter(~F.col("ended")).select("grp", "digit", F.col("head.row").alias("next"))
         if start == 0:  # only the numbers meet first; most texts then stay where they are
             still = staged(digits.join(longer, ["grp", "digit"]).select("row", F.col("next").alias("grp")), "radix-open")
-            active = rows.join(still, "row").select("row", "id", "grp", size.alias("size"), "body")
+            # texts move once, by the same plan at every size
+            active = rows.join(still.hint("merge"), "row").select("row", "id", "grp", size.alias("size"), "body")
         else:
             active = active.withColumn("digit", _digit(F.col("body"), start, width)) \
                 .join(longer, ["grp", "digit"]).select("row", "id", F.col("next").alias("grp"), "size", "body")
