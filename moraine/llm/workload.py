@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import exact_dedup, jaccard, mixing, packing, scoring
+from moraine.llm import exact_dedup, fingerprints, jaccard, mixing, packing, scoring, toxicity
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,11 +39,20 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_score_texts, op5_pack, op8_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_score_texts, op5_pack, op6_toxic_spans,
+    op7_fingerprints, op8_jaccard_join)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
 
 
