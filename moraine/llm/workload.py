@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import exact_dedup, fingerprints, jaccard, mixing, packing, scoring, toxicity
+from moraine.llm import exact_dedup, fingerprints, jaccard, mixing, packing, scoring, toxicity, url_rules
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_score_texts, op5_pack, op6_toxic_spans,
-    op7_fingerprints, op8_jaccard_join)}
+    op7_fingerprints, op8_jaccard_join, op9_url_rules)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
 
 
