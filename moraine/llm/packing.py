@@ -21,34 +21,56 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from moraine.session import staged
 
-CACHE = 200_000  # distinct words a task remembers
+CACHE = 400_000  # distinct words of a generation, of which a Python worker remembers two
+MARKS = b".,;:!?|"
+_WORDS: dict[str, "WordIds"] = {}
 STREAM = "part int, id {key}, local_start long, n long, ids binary"
 PIECES = "id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Bytes of the token ids of a white-space-free word; forgets all when it has grown too large.
+    """Bytes of the token ids of a white-space-free word, lower case.
 
-    The vocabulary drops white space and never joins across it, so a text's ids
-    are its words' ids one after another.
+    The vocabulary lower-cases, drops white space and never joins across it, nor
+    across the end of a run of letters, so a text's ids are its words' ids one
+    after another, and a word's are those of its letters and of the marks behind
+    them.  Two generations of words are held: when the young one is full it
+    becomes the old one, and the old one goes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            core = word.rstrip(MARKS)
+            if core and len(core) < len(word) and core.isalpha():
+                out = self[core] + self[word[len(core):]]
+            else:
+                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+                out = np.array(ids, "<u4").tobytes()
         if len(word) < 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
             self[word] = out
         return out
 
     def encode(self, text: bytes | None, end: bytes) -> bytes:
-        return b"".join([*map(self.__getitem__, text.split()), end]) if text else end
+        if not text:
+            return end
+        words = (text if b"<|" in text else text.lower()).split()  # special tokens are told apart by case
+        return b"".join([*map(self.__getitem__, words), end])
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's words: they outlive a task where Spark keeps its Python workers."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +79,7 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, tex
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, at = WordIds(vocabulary), TaskContext.get().partitionId(), 0
+        words, part, at = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         for batch in source:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
