@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import exact_dedup, fingerprints, jaccard, mixing, packing, pii, scoring, toxicity, url_rules
+from moraine.llm import exact_dedup, fingerprints, jaccard, line_dedup, mixing, packing, pii, scoring, toxicity, url_rules
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op3_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,8 +63,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_score_texts, op5_pack, op6_toxic_spans,
-    op7_fingerprints, op8_jaccard_join, op9_url_rules, op10_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_mix_sources, op2_exact_dedup, op3_score_texts, op4_line_dedup, op5_pack, op6_toxic_spans, op7_fingerprints,
+    op8_jaccard_join, op9_url_rules, op10_personal_data)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
 
 

@@ -34,3 +34,40 @@ def jaccard_components(rows, k=4, percent=85):
         if key is not None:
             least[r] = min(least.get(r, key), key)
     return [(rows[i][0], len(s), least.get(find(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def dropped_lines(rows, least=32, edits=2):
+    """{(row index): numbers of dropped lines} of (id, text) rows, each pair of near lengths compared in full."""
+    lines = [(key is None, key, r, n, line.strip(" \t\v\f\r")) for r, (key, text) in enumerate(rows)
+             for n, line in enumerate((text or "").split("\n"))]
+    lines = sorted((x for x in lines if len(x[4]) >= least), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            y = lines[j]
+            if abs(len(x[4]) - len(y[4])) <= edits and find(i) != find(j) and (
+                    x[4] == y[4] or edit_distance(x[4], y[4]) <= edits):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    out = {r: [] for r in range(len(rows))}
+    for i, x in enumerate(lines):
+        if find(i) != i:
+            out[x[2]].append(x[3])
+    return {r: sorted(v) for r, v in out.items()}
