@@ -71,3 +71,73 @@ def dropped_lines(rows, least=32, edits=2):
         if find(i) != i:
             out[x[2]].append(x[3])
     return {r: sorted(v) for r, v in out.items()}
+
+
+def ctw_log2(train, texts, depth):
+    """log2 probability of each text (bytes) under the frozen context-tree model, node by node."""
+    import math
+    from functools import cache
+
+    pad = b"\xff"
+    counts = {}
+    for t in train:
+        line = pad * depth + t + pad
+        for i in range(depth, len(line)):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    node = (line[i - d:i], (1 << bit) | (line[i] >> (8 - bit)))
+                    counts.setdefault(node, [0, 0])[line[i] >> (7 - bit) & 1] += 1
+    below = {}
+    for s, n in counts:
+        if s:
+            below.setdefault((s[1:], n), []).append((s, n))
+
+    def own(node):
+        a, b = counts.get(node, (0, 0))
+        return math.lgamma(a + .5) + math.lgamma(b + .5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def inner(node):
+        return sum(weighted(c) for c in below.get(node, ()))
+
+    @cache
+    def weighted(node):
+        if len(node[0]) == depth:
+            return own(node)
+        x, y = own(node), inner(node)
+        return max(x, y) + math.log1p(math.exp(-abs(x - y))) - math.log(2)
+
+    @cache
+    def bit_probability(context, prefix, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            node = (context[depth - d:], prefix)
+            c = counts.get(node, (0, 0))
+            here = (c[bit] + .5) / (sum(c) + 1)
+            if p is None:
+                p = here
+            else:
+                beta = math.exp(min(700, own(node) - inner(node)))
+                p = (beta * here + p) / (beta + 1)
+        return p
+
+    out = []
+    for t in texts:
+        line, total = pad * depth + t + pad, 0.0
+        for i in range(depth, len(line)):
+            for bit in range(8):
+                total += math.log2(bit_probability(line[i - depth:i], (1 << bit) | (line[i] >> (8 - bit)), line[i] >> (7 - bit) & 1))
+        out.append(total)
+    return out
+
+
+def targets(sizes, weights, cap=3.0):
+    """{source: target}: the excess over the cap shared again until none is above."""
+    total, done = float(sum(sizes.values())), {}
+    while True:
+        left = {s for s in sizes if s not in done}
+        rest = total - sum(done.values())
+        whole = sum(weights[s] for s in left)
+        over = {s for s in left if rest * weights[s] / whole > cap * sizes[s]}
+        if not over:
+            return done | {s: rest * weights[s] / whole for s in left}
+        done |= {s: cap * sizes[s] for s in over}
