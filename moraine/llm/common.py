@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from moraine.session import staged
+from moraine.session import scratch_dir
 
 #: White space of the contracts: blank and the control characters from tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
@@ -24,13 +24,16 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
+def numbered(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder with ``row``, a number of their own.
 
     Row numbers are fixed by the write, so a task that is run again, or a later
     plan that reads fewer columns, sees the same ones.
     """
-    return staged(df.withColumn("row", F.monotonically_increasing_id()), label)
+    path = scratch_dir(df.sparkSession, label)
+    rows = df.withColumn("row", F.monotonically_increasing_id())
+    rows.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def tokens(text: bytes | None) -> list[bytes]:

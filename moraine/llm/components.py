@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
                  "links")
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum("b"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, 7, a))")).first()
         if mark == before:
             break
         before = mark
