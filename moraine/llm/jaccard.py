@@ -320,8 +320,8 @@ class Join:
         self.groups = self.classes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self.heads = staged(self.members.groupBy("gid").agg(F.min("cid").alias("head")), "jaccard-heads")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the class pairs whose whole sets link."""
+    def verified(self, pairs: DataFrame, many: bool = True) -> DataFrame:
+        """a, b of the class pairs whose whole sets link; with ``many``, texts move by the same plan at every size."""
         k, rule = self.k, self.rule
         pairs = staged(pairs, "jaccard-pairs")
         wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
@@ -335,6 +335,7 @@ class Join:
                     keys, zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True), strict=True)]
                 yield batch.select(["cid", "text"]).filter(pa.array(fit, pa.bool_()))
 
+        wanted = wanted.hint("merge") if many else wanted
         bodies = staged(self.texts.join(wanted, _same("id", "rep")).select("cid", "text", "s1", "s2").mapInArrow(
             own, "cid long, text binary"), "jaccard-bodies")
 
@@ -383,7 +384,7 @@ class Join:
             .filter("a < b AND ca <> cb").select("a", "b")
         tested = central.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         again = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return first.unionByName(self.verified(again.join(tested, ["a", "b"], "left_anti")))
+        return first.unionByName(self.verified(again.join(tested, ["a", "b"], "left_anti"), many=False))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id",
