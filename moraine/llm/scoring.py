@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moraine.llm.common import executor_slots, fold, tokens
 from moraine.session import staged
 
-BLOCK = 16 << 20  # bytes of text in a block
-PIECE = 3 << 20  # bytes of a block that are laid out as numbers at a time
+BLOCK = 12 << 20  # bytes of text in a block
+PIECE = 1 << 20  # bytes of a block that are laid out as numbers at a time
 END = 0xFF
 STRINGS = 50_000  # distinct strings in a group of context trees, about
 LN2 = math.log(2.0)
@@ -141,16 +142,16 @@ def laid_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[real], owner[:len(codes)][real]
 
 
-def pieces(sizes: np.ndarray) -> Iterator[slice]:
-    """Rows in stretches of about ``PIECE`` bytes."""
+def pieces(texts: pa.ChunkedArray) -> Iterator[tuple[slice, list[bytes]]]:
+    """Texts in stretches of about ``PIECE`` bytes, so that few of them are Python objects at a time."""
     lo, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         held += n
         if held >= PIECE:
-            yield slice(lo, i + 1)
+            yield slice(lo, i + 1), texts.slice(lo, i + 1 - lo).to_pylist()
             lo, held = i + 1, 0
-    if lo < len(sizes):
-        yield slice(lo, len(sizes))
+    if lo < len(texts):
+        yield slice(lo, len(texts)), texts.slice(lo).to_pylist()
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +161,12 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def block_symbols(texts: list[bytes], held: np.ndarray, depth: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+def block_symbols(texts: pa.ChunkedArray, held: np.ndarray, depth: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Words and strings of a block with their counts in its training texts (0 where they are only held out)."""
     words: Counter = Counter()
     codes, counts = [], []
-    for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
-        some, out = texts[part], held[part]
+    for part, some in pieces(texts):
+        out = held[part]
         words.update(tokens(b" ".join([t for t, h in zip(some, out.tolist(), strict=True) if not h])))
         for w in set(tokens(b" ".join([t for t, h in zip(some, out.tolist(), strict=True) if h]))):
             words.setdefault(w, 0)
@@ -241,7 +242,7 @@ def score_texts(docs: DataFrame, depth: int = 4, id_col: str = "doc_id", text_co
 
     def count(group: pa.Table) -> pa.Table:
         held = group.column("held").to_numpy(zero_copy_only=False).astype(np.uint64)
-        words, codes, n = block_symbols(group.column("text").to_pylist(), held, depth)
+        words, codes, n = block_symbols(group.column("text"), held, depth)
         total = len(words) + len(codes)
         block = pa.array(np.full(total, group.column("block")[0].as_py()))
         return pa.table({
@@ -288,7 +289,6 @@ def score_texts(docs: DataFrame, depth: int = 4, id_col: str = "doc_id", text_co
             "block", none.cast("binary").alias("word"), "code", none.cast("long").alias("n"), "value"))
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
-        texts = group.column("text").to_pylist()
         is_word = known.column("word").is_valid()
         of_words = known.filter(is_word)
         of_codes = known.filter(known.column("code").is_valid())
@@ -298,8 +298,7 @@ def score_texts(docs: DataFrame, depth: int = 4, id_col: str = "doc_id", text_co
         found = Places(of_codes.column("code").to_numpy(zero_copy_only=False).astype(np.uint64))
         logs = of_codes.column("value").to_numpy(zero_copy_only=False).astype(float)
         out: dict[str, list[np.ndarray]] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
-        for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
-            some = texts[part]
+        for _, some in pieces(group.column("text")):
             lists = [tokens(t) for t in some]
             n = np.fromiter(map(len, lists), np.int64, len(some))
             at = np.fromiter((place[w] for ws in lists for w in ws), np.int64, int(n.sum()))
