@@ -11,6 +11,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,7 @@ from moraine.session import staged
 
 CACHE = 400_000  # distinct words of a generation, of which a Python worker remembers two
 MARKS = b".,;:!?|"
+LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]{1,60}")  # composed letters, which no normal form changes
 _WORDS: dict[str, "WordIds"] = {}
 STREAM = "part int, id {key}, local_start long, n long, ids binary"
 PIECES = "id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,6 +44,30 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the new words that are letters alone many at a time: each ends at a token that ends a word."""
+        cores = {w.rstrip(MARKS) for w in words if w not in self}
+        new = [u for u in (c.decode("utf-8", "replace") for c in cores if c not in self and c not in self.old)
+               if LETTERS.fullmatch(u)]
+        for lo in range(0, len(new), 1000):
+            some = new[lo:lo + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                data, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
+                for u, a, b in zip(some, starts, ends.tolist(), strict=True):
+                    self.keep(u.encode(), data[4 * a:4 * b])
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        if len(word) < 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.old.get(word)
@@ -52,18 +78,15 @@ class WordIds(dict):
             else:
                 ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
                 out = np.array(ids, "<u4").tobytes()
-        if len(word) < 64:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[word] = out
+        self.keep(word, out)
         return out
 
-    def encode(self, text: bytes | None, end: bytes) -> bytes:
-        if not text:
-            return end
-        words = (text if b"<|" in text else text.lower()).split()  # special tokens are told apart by case
-        return b"".join([*map(self.__getitem__, words), end])
+    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """The ids of each text, then ``end``."""
+        # special tokens are told apart by case
+        lists = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        self.learn(set().union(*lists))
+        return [b"".join([*map(self.__getitem__, words), end]) for words in lists]
 
 
 def word_ids(path: str) -> WordIds:
@@ -83,7 +106,7 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, tex
         for batch in source:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                ids = [words.encode(t, end) for t in piece.column("text").to_pylist()]
+                ids = words.encode(piece.column("text").to_pylist(), end)
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

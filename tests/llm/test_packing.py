@@ -22,10 +22,21 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer):
     rnd, words = random.Random(5), packing.WordIds(VOCABULARY)
     bits = ["a", "Don't", "'s", "été", "É", "İ", "ß", "é", "́", "x1", "42", ".", ",", "|", "...", " ", "\n", "\t",
             " ", " ", "\x1c", "\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "日本", "😀", "Σ", "ς", "_"]
-    for _ in range(4000):
-        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))
-        got = np.frombuffer(words.encode(text.encode(), b""), "<u4").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(400):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(10)]
+        for text, ids in zip(texts, words.encode([t.encode() for t in texts], b""), strict=True):
+            got = np.frombuffer(ids, "<u4").tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_real_texts_and_a_small_cache(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 500)
+    words = packing.WordIds(VOCABULARY)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for lo in range(0, len(texts), 20):
+        some = texts[lo:lo + 20]
+        for text, ids in zip(some, words.encode([t.encode() for t in some], b""), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("total", [0, 1, 7, 8, 9, 40, 47])
