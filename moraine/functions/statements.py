@@ -28,10 +28,8 @@ IMPACT_NAMES = ("NONE", "LOW", "MEDIUM", "HIGH")
 
 _IDENT = "([a-zA-Z_][a-zA-Z0-9_]*)"
 # the word COLUMN is optional; DROP NOT NULL and the like drop no column
-_DROPS_COLUMN = (
-    r"(?is)^\s*ALTER\s+TABLE\b.*\bDROP\s+"
-    r"(?:COLUMN\b|(?!CONSTRAINT\b|NOT\b|DEFAULT\b|IDENTITY\b|EXPRESSION\b)\w)"
-)
+_DROP = r"(?is)\bDROP\s+(?:COLUMN\b|(?!CONSTRAINT\b|NOT\b|DEFAULT\b|IDENTITY\b|EXPRESSION\b)\w)"
+_DROPS_COLUMN = r"(?is)^\s*ALTER\s+TABLE\b.*" + _DROP.removeprefix("(?is)")
 
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -156,10 +154,13 @@ def should_rewrite(level: Column, duration_ms: Column | None = None) -> Column:
 
 
 def blank_literals(sql: Column) -> Column:
-    """Trimmed text with comments and quoted strings blanked, for keyword tests."""
-    text = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
-    text = F.regexp_replace(text, r"--[^\n]*", " ")
-    return F.trim(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), F.lit(_SPACE))
+    """Trimmed text with comments and quoted strings blanked, for keyword tests.
+
+    One pass decides what each mark opens, so an apostrophe in a comment opens no
+    string and two dashes in a string no comment.
+    """
+    text = F.regexp_replace(sql, r"('[^']*(?:''[^']*)*')|--[^\n]*|/\*[\s\S]*?\*/", "$1 ")
+    return F.trim(F.regexp_replace(text, r"'[^']*(?:''[^']*)*'", "''"), F.lit(_SPACE))
 
 
 def _once(value: Column, body) -> Column:
@@ -179,6 +180,14 @@ def dangerous_code(sql: Column) -> Column:
     ))
 
 
+def dangerous_codes(sql: Column) -> Column:
+    """All codes of a statement: one for each column that an ALTER TABLE drops, else the one there is."""
+    code = dangerous_code(sql)
+    drops = F.regexp_count(blank_literals(sql), F.lit(_DROP))
+    times = F.when(code == "dangerous_drop_column", F.greatest(drops, F.lit(1))).otherwise(F.lit(1))
+    return F.when(code.isNotNull(), F.array_repeat(code, times))
+
+
 def non_declarative_code(sql: Column) -> Column:
     """Code of a statement that does not belong in a declared schema, or null."""
     return _once(blank_literals(sql), lambda text: (

@@ -44,6 +44,14 @@ WIDENING = {
     "TIMESTAMP": ("TIMESTAMPTZ",),
 }
 
+# Names that diffs use, as the widening table spells them.
+SHORT_NAMES = {
+    "TIMESTAMP WITHOUT TIME ZONE": "TIMESTAMP",
+    "TIMESTAMP WITH TIME ZONE": "TIMESTAMPTZ",
+    "CHARACTER VARYING": "VARCHAR",
+    "CHARACTER": "CHAR",
+}
+
 # The type names the lint accepts (standard names, their internal
 # spellings, and the remaining types of the supported matrix).
 KNOWN_TYPES = tuple(
@@ -120,18 +128,21 @@ def logical_type(raw: Column) -> Column:
 
 
 def normalize_default(raw: Column) -> Column:
-    """Cut the last ``::type`` when the quotes before it balance.
-
-    The cut is textual, so it also happens inside a closing parenthesis.
-    """
+    """Cut the last ``::type`` when it stands outside quotes and parentheses."""
     head = F.regexp_extract(raw, r"(?s)^(.+)::", 1)
-    quotes = F.length(head) - F.length(F.replace(head, F.lit("'"), F.lit("")))
-    return F.when((head != "") & (quotes % 2 == 0), head).otherwise(raw)
+
+    def number(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    bare = F.regexp_replace(head, r"'[^']*(?:''[^']*)*'", "")
+    closed = (number(head, "'") % 2 == 0) & (number(bare, "(") == number(bare, ")"))
+    return F.when((head != "") & closed, head).otherwise(raw)
 
 
 def conversion_name(raw: Column) -> Column:
-    """Type name as the widening table spells it: no size, upper case, letters only."""
-    return F.upper(F.regexp_replace(F.regexp_extract(raw, r"^([^(]*)", 1), r"[^A-Za-z _]", ""))
+    """Type name as the widening table spells it: no size, upper case, letters only, the short of two names."""
+    name = F.trim(F.upper(F.regexp_replace(F.regexp_extract(raw, r"^([^(]*)", 1), r"[^A-Za-z _]", "")))
+    return F.coalesce(_lookup(SHORT_NAMES, name), name)
 
 
 def is_widening(old: Column, new: Column) -> Column:

@@ -75,7 +75,8 @@ def step_lock_impact(log: DataFrame) -> DataFrame:
 
 
 def flag_dangerous_statements(log: DataFrame) -> DataFrame:
-    return log.withColumn("code", st.dangerous_code(F.col("sql_text"))).filter("code is not null")
+    """One row per finding: a statement that drops two columns has two."""
+    return log.select("*", F.explode(st.dangerous_codes(F.col("sql_text"))).alias("code"))
 
 
 def flag_non_declarative(log: DataFrame) -> DataFrame:

@@ -162,10 +162,21 @@ def check_one_of(df: DataFrame, column: str, values: Sequence | DataFrame) -> Da
     return df.filter(OneOf(column, tuple(values)).violation())
 
 
+def repeated_digests(df: DataFrame, columns: Sequence[str], name: str = "_digest") -> DataFrame:
+    """Hashes of keys that occur more than once, staged; wide keys and rows stay where they are."""
+    digest = F.xxhash64(*columns).alias(name)
+    return staged(df.select(digest).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name), "repeated")
+
+
 def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Colliding keys: the key, its row count ``n`` and the ``surplus`` of n - 1 rows."""
-    keyed = df.filter(~any_null(columns))
-    return key_counts(keyed, columns).filter("n > 1").withColumn("surplus", F.col("n") - 1)
+    """Colliding keys: the key, its row count ``n`` and the ``surplus`` of n - 1 rows.
+
+    Keys are counted by their hash first; only rows whose hash repeats are
+    grouped by the key itself.
+    """
+    keyed = df.filter(~any_null(columns)).select(*columns).withColumn("_digest", F.xxhash64(*columns))
+    again = keyed.join(repeated_digests(keyed, columns), "_digest", "left_semi")
+    return key_counts(again, columns).filter("n > 1").withColumn("surplus", F.col("n") - 1)
 
 
 def check_primary_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -263,10 +274,15 @@ def quarantine_split(df: DataFrame, rules: Sequence[RowRule]) -> tuple[DataFrame
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keeps the lowest row by ``order`` of each key; rows with a null key all stay.
 
-    The literal ``rank = 1`` filter lets Spark cut each task's rows to one per
-    key before the shuffle, so a hot key does not land in one task whole.
+    Keys meet first, as hashes: rows whose key occurs once stay in place, only
+    the others are ranked.  The literal ``rank = 1`` filter lets Spark cut each
+    task's rows to one per key before the shuffle, so a hot key does not land in
+    one task whole.
     """
+    digest = F.xxhash64(*keys)
+    again = repeated_digests(df.filter(~any_null(keys)), keys)
+    marked = df.withColumn("_digest", F.when(~any_null(keys), digest))
     first = Window.partitionBy(*keys).orderBy(*order)
-    keyed = df.filter(~any_null(keys)).withColumn("_rank", F.row_number().over(first))
-    kept = keyed.filter("_rank = 1").drop("_rank")
-    return kept.unionByName(df.filter(any_null(keys)))
+    ranked = marked.join(again, "_digest", "left_semi").withColumn("_rank", F.row_number().over(first))
+    kept = ranked.filter("_rank = 1").select(*df.columns)
+    return kept.unionByName(marked.join(again, "_digest", "left_anti").select(*df.columns))

@@ -126,9 +126,9 @@ def diff_rls(current: Inventory, desired: Inventory) -> DataFrame:
 
 
 def diff_tables(current: Inventory, desired: Inventory) -> DataFrame:
-    """Added, removed and modified tables; modified means columns or row security differ."""
+    """Added, removed and modified tables; modified means columns, indexes, foreign keys or row security differ."""
     sides = table_sides(current, desired)
-    touched = diff_columns(current, desired).groupBy(*TABLE_KEY).agg(F.lit(True).alias("_touched"))
+    touched = body_differences(current, desired).select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
     rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
     status = F.when(F.col("status") != "both", F.col("status")).when(
         rls | F.coalesce("_touched", F.lit(False)), "modified"
@@ -139,6 +139,16 @@ def diff_tables(current: Inventory, desired: Inventory) -> DataFrame:
     )
 
 
+def body_differences(current: Inventory, desired: Inventory) -> DataFrame:
+    """Table and status of every column, index and foreign key that differs, with its ``kind``."""
+    parts = [diff_columns(current, desired).select(*TABLE_KEY, "status", F.lit("column").alias("kind"))]
+    if current.idx is not None and desired.idx is not None:
+        parts.append(diff_indexes(current, desired).select(*TABLE_KEY, "status", F.lit("index").alias("kind")))
+    if current.fks is not None and desired.fks is not None:
+        parts.append(diff_foreign_keys(current, desired).select(*TABLE_KEY, "status", F.lit("foreign_key").alias("kind")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def name_set_ops(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
     """Names only on one side or on both; each name once.
 
@@ -311,8 +321,10 @@ def drift_report(current: Inventory, desired: Inventory, subtotals: bool = False
         .otherwise(F.col("status")).alias("t"),
         F.lit(None).cast("string").alias("c"),
     )
-    columns = diff_columns(current, desired).select(
-        *TABLE_KEY, F.lit(None).cast("string").alias("t"), F.col("status").alias("c")
+    # an index or a key that differs makes its table modified, as a column does
+    columns = body_differences(current, desired).select(
+        *TABLE_KEY, F.lit(None).cast("string").alias("t"),
+        F.when(F.col("kind") == "column", F.col("status")).otherwise("other").alias("c"),
     )
     status = F.max(F.when(F.col("t") != "both", F.col("t")))
     per_table = tables.unionByName(columns).groupBy(*TABLE_KEY).agg(
@@ -335,7 +347,7 @@ ADD, DROP = "add_column", "drop_column"
 _ATTRIBUTES = {
     # attribute: the actions that set it, besides adding the column
     "type_raw": ("alter_type",),
-    "nullable": ("set_not_null", "drop_not_null"),
+    "nullable": ("set_not_null", "drop_not_null", "add_primary_key"),  # a primary key implies NOT NULL
     "default_raw": ("set_default", "drop_default"),
     "is_pk": ("add_primary_key", "drop_primary_key"),
 }
@@ -391,7 +403,7 @@ def _value_after(name: str) -> Column:
     """The attribute's value once the event in hand has been applied."""
     action, stated = F.col("action"), F.col(name)
     if name == "nullable":
-        return F.when(action == "set_not_null", False).when(action == "drop_not_null", True).otherwise(stated)
+        return F.when(action.isin("set_not_null", "add_primary_key"), False).when(action == "drop_not_null", True).otherwise(stated)
     if name == "default_raw":
         return F.when(action != "drop_default", stated)
     if name == "is_pk":

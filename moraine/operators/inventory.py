@@ -66,13 +66,23 @@ def inventory_indexes(index_columns: DataFrame, constraints: DataFrame) -> DataF
 def inventory_foreign_keys(
     constraints: DataFrame, key_usage: DataFrame, ref_usage: DataFrame, actions: DataFrame
 ) -> DataFrame:
-    """Foreign keys, one row per key column; ``NO ACTION`` becomes null."""
+    """Foreign keys, one row per key column; ``NO ACTION`` becomes null.
+
+    A name is unique within its table only, so the table is part of the key
+    wherever a frame has it.
+    """
     key = ["env_id", "schema_name", "constraint_name"]
+
+    def of(df: DataFrame, *values: str) -> tuple[DataFrame, list[str]]:
+        on = [*key, "table_name"] if "table_name" in df.columns else key
+        return df.select(*on, *values), on
+
+    found = constraints.filter("constraint_type = 'FOREIGN KEY'").select(*key, "table_name")
+    used, on_used = of(key_usage, "ordinal", "column_name")
+    refs, on_refs = of(ref_usage, "ordinal", "ref_table", "ref_column")
+    rules, on_rules = of(actions, "delete_rule", "update_rule")
     return (
-        constraints.filter("constraint_type = 'FOREIGN KEY'").select(*key, "table_name")
-        .join(key_usage.select(*key, "ordinal", "column_name"), key)
-        .join(ref_usage.select(*key, "ordinal", "ref_table", "ref_column"), [*key, "ordinal"])
-        .join(actions.select(*key, "delete_rule", "update_rule"), key)
+        found.join(used, on_used).join(refs, [*on_refs, "ordinal"]).join(rules, on_rules)
         .select(
             *TABLE_KEY,
             F.col("constraint_name").alias("fk_name"),

@@ -68,17 +68,39 @@ def row_count_match(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def row_hash(columns: Sequence[str]) -> Column:
-    """Hash of a row; null flags are hashed too because the hash skips nulls."""
-    flags = [F.col(c).isNull() for c in columns]
-    return F.xxhash64(*[F.col(c) for c in columns], *flags)
-
-
-def _fingerprint(df: DataFrame, columns: Sequence[str], prefix: str) -> list[Column]:
+def marked(column: Column, data_type: T.DataType) -> Column:
+    """A value in a form that hashes fully: nulls marked and lengths given at every depth, maps as sorted entries."""
+    null = column.isNull().alias("null")
+    if isinstance(data_type, T.ArrayType):
+        items = F.transform(column, lambda x: marked(x, data_type.elementType))
+        return F.struct(null, F.size(column).alias("n"), items.alias("v"))
+    if isinstance(data_type, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(
+            marked(e["key"], data_type.keyType).alias("k"), marked(e["value"], data_type.valueType).alias("v")))
+        return F.struct(null, F.size(column).alias("n"), F.array_sort(entries).alias("v"))
+    if isinstance(data_type, T.StructType):
+        return F.struct(null, *[marked(column[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(data_type.fields)])
+    if data_type.simpleString() == "variant":
+        return F.struct(null, F.to_json(column).alias("v"))
+    return F.struct(null, column.alias("v"))
+
+
+def row_hash(df: DataFrame, columns: Sequence[str], seed: str | None = None) -> Column:
+    """64-bit hash of a row's values; another seed gives a hash of its own of the same values."""
+    values = [marked(df[c], df.schema[c].dataType) for c in columns]
+    return F.xxhash64(*([F.lit(seed)] if seed else []), *values)
+
+
+def same_types(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether the columns have the same types on both sides, nullability aside."""
+    return all(left.schema[c].dataType.simpleString() == right.schema[c].dataType.simpleString() for c in columns)
+
+
+def _fingerprint(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     # XOR alone cancels pairs of equal rows; the count and the sums over a second,
     # differently seeded hash do not.  Two 20-bit slices keep the sums inside a
     # long for 10^12 rows and more.
-    first, second = row_hash(columns), F.xxhash64(F.lit(prefix), row_hash(columns))
+    first, second = row_hash(df, columns), row_hash(df, columns, "second")
     return [
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(first).alias("x"),
@@ -87,21 +109,25 @@ def _fingerprint(df: DataFrame, columns: Sequence[str], prefix: str) -> list[Col
     ]
 
 
-def content_match(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row, ``matches``: the two hold the same rows, in any order, with repeats.
+def content_compare(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row, ``left_rows, right_rows, matches``: the same rows of the same types, in any order, with repeats.
 
     Fingerprints are sums over rows, so each side is one scan and one tiny
     exchange, whatever its size.
     """
     columns = list(columns or left.columns)
-    sides = [
-        df.select(*columns).agg(*_fingerprint(df, columns, "second")).withColumn("side", F.lit(i))
-        for i, df in enumerate((left, right))
-    ]
+    sides = [df.agg(*_fingerprint(df, columns)).withColumn("side", F.lit(i)) for i, df in enumerate((left, right))]
     both = reduce(DataFrame.unionByName, sides)
     same = [F.min(F.coalesce(F.col(c).cast("string"), F.lit(""))) == F.max(F.coalesce(F.col(c).cast("string"), F.lit("")))
             for c in ("n", "x", "low", "high")]
-    return both.agg(reduce(lambda a, b: a & b, same).alias("matches"))
+    typed = F.lit(same_types(left, right, columns))
+    rows = [F.max(F.when(F.col("side") == i, F.col("n"))).alias(n) for i, n in enumerate(("left_rows", "right_rows"))]
+    return both.agg(*rows, reduce(lambda a, b: a & b, same, typed).alias("matches"))
+
+
+def content_match(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row, ``matches``: the outcome of ``content_compare`` alone."""
+    return content_compare(left, right, columns).select("matches")
 
 
 def drop_column_impact(df: DataFrame, columns: Sequence[str]) -> DataFrame:

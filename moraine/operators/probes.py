@@ -112,9 +112,13 @@ def timestamp_to_date(df: DataFrame, column: str) -> DataFrame:
 def decimal_rescale(df: DataFrame, column: str, precision: int, scale: int) -> DataFrame:
     """The column rounded to the scale; ``{column}_changed`` marks rows whose value moved."""
     target = f"decimal({precision},{scale})"
-    wide = F.col(column).cast("decimal(38,18)")
-    rounded = F.round(wide, scale).cast(target)
-    changed = F.coalesce(wide != rounded, F.lit(False))
+    # in the column's own type: any fixed one would be too narrow for some values
+    own = df.schema[column].dataType
+    exact = own.simpleString() if isinstance(own, T.NumericType) else "double"
+    value = F.col(column).cast(exact)
+    moved = F.round(value, scale)
+    rounded = moved.cast(target)
+    changed = F.coalesce(moved.try_cast(exact) != value, value.isNotNull())
     return df.withColumn(f"{column}_changed", changed).withColumn(column, rounded)
 
 

@@ -110,27 +110,24 @@ def fk_on_delete_cascade(
     start: str,
     deleted: DataFrame,
     keys: Mapping[str, Sequence[str]] | None = None,
-    max_levels: int = 1000,
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
     """``{table: (removed rows, kept rows)}`` when the ``deleted`` rows of ``start`` go.
 
-    An acyclic graph is walked in topological order; only the deleted keys of each
-    level are staged, the rows stay lazy.  A cyclic one
-    (a table that references itself, say) is iterated until nothing more is
-    removed; ``keys`` then names each table's primary key, and every level is
-    written to the shared folder, so lost executors cost no recomputation of
-    earlier levels.
+    Every table that the edges reach from ``start`` is in the result.  An acyclic
+    graph is walked in topological order; only the deleted keys of each level are
+    staged, the rows stay lazy.  A cyclic one (a table that references itself,
+    say) is iterated on keys alone until nothing more is removed; ``keys`` then
+    names each table's primary key, and the rows are fetched in the end.
     """
     order = _topological(edges, start)
     if order is None:
-        return _cascade_cyclic(tables, edges, start, deleted, keys or {}, max_levels)
+        return _cascade_cyclic(tables, edges, start, deleted, keys or {})
     result: dict[str, tuple[DataFrame, DataFrame]] = {}
     for name in order:
         df = tables[name]
         if name == start:
             gone, same = deleted.select(*df.columns), list((keys or {}).get(name, df.columns))
-            kept = df.join(staged(gone.select(*same).distinct(), "deleted"), same, "left_anti")
-            result[name] = (gone, kept.select(*df.columns))
+            result[name] = (gone, _without(df, staged(gone.select(*same).distinct(), "deleted"), same))
             continue
         incoming = [e for e in edges if e.child == name and e.parent in result]
         flagged = df
@@ -141,39 +138,59 @@ def fk_on_delete_cascade(
     return result
 
 
-def _cascade_cyclic(tables, edges, start, deleted, keys, max_levels):
-    levels: dict[str, list[DataFrame]] = {start: [staged(deleted.select(*tables[start].columns), "level")]}
+def _without(df: DataFrame, gone: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` that are not in ``gone`` by these columns; a null equals a null."""
+    other = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in columns])
+    return df.join(other, same, "left_anti")
+
+
+def _reached(edges: Sequence[Edge], start: str) -> list[str]:
+    found = [start]
+    for name in found:
+        found += [e.child for e in edges if e.parent == name and e.child not in found]
+    return list(dict.fromkeys(found))
+
+
+def _cascade_cyclic(tables, edges, start, deleted, keys):
+    # each table once, narrow: its primary key and what edges compare
+    used: dict[str, dict[str, None]] = {n: dict.fromkeys(keys.get(n, tables[n].columns)) for n in _reached(edges, start)}
+    for e in edges:
+        if e.parent in used:
+            used[e.child] |= dict.fromkeys(e.columns)
+            used[e.parent] |= dict.fromkeys(e.ref_columns)
+    slim = {n: staged(tables[n].select(*columns), "cascade") for n, columns in used.items() if n != start or any(
+        e.child == start for e in edges)}
+    levels = {start: [staged(deleted.select(*used[start]).distinct(), "level")]}
     frontier = {start: levels[start][0]}
-    for _ in range(max_levels):
+    while frontier:  # a level holds rows that no level held before, so the levels end
         found: dict[str, list[DataFrame]] = {}
         for e in edges:
             if e.parent in frontier:
                 gone = staged(parent_keys(frontier[e.parent], e.ref_columns, e.columns), "deleted")
-                hit = tables[e.child].join(gone, list(e.columns), "left_semi").select(*tables[e.child].columns)
+                hit = slim[e.child].join(gone, list(e.columns), "left_semi").select(*used[e.child])
                 found.setdefault(e.child, []).append(hit)
         frontier = {}
         for name, hits in found.items():
-            pk = list(keys[name])
-            fresh = reduce(DataFrame.unionByName, hits)
-            if len(hits) > 1:  # a row reached by two edges of one level
-                fresh = fresh.dropDuplicates(pk)
+            fresh = reduce(DataFrame.unionByName, hits).distinct()
             if name in levels:
-                before = reduce(DataFrame.unionByName, [df.select(*pk) for df in levels[name]])
-                fresh = fresh.join(before, pk, "left_anti")
-            fresh = staged(fresh.select(*tables[name].columns), "level")
+                pk = list(keys.get(name, tables[name].columns))
+                fresh = _without(fresh, reduce(DataFrame.unionByName, levels[name]).select(*pk), pk)
+            fresh = staged(fresh, "level")
             if not fresh.isEmpty():
                 frontier[name] = fresh
-        if not frontier:
-            break
         for name, df in frontier.items():
             levels.setdefault(name, []).append(df)
-    else:
-        raise RuntimeError(f"cascade did not end after {max_levels} levels")
     result = {}
-    for name, parts in levels.items():
-        removed = reduce(DataFrame.unionByName, parts)
-        kept = tables[name].join(removed.select(*keys[name]), list(keys[name]), "left_anti")
-        result[name] = (removed, kept.select(*tables[name].columns))
+    for name in used:
+        df, pk = tables[name], list(keys.get(name, tables[name].columns))
+        if name not in levels:
+            result[name] = (df.limit(0), df)
+            continue
+        gone = staged(reduce(DataFrame.unionByName, levels[name]).select(*pk).distinct(), "removed")
+        other = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in pk])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in pk])
+        result[name] = (df.join(other, same, "left_semi"), _without(df, gone, pk))
     return result
 
 

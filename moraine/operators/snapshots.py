@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from moraine.operators.measures import row_hash
+from moraine.session import staged
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -15,10 +18,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     compares the values themselves and names the changed columns.
     """
     columns = [c for c in old.columns if c not in keys]
-    flagged = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
-    digest = F.struct(F.xxhash64(*flagged), F.xxhash64(F.lit("second"), *flagged))
-    a = old.select(*keys, digest.alias("_a"))
-    b = new.select(*keys, digest.alias("_b"))
+
+    def digest(df: DataFrame) -> Column:
+        return F.struct(row_hash(df, columns), row_hash(df, columns, "second"))
+
+    a = old.select(*keys, digest(old).alias("_a"))
+    b = new.select(*keys, digest(new).alias("_b"))
     change = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "deleted").when(
         F.col("_a") != F.col("_b"), "updated"
     )
@@ -49,6 +54,9 @@ def backup_merge(current: DataFrame, backup: DataFrame, keys: Sequence[str], pre
     Restored rows take the present columns: what the backup lacks is null, what
     the present table no longer has is left out.
     """
-    missing = backup.filter(predicate).join(current.select(*keys), list(keys), "left_anti")
+    wanted = backup.filter(predicate)
+    # keys meet keys; only the rows that are missing follow
+    lost = staged(wanted.select(*keys).join(current.select(*keys), list(keys), "left_anti").distinct(), "missing")
+    missing = wanted.join(lost, list(keys), "left_semi")
     kept = missing.select(*[c for c in missing.columns if c in current.columns])
     return current.unionByName(kept, allowMissingColumns=True)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from moraine.operators.checks import (
-    NotNull, RowRule, Unique, check_summary, dedupe_keep_first, failures,
+    NotNull, RowRule, check_unique, dedupe_keep_first, observe_row_rules,
 )
-from moraine.operators.measures import backfill_gap_count, content_match, pending, row_count_match
+from moraine.operators.measures import backfill_gap_count, content_compare, pending
 from moraine.session import staged
 
 
@@ -83,20 +85,21 @@ def null_backfill(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def not_null_migration(df: DataFrame, column: str, value: str, rules: Sequence[RowRule] = ()) -> DataFrame:
-    """Backfill, then validate NOT NULL and any further rules; the outcome may be published."""
-    filled = null_backfill(df, column, value)
-    broken = failures(check_summary(filled, [NotNull(column), *rules]))
+    """Backfill and validate NOT NULL and any further rules in one pass; the staged outcome may be published."""
+    seen = Observation(f"not_null_{uuid.uuid4().hex}")
+    filled = staged(observe_row_rules(null_backfill(df, column, value), [NotNull(column), *rules], seen), "not-null")
+    broken = [rule for rule, n in seen.get.items() if rule != "rows" and n]
     if broken:
         raise GateError(f"rules fail after the backfill: {broken}")
     return filled
 
 
 def unique_migration(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row of each key, then validate UNIQUE on what is left."""
-    kept = dedupe_keep_first(df, keys, order)
-    broken = failures(check_summary(kept, [Unique(tuple(keys))]))
+    """Keep the first row of each key and validate UNIQUE on the staged outcome, by the hashes of its keys."""
+    kept = staged(dedupe_keep_first(df, keys, order), "unique")
+    broken = check_unique(kept, keys).limit(1).count()
     if broken:
-        raise GateError(f"rules fail after the dedupe: {broken}")
+        raise GateError("keys repeat after the dedupe")
     return kept
 
 
@@ -147,30 +150,48 @@ def archive_table(df: DataFrame, archived_at: Column) -> DataFrame:
 
 def archive_verify(source: DataFrame, archive: DataFrame) -> DataFrame:
     """Counts and contents compared, one row: ``left_rows, right_rows, rows_match, content_matches``."""
-    counts = row_count_match(source, archive).withColumnRenamed("matches", "rows_match")
-    content = content_match(source, archive.drop("archived_at"), source.columns)
-    # two one-row aggregates side by side, as a union and one more aggregate
-    a = counts.withColumn("content_matches", F.lit(None).cast("boolean"))
-    b = content.select(
-        F.lit(None).cast("bigint").alias("left_rows"), F.lit(None).cast("bigint").alias("right_rows"),
-        F.lit(None).cast("boolean").alias("rows_match"), F.col("matches").alias("content_matches"),
-    )
-    return a.unionByName(b).agg(*[F.max(c).alias(c) for c in a.columns])
+    return content_compare(source, archive, source.columns).select(
+        "left_rows", "right_rows", (F.col("left_rows") == F.col("right_rows")).alias("rows_match"),
+        F.col("matches").alias("content_matches"))
 
 
 def archive_restore(df: DataFrame, archive: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Put the archived values back by key; rows without an archived value get null."""
-    return df.drop(column).join(archive.select(*keys, column), list(keys), "left")
+    """Put the archived values back by key; rows without an archived value get null.
 
+    Of several archived values of a key the one archived last counts.
+    """
+    time = F.col("archived_at") if "archived_at" in archive.columns else F.lit(0)
+    latest = archive.groupBy(*keys).agg(F.max_by(column, F.struct(time, F.col(column))).alias(column))
+    return df.drop(column).join(latest, list(keys), "left")
 
-def drop_table_guard(foreign_keys: DataFrame, table: str) -> DataFrame:
-    """Foreign keys of other tables that still reference the table; empty when it may go."""
-    return foreign_keys.filter((F.col("ref_table") == table) & (F.col("table_name") != table))
 
+def drop_table_guard(
+    foreign_keys: DataFrame, table: str, schema: str | None = None, env: str | None = None
+) -> DataFrame:
+    """Foreign keys of other tables that still reference the table; empty when it may go.
 
-def drop_table(tables: Mapping[str, DataFrame], name: str, foreign_keys: DataFrame, archive: DataFrame) -> dict:
+    With a schema or an environment only keys to the table of that one count.  A
+    key without ``ref_schema`` references its own schema.
+    """
+    target = F.col("schema_name")
+    if "ref_schema" in foreign_keys.columns:
+        target = F.coalesce("ref_schema", "schema_name")
+    to_it, itself = F.col("ref_table") == table, F.col("table_name") == table
+    if schema is not None:
+        to_it, itself = to_it & (target == schema), itself & (F.col("schema_name") == schema)
+    elif "schema_name" in foreign_keys.columns:
+        itself = itself & (F.col("schema_name") == target)
+    if env is not None:
+        to_it = to_it & (F.col("env_id") == env)
+    return foreign_keys.filter(to_it & ~itself)
+
+
+def drop_table(
+    tables: Mapping[str, DataFrame], name: str, foreign_keys: DataFrame, archive: DataFrame,
+    schema: str | None = None, env: str | None = None,
+) -> dict:
     """Remove a table once nothing references it and its archive is complete."""
-    if not drop_table_guard(foreign_keys, name).isEmpty():
+    if not drop_table_guard(foreign_keys, name, schema, env).isEmpty():
         raise GateError(f"other tables still reference {name}")
     verdict = archive_verify(tables[name], archive).first()
     if not (verdict.rows_match and verdict.content_matches):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from moraine.operators.measures import row_hash, same_types
 from moraine.operators.probes import changes_on_round_trip
 from moraine.plans.phases import archive_restore
 
@@ -27,15 +28,19 @@ def rollback_alter_type(df: DataFrame, column: str, old_type: str) -> DataFrame:
 
 
 def rollback_check(before: DataFrame, restored: DataFrame) -> DataFrame:
-    """Rows only before and rows only after, counting repeats; both 0 for a clean rollback.
+    """Rows only before and rows only after, counting repeats; identical if both are 0 and the types are the same.
 
-    Each distinct row is collapsed to one signed count, so both differences come
-    from one shuffle and equal rows meet before it.
+    Each distinct row is collapsed to one signed count under its 128-bit digest,
+    so both differences come from one narrow shuffle and equal rows meet before it.
     """
     columns = before.columns
-    signed = before.withColumn("_d", F.lit(1)).unionByName(restored.select(*columns).withColumn("_d", F.lit(-1)))
-    per_row = signed.groupBy(*columns).agg(F.sum("_d").alias("_d"))
+
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(row_hash(df, columns).alias("_x"), row_hash(df, columns, "second").alias("_y"), F.lit(sign).alias("_d"))
+
+    per_row = signed(before, 1).unionByName(signed(restored, -1)).groupBy("_x", "_y").agg(F.sum("_d").alias("_d"))
     return per_row.agg(
         F.coalesce(F.sum(F.greatest(F.col("_d"), F.lit(0))), F.lit(0)).alias("only_before"),
         F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).alias("only_after"),
-    ).withColumn("identical", (F.col("only_before") == 0) & (F.col("only_after") == 0))
+    ).withColumn("identical", (F.col("only_before") == 0) & (F.col("only_after") == 0)
+                 & F.lit(set(columns) == set(restored.columns) and same_types(before, restored, columns)))

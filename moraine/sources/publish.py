@@ -69,8 +69,10 @@ def publish_table(
             for r in check_summary(staged, rules, parents).filter(~F.col("passed")).collect()
         ]
         if broken:
+            delete(spark, f"{root}/{version}")
             raise PublishError(f"not published: {'; '.join(broken)}")
     if expected_version is not None and current_version(spark, root) != expected_version:
+        delete(spark, f"{root}/{version}")
         raise StaleError(f"{root} is no longer at {expected_version}")
     replace_text(spark, f"{root}/{POINTER}", version)
     return version

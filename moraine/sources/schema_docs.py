@@ -35,7 +35,7 @@ _FK_TYPE = (
 @dataclass(frozen=True)
 class SchemaDocs:
     inventory: Inventory
-    rejected: DataFrame  # env_id, problem
+    rejected: DataFrame  # env_id, problem; one row per problem
 
 
 def read_schema_docs(spark: SparkSession, path: str, one_per_line: bool = False) -> SchemaDocs:
@@ -111,11 +111,11 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
         F.flatten(F.transform(t["fs"], actions)),
         F.when(F.size(t["cs"]) == 0, F.array(F.lit("table without columns"))).otherwise(none),
     ))))
-    checked = deep.withColumn("problem", F.array_min(problems))
-    rejected = checked.filter("problem is not null").select("env_id", "problem")
+    checked = deep.withColumn("problems", F.array_distinct(problems))
+    rejected = checked.select("env_id", F.explode("problems").alias("problem"))
     # unfolding a conditional array, not filtering first: a filter would move down
     # and parse every document a second time
-    accepted = F.when(F.col("problem").isNull(), F.col("ts"))
+    accepted = F.when(F.size("problems") == 0, F.col("ts"))
     good = checked.select("env_id", F.explode(accepted).alias("t")).select(
         "env_id",
         F.coalesce("t.schema", F.lit("public")).alias("schema_name"),

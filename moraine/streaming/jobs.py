@@ -5,7 +5,8 @@ stream is the same function on a batch DataFrame.  ``run_to_files`` runs one to
 the end of what has arrived; its sink and checkpoint belong on a shared folder.
 
 Late rows: the dual write is stateless and drops none; the windowed monitors
-drop rows older than the watermark, as Spark does by default.
+drop rows older than the watermark, as Spark does by default.  Monitors report
+in update mode, so a window that is still open is seen as well.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def write_monitor(
 
 
 def unique_arrivals(df: DataFrame, keys: Sequence[str], time: str, delay: str = "10 minutes") -> DataFrame:
-    """The first arrival of each key; state is kept for the watermark's span only."""
+    """The first arrival of each key within the watermark's span; ``run_unique`` looks back without limit."""
     timed = df.withColumn(time, F.col(time).cast("timestamp"))
     if not df.isStreaming:
         return timed.dropDuplicates(list(keys))
@@ -85,6 +86,45 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _batch_files(query, path: str, checkpoint: str, write) -> None:
+    """Run a stream to the end of what has arrived; each micro-batch overwrites a folder of its own."""
+    query.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_monitor(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Write the windows that a batch has changed, open ones included, with their counts so far."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    _batch_files(df.writeStream.outputMode("update"), path, checkpoint, write)
+
+
+def monitored(spark: SparkSession, path: str) -> DataFrame:
+    """The latest counts of every window of a monitor."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in ("window_start", "window_end", "batch_id")]
+    latest = F.max_by(F.struct(*values), "batch_id").alias("v")
+    return rows.groupBy("window_start", "window_end").agg(latest).select("window_start", "window_end", "v.*")
+
+
+def run_unique(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
+    """Publish the first arrival of each key, however far apart arrivals of a key are.
+
+    A batch is held against the keys that other batches have published, so no
+    state grows with time; only its own keys are shuffled.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(list(keys))
+        if is_dir(spark, path):
+            known = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*keys)
+            fresh = fresh.join(known, list(keys), "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    _batch_files(df.writeStream, path, checkpoint, write)
+
+
 def run_quarantine(df: DataFrame, rules: Sequence[RowRule], path: str, checkpoint: str) -> None:
     """Split arriving rows into good and quarantined ones while they are written.
 

@@ -36,8 +36,20 @@ table_diff AS (
   UNION ALL SELECT env_id, schema_name, table_name, 'removed' FROM cur_tables
     WHERE (env_id, table_name) NOT IN (SELECT (env_id, table_name) FROM des_tables)
   UNION ALL SELECT c.env_id, c.schema_name, c.table_name, 'modified' FROM cur_tables c JOIN des_tables d USING (env_id, schema_name, table_name)
-    WHERE c.rls_enabled <> d.rls_enabled OR (c.env_id, c.table_name) IN (SELECT (env_id, table_name) FROM col_diff)) """
-_DIFF = fleet("tables", "cols") + "," + _COLUMN_DIFF
+    WHERE c.rls_enabled <> d.rls_enabled OR (c.env_id, c.table_name) IN (SELECT (env_id, table_name) FROM col_diff)
+      OR (c.env_id, c.table_name) IN (SELECT (env_id, table_name) FROM key_diff)) """
+# tables of indexes and foreign keys that are not the same on both sides
+_KEY_DIFF = """
+key_diff AS (
+  SELECT env_id, table_name FROM (SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM cur_idx
+    EXCEPT SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM des_idx)
+  UNION SELECT env_id, table_name FROM (SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM des_idx
+    EXCEPT SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM cur_idx)
+  UNION SELECT env_id, table_name FROM (SELECT env_id, table_name, fk_name, column_name, ref_table, ref_column, on_delete FROM cur_fks
+    EXCEPT SELECT env_id, table_name, fk_name, column_name, ref_table, ref_column, on_delete FROM des_fks)
+  UNION SELECT env_id, table_name FROM (SELECT env_id, table_name, fk_name, column_name, ref_table, ref_column, on_delete FROM des_fks
+    EXCEPT SELECT env_id, table_name, fk_name, column_name, ref_table, ref_column, on_delete FROM cur_fks)), """
+_DIFF = fleet("tables", "cols", "idx", "fks") + "," + _KEY_DIFF + _COLUMN_DIFF
 
 
 @query("diff_tables", _DIFF + "SELECT * FROM table_diff")
@@ -205,7 +217,8 @@ def replay_change_log_errors(d: Data):
 
 # --------------------------------------------------------------------- verdicts
 
-_SAFE_PAIRS = "(('integer', 'bigint'), ('bigint', 'numeric'), ('varchar', 'text'))"
+_SAFE_PAIRS = ("(('integer', 'bigint'), ('bigint', 'numeric'), ('varchar', 'text'), "
+               "('timestamp without time zone', 'timestamp with time zone'))")
 _JUDGED = _DIFF + f""",
 fb AS (SELECT *, split_part(old_type, '(', 1) = split_part(new_type, '(', 1) OR (split_part(old_type, '(', 1), split_part(new_type, '(', 1)) IN {_SAFE_PAIRS} AS fwd,
   split_part(old_type, '(', 1) = split_part(new_type, '(', 1) OR (split_part(new_type, '(', 1), split_part(old_type, '(', 1)) IN {_SAFE_PAIRS} AS bwd,
@@ -251,7 +264,7 @@ def classify_rls(d: Data):
     return sf.classify_rls(dr.diff_rls(d.cur, d.des)).select(_FLAGS)
 
 
-@query("classify_diff", fleet("tables", "cols", "fks") + "," + _JUDGED[len(fleet("tables", "cols")) + 1:] + """
+@query("classify_diff", _JUDGED + """
 SELECT env_id, table_name, operation, subject, valid, reversible, coalesce(level, '') AS level FROM verdict
 UNION ALL SELECT env_id, table_name, 'add_foreign_key', fk_name, true, true, '' FROM des_fks f
 WHERE (env_id, table_name, fk_name) NOT IN (SELECT (env_id, table_name, fk_name) FROM cur_fks)""")
@@ -266,13 +279,14 @@ SELECT c_custkey AS env_id, count(v.env_id) AS operations, count(*) FILTER (WHER
   count(*) FILTER (WHERE level = 'Lossy') AS lossy, count(*) FILTER (WHERE level = 'Dangerous') AS dangerous, 0::BIGINT AS multi_phase,
   coalesce(bool_and(valid), true) AS all_valid, coalesce(bool_and(reversible), true) AS all_reversible,
   coalesce(bool_or(level = 'Dangerous'), false) AS has_dangerous
-FROM customer LEFT JOIN verdict v ON v.env_id = c_custkey GROUP BY c_custkey""")
+FROM customer LEFT JOIN (SELECT env_id, level, valid, reversible FROM verdict
+  UNION ALL SELECT env_id, NULL, true, true FROM des_fks
+  WHERE (env_id, table_name, fk_name) NOT IN (SELECT (env_id, table_name, fk_name) FROM cur_fks)) v ON v.env_id = c_custkey GROUP BY c_custkey""")
 def safety_rollup(d: Data):
-    without_fks = [dr.Inventory(i.tables, i.cols) for i in (d.cur, d.des)]
-    return sf.safety_rollup(sf.classify_diff(*without_fks), d.envs)
+    return sf.safety_rollup(sf.classify_diff(d.cur, d.des), d.envs)
 
 
-@query("classify_diff_full", fleet("tables", "cols", "idx", "fks") + "," + _JUDGED[len(fleet("tables", "cols")) + 1:] + """,
+@query("classify_diff_full", _JUDGED + """,
 ia AS (SELECT env_id, table_name, index_name, string_agg(column_name, ',' ORDER BY ordinal) AS k, bool_and(is_unique) AS u FROM cur_idx GROUP BY ALL),
 ib AS (SELECT env_id, table_name, index_name, string_agg(column_name, ',' ORDER BY ordinal) AS k, bool_and(is_unique) AS u FROM des_idx GROUP BY ALL),
 both_tables AS (SELECT env_id, table_name FROM cur_tables INTERSECT SELECT env_id, table_name FROM des_tables),

@@ -36,8 +36,7 @@ def inventory_tables(d: Data):
 
 
 @query("inventory_columns", fleet("cols") + """
-SELECT env_id, table_name, ordinal, column_name, type_raw, nullable,
-  CASE WHEN default_raw LIKE 'nextval%' THEN split_part(default_raw, '::', 1) ELSE default_raw END AS default_raw, is_pk FROM cur_cols""")
+SELECT env_id, table_name, ordinal, column_name, type_raw, nullable, default_raw, is_pk FROM cur_cols""")
 def inventory_columns(d: Data):
     cols = d.cur.cols
     raw = cols.select(

@@ -60,6 +60,20 @@ def not_null_migration(d: Data):
     return ph.not_null_migration(d.cust, "c_mktsegment", "'UNKNOWN'").select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query("not_null_pipeline", using("cust") + """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, coalesce(c_mktsegment, 'UNKNOWN') AS c_mktsegment, segment_new FROM cust""")
+def not_null_pipeline(d: Data):
+    return ph.not_null_migration(d.cust, "c_mktsegment", "'UNKNOWN'")
+
+
+@query("unique_pipeline", """
+SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey,
+  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1""")
+def unique_pipeline(d: Data):
+    order = [c for c in d.lineitem.columns if c not in ("l_orderkey", "l_linenumber")]
+    return ph.unique_migration(d.lineitem, ["l_orderkey", "l_linenumber"], order)
+
+
 @query("unique_migration", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1""")

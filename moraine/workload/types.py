@@ -44,9 +44,9 @@ def normalize_type(d: Data):
 
 @query("normalize_default", fleet("cols") + f"""
 SELECT env_id, table_name, column_name, raw, CASE raw
-  WHEN '''{{}}''::jsonb' THEN '''{{}}''' WHEN '(now() at time zone ''utc''::text)' THEN '(now() at time zone ''utc'''
+  WHEN '''{{}}''::jsonb' THEN '''{{}}'''
   WHEN '''x''::character varying' THEN '''x''' WHEN '''it''''s''::text' THEN '''it''''s'''
-  WHEN 'nextval(''users_id_seq''::regclass)' THEN 'nextval(''users_id_seq''' ELSE raw END AS default_norm
+  ELSE raw END AS default_norm
 FROM (SELECT env_id, table_name, column_name, {_pick(_DEFAULTS, 'duck')} AS raw FROM cur_cols)""")
 def normalize_default(d: Data):
     named = d.cur.cols.withColumn("raw", F.expr(_pick(_DEFAULTS, "spark")))

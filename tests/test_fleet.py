@@ -181,6 +181,8 @@ def test_replay_against_a_loop(spark):
             at, value = {"alter_type": (0, row[6]), "set_not_null": (1, False), "drop_not_null": (1, True), "set_default": (2, row[8]),
                          "drop_default": (2, None), "add_primary_key": (3, True), "drop_primary_key": (3, False)}[action]
             state[key][at] = value
+            if action == "add_primary_key":  # a primary key implies NOT NULL
+                state[key][1] = False
     inv = inventory(spark, {"e": {"t": {"cols": [("a", "int", True, None, False)]}}})
     df = spark.createDataFrame(log, "env_id string, schema_name string, table_name string, seq long, action string, column_name string, "
                                     "type_raw string, nullable boolean, default_raw string, is_pk boolean")

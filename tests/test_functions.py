@@ -27,8 +27,9 @@ def test_normalize_type(spark):
 def test_normalize_default(spark):
     cases = {
         "'{}'::jsonb": "'{}'", "now()": "now()", "'a::b'": "'a::b'", "'x'::character varying": "'x'",
-        "(now() at time zone 'utc'::text)": "(now() at time zone 'utc'", "::text": "::text",
-        "'a'::text::varchar": "'a'::text", "0": "0",
+        "(now() at time zone 'utc'::text)": "(now() at time zone 'utc'::text)", "::text": "::text",
+        "'a'::text::varchar": "'a'::text", "0": "0", "nextval('t_id_seq'::regclass)": "nextval('t_id_seq'::regclass)",
+        "f('(')::text": "f('(')", "(a::int)::text": "(a::int)",
     }
     assert evaluate(spark, list(cases), tn.normalize_default) == list(cases.values())
 
@@ -40,7 +41,8 @@ def test_is_widening(spark):
         ("numeric(10,4)", "numeric(10,2)", True), ("real", "double precision", True), ("date", "timestamptz", True),
         ("timestamptz", "timestamp", False), ("double precision", "real", False), ("char(3)", "varchar(9)", True),
         ("Integer", "BIGINT", True), ("int4", "bigint", False),
-        ("timestamp without time zone", "timestamp with time zone", False),
+        ("timestamp without time zone", "timestamp with time zone", True), ("date", "timestamp without time zone", True),
+        ("character varying", "text", True), ("timestamp with time zone", "timestamp without time zone", False),
     ]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, want boolean")
     wrong = df.filter(tn.is_widening(F.col("a"), F.col("b")) != F.col("want")).collect()
@@ -156,3 +158,27 @@ def test_non_declarative(spark):
         "CREATE VIEW v AS SELECT 1": None, "COMMENT ON TABLE t IS 'BEGIN'": None,
     }
     assert evaluate(spark, list(cases), st.non_declarative_code) == list(cases.values())
+
+
+def test_marks_in_comments_and_strings_open_nothing(spark):
+    from moraine.operators import audit as au
+
+    cases = {
+        "DELETE FROM t -- don't\nWHERE id = 1": [], "-- don't\nDROP TABLE t": ["dangerous_drop_table"],
+        "DELETE FROM t WHERE note = '-- no'": [], "DELETE FROM t /* it's WHERE */": ["dangerous_delete_all"],
+        "ALTER TABLE t DROP COLUMN a, DROP COLUMN b": ["dangerous_drop_column"] * 2,
+        "ALTER TABLE t DROP COLUMN a, ALTER COLUMN b DROP NOT NULL": ["dangerous_drop_column"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "stmt_no long, sql_text string")
+    got = {}
+    for r in au.flag_dangerous_statements(df).collect():
+        got.setdefault(r.sql_text, []).append(r.code)
+    assert got == {k: v for k, v in cases.items() if v}
+
+
+def test_rescale_holds_long_integers(spark):
+    from moraine.operators import probes as pr
+
+    df = spark.createDataFrame([("1" * 25 + ".15",), ("2.00",)], "v string").selectExpr("cast(v AS decimal(38,2)) AS v")
+    got = [tuple(r) for r in pr.decimal_rescale(df, "v", 30, 1).collect()]
+    assert [(str(v), changed) for v, changed in got] == [("1" * 25 + ".2", True), ("2.0", False)]
