@@ -37,20 +37,38 @@ def inventory(spark, tables):
 
 
 ID = ("id", "integer", False, None, True)
-USERS = {"cols": [ID, ("name", "varchar(100)", False, None, False), ("age", "integer", True, None, False),
-                  ("deprecated", "text", True, None, False)]}
-CURRENT = {"e": {"users": USERS, "comments": {"cols": [ID]}}}
-DESIRED = {"e": {"users": {"cols": [ID, ("name", "text", False, None, False), ("age", "integer", False, None, False),
-                                    ("email", "text", False, None, False)]}, "tags": {"cols": [ID]}}}
+# a network of gauges: one table changes in every way at once, two only in a key or an index, one comes, one goes
+CURRENT = {"e": {
+    "gauge": {"cols": [ID, ("site_code", "varchar(12)", False, None, False), ("depth_m", "smallint", True, "0", False),
+                       ("owner_note", "text", True, None, False), ("last_seen", "timestamp", True, None, False)]},
+    "site": {"cols": [("site_code", "varchar(12)", False, None, True), ("lat", "real", False, None, False)],
+             "idx": [("site_lat", ["lat"], False)]},
+    "reading": {"cols": [ID, ("gauge_id", "bigint", False, None, False)]},
+    "telegram": {"cols": [ID]},
+}}
+DESIRED = {"e": {
+    "gauge": {"cols": [ID, ("site_code", "varchar(12)", False, None, False), ("depth_m", "integer", False, "1", False),
+                       ("firmware", "text", True, None, False), ("last_seen", "timestamptz", True, None, False)]},
+    "site": {"cols": [("site_code", "varchar(12)", False, None, True), ("lat", "real", False, None, False)],
+             "idx": [("site_lat", ["lat", "site_code"], False)]},
+    "reading": {"cols": [ID, ("gauge_id", "bigint", False, None, False)],
+                "fks": [("reading_gauge", [("gauge_id", "id")], "gauge", "CASCADE")]},
+    "alarm": {"cols": [ID]},
+}}
 
 
 def test_composite_diff(spark):
     cur, des = inventory(spark, CURRENT), inventory(spark, DESIRED)
     assert {(r.table_name, r.status) for r in dr.diff_tables(cur, des).collect()} == {
-        ("users", "modified"), ("comments", "removed"), ("tags", "added")}
+        ("gauge", "modified"), ("site", "modified"), ("reading", "modified"), ("telegram", "removed"), ("alarm", "added")}
     got = {r.column_name: (r.status, list(r.changes)) for r in dr.diff_columns(cur, des).collect()}
-    assert got == {"name": ("modified", ["type"]), "age": ("modified", ["nullable"]), "email": ("added", []),
-                   "deprecated": ("removed", [])}
+    assert got == {"depth_m": ("modified", ["type", "nullable", "default"]), "last_seen": ("modified", ["type"]),
+                   "firmware": ("added", []), "owner_note": ("removed", [])}
+    assert [(r.index_name, r.status) for r in dr.diff_indexes(cur, des).collect()] == [("site_lat", "modified")]
+    assert [(r.fk_name, r.status) for r in dr.diff_foreign_keys(cur, des).collect()] == [("reading_gauge", "added")]
+    report = dr.drift_report(cur, des).first()
+    assert (report.modified_tables, report.added_columns, report.removed_columns, report.modified_columns) == (3, 1, 1, 2)
+    assert not report.in_sync and dr.drift_report(cur, cur).first().in_sync
 
 
 def test_diff_with_itself_is_empty(spark):
