@@ -198,20 +198,21 @@ def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> Data
     """Problem of each foreign key of the inventory: missing table, count, or column.
 
     One row per problem, keyed by ``env_id, table_name, fk_name``; a key with a
-    missing table or with unequal column counts is not looked into further.
+    missing table or with unequal column counts is not looked into further.  A
+    key references its own schema unless it has a ``ref_schema``.
     """
-    known = tables.select("env_id", F.col("table_name").alias("ref_table")).distinct().withColumn("_t", F.lit(True))
-    columns = (
-        cols.select("env_id", F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"))
-        .distinct().withColumn("_c", F.lit(True))
-    )
-    per_fk = fks.groupBy("env_id", "table_name", "fk_name").agg(
+    own = F.col("schema_name")
+    fks = fks.withColumn("_s", F.coalesce("ref_schema", own) if "ref_schema" in fks.columns else own)
+    there = ["env_id", own.alias("_s"), F.col("table_name").alias("ref_table")]
+    known = tables.select(*there).distinct().withColumn("_t", F.lit(True))
+    columns = cols.select(*there, F.col("column_name").alias("ref_column")).distinct().withColumn("_c", F.lit(True))
+    per_fk = fks.groupBy("env_id", "schema_name", "table_name", "fk_name").agg(
         F.count("column_name").alias("_n"), F.count("ref_column").alias("_m")
     )
     rows = (
-        fks.join(per_fk, ["env_id", "table_name", "fk_name"])
-        .join(known, ["env_id", "ref_table"], "left")
-        .join(columns, ["env_id", "ref_table", "ref_column"], "left")
+        fks.join(per_fk, ["env_id", "schema_name", "table_name", "fk_name"])
+        .join(known, ["env_id", "_s", "ref_table"], "left")
+        .join(columns, ["env_id", "_s", "ref_table", "ref_column"], "left")
     )
     problem = (
         F.when(F.col("_t").isNull(), "missing_table")

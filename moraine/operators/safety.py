@@ -106,7 +106,8 @@ def classify_foreign_keys(added: DataFrame, desired: Inventory) -> DataFrame:
     """Verdict of foreign keys that appear; they have validity but no safety level."""
     key = ["env_id", "table_name", "fk_name"]
     problems = fk_target_exists(desired.fks, desired.tables, desired.cols)
-    broken = problems.groupBy(*key).agg(F.min(F.concat_ws(" ", "problem", "subject")).alias("_problem"))
+    every = F.array_sort(F.collect_set(F.concat_ws(" ", "problem", "subject")))  # at most one per key column
+    broken = problems.groupBy(*key).agg(F.array_join(every, "; ").alias("_problem"))
     none = F.lit(None).cast("boolean")
     return _verdict(
         added.select(*TABLE_KEY, "fk_name").join(broken, key, "left"),
@@ -247,12 +248,12 @@ def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
     """The static level beside the level the data supports.
 
     ``probes``: ``table_name, column_name, failed, changed, null_rows,
-    duplicates`` measured on the table itself, one row per column.  A change
+    duplicates`` measured on the table itself, one row per column; with
+    ``env_id`` each measurement judges its own environment only.  A change
     without a probe keeps its static level.
     """
-    probed = verdicts.join(
-        staged(probes.withColumnRenamed("column_name", "subject"), "probes"), ["table_name", "subject"], "left"
-    )
+    key = [c for c in ("env_id", "schema_name") if c in probes.columns] + ["table_name", "subject"]
+    probed = verdicts.join(staged(probes.withColumnRenamed("column_name", "subject"), "probes"), key, "left")
     measured = F.col("failed").isNotNull()
     level = (
         F.when(~measured, F.col("level"))
@@ -269,13 +270,19 @@ def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def safety_rollup(verdicts: DataFrame, envs: DataFrame) -> DataFrame:
-    """Per environment: operations per level and the overall flags; nothing to do counts as valid."""
+    """Per environment: operations per level, the overall flags and the dangerous operations by name.
+
+    Nothing to do counts as valid.
+    """
+    named = F.concat_ws(" ", "operation", F.concat_ws(".", "table_name", "subject"))
     levels = {"safe": SAFE, "review": REVIEW, "lossy": LOSSY, "dangerous": DANGEROUS, "multi_phase": MULTI_PHASE}
     per_env = verdicts.groupBy("env_id").agg(
         F.count(F.lit(1)).alias("operations"),
         *[F.count_if(F.col("level") == v).alias(k) for k, v in levels.items()],
         F.bool_and("valid").alias("all_valid"),
         F.bool_and("reversible").alias("all_reversible"),
+        # the operations of one environment's change
+        F.array_sort(F.collect_list(F.when(F.col("level") == DANGEROUS, named))).alias("dangerous_operations"),
     )
     zero = F.lit(0).cast("bigint")
     return envs.select("env_id").distinct().join(per_env, "env_id", "left").select(
@@ -284,4 +291,5 @@ def safety_rollup(verdicts: DataFrame, envs: DataFrame) -> DataFrame:
         F.coalesce("all_valid", F.lit(True)).alias("all_valid"),
         F.coalesce("all_reversible", F.lit(True)).alias("all_reversible"),
         (F.coalesce("dangerous", zero) > 0).alias("has_dangerous"),
+        F.coalesce("dangerous_operations", F.array().cast("array<string>")).alias("dangerous_operations"),
     )

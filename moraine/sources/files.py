@@ -37,8 +37,9 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 def replace_text(spark: SparkSession, path: str, content: str) -> None:
     """Write a small file beside the target and rename it over the target.
 
-    The rename replaces in one step on a real file system; on an object store
-    the single small put is itself atomic.
+    On HDFS and on a local file system the rename replaces in one step.  Other
+    file systems may remove the target first, so a reader that finds no pointer
+    there has to look again.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -278,12 +278,15 @@ def classify_diff(d: Data):
 SELECT c_custkey AS env_id, count(v.env_id) AS operations, count(*) FILTER (WHERE level = 'Safe') AS safe, 0::BIGINT AS review,
   count(*) FILTER (WHERE level = 'Lossy') AS lossy, count(*) FILTER (WHERE level = 'Dangerous') AS dangerous, 0::BIGINT AS multi_phase,
   coalesce(bool_and(valid), true) AS all_valid, coalesce(bool_and(reversible), true) AS all_reversible,
-  coalesce(bool_or(level = 'Dangerous'), false) AS has_dangerous
-FROM customer LEFT JOIN (SELECT env_id, level, valid, reversible FROM verdict
-  UNION ALL SELECT env_id, NULL, true, true FROM des_fks
+  coalesce(bool_or(level = 'Dangerous'), false) AS has_dangerous,
+  coalesce(string_agg(operation || ' ' || table_name || '.' || subject, ';' ORDER BY operation || ' ' || table_name || '.' || subject)
+    FILTER (WHERE level = 'Dangerous'), '') AS dangerous_operations
+FROM customer LEFT JOIN (SELECT env_id, level, valid, reversible, operation, table_name, subject FROM verdict
+  UNION ALL SELECT env_id, NULL, true, true, 'add_foreign_key', table_name, fk_name FROM des_fks
   WHERE (env_id, table_name, fk_name) NOT IN (SELECT (env_id, table_name, fk_name) FROM cur_fks)) v ON v.env_id = c_custkey GROUP BY c_custkey""")
 def safety_rollup(d: Data):
-    return sf.safety_rollup(sf.classify_diff(d.cur, d.des), d.envs)
+    rolled = sf.safety_rollup(sf.classify_diff(d.cur, d.des), d.envs)
+    return rolled.withColumn("dangerous_operations", F.array_join("dangerous_operations", ";"))
 
 
 @query("classify_diff_full", _JUDGED + """,
