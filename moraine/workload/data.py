@@ -102,10 +102,10 @@ def using(*names: str) -> str:
 
 # ------------------------------------------------------------------ the fleet
 
-# Each customer is a tenant with its own copy of this schema (fixed values of
-# the test fixture), drifted by the rules below.
+# Each customer is a transport operator with its own copy of this schema (fixed
+# values of the test fixture), drifted by the rules below.
 _TABLES = [
-    {"schema_name": "public", "table_name": t, "rls_enabled": False} for t in ("users", "notes", "tags", "note_tags")
+    {"schema_name": "public", "table_name": t, "rls_enabled": False} for t in ("routes", "stops", "runs", "calls", "fares")
 ]
 
 
@@ -116,19 +116,30 @@ def _col(table, ordinal, column, type_raw, nullable, default=None, pk=False):
 
 _TS = "timestamp without time zone"
 _COLS = [
-    _col("users", 1, "id", "integer", False, "nextval('users_id_seq'::regclass)", True),
-    _col("users", 2, "email", "text", False),
-    _col("users", 3, "created_at", _TS, True, "now()"),
-    _col("notes", 1, "id", "integer", False, "nextval('notes_id_seq'::regclass)", True),
-    _col("notes", 2, "user_id", "integer", False),
-    _col("notes", 3, "title", "text", False),
-    _col("notes", 4, "content", "text", True),
-    _col("notes", 5, "created_at", _TS, True, "now()"),
-    _col("notes", 6, "updated_at", _TS, True, "now()"),
-    _col("tags", 1, "id", "integer", False, "nextval('tags_id_seq'::regclass)", True),
-    _col("tags", 2, "name", "text", False),
-    _col("note_tags", 1, "note_id", "integer", False, None, True),
-    _col("note_tags", 2, "tag_id", "integer", False, None, True),
+    _col("routes", 1, "route_id", "integer", False, "nextval('routes_route_id_seq'::regclass)", True),
+    _col("routes", 2, "code", "text", False),
+    _col("routes", 3, "mode", "varchar(12)", False, "'bus'"),
+    _col("routes", 4, "fare_zone", "smallint", True),
+    _col("routes", 5, "opened_at", _TS, True, "now()"),
+    _col("stops", 1, "stop_id", "integer", False, "nextval('stops_stop_id_seq'::regclass)", True),
+    _col("stops", 2, "label", "text", False),
+    _col("stops", 3, "lat", "double precision", False),
+    _col("stops", 4, "lon", "double precision", False),
+    _col("stops", 5, "sheltered", "boolean", True, "false"),
+    _col("runs", 1, "run_id", "integer", False, "nextval('runs_run_id_seq'::regclass)", True),
+    _col("runs", 2, "route_id", "integer", False),
+    _col("runs", 3, "vehicle", "text", False),
+    _col("runs", 4, "left_at", _TS, True, "now()"),
+    _col("runs", 5, "arrived_at", _TS, True, "now()"),
+    _col("runs", 6, "delay_s", "integer", True, "0"),
+    _col("runs", 7, "remark", "text", True),
+    _col("calls", 1, "run_id", "integer", False, None, True),
+    _col("calls", 2, "stop_id", "integer", False, None, True),
+    _col("calls", 3, "position", "smallint", False),
+    _col("calls", 4, "boarded", "integer", True, "0"),
+    _col("fares", 1, "zone", "smallint", False, None, True),
+    _col("fares", 2, "amount", "numeric(8,2)", False, "0"),
+    _col("fares", 3, "valid_from", "date", True),
 ]
 
 
@@ -138,11 +149,13 @@ def _idx(table, name, ordinal, column, unique):
 
 
 _IDX = [
-    _idx("users", "users_email_key", 1, "email", True),
-    _idx("notes", "idx_notes_user_id", 1, "user_id", False),
-    _idx("notes", "idx_notes_user_id", 2, "created_at", False),
-    _idx("tags", "tags_name_key", 1, "name", True),
-    _idx("note_tags", "idx_note_tags_tag_id", 1, "tag_id", False),
+    _idx("routes", "routes_code_key", 1, "code", True),
+    _idx("stops", "stops_label_key", 1, "label", True),
+    _idx("stops", "stops_place", 1, "lat", False),
+    _idx("stops", "stops_place", 2, "lon", False),
+    _idx("runs", "runs_route_left", 1, "route_id", False),
+    _idx("runs", "runs_route_left", 2, "left_at", False),
+    _idx("calls", "calls_stop", 1, "stop_id", False),
 ]
 
 
@@ -152,54 +165,58 @@ def _fk(table, name, column, ref_table, ref_column, on_delete):
 
 
 _FKS = [
-    _fk("notes", "notes_user_id_fkey", "user_id", "users", "id", "CASCADE"),
-    _fk("note_tags", "note_tags_note_id_fkey", "note_id", "notes", "id", "CASCADE"),
-    _fk("note_tags", "note_tags_tag_id_fkey", "tag_id", "tags", "id", None),
+    _fk("runs", "runs_route_id_fkey", "route_id", "routes", "route_id", "CASCADE"),
+    _fk("calls", "calls_run_id_fkey", "run_id", "runs", "run_id", "CASCADE"),
+    _fk("calls", "calls_stop_id_fkey", "stop_id", "stops", "stop_id", None),
 ]
 BASE = {"tables": _TABLES, "cols": _COLS, "idx": _IDX, "fks": _FKS}
 
 # rows a rule adds to some tenants
 EXTRA = {
-    "tables": [({"schema_name": "public", "table_name": "audit_log", "rls_enabled": False}, "c_nationkey >= 20")],
+    "tables": [({"schema_name": "public", "table_name": "incidents", "rls_enabled": False}, "c_nationkey >= 20")],
     "cols": [
-        (_col("users", 4, "phone", "varchar(20)", True), "c_mktsegment = 'BUILDING'"),
-        (_col("audit_log", 1, "id", "bigint", False, None, True), "c_nationkey >= 20"),
-        (_col("audit_log", 2, "payload", "jsonb", True, "'{}'"), "c_nationkey >= 20"),
+        (_col("routes", 6, "operator", "varchar(20)", True), "c_mktsegment = 'BUILDING'"),
+        (_col("incidents", 1, "incident_id", "bigint", False, None, True), "c_nationkey >= 20"),
+        (_col("incidents", 2, "details", "jsonb", True, "'{}'"), "c_nationkey >= 20"),
     ],
-    "idx": [(_idx("users", "idx_users_phone", 1, "phone", False), "c_mktsegment = 'BUILDING'")],
+    "idx": [(_idx("routes", "routes_operator", 1, "operator", False), "c_mktsegment = 'BUILDING'")],
     "fks": [],
 }
 # how the copies of the base rows differ: row filter, then expressions of changed columns
 DRIFT = {
-    "tables": ("NOT (table_name = 'tags' AND c_nationkey < 5)", {
-        "rls_enabled": "table_name = 'users' AND c_nationkey IN (10, 11)",
+    "tables": ("NOT (table_name = 'stops' AND c_nationkey < 5)", {
+        "rls_enabled": "table_name = 'routes' AND c_nationkey IN (10, 11)",
     }),
     "cols": (
-        "NOT (table_name = 'tags' AND c_nationkey < 5)"
-        " AND NOT (table_name = 'notes' AND column_name = 'user_id' AND c_mktsegment = 'AUTOMOBILE' AND c_acctbal < 1000)"
-        " AND NOT (table_name = 'notes' AND column_name = 'updated_at' AND c_nationkey BETWEEN 12 AND 14)", {
-            "column_name": "CASE WHEN column_name = 'content' AND c_mktsegment = 'HOUSEHOLD' THEN 'contents' "
+        "NOT (table_name = 'stops' AND c_nationkey < 5)"
+        " AND NOT (table_name = 'runs' AND column_name = 'route_id' AND c_mktsegment = 'AUTOMOBILE' AND c_acctbal < 1000)"
+        " AND NOT (column_name = 'arrived_at' AND c_nationkey BETWEEN 12 AND 14)"
+        " AND NOT (column_name = 'amount' AND c_nationkey = 19)", {
+            "column_name": "CASE WHEN column_name = 'remark' AND c_mktsegment = 'HOUSEHOLD' THEN 'remarks' "
                            "ELSE column_name END",
-            "type_raw": "CASE WHEN column_name = 'title' AND c_mktsegment = 'MACHINERY' THEN 'varchar(200)' "
-                        "WHEN table_name = 'users' AND column_name = 'id' AND c_mktsegment = 'FURNITURE' "
+            "type_raw": "CASE WHEN column_name = 'vehicle' AND c_mktsegment = 'MACHINERY' THEN 'varchar(200)' "
+                        "WHEN table_name = 'routes' AND column_name = 'route_id' AND c_mktsegment = 'FURNITURE' "
                         "AND c_acctbal > 5000 THEN 'int8' "
-                        "WHEN table_name = 'users' AND column_name = 'id' AND c_nationkey = 8 THEN 'pg_catalog.int4' "
-                        "WHEN column_name = 'created_at' AND c_nationkey = 9 THEN 'timestamptz' ELSE type_raw END",
-            "nullable": "CASE WHEN table_name = 'users' AND column_name = 'email' AND c_acctbal < 0 THEN true "
-                        "ELSE nullable END",
-            "default_raw": "CASE WHEN column_name = 'updated_at' AND c_acctbal > 9000 THEN NULL "
-                           "WHEN column_name = 'created_at' AND c_nationkey = 3 THEN 'CURRENT_TIMESTAMP' "
-                           "ELSE default_raw END",
-            "is_pk": "CASE WHEN table_name = 'note_tags' AND c_nationkey = 7 THEN false ELSE is_pk END",
+                        "WHEN table_name = 'routes' AND column_name = 'route_id' AND c_nationkey = 8 THEN 'pg_catalog.int4' "
+                        "WHEN column_name IN ('opened_at', 'left_at') AND c_nationkey = 9 THEN 'timestamptz' "
+                        "WHEN column_name IN ('opened_at', 'left_at') AND c_nationkey = 6 THEN 'date' "
+                        "WHEN column_name IN ('lat', 'lon') AND c_nationkey = 16 THEN 'real' "
+                        "WHEN column_name = 'fare_zone' AND c_nationkey = 17 THEN 'integer' ELSE type_raw END",
+            "nullable": "CASE WHEN column_name = 'code' AND c_acctbal < 0 THEN true ELSE nullable END",
+            "default_raw": "CASE WHEN column_name = 'arrived_at' AND c_acctbal > 9000 THEN NULL "
+                           "WHEN column_name IN ('opened_at', 'left_at') AND c_nationkey = 3 THEN 'CURRENT_TIMESTAMP' "
+                           "WHEN column_name = 'delay_s' AND c_nationkey = 18 THEN '5' ELSE default_raw END",
+            "is_pk": "CASE WHEN table_name = 'calls' AND c_nationkey = 7 THEN false ELSE is_pk END",
         }),
     "idx": (
-        "NOT (table_name = 'tags' AND c_nationkey < 5)"
-        " AND NOT (index_name = 'idx_notes_user_id' AND c_mktsegment = 'MACHINERY')", {
-            "is_unique": "CASE WHEN index_name = 'users_email_key' AND c_acctbal < 0 THEN false ELSE is_unique END",
+        "NOT (table_name = 'stops' AND c_nationkey < 5)"
+        " AND NOT (index_name = 'runs_route_left' AND c_mktsegment = 'MACHINERY')", {
+            "is_unique": "CASE WHEN index_name = 'routes_code_key' AND c_acctbal < 0 THEN false "
+                         "WHEN index_name = 'calls_stop' AND c_nationkey = 24 THEN true ELSE is_unique END",
         }),
-    "fks": ("NOT (fk_name = 'note_tags_tag_id_fkey' AND c_nationkey < 5)", {
-        "on_delete": "CASE WHEN fk_name = 'notes_user_id_fkey' AND c_mktsegment = 'FURNITURE' THEN NULL "
-                     "ELSE on_delete END",
+    "fks": ("NOT (fk_name = 'calls_stop_id_fkey' AND c_nationkey < 5)", {
+        "on_delete": "CASE WHEN fk_name = 'runs_route_id_fkey' AND c_mktsegment = 'FURNITURE' THEN NULL "
+                     "WHEN fk_name = 'calls_stop_id_fkey' AND c_nationkey = 23 THEN 'RESTRICT' ELSE on_delete END",
     }),
 }
 _ATTRS = ["c_nationkey", "c_acctbal", "c_mktsegment"]

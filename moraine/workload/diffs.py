@@ -161,11 +161,11 @@ def drift_report(d: Data):
 
 _LOG_SQL = """,
 log AS (
-  SELECT user_id AS env_id, 'public' AS schema_name, CASE WHEN event_type = 'error' AND user_id > 140 THEN 'ghosts' ELSE 'notes' END AS table_name,
+  SELECT user_id AS env_id, 'public' AS schema_name, CASE WHEN event_type = 'error' AND user_id > 140 THEN 'ghosts' ELSE 'runs' END AS table_name,
     event_id AS seq,
     CASE event_type WHEN 'signup' THEN 'add_column' WHEN 'purchase' THEN 'drop_column' WHEN 'view' THEN 'alter_type'
       WHEN 'click' THEN 'set_not_null' ELSE 'set_default' END AS action,
-    CASE WHEN value > 60 THEN 'title' WHEN value > 30 THEN 'extra' ELSE 'flag' END AS column_name,
+    CASE WHEN value > 60 THEN 'vehicle' WHEN value > 30 THEN 'extra' ELSE 'flag' END AS column_name,
     CASE WHEN event_type IN ('signup', 'view') THEN CASE WHEN value > 40 THEN 'text' ELSE 'bigint' END END AS type_raw,
     CASE WHEN event_type = 'signup' THEN true END AS nullable,
     CASE WHEN event_type = 'error' THEN CAST(event_id AS STRING) END AS default_raw,
@@ -178,11 +178,11 @@ ev AS (
 def _log(d: Data):
     return d.events.selectExpr(
         "user_id AS env_id", "'public' AS schema_name",
-        "CASE WHEN event_type = 'error' AND user_id > 140 THEN 'ghosts' ELSE 'notes' END AS table_name",
+        "CASE WHEN event_type = 'error' AND user_id > 140 THEN 'ghosts' ELSE 'runs' END AS table_name",
         "event_id AS seq",
         "CASE event_type WHEN 'signup' THEN 'add_column' WHEN 'purchase' THEN 'drop_column' WHEN 'view' THEN 'alter_type' "
         "WHEN 'click' THEN 'set_not_null' ELSE 'set_default' END AS action",
-        "CASE WHEN value > 60 THEN 'title' WHEN value > 30 THEN 'extra' ELSE 'flag' END AS column_name",
+        "CASE WHEN value > 60 THEN 'vehicle' WHEN value > 30 THEN 'extra' ELSE 'flag' END AS column_name",
         "CASE WHEN event_type IN ('signup', 'view') THEN CASE WHEN value > 40 THEN 'text' ELSE 'bigint' END END AS type_raw",
         "CASE WHEN event_type = 'signup' THEN true END AS nullable",
         "CASE WHEN event_type = 'error' THEN CAST(event_id AS STRING) END AS default_raw",
@@ -218,7 +218,8 @@ def replay_change_log_errors(d: Data):
 # --------------------------------------------------------------------- verdicts
 
 _SAFE_PAIRS = ("(('integer', 'bigint'), ('bigint', 'numeric'), ('varchar', 'text'), "
-               "('timestamp without time zone', 'timestamp with time zone'))")
+               "('timestamp without time zone', 'timestamp with time zone'), ('date', 'timestamp without time zone'), "
+               "('real', 'double precision'), ('smallint', 'integer'))")
 _JUDGED = _DIFF + f""",
 fb AS (SELECT *, split_part(old_type, '(', 1) = split_part(new_type, '(', 1) OR (split_part(old_type, '(', 1), split_part(new_type, '(', 1)) IN {_SAFE_PAIRS} AS fwd,
   split_part(old_type, '(', 1) = split_part(new_type, '(', 1) OR (split_part(new_type, '(', 1), split_part(old_type, '(', 1)) IN {_SAFE_PAIRS} AS bwd,
@@ -320,14 +321,14 @@ def classify_diff_full(d: Data):
 @query("classify_with_data", _JUDGED + """,
 p AS (SELECT count(*) FILTER (WHERE o_orderkey > 2147483647) AS failed FROM orders)
 SELECT env_id, table_name, operation, subject, level,
-  CASE WHEN operation = 'alter_type' AND subject = 'id' THEN CASE WHEN p.failed > 0 THEN 'Dangerous' ELSE 'Safe' END ELSE level END AS data_level,
-  CASE WHEN operation = 'alter_type' AND subject = 'id' AND p.failed = 0 THEN 'downgraded' ELSE 'unchanged' END AS shift
+  CASE WHEN operation = 'alter_type' AND table_name = 'routes' AND subject = 'route_id' THEN CASE WHEN p.failed > 0 THEN 'Dangerous' ELSE 'Safe' END ELSE level END AS data_level,
+  CASE WHEN operation = 'alter_type' AND table_name = 'routes' AND subject = 'route_id' AND p.failed = 0 THEN 'downgraded' ELSE 'unchanged' END AS shift
 FROM col_verdict, p""")
 def classify_with_data(d: Data):
-    # users.id is probed on the order keys that stand in for its values
-    ids = d.orders.select(F.col("o_orderkey").alias("id"))
-    probe = pr.cast_probe(ids, {"id": "int"}).select(
-        F.lit("users").alias("table_name"), "column_name", "failed", F.lit(0).alias("changed"),
+    # routes.route_id is probed on the order keys that stand in for its values
+    ids = d.orders.select(F.col("o_orderkey").alias("route_id"))
+    probe = pr.cast_probe(ids, {"route_id": "int"}).select(
+        F.lit("routes").alias("table_name"), "column_name", "failed", F.lit(0).alias("changed"),
         F.lit(0).alias("null_rows"), F.lit(0).alias("duplicates"),
     )
     verdicts = sf.classify_columns(dr.diff_columns(d.cur, d.des))

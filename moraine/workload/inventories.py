@@ -28,7 +28,7 @@ SELECT env_id, schema_name, table_name, rls_enabled FROM cur_tables""")
 def inventory_tables(d: Data):
     raw = d.cur.tables.withColumn("table_type", F.lit("BASE TABLE"))
     views = d.customer.select(
-        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("active_users").alias("table_name"),
+        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("late_runs").alias("table_name"),
         F.lit(False).alias("rls_enabled"), F.lit("VIEW").alias("table_type"),
     )
     system = views.withColumns({"schema_name": F.lit("pg_catalog"), "table_type": F.lit("BASE TABLE")})
@@ -53,7 +53,7 @@ def inventory_order(d: Data):
 
 
 @query("inventory_indexes", fleet("idx") + """
-SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM cur_idx WHERE index_name <> 'tags_name_key'""")
+SELECT env_id, table_name, index_name, ordinal, column_name, is_unique FROM cur_idx WHERE index_name <> 'stops_label_key'""")
 def inventory_indexes(d: Data):
     # catalogs also list the indexes behind primary keys and unique constraints
     primary = d.cur.cols.filter("is_pk").select(
@@ -62,7 +62,7 @@ def inventory_indexes(d: Data):
     )
     constraints = primary.select("env_id", "schema_name", F.col("index_name").alias("constraint_name"),
                                  F.lit("PRIMARY KEY").alias("constraint_type")).distinct().unionByName(
-        d.cur.idx.filter("index_name = 'tags_name_key'").select(
+        d.cur.idx.filter("index_name = 'stops_label_key'").select(
             "env_id", "schema_name", F.col("index_name").alias("constraint_name"), F.lit("UNIQUE").alias("constraint_type"))
     )
     return iv.inventory_indexes(d.cur.idx.unionByName(primary), constraints).drop("schema_name")
@@ -70,7 +70,7 @@ def inventory_indexes(d: Data):
 
 @query("inventory_foreign_keys", fleet("fks") + """
 SELECT env_id, table_name, fk_name, column_name AS columns, ref_table, ref_column AS ref_columns, coalesce(on_delete, '') AS on_delete, coalesce(on_update, '') AS on_update FROM cur_fks
-UNION ALL SELECT c_custkey, 'notes', 'notes_pair_fkey', 'user_id,title', 'users', 'id,email', '', 'RESTRICT' FROM customer""")
+UNION ALL SELECT c_custkey, 'runs', 'runs_pair_fkey', 'route_id,vehicle', 'routes', 'route_id,code', '', 'RESTRICT' FROM customer""")
 def inventory_foreign_keys(d: Data):
     key = ["env_id", "schema_name", "constraint_name"]
     single = d.cur.fks.select(
@@ -78,11 +78,11 @@ def inventory_foreign_keys(d: Data):
         "ref_column", F.coalesce("on_delete", F.lit("NO ACTION")).alias("delete_rule"), F.lit("NO ACTION").alias("update_rule"),
     )
     pair = d.customer.select(
-        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("notes_pair_fkey").alias("constraint_name"),
-        F.lit("notes").alias("table_name"),
+        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("runs_pair_fkey").alias("constraint_name"),
+        F.lit("runs").alias("table_name"),
         F.inline(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(a).alias("column_name"), F.lit("users").alias("ref_table"), F.lit(b).alias("ref_column"))
-            for i, a, b in ((2, "title", "email"), (1, "user_id", "id"))
+            F.struct(F.lit(i).alias("ordinal"), F.lit(a).alias("column_name"), F.lit("routes").alias("ref_table"), F.lit(b).alias("ref_column"))
+            for i, a, b in ((2, "vehicle", "code"), (1, "route_id", "route_id"))
         ])),
     ).withColumns({"delete_rule": F.lit("NO ACTION"), "update_rule": F.lit("RESTRICT")})
     everything = single.unionByName(pair)
@@ -104,10 +104,10 @@ def inventory_foreign_keys(d: Data):
 
 
 @query("inventory_policies", """
-SELECT c_custkey AS env_id, 'notes' AS table_name, p AS policy_name, command,
+SELECT c_custkey AS env_id, 'runs' AS table_name, p AS policy_name, command,
   CASE WHEN p = 'everyone' THEN '' WHEN c_mktsegment = 'BUILDING' THEN 'auditor,clerk' ELSE 'clerk' END AS roles, p <> 'limit_own' AS permissive,
   coalesce(u, '') AS using_expr
-FROM customer, (VALUES ('read_own', 'SELECT', 'user_id = 1'), ('everyone', 'ALL', 'true'), ('limit_own', 'UPDATE', NULL)) AS t(p, command, u)""")
+FROM customer, (VALUES ('read_own', 'SELECT', 'route_id = 1'), ('everyone', 'ALL', 'true'), ('limit_own', 'UPDATE', NULL)) AS t(p, command, u)""")
 def inventory_policies(d: Data):
     env = F.col("c_custkey").alias("env_id")
     building = F.col("c_mktsegment") == "BUILDING"
@@ -116,9 +116,9 @@ def inventory_policies(d: Data):
         F.struct(F.lit(n).alias("policy_name"), F.lit(c).alias("command_code"), F.lit(p).alias("permissive"),
                  (F.array().cast("array<int>") if n == "everyone" else roles).alias("role_ids"),
                  F.lit(u).cast("string").alias("using_expr"), F.lit(None).cast("string").alias("check_expr"))
-        for n, c, p, u in (("read_own", "r", True, "user_id = 1"), ("everyone", "*", True, "true"), ("limit_own", "w", False, None))
+        for n, c, p, u in (("read_own", "r", True, "route_id = 1"), ("everyone", "*", True, "true"), ("limit_own", "w", False, None))
     ]
-    policies = d.customer.select(env, F.lit("public").alias("schema_name"), F.lit("notes").alias("table_name"), F.inline(F.array(*entries)))
+    policies = d.customer.select(env, F.lit("public").alias("schema_name"), F.lit("runs").alias("table_name"), F.inline(F.array(*entries)))
     role_names = d.customer.select(env, F.inline(F.array(
         F.struct(F.lit(1).alias("role_id"), F.lit("clerk").alias("role_name")),
         F.struct(F.lit(2).alias("role_id"), F.lit("auditor").alias("role_name")),
@@ -139,15 +139,16 @@ def inventory_rls(d: Data):
 @query("serial_columns", fleet("cols") + """
 SELECT env_id, table_name, column_name,
   CASE WHEN s THEN 'serial' ELSE type_raw END AS type_raw, CASE WHEN s THEN '' ELSE coalesce(default_raw, '') END AS default_raw, s AS is_serial
-FROM (SELECT *, column_name = 'id' AND type_raw = 'integer' AND table_name IN ('users', 'notes', 'tags')
-        AND NOT (table_name = 'notes' AND env_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 15)) AS s FROM cur_cols)""")
+FROM (SELECT *, (table_name, column_name) IN (('routes', 'route_id'), ('runs', 'run_id'), ('stops', 'stop_id')) AND type_raw = 'integer'
+        AND NOT (table_name = 'runs' AND env_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 15)) AS s FROM cur_cols)""")
 def serial_columns(d: Data):
-    # the owned sequences; tenants of nation 15 have lost the one of notes
+    # the owned sequences; tenants of nation 15 have lost the one of runs
     owners = d.customer.select(
         F.col("c_custkey").alias("env_id"), "c_nationkey", F.lit("public").alias("schema_name"),
-        F.explode(F.array(*[F.lit(t) for t in ("users", "notes", "tags")])).alias("table_name"),
-    ).filter("NOT (table_name = 'notes' AND c_nationkey = 15)").select(
-        *iv.TABLE_KEY, F.lit("id").alias("column_name"), F.concat("table_name", F.lit("_id_seq")).alias("sequence_name")
+        F.inline(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"))
+                           for t, c in (("routes", "route_id"), ("runs", "run_id"), ("stops", "stop_id"))])),
+    ).filter("NOT (table_name = 'runs' AND c_nationkey = 15)").select(
+        *iv.TABLE_KEY, "column_name", F.concat_ws("_", "table_name", "column_name", F.lit("seq")).alias("sequence_name")
     )
     return iv.serial_columns(d.cur.cols, owners).select(
         "env_id", "table_name", "column_name", "type_raw", F.coalesce("default_raw", F.lit("")).alias("default_raw"), "is_serial"
@@ -174,8 +175,8 @@ UNION ALL SELECT c_custkey, '', 0, '', '', false, '', false,
   CASE c_nationkey WHEN 17 THEN 'unknown table field owner' ELSE 'missing column field nullable' END FROM customer WHERE c_nationkey IN (17, 18)""")
 def read_schema_docs(d: Data):
     docs = dr.canonical_schema(d.cur).join(d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey"), "env_id")
-    spoiled = F.when(F.col("c_nationkey") == 17, F.replace("document", F.lit('"name":"notes"}'), F.lit('"name":"notes","owner":"me"}'))).when(
-        F.col("c_nationkey") == 18, F.regexp_replace("document", '"name":"email","nullable":(true|false),', '"name":"email",')
+    spoiled = F.when(F.col("c_nationkey") == 17, F.replace("document", F.lit('"name":"runs"}'), F.lit('"name":"runs","owner":"me"}'))).when(
+        F.col("c_nationkey") == 18, F.regexp_replace("document", '"name":"code","nullable":(true|false),', '"name":"code",')
     ).otherwise(F.col("document"))
     path = scratch_dir(d.spark, "docs")
     docs.select(F.to_json(F.struct(F.col("env_id").cast("string").alias("env_id"), spoiled.alias("document")))).write.text(path)
@@ -197,10 +198,10 @@ def read_schema_docs(d: Data):
 
 _LINT_SQL = fleet("tables", "cols", "idx", "fks") + """,
 lt AS (SELECT env_id, table_name FROM cur_tables UNION ALL SELECT c_custkey, 'staging' FROM customer WHERE c_nationkey = 1),
-lc AS (SELECT env_id, table_name, column_name, CASE WHEN column_name = 'title' AND c_acctbal < 0 THEN '' ELSE type_raw END AS type_raw, is_pk FROM cur_cols JOIN customer ON c_custkey = env_id
-  UNION ALL SELECT c_custkey, 'users', 'phone', 'text', false FROM customer, (VALUES (1), (2)) WHERE c_mktsegment = 'BUILDING'),
+lc AS (SELECT env_id, table_name, column_name, CASE WHEN column_name = 'vehicle' AND c_acctbal < 0 THEN '' ELSE type_raw END AS type_raw, is_pk FROM cur_cols JOIN customer ON c_custkey = env_id
+  UNION ALL SELECT c_custkey, 'routes', 'operator', 'text', false FROM customer, (VALUES (1), (2)) WHERE c_mktsegment = 'BUILDING'),
 lx AS (SELECT env_id, table_name, index_name, ordinal, column_name FROM cur_idx
-  UNION ALL SELECT env_id, table_name, index_name, ordinal, column_name FROM cur_idx JOIN customer ON c_custkey = env_id WHERE index_name = 'idx_notes_user_id' AND c_mktsegment = 'HOUSEHOLD'),
+  UNION ALL SELECT env_id, table_name, index_name, ordinal, column_name FROM cur_idx JOIN customer ON c_custkey = env_id WHERE index_name = 'runs_route_left' AND c_mktsegment = 'HOUSEHOLD'),
 lf AS (SELECT env_id, table_name, fk_name, column_name, ref_table FROM des_fks) """
 
 
@@ -221,15 +222,15 @@ def lint_inventory(d: Data):
     )
     names = [*iv.TABLE_KEY, "column_name", "type_raw", "is_pk"]
     cols = d.cur.cols.join(who, "env_id").withColumn(
-        "type_raw", F.when((F.col("column_name") == "title") & (F.col("c_acctbal") < 0), "").otherwise(F.col("type_raw"))
+        "type_raw", F.when((F.col("column_name") == "vehicle") & (F.col("c_acctbal") < 0), "").otherwise(F.col("type_raw"))
     ).select(names).unionByName(
         who.filter("c_mktsegment = 'BUILDING'").select(
-            "env_id", public, F.lit("users").alias("table_name"),
-            F.explode(F.array(F.lit("phone"), F.lit("phone"))).alias("column_name"),
+            "env_id", public, F.lit("routes").alias("table_name"),
+            F.explode(F.array(F.lit("operator"), F.lit("operator"))).alias("column_name"),
             F.lit("text").alias("type_raw"), F.lit(False).alias("is_pk"),
         )
     )
-    again = d.cur.idx.join(who.filter("c_mktsegment = 'HOUSEHOLD'").select("env_id"), "env_id").filter("index_name = 'idx_notes_user_id'")
+    again = d.cur.idx.join(who.filter("c_mktsegment = 'HOUSEHOLD'").select("env_id"), "env_id").filter("index_name = 'runs_route_left'")
     return ln.lint_inventory(tables, cols, d.cur.idx.unionByName(again), d.des.fks).drop("schema_name")
 
 
@@ -241,13 +242,13 @@ def lint_duplicate_pk(d: Data):
 
 
 @query("lint_unknown_type", fleet("cols") + """
-SELECT env_id, table_name, column_name, CASE WHEN column_name = 'email' THEN 'txet' ELSE 'TIMESTAMPZ' END AS type_raw,
-  CASE WHEN column_name = 'email' THEN 'text' ELSE 'timestamp' END AS nearest_type, CASE WHEN column_name = 'email' THEN 2::BIGINT ELSE 1::BIGINT END AS distance
-FROM cur_cols JOIN customer ON c_custkey = env_id WHERE (column_name = 'email' AND c_acctbal < 0) OR (column_name = 'created_at' AND c_mktsegment = 'MACHINERY')""")
+SELECT env_id, table_name, column_name, CASE WHEN column_name = 'code' THEN 'txet' ELSE 'TIMESTAMPZ' END AS type_raw,
+  CASE WHEN column_name = 'code' THEN 'text' ELSE 'timestamp' END AS nearest_type, CASE WHEN column_name = 'code' THEN 2::BIGINT ELSE 1::BIGINT END AS distance
+FROM cur_cols JOIN customer ON c_custkey = env_id WHERE (column_name = 'code' AND c_acctbal < 0) OR (column_name = 'opened_at' AND c_mktsegment = 'MACHINERY')""")
 def lint_unknown_type(d: Data):
     who = d.customer.select(F.col("c_custkey").alias("env_id"), "c_acctbal", "c_mktsegment")
-    typo = F.when((F.col("column_name") == "email") & (F.col("c_acctbal") < 0), "txet").when(
-        (F.col("column_name") == "created_at") & (F.col("c_mktsegment") == "MACHINERY"), "TIMESTAMPZ"
+    typo = F.when((F.col("column_name") == "code") & (F.col("c_acctbal") < 0), "txet").when(
+        (F.col("column_name") == "opened_at") & (F.col("c_mktsegment") == "MACHINERY"), "TIMESTAMPZ"
     ).otherwise(F.col("type_raw"))
     found = ln.lint_unknown_type(d.cur.cols.join(who, "env_id").withColumn("type_raw", typo))
     return found.select("env_id", "table_name", "column_name", "type_raw", "nearest_type", F.col("distance").cast("bigint").alias("distance"))

@@ -35,9 +35,9 @@ def fk_orphans_composite(d: Data):
 
 _BROKEN_FKS = """broken AS (
   SELECT f.env_id, f.schema_name, f.table_name, f.fk_name, f.ordinal, f.column_name,
-    CASE WHEN c.c_nationkey = 6 AND f.fk_name = 'notes_user_id_fkey' THEN 'people' ELSE f.ref_table END AS ref_table,
-    CASE WHEN c.c_nationkey = 7 AND f.fk_name = 'notes_user_id_fkey' THEN 'uid'
-         WHEN c.c_nationkey = 9 AND f.fk_name = 'note_tags_note_id_fkey' THEN NULL ELSE f.ref_column END AS ref_column
+    CASE WHEN c.c_nationkey = 6 AND f.fk_name = 'runs_route_id_fkey' THEN 'services' ELSE f.ref_table END AS ref_table,
+    CASE WHEN c.c_nationkey = 7 AND f.fk_name = 'runs_route_id_fkey' THEN 'rid'
+         WHEN c.c_nationkey = 9 AND f.fk_name = 'calls_run_id_fkey' THEN NULL ELSE f.ref_column END AS ref_column
   FROM des_fks f JOIN customer c ON c.c_custkey = f.env_id)"""
 
 
@@ -53,10 +53,10 @@ SELECT DISTINCT env_id, table_name, fk_name, problem,
 FROM judged WHERE problem IS NOT NULL""")
 def fk_target_exists(d: Data):
     fk, nation = F.col("fk_name"), F.col("c_nationkey")
-    to_user, to_note = fk == "notes_user_id_fkey", fk == "note_tags_note_id_fkey"
+    to_route, to_run = fk == "runs_route_id_fkey", fk == "calls_run_id_fkey"
     broken = d.des.fks.join(d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey"), "env_id").withColumns({
-        "ref_table": F.when((nation == 6) & to_user, "people").otherwise(F.col("ref_table")),
-        "ref_column": F.when((nation == 7) & to_user, "uid").when((nation == 9) & to_note, F.lit(None)).otherwise(
+        "ref_table": F.when((nation == 6) & to_route, "services").otherwise(F.col("ref_table")),
+        "ref_column": F.when((nation == 7) & to_route, "rid").when((nation == 9) & to_run, F.lit(None)).otherwise(
             F.col("ref_column")),
     })
     return rf.fk_target_exists(broken, d.cur.tables, d.cur.cols)

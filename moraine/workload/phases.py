@@ -114,9 +114,9 @@ def archive_restore(d: Data):
 
 
 @query("drop_table_guard", fleet("fks") + """
-SELECT env_id, table_name, fk_name FROM cur_fks WHERE ref_table = 'notes' AND table_name <> 'notes'""")
+SELECT env_id, table_name, fk_name FROM cur_fks WHERE ref_table = 'runs' AND table_name <> 'runs'""")
 def drop_table_guard(d: Data):
-    return ph.drop_table_guard(d.cur.fks, "notes").select("env_id", "table_name", "fk_name")
+    return ph.drop_table_guard(d.cur.fks, "runs").select("env_id", "table_name", "fk_name")
 
 
 @query("drop_table", """

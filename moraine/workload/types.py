@@ -15,7 +15,7 @@ _SPELLINGS = [
     "timestamptz", "pg_catalog.bool", "my_schema.mood", "text[][]", "serial4",
 ]
 _DEFAULTS = [
-    "'{}'::jsonb", "now()", "nextval('users_id_seq'::regclass)", "'a::b'", "(now() at time zone 'utc'::text)",
+    "'{}'::jsonb", "now()", "nextval('routes_route_id_seq'::regclass)", "'a::b'", "(now() at time zone 'utc'::text)",
     "'x'::character varying", "0", "'it''s'::text",
 ]
 
