@@ -11,8 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from moraine.operators.drift import Inventory, canonical_schema
-from moraine.operators.inventory import TABLE_KEY
+from moraine.operators.drift import Inventory
+from moraine.operators.inventory import TABLE_KEY, grouped_keys
 
 # The fields of the document contract, required ones first.
 DOCUMENT = (("tables",), ("dialect",))
@@ -143,13 +143,46 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
     return SchemaDocs(Inventory(good.select(*TABLE_KEY, "rls_enabled"), cols, idx, fks), rejected)
 
 
+def schema_documents(inv: Inventory) -> DataFrame:
+    """``env_id, document`` with all that an inventory holds: schemas, row security, types as they are, column order.
+
+    Lists are columns of a table and tables of an environment.
+    """
+    column = F.struct("ordinal", F.struct(
+        F.col("column_name").alias("name"), F.col("type_raw").alias("type"), "nullable",
+        F.col("default_raw").alias("default"), F.col("is_pk").alias("is_primary_key")).alias("v"))
+    tables = inv.tables.join(
+        inv.cols.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(column)).alias("_c")), TABLE_KEY, "left")
+    body = {
+        "name": F.col("table_name"), "schema": F.col("schema_name"), "rls_enabled": F.col("rls_enabled"),
+        "columns": F.transform("_c", lambda c: c["v"]),
+    }
+    if inv.idx is not None:
+        entry = F.struct(F.col("index_name").alias("name"), F.col("column_names").alias("columns"), F.col("is_unique").alias("unique"))
+        tables = tables.join(grouped_keys(inv.idx, "index_name", ["column_name"], ["is_unique"]).groupBy(*TABLE_KEY).agg(
+            F.array_sort(F.collect_list(entry)).alias("_x")), TABLE_KEY, "left")
+        body["indexes"] = F.col("_x")
+    if inv.fks is not None:
+        entry = F.struct(
+            F.col("fk_name").alias("name"), F.col("column_names").alias("columns"), F.col("ref_table").alias("referenced_table"),
+            F.col("ref_columns").alias("referenced_columns"), "on_delete", "on_update")
+        keys = grouped_keys(inv.fks, "fk_name", ["column_name", "ref_column"], ["ref_table", "on_delete", "on_update"])
+        tables = tables.join(keys.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_f")), TABLE_KEY, "left")
+        body["foreign_keys"] = F.col("_f")
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in body.items()]))
+    sorted_tables = F.array_sort(F.collect_list(F.struct("schema_name", "table_name", text.alias("text"))))
+    return tables.groupBy("env_id").agg(sorted_tables.alias("_t")).select("env_id", F.concat(
+        F.lit('{"tables":['), F.array_join(F.transform("_t", lambda t: t["text"]), ","), F.lit("]}")).alias("document"))
+
+
 def write_inventory(inv: Inventory, path: str, buckets: int = 64, files: int = 4) -> None:
     """Each environment's schema as a JSON document, one per line, in hashed folders.
 
     Folders are hash buckets rather than environments, so a fleet of millions
-    does not become millions of folders; each gets about ``files`` files.
+    does not become millions of folders; each gets about ``files`` files.  Read
+    back, the documents give the same inventory, columns numbered from one.
     """
-    docs = canonical_schema(inv)
+    docs = schema_documents(inv)
     lines = docs.select(
         F.pmod(F.xxhash64("env_id"), F.lit(buckets)).alias("env_bucket"),
         F.to_json(F.struct(F.col("env_id").cast("string").alias("env_id"), "document")).alias("value"),

@@ -155,15 +155,28 @@ def serial_columns(d: Data):
     )
 
 
-@query("write_inventory", fleet("tables", "cols") + """
-SELECT env_id, count(DISTINCT table_name) AS tables, count(*) AS columns FROM cur_cols GROUP BY env_id""")
+@query("write_inventory", fleet("tables", "cols", "idx", "fks") + """
+SELECT 'table' AS kind, env_id, schema_name, table_name, '' AS name, 0 AS place, CAST(rls_enabled AS VARCHAR) AS detail FROM cur_tables
+UNION ALL SELECT 'column', env_id, schema_name, table_name, column_name, row_number() OVER (PARTITION BY env_id, table_name ORDER BY ordinal),
+  concat_ws('|', type_raw, nullable, coalesce(default_raw, ''), is_pk) FROM cur_cols
+UNION ALL SELECT 'index', env_id, schema_name, table_name, index_name, ordinal, concat_ws('|', column_name, is_unique) FROM cur_idx
+UNION ALL SELECT 'foreign_key', env_id, schema_name, table_name, fk_name, ordinal,
+  concat_ws('|', column_name, ref_table, ref_column, coalesce(on_delete, '')) FROM cur_fks""")
 def write_inventory(d: Data):
     path = scratch_dir(d.spark, "inventory")
     sd.write_inventory(dr.Inventory(d.cur.tables, d.cur.cols, d.cur.idx, d.cur.fks), path)
     back = sd.read_schema_docs(d.spark, path, one_per_line=True).inventory
-    return back.cols.groupBy(F.col("env_id").cast("bigint").alias("env_id")).agg(
-        F.count_distinct("table_name").alias("tables"), F.count(F.lit(1)).alias("columns")
-    )
+
+    def rows(df, kind, name, place, *detail):
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in detail])
+        return df.select(F.lit(kind).alias("kind"), F.col("env_id").cast("bigint").alias("env_id"), "schema_name", "table_name",
+                         name.alias("name"), place.cast("bigint").alias("place"), text.alias("detail"))
+
+    at = F.col("ordinal")
+    return rows(back.tables, "table", F.lit(""), F.lit(0), "rls_enabled") \
+        .unionByName(rows(back.cols, "column", F.col("column_name"), at, "type_raw", "nullable", "default_raw", "is_pk")) \
+        .unionByName(rows(back.idx, "index", F.col("index_name"), at, "column_name", "is_unique")) \
+        .unionByName(rows(back.fks, "foreign_key", F.col("fk_name"), at, "column_name", "ref_table", "ref_column", "on_delete"))
 
 
 @query("read_schema_docs", fleet("tables", "cols") + """
