@@ -16,11 +16,15 @@ from moraine.operators.inventory import TABLE_KEY, grouped_keys
 
 # The fields of the document contract, required ones first.
 DOCUMENT = (("tables",), ("dialect",))
-TABLE = (("name", "columns"), ("indexes", "foreign_keys", "schema", "rls_enabled", "policies"))
+TABLE = (("name", "columns"), ("indexes", "foreign_keys", "schema", "rls_enabled"))
 COLUMN = (("name", "type", "nullable", "is_primary_key"), ("default", "type_metadata", "default_metadata"))
 INDEX = (("name", "columns", "unique"), ())
 FOREIGN_KEY = (("name", "columns", "referenced_table", "referenced_columns"), ("on_delete", "on_update"))
 
+# What names look like, and the dialects a document may name.
+NAME = "^[a-z_][a-z0-9_]*$"
+DIALECTS = ("postgres", "sqlite", "")
+
 # The referential actions a document may name.
 ACTIONS = ("NO ACTION", "RESTRICT", "CASCADE", "SET NULL", "SET DEFAULT")
 
@@ -56,12 +60,17 @@ def read_schema_docs(spark: SparkSession, path: str, one_per_line: bool = False)
 
 
 def _problem(text: Column, parsed: Column, contract, where: str) -> Column:
-    """Array of problems of one JSON object: unknown and missing fields."""
+    """Array of problems of one JSON object: unknown and missing fields, a name that is none."""
     required, optional = contract
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     unknown = F.array_except(keys, F.array(*[F.lit(k) for k in required + optional]))
     missing = F.array_compact(F.array(*[F.when(parsed[k].isNull(), F.lit(k)) for k in required]))
+    named = F.array().cast("array<string>")
+    if "name" in required:
+        bad = parsed["name"].isNotNull() & ~parsed["name"].rlike(NAME)
+        named = F.when(bad, F.array(F.concat(F.lit(f"bad {where} name "), parsed["name"]))).otherwise(named)
     return F.concat(
+        named,
         F.transform(unknown, lambda k: F.concat(F.lit(f"unknown {where} field "), k)),
         F.transform(missing, lambda k: F.concat(F.lit(f"missing {where} field "), k)),
     )
@@ -91,9 +100,11 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
         return F.transform(unknown, lambda a: F.concat(F.lit("unknown action "), a))
 
     top = docs.select("env_id", "document", F.from_json("document", f"struct<tables:{raw},dialect:string>").alias("d"))
+    strange = F.coalesce(~F.col("d.dialect").isin(*DIALECTS), F.lit(False))
+    dialect = F.when(strange, F.array(F.concat(F.lit("unknown dialect "), F.col("d.dialect")))).otherwise(none)
     # each step is a column of its own, so no text is parsed twice over
     parsed = top.select(
-        "env_id", _problem(F.col("document"), F.col("d"), DOCUMENT, "document").alias("p"),
+        "env_id", F.concat(_problem(F.col("document"), F.col("d"), DOCUMENT, "document"), dialect).alias("p"),
         objects(F.col("d.tables"), table_type, TABLE, "table").alias("ts"),
     )
     deep = parsed.select("env_id", "p", F.transform("ts", lambda t: F.struct(

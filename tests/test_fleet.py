@@ -296,9 +296,29 @@ def test_schema_documents_from_files(spark, tmp_path):
     assert [(r.ref_table, r.ref_column, r.on_delete) for r in docs.inventory.fks.collect()] == [("users", "id", "CASCADE")]
 
 
+def test_documents_name_every_problem(spark):
+    column = '{"name":"id","type":"integer","nullable":false,"is_primary_key":true}'
+    docs = {
+        "ok": '{"dialect":"sqlite","tables":[{"name":"t_1","columns":[' + column + ']}]}',
+        "names": '{"tables":[{"name":"Bad-Name","columns":[' + column.replace('"id"', '"2nd"') + ']}]}',
+        "dialect": '{"dialect":"oracle","tables":[{"name":"t","columns":[' + column + ']}]}',
+        "three": '{"tables":[{"name":"t","owner":"me","policies":[{"x":1}],"columns":[' + column.replace('"nullable":false,', "") + ']}]}',
+    }
+    read = sd.parse_schema_docs(spark.createDataFrame(list(docs.items()), "env_id string, document string"))
+    got = {}
+    for r in read.rejected.collect():
+        got.setdefault(r.env_id, set()).add(r.problem)
+    assert got == {
+        "names": {"bad table name Bad-Name", "bad column name 2nd"}, "dialect": {"unknown dialect oracle"},
+        "three": {"unknown table field owner", "unknown table field policies", "missing column field nullable"}}
+    assert [r.env_id for r in read.inventory.tables.collect()] == ["ok"]
+
+
 def test_written_inventory_reads_back_equal(spark, scratch):
     inv = inventory(spark, {"e": FULL, "f": {"users": FULL["users"]}})
-    plain = dr.Inventory(inv.tables.filter("table_name = 'users'"), inv.cols, inv.idx)
+    named = inv.cols.withColumn("default_raw", F.coalesce("default_raw", F.lit("'<&>'"))).withColumn(
+        "column_name", F.regexp_replace("column_name", "[<&>]", "_"))
+    plain = dr.Inventory(inv.tables.filter("table_name = 'users'"), named, inv.idx)
     sd.write_inventory(plain, scratch)
     back = sd.read_schema_docs(spark, scratch, one_per_line=True)
     assert back.rejected.isEmpty()
