@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from moraine.llm.common import fold
 
 SAMPLE = 2000  # documents of either label that the model is fitted on
-SAMPLE_BYTES = 12 << 20  # and bytes of their texts, by whole documents
+SAMPLE_BYTES = 8 << 20  # and bytes of their texts, by whole documents
 SLOTS = 1 << 18  # hashed weights
 WORDS_HELD = 500_000
 EDGES = b".,;:!?|\"'()[]{}<>*_#"
@@ -215,6 +215,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, in_all: tuple[int, int]) -> Model
     n, begins, owner = lined_up(lists)
     number: dict[bytes, int] = {}
     token = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64, int(n.sum()))
+    documents = len(lists)
+    del lists, texts  # only numbers are needed from here on
     weights, chain = none.weights, none.chain
     if bad and len(token) > 1:
         tags = np.array([w in bad for w in number], bool)[token] & (toxic[owner] == 1)
@@ -222,8 +224,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, in_all: tuple[int, int]) -> Model
     model = Model(weights, chain, none.head)
     scores = np.array([weights[slots(w)].sum() for w in number]) + weights[-1]
     p = chain.marginals(scores[token], begins)[0] if len(token) else np.zeros(0)
-    expected, largest = summary(p, owner, len(lists))
-    x = np.stack([np.ones(len(lists)), np.log1p(expected), largest], 1)
+    expected, largest = summary(p, owner, documents)
+    x = np.stack([np.ones(documents), np.log1p(expected), largest], 1)
     weight = np.where(toxic == 1, in_all[1] / max(1, toxic.sum()), in_all[0] / max(1, (toxic == 0).sum()))
     weight = weight / weight.mean()
     head = np.zeros(3)
@@ -265,8 +267,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         size += len(row.text)
         if size > SAMPLE_BYTES:
             break
-    toxic = np.array([r.toxic for r in got], np.int64)
-    return fit([bytes(r.text) for r in got], toxic, (in_all.get(0, 0), in_all.get(1, 0)))
+    toxic, raw = np.array([r.toxic for r in got], np.int64), [bytes(r.text) for r in got]
+    del got
+    return fit(raw, toxic, (in_all.get(0, 0), in_all.get(1, 0)))
 
 
 SCORED = "id {key}, held_out boolean, score double, predicted int, toxic_tokens double, spans string"
