@@ -262,7 +262,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(picked), "id").orderBy(order, "id", "text").limit(2 * SAMPLE)  # the limit is the sample's bound
     got, size = [], 0
+    seen: set[bytes] = set()
     for row in rows.toLocalIterator():
+        if bytes(row.text) in seen:  # copies would make the words of one text look significant
+            continue
+        seen.add(bytes(row.text))
         got.append(row)
         size += len(row.text)
         if size > SAMPLE_BYTES:
