@@ -34,7 +34,7 @@ def op3_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), edits=None, least=1)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
