@@ -7,7 +7,7 @@ trained on all tokens of the sample by its exact gradient; its marginals give
 spans, and the expected number of toxic tokens and the largest marginal give the
 document's probability through a small logistic regression.
 
-The sample (``SAMPLE`` documents of either label) and the model stay small at
+The sample (``SAMPLE`` documents and half of ``SAMPLE_BYTES`` for either label) and the model stay small at
 any size of the input; every document is scored in place, by its whole text.
 """
 
@@ -25,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from moraine.llm.common import fold
+from moraine.session import staged
 
 SAMPLE = 2000  # documents of either label that the model is fitted on
-SAMPLE_BYTES = 8 << 20  # and bytes of their texts, by whole documents
+SAMPLE_BYTES = 8 << 20  # and bytes of their texts, half for either label, by whole documents
+SHARE = 64  # a text over this part of its label's bytes comes after all others
 SLOTS = 1 << 18  # hashed weights
 WORDS_HELD = 500_000
 EDGES = b".,;:!?|\"'()[]{}<>*_#"
@@ -252,25 +254,35 @@ class Emissions(dict):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """Fit on ``SAMPLE`` labelled documents of either kind; held-out rows and null labels are left out."""
+    """Fit on ``SAMPLE`` labelled documents of either kind; held-out rows and null labels are left out.
+
+    Sizes and hashes are sampled first, so each label goes on until it has its
+    documents or its bytes, whatever the other one has; only picked texts are fetched.
+    """
     known = labels.filter((fold(F.col(id_col)) != 0) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)) \
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
     in_all = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.lit(29), "id")
-    picked = known.filter("toxic = 0").orderBy(order, "id").limit(SAMPLE).unionAll(
-        known.filter("toxic = 1").orderBy(order, "id").limit(SAMPLE))
+    bound = SAMPLE_BYTES // 2
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").orderBy(order, "id", "text").limit(2 * SAMPLE)  # the limit is the sample's bound
-    got, size = [], 0
-    seen: set[bytes] = set()
-    for row in rows.toLocalIterator():
-        if bytes(row.text) in seen:  # copies would make the words of one text look significant
-            continue
-        seen.add(bytes(row.text))
-        got.append(row)
-        size += len(row.text)
-        if size > SAMPLE_BYTES:
-            break
+    sizes = texts.select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("body"))
+    # one row an id, a short one if there is any; copies of a text would make its words look significant
+    sizes = sizes.join(known, "id").groupBy("id", "toxic").agg(
+        F.min(F.struct((F.col("size") > bound // SHARE).alias("long"), "body", "size")).alias("row"))
+    sizes = staged(sizes.groupBy("row.size", "row.body").agg(
+        F.min(F.struct("row.long", order.alias("place"), "id", "toxic")).alias("row")).select("size", "body", "row.*"), "toxic-sizes")
+    picked = []
+    for label in (0, 1):
+        left, first = bound, True
+        for row in sizes.filter(F.col("toxic") == label).orderBy("long", "place", "id").limit(SAMPLE).collect():
+            if row.size <= left or first:  # a text that does not fit is skipped; a label has one at least
+                picked.append((row.id, row.toxic, row.size, row.body))
+                left, first = left - row.size, False
+    rows = docs.sparkSession.createDataFrame(
+        picked, docs.select(F.col(id_col).alias("id")).schema.add("toxic", "integer").add("size", "integer").add("body", "long"))
+    rows = texts.join(F.broadcast(rows), "id").filter("octet_length(text) = size AND xxhash64(text) = body") \
+        .dropDuplicates(["id"]).orderBy(order, "id")
+    got = list(rows.toLocalIterator())
     toxic, raw = np.array([r.toxic for r in got], np.int64), [bytes(r.text) for r in got]
     del got
     return fit(raw, toxic, (in_all.get(0, 0), in_all.get(1, 0)))
