@@ -221,7 +221,7 @@ VALUES = "block long, word binary, code long, n long, value double"
 SCORES = ("id {key}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
 
 
-def score_texts(docs: DataFrame, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     The model learns from documents whose crc32(id as text) mod 5 is not 1.
