@@ -99,8 +99,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    rows = numbered(docs, "radix-docs")
-    body = normal_text(F.col(text_col)).cast("binary")
-    groups = copy_groups(rows.select("row", F.col(id_col).alias("id"), body.alias("body")))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("kept_columns")), "radix-docs")
+    kept = F.col("kept_columns")
+    body = normal_text(kept[text_col]).cast("binary")
+    groups = copy_groups(rows.select("row", kept[id_col].alias("id"), body.alias("body")))
     gone = staged(groups.filter("row <> keep_row").select("row"), "radix-gone")
-    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "row", "left_anti").select("kept_columns.*")

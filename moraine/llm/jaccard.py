@@ -414,10 +414,11 @@ def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
     """The row with the smallest id of every component (null ids last), all columns as they are."""
     from moraine.llm.common import numbered
 
-    rows = numbered(docs, "jaccard-docs")
-    parts = jaccard_components(rows.select("row", text_col), words, percent, "row", text_col)
-    named = staged(rows.select("row", F.col(id_col).alias("id")).join(parts, "row"), "jaccard-rows")
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("kept_columns")), "jaccard-docs")
+    kept = F.col("kept_columns")
+    parts = jaccard_components(rows.select("row", kept[text_col].alias("text")), words, percent, "row", "text")
+    named = staged(rows.select("row", kept[id_col].alias("id")).join(parts, "row"), "jaccard-rows")
     stays = named.groupBy("component_id").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least")).select(
         F.col("least.row").alias("row"))
-    return rows.join(staged(stays, "jaccard-stays"), "row", "left_semi").select(*docs.columns)
+    return rows.join(staged(stays, "jaccard-stays"), "row", "left_semi").select("kept_columns.*")
