@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import exact_dedup, fingerprints, jaccard, line_dedup, mixing, packing, pii, scoring, toxicity, url_rules
+from moraine.llm import collocations, exact_dedup, fingerprints, jaccard, line_dedup, mixing, packing, pii, scoring, toxicity, url_rules
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,10 +63,53 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10
+), cut_parts AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand)
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.c AS l, r.c AS r, (1000000::HUGEINT * c.a * c.a) // (l.c * r.c) AS score
+  FROM cut_parts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer
+  FROM cand WHERE k = 3
+), widest AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN widest i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a
+)
+SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_exact_dedup, op3_score_texts, op4_line_dedup, op5_pack, op6_toxic_spans, op7_fingerprints,
-    op8_jaccard_join, op9_url_rules, op10_personal_data)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+    op8_jaccard_join, op9_url_rules, op10_personal_data,
+    op12_mine_phrases)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_mine_phrases": OP12_SQL}
 
 
 def queries() -> dict[str, Query]:
