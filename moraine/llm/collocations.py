@@ -29,14 +29,14 @@ from moraine.llm.words import BREAK_BYTE, GAP_BYTE, raw_bytes, slices, split_wor
 from moraine.session import staged
 
 SHARDS = 3
-BLOCK = 16 << 20  # bytes of text coded together; a longer text is a block of its own
+BLOCK = 8 << 20  # bytes of text coded together; a longer text is a block of its own
 BLOOM_BITS = 25  # the filter of reached pairs has 2^25 bits, 4 MiB, whatever the input
 EMIT = 1 << 16  # rows of an Arrow batch
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = GAP_BYTE
 KINDS[list(b".,;:!?\n\x0b\x0c\r")] = BREAK_BYTE
 BLOCKS = "shard int, lang string, words array<string>, codes binary, first binary"
-COUNTS = "lang string, phrase string, k int, n long"
+COUNTS = "lang string, phrase string, k int, since int, n long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,33 +103,37 @@ def coded_blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) ->
     return staged(rows.mapInArrow(made, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "phrase-blocks")
 
 
-def _counted(lang: str, parts: list[pa.Array], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counted(lang: str, parts: list[pa.Array], since: np.ndarray | int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(n), EMIT):
         some = [p.slice(lo, EMIT) for p in parts]
-        phrase = pc.binary_join_element_wise(*some, " ") if len(some) > 1 else some[0]
-        yield pa.record_batch({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase.cast(pa.string()),
-                               "k": pa.repeat(pa.scalar(len(parts), pa.int32()), len(phrase)), "n": pa.array(n[lo:lo + EMIT], pa.int64())})
+        phrase = (pc.binary_join_element_wise(*some, " ") if len(some) > 1 else some[0]).cast(pa.string())
+        when = pa.repeat(pa.scalar(since, pa.int32()), len(phrase)) if isinstance(since, int) else pa.array(since[lo:lo + EMIT], pa.int32())
+        yield pa.record_batch({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase,
+                               "k": pa.repeat(pa.scalar(len(parts), pa.int32()), len(phrase)), "since": when,
+                               "n": pa.array(n[lo:lo + EMIT], pa.int64())})
 
 
-def _phrases(lang: str, words: pa.Array, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Distinct phrases among aligned word codes, with counts."""
+def _phrases(lang: str, words: pa.Array, ids: list[np.ndarray], since: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases among aligned word codes, with counts; ``since`` belongs to the phrase."""
     if not len(ids[0]):
         return
     size = len(words)
-    key = ids[0]
+    key = ids[0].astype(np.int64)
     for more in ids[1:]:
         if int(key.max()) >= (1 << 62) // size:  # keys too wide: number the distinct beginnings first
             key = np.unique(key, return_inverse=True)[1]
         key = key * size + more
     _, at, n = np.unique(key, return_index=True, return_counts=True)
-    yield from _counted(lang, [words.take(pa.array(i[at])) for i in ids], n)
+    del key
+    yield from _counted(lang, [words.take(pa.array(i[at])) for i in ids], since if isinstance(since, int) else since[at], n)
 
 
 def scan(blocks: DataFrame, step: int, shards: int, bloom, recent) -> DataFrame:
-    """Counts of the phrases of two and three words that the step looks at, by (lang, phrase), before the exact test.
+    """Phrases of two and three words that the step looks at, counted by block.
 
     ``blocks`` carry ``at`` and ``reached``: codes of their words that reached
-    the threshold before this step, and the steps.
+    the threshold, and the steps.  ``since`` is the step at which the later word
+    of a pair did; whether a triple is counted is for an exact join to say.
     """
     oldest = step - shards
 
@@ -137,16 +141,18 @@ def scan(blocks: DataFrame, step: int, shards: int, bloom, recent) -> DataFrame:
         for batch in source:
             for i in range(batch.num_rows):
                 lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4").astype(np.int64)
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
                 first = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
-                when = np.full(len(words), 1 << 30, np.int64)
+                when = np.full(len(words), 1 << 30, np.int32)
                 when[batch.column("at")[i].values.to_numpy()] = batch.column("reached")[i].values.to_numpy()
-                pair = np.flatnonzero(~first[1:] & (np.maximum(when[codes[1:]], when[codes[:-1]]) < step))
-                since = np.maximum(when[codes[pair]], when[codes[pair + 1]])
-                fresh = pair[since >= oldest]
-                yield from _phrases(lang, words, [codes[fresh], codes[fresh + 1]])
+                since = np.maximum(when[codes[1:]], when[codes[:-1]])
+                counted = ~first[1:] & (since < step)
+                fresh = np.flatnonzero(counted & (since >= oldest))
+                yield from _phrases(lang, words, [codes[fresh], codes[fresh + 1]], since[fresh])
                 if bloom is None:
                     continue
+                del fresh, since
+                pair = np.flatnonzero(counted)
                 hashes = word_hashes(words.to_pylist())
                 places = bloom_places(pair_hashes(lang, hashes[codes[pair]], hashes[codes[pair + 1]]))
                 hit = np.zeros(len(codes), np.uint8)
@@ -158,10 +164,10 @@ def scan(blocks: DataFrame, step: int, shards: int, bloom, recent) -> DataFrame:
                     hit[pair[both]] |= value
                 here, after = hit[:-1], hit[1:]
                 three = np.flatnonzero((here & after & 1 == 1) & ((here | after) & 2 == 2))
-                yield from _phrases(lang, words, [codes[three], codes[three + 1], codes[three + 2]])
+                yield from _phrases(lang, words, [codes[three], codes[three + 1], codes[three + 2]], -1)
 
     made: Callable = count
-    return blocks.mapInArrow(made, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return blocks.select("lang", "words", "codes", "first", "at", "reached").mapInArrow(made, COUNTS)
 
 
 def bloom_of(pairs: DataFrame) -> bytes:
@@ -189,77 +195,100 @@ def bloom_of(pairs: DataFrame) -> bytes:
     return out.astype("<i8").tobytes()
 
 
-def _added(state: DataFrame | None, counts: DataFrame, step: int, least: int, label: str) -> DataFrame:
-    """State (lang, phrase, k, n, reached) with the counts of a step; ``reached``: the first step at whose end n >= least."""
-    now = counts.select("lang", "phrase", "k", "n", F.lit(None).cast("int").alias("reached"))
+def word_counts(blocks: DataFrame) -> DataFrame:
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].values
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
+                yield from _counted(batch.column("lang")[i].as_py(), [words], -1, np.bincount(codes, minlength=len(words)))
+
+    made: Callable = count
+    return blocks.select("lang", "words", "codes").mapInArrow(made, COUNTS).select("lang", "phrase", "n")
+
+
+def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """The blocks with the codes of their words among ``words``, and the steps at which those reached the threshold."""
+    known = words.select("lang", F.col("phrase").alias("word"), "reached")
+    held = blocks.select("block", "lang", F.posexplode("words").alias("at", "word")).join(known, ["lang", "word"]) \
+        .groupBy("block").agg(F.collect_list(F.struct("at", "reached")).alias("held"))
+    return blocks.join(held, "block").select("shard", "lang", "words", "codes", "first", F.col("held.at").alias("at"),
+                                             F.col("held.reached").alias("reached"))
+
+
+def _after(state: DataFrame | None, found: DataFrame, step: int, shards: int, least: int) -> DataFrame:
+    """Pairs and triples (lang, phrase, k, since, n, reached) after a step.
+
+    Counts still open are kept whole; of those that have seen their full cycle
+    only the frequent ones, so what is carried from step to step is small once
+    most phrases have been counted.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("int")
+    both = found.select("lang", "phrase", "k", "since", zero.alias("n"), "n", none.alias("reached")).toDF(
+        "lang", "phrase", "k", "since", "n", "more", "reached")
     if state is not None:
-        now = state.unionByName(now)
-    return staged(now.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
-                  .withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))), label)
+        both = state.select("lang", "phrase", "k", "since", "n", zero.alias("more"), "reached").unionAll(both)
+    merged = both.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("since").alias("since"), F.sum("n").alias("n"),
+                                                F.sum("more").alias("more"), F.min("reached").alias("reached"))
+    now = merged.filter("k = 2")
+    if state is not None:
+        # the exact test that the Bloom filter only foretold: both pairs reached, the later one within the last cycle
+        open_pairs = state.filter((F.col("k") == 2) & F.col("reached").isNotNull()).select("lang", "phrase", "reached")
+        head = open_pairs.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("one"))
+        tail = open_pairs.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("two"))
+        three = merged.filter("k = 3 and more > 0").withColumns({
+            "head": F.substring_index("phrase", " ", 2), "tail": F.substring_index("phrase", " ", -2)}) \
+            .join(head, ["lang", "head"]).join(tail, ["lang", "tail"]).withColumn("since", F.greatest("one", "two")) \
+            .withColumn("more", F.when(F.col("since") >= step - shards, F.col("more")).otherwise(zero)).filter("n + more > 0")
+        now = now.unionByName(three.select(*now.columns)).unionByName(merged.filter("k = 3 and more = 0"))
+    total = F.col("n") + F.col("more")
+    return staged(now.filter((F.col("since") > step - shards) | (total >= least)).select(
+        "lang", "phrase", "k", "since", total.alias("n"),
+        F.coalesce("reached", F.when(total >= least, F.lit(step))).alias("reached")), "phrase-longer")
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_col: str = "text",
                   lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, pairs, triples): lang, phrase, n of all words and of the phrases that may be frequent, n over all texts."""
+    """(words, pairs, triples): lang, phrase, n of all words and of the frequent phrases, n over all texts."""
     spark: SparkSession = docs.sparkSession
     blocks = coded_blocks(docs, shards, text_col, lang_col)
     words: DataFrame | None = None
     longer: DataFrame | None = None  # pairs and triples
+    final: DataFrame | None = None  # blocks with the steps of their words, once all words are counted
     step, last = 0, shards - 1
     while step <= last:
-        shard = blocks.filter(F.col("shard") == step % shards)
+        here = F.col("shard") == step % shards
         if step:
-            # words that reached the threshold before this step, brought to the blocks that hold them
-            known = words.filter(F.col("reached") < step).select("lang", F.col("phrase").alias("word"), "reached")
-            held = shard.select("block", "lang", F.posexplode("words").alias("at", "word")).join(known, ["lang", "word"]) \
-                .groupBy("block").agg(F.collect_list(F.struct("at", "reached")).alias("held"))
-            ready = shard.join(held, "block").select("lang", "words", "codes", "first", F.col("held.at").alias("at"),
-                                                     F.col("held.reached").alias("reached"))
+            ready = final.filter(here) if final is not None else _with_words(
+                blocks.filter(here), words.filter(F.col("reached").isNotNull()))
             bloom = recent = None
-            open_pairs = longer.filter((F.col("k") == 2) & (F.col("reached") < step)) if longer is not None else None
-            if open_pairs is not None:
-                bloom = recent = spark.sparkContext.broadcast(bloom_of(open_pairs))
+            if longer is not None:
+                pairs = longer.filter((F.col("k") == 2) & F.col("reached").isNotNull())
+                bloom = recent = spark.sparkContext.broadcast(bloom_of(pairs))
                 if step > shards:
-                    recent = spark.sparkContext.broadcast(bloom_of(open_pairs.filter(F.col("reached") >= step - shards)))
-            found = scan(ready, step, shards, bloom, recent)
-            now = found.filter("k = 2")
-            if open_pairs is not None:
-                when = open_pairs.select("lang", "phrase", "reached")
-                head = when.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("one"))
-                tail = when.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("two"))
-                three = found.filter("k = 3").withColumns({
-                    "head": F.substring_index("phrase", " ", 2), "tail": F.substring_index("phrase", " ", -2)}) \
-                    .join(head, ["lang", "head"]).join(tail, ["lang", "tail"]) \
-                    .filter(F.greatest("one", "two") >= step - shards)
-                now = now.unionByName(three.select(*now.columns))
-            longer = _added(longer, now, step, least, "phrase-longer")
+                    recent = spark.sparkContext.broadcast(bloom_of(pairs.filter(F.col("reached") >= step - shards)))
+            longer = _after(longer, scan(ready, step, shards, bloom, recent), step, shards, least)
             for bits in {id(x): x for x in (bloom, recent) if x is not None}.values():
                 bits.unpersist()
         if step < shards:
-            words = _added(words, word_counts(shard), step, least, "phrase-words")
+            more = word_counts(blocks.filter(here)).withColumn("reached", F.lit(None).cast("int"))
+            more = words.unionByName(more) if words is not None else more
+            words = staged(more.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
+                           .withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))), "phrase-words")
         # a phrase that becomes countable at step s is done after step s + shards - 1
         if step == shards - 1:
-            last = max([last, *(r + shards for r in [words.agg(F.max("reached")).first()[0]] if r is not None)])
+            reached = words.agg(F.max("reached")).first()[0]
+            if reached is not None:
+                last = max(last, reached + shards)
+                final = staged(_with_words(blocks, words.filter(F.col("reached").isNotNull())), "phrase-ready")
         elif step == last and longer is not None:
             reached = longer.filter("k = 2").agg(F.max("reached")).first()[0]
             last = max(last, reached + shards) if reached is not None else last
         step += 1
-    longer = longer if longer is not None else words.limit(0)
+    longer = longer if longer is not None else words.limit(0).withColumn("k", F.lit(2))
     return tuple(x.select("lang", "phrase", "n") for x in (words, longer.filter("k = 2"), longer.filter("k = 3")))
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for i in range(batch.num_rows):
-                words = batch.column("words")[i].values
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
-                yield from _counted(batch.column("lang")[i].as_py(), [words], np.bincount(codes, minlength=len(words)))
-
-    made: Callable = count
-    return blocks.select("lang", "words", "codes").mapInArrow(made, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-
-
 def mine_phrases(docs: DataFrame, least: int = 10, top: int | None = 2000, shards: int = SHARDS, share: int = 50,
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the phrases of two and three words, best first in each language.
