@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import collocations, exact_dedup, fingerprints, jaccard, line_dedup, mixing, packing, pii, scoring, toxicity, url_rules
+from moraine.llm import collocations, exact_dedup, fingerprints, jaccard, line_dedup, mixing, packing, pii, pivots, ranked_search, scoring, toxicity, url_rules
 from moraine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS v, row_number() OVER () AS row
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, q.row AS query_row, x.vec_id, x.row, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM v q JOIN v x ON q.row <> x.row WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS rank FROM scores)
+WHERE rank <= 20
+"""
+
+
 def op12_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -105,11 +124,44 @@ JOIN totals USING (lang) WHERE rank <= 2000
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, row_number() OVER () AS item_row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM benchmark WHERE text IS NOT NULL
+), totals AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0
+), asked AS (
+  SELECT DISTINCT item_id, item_row, unnest(terms) AS term FROM i
+), tf AS (
+  SELECT doc_id, row, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, row, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs
+), impact AS (
+  SELECT doc_id, row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length))) AS impact
+  FROM tf JOIN w USING (term), totals
+), scores AS (
+  SELECT item_id, item_row, doc_id, row, sum(impact)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id, row) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_exact_dedup, op3_score_texts, op4_line_dedup, op5_pack, op6_toxic_spans, op7_fingerprints,
     op8_jaccard_join, op9_url_rules, op10_personal_data,
-    op12_mine_phrases)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_mine_phrases": OP12_SQL}
+    op11_top_products, op12_mine_phrases, op13_ranked_search)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_top_products": OP11_SQL,
+                           "op12_mine_phrases": OP12_SQL, "op13_ranked_search": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
