@@ -48,7 +48,7 @@ def test_top_products_equal_full_comparison(spark, monkeypatch):
 def test_top_products_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (5, [0.0, 0.0]), (10, []), (15, None), (20, [1.0, None]), (25, [float("nan"), 1.0]),
             (30, [float("inf"), 0.0]), (None, [1.0, 2.0]), (None, [0.5, 2.0]), (35, [3.0]), (40, [-1.0, -2.0, 4.0]),
-            (0, [1.0, 2.0]), (-5, [0.25, -0.25]), (3, [1e9, 1e9]), (45, [3e9, 2e9])]
+            (0, [1.0, 2.0]), (-5, [0.25, -0.25]), (3, [1e6, 1e6]), (45, [3e6, 2e6])]
     assert products(spark, rows) == plain_products(rows, 5, 5)
 
 
