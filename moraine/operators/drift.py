@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moraine.functions.typenames import logical_type
-from moraine.operators.inventory import ROW_TYPES, TABLE_KEY, group_foreign_keys, group_indexes
+from moraine.operators.inventory import ROW_TYPES, TABLE_KEY
+from moraine.operators.table_diff import nested_diff, touched, unfolded
 from moraine.session import staged
 
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
@@ -56,61 +57,22 @@ def _sides(current: DataFrame, desired: DataFrame, key: Sequence[str], fields: S
     return old.join(new, list(key), "full_outer").withColumn("status", status).drop("_o", "_n")
 
 
-def _changed(fields: Sequence[str], labels: Sequence[str] | None = None) -> Column:
-    tests = [
-        F.when(~F.col(f"old_{f}").eqNullSafe(F.col(f"new_{f}")), F.lit(label))
-        for f, label in zip(fields, labels or fields)
-    ]
-    return F.when(F.col("status") == "both", F.array_compact(F.array(*tests))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
-def tables_in_both(current: Inventory, desired: Inventory) -> DataFrame:
-    return current.tables.select(*TABLE_KEY).join(desired.tables.select(*TABLE_KEY), TABLE_KEY, "left_semi")
-
-
 def diff_columns(current: Inventory, desired: Inventory) -> DataFrame:
     """Added, removed and modified columns of the tables both sides have.
 
     ``changes`` lists type, nullable, default, is_primary_key in that order.
     """
-    def prepare(cols: DataFrame) -> DataFrame:
-        return cols.withColumn("type", logical_type(F.col("type_raw"))).withColumnsRenamed(
-            {"default_raw": "default", "is_pk": "is_primary_key"}
-        )
-
-    fields = ["type", "nullable", "default", "is_primary_key"]
-    sides = _sides(prepare(current.cols), prepare(desired.cols), COLUMN_KEY, [*fields, "ordinal"])
-    marked = sides.withColumn("changes", _changed(fields))
-    marked = marked.filter((F.col("status") != "both") | (F.size("changes") > 0)).withColumn(
-        "status", F.when(F.col("status") == "both", "modified").otherwise(F.col("status"))
-    )
-    return marked.join(tables_in_both(current, desired), TABLE_KEY, "left_semi")
-
-
-def diff_named(current: DataFrame, desired: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
-    """Added, removed and modified indexes or foreign keys, by name."""
-    sides = _sides(current, desired, [*TABLE_KEY, name], fields).withColumn("changes", _changed(fields))
-    return sides.filter((F.col("status") != "both") | (F.size("changes") > 0)).withColumn(
-        "status", F.when(F.col("status") == "both", "modified").otherwise(F.col("status"))
-    )
+    return unfolded(nested_diff(current, desired, ["columns"]), "columns")
 
 
 def diff_indexes(current: Inventory, desired: Inventory) -> DataFrame:
-    """A changed body under the same name counts as modified."""
-    diff = diff_named(
-        group_indexes(current.idx), group_indexes(desired.idx), "index_name", ["column_names", "is_unique"]
-    )
-    return diff.join(tables_in_both(current, desired), TABLE_KEY, "left_semi")
-
-
-FK_FIELDS = ["column_names", "ref_table", "ref_columns", "on_delete", "on_update"]
+    """Added, removed and modified indexes by name; a changed body under the same name counts as modified."""
+    return unfolded(nested_diff(current, desired, ["indexes"]), "indexes")
 
 
 def diff_foreign_keys(current: Inventory, desired: Inventory) -> DataFrame:
-    diff = diff_named(group_foreign_keys(current.fks), group_foreign_keys(desired.fks), "fk_name", FK_FIELDS)
-    return diff.join(tables_in_both(current, desired), TABLE_KEY, "left_semi")
+    """Added, removed and modified foreign keys by name."""
+    return unfolded(nested_diff(current, desired, ["foreign_keys"]), "foreign_keys")
 
 
 def table_sides(current: Inventory, desired: Inventory) -> DataFrame:
@@ -127,26 +89,9 @@ def diff_rls(current: Inventory, desired: Inventory) -> DataFrame:
 
 def diff_tables(current: Inventory, desired: Inventory) -> DataFrame:
     """Added, removed and modified tables; modified means columns, indexes, foreign keys or row security differ."""
-    sides = table_sides(current, desired)
-    touched = body_differences(current, desired).select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
-    rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
-    status = F.when(F.col("status") != "both", F.col("status")).when(
-        rls | F.coalesce("_touched", F.lit(False)), "modified"
-    )
-    return (
-        sides.join(touched, TABLE_KEY, "left").select(*TABLE_KEY, status.alias("status"))
-        .filter("status is not null")
-    )
-
-
-def body_differences(current: Inventory, desired: Inventory) -> DataFrame:
-    """Table and status of every column, index and foreign key that differs, with its ``kind``."""
-    parts = [diff_columns(current, desired).select(*TABLE_KEY, "status", F.lit("column").alias("kind"))]
-    if current.idx is not None and desired.idx is not None:
-        parts.append(diff_indexes(current, desired).select(*TABLE_KEY, "status", F.lit("index").alias("kind")))
-    if current.fks is not None and desired.fks is not None:
-        parts.append(diff_foreign_keys(current, desired).select(*TABLE_KEY, "status", F.lit("foreign_key").alias("kind")))
-    return reduce(DataFrame.unionByName, parts)
+    nested = nested_diff(current, desired)
+    status = F.when(F.col("status") != "both", F.col("status")).when(touched(nested), "modified")
+    return nested.select(*TABLE_KEY, status.alias("status")).filter("status is not null")
 
 
 def name_set_ops(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -315,22 +260,12 @@ def drift_report(current: Inventory, desired: Inventory, subtotals: bool = False
     With ``subtotals`` the rows are per environment and table, with a total per
     environment and one for the fleet (null names).
     """
-    tables = table_sides(current, desired).select(
-        *TABLE_KEY,
-        F.when((F.col("status") == "both") & ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled")), "modified")
-        .otherwise(F.col("status")).alias("t"),
-        F.lit(None).cast("string").alias("c"),
-    )
+    nested = nested_diff(current, desired)
+    of_status = lambda s: F.size(F.filter("columns", lambda c: c["status"] == s))
     # an index or a key that differs makes its table modified, as a column does
-    columns = body_differences(current, desired).select(
-        *TABLE_KEY, F.lit(None).cast("string").alias("t"),
-        F.when(F.col("kind") == "column", F.col("status")).otherwise("other").alias("c"),
-    )
-    status = F.max(F.when(F.col("t") != "both", F.col("t")))
-    per_table = tables.unionByName(columns).groupBy(*TABLE_KEY).agg(
-        F.coalesce(status, F.when(F.count("c") > 0, "modified")).alias("t"),
-        *[F.count_if(F.col("c") == s).alias(f"{s}_columns") for s in ("added", "removed", "modified")],
-    )
+    per_table = nested.select(
+        *TABLE_KEY, F.when(F.col("status") != "both", F.col("status")).when(touched(nested), "modified").alias("t"),
+        *[of_status(s).cast("bigint").alias(f"{s}_columns") for s in ("added", "removed", "modified")])
     sums = [
         *[F.count_if(F.col("t") == s).alias(f"{s}_tables") for s in ("added", "removed", "modified")],
         *[F.sum(f"{s}_columns").alias(f"{s}_columns") for s in ("added", "removed", "modified")],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.functions.typenames import KNOWN_TYPES, base_type
 from moraine.operators.inventory import TABLE_KEY
+from moraine.session import staged
 
 # Issue codes that only warn; all others are errors.
 WARNINGS = ("empty_table", "no_primary_key", "duplicate_index")
@@ -30,7 +31,8 @@ def lint_inventory(tables: DataFrame, cols: DataFrame, idx: DataFrame, fks: Data
 
     All parts of a table meet in one exchange; its own issues are then found
     inside its row, from lists as long as the table is wide.  Only the target of
-    a foreign key lies outside the table and is joined.
+    a foreign key lies outside the table and is joined: a table of the same
+    schema, or of the key's ``ref_schema`` where there is one.
     """
     parts = [
         tables.select(*TABLE_KEY, F.lit(True).alias("_t")),
@@ -64,8 +66,10 @@ def lint_inventory(tables: DataFrame, cols: DataFrame, idx: DataFrame, fks: Data
         _issues("invalid_index_column", unknown("_x", "index_name")),
     )
     own = whole.select(*TABLE_KEY, F.inline(found))
-    targets = fks.select(*TABLE_KEY, "fk_name", "ref_table").distinct().join(
-        tables.select("env_id", F.col("table_name").alias("ref_table")).distinct(), ["env_id", "ref_table"], "left_anti"
+    schema = F.coalesce("ref_schema", "schema_name") if "ref_schema" in fks.columns else F.col("schema_name")
+    there = tables.select("env_id", F.col("schema_name").alias("_s"), F.col("table_name").alias("ref_table")).distinct()
+    targets = fks.select(*TABLE_KEY, "fk_name", "ref_table", schema.alias("_s")).distinct().join(
+        there, ["env_id", "_s", "ref_table"], "left_anti"
     )
     missing = targets.select(
         *TABLE_KEY, F.lit("invalid_fk_table").alias("code"), F.lit("error").alias("severity"),
@@ -86,13 +90,16 @@ def lint_duplicate_pk(declarations: DataFrame) -> DataFrame:
 def lint_unknown_type(cols: DataFrame, known: tuple[str, ...] = KNOWN_TYPES) -> DataFrame:
     """Columns whose type is not a known name, with the nearest known one.
 
-    The distance is computed once per distinct unknown spelling, not per column.
+    Spellings are few however many columns there are: the distances to all known
+    names are computed once per distinct unknown spelling, and the columns then
+    look theirs up.
     """
     named = cols.withColumn("_base", F.lower(base_type(F.col("type_raw")))).filter(
         (F.col("_base") != "") & ~F.col("_base").isin(*known)
     )
-    nearest = F.array_min(F.array(*[F.struct(F.levenshtein("_base", F.lit(k)).alias("distance"), F.lit(k).alias("name")) for k in known]))
-    return named.select(*TABLE_KEY, "column_name", "type_raw", nearest.alias("_near")).select(
+    near = F.array_min(F.array(*[F.struct(F.levenshtein("_base", F.lit(k)).alias("distance"), F.lit(k).alias("name")) for k in known]))
+    spellings = staged(named.select("_base").distinct().select("_base", near.alias("_near")), "spellings")
+    return named.select(*TABLE_KEY, "column_name", "type_raw", "_base").join(spellings, "_base").select(
         *TABLE_KEY, "column_name", "type_raw",
         F.col("_near.name").alias("nearest_type"), F.col("_near.distance").alias("distance"),
     )

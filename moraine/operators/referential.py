@@ -197,7 +197,7 @@ def _cascade_cyclic(tables, edges, start, deleted, keys):
 def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> DataFrame:
     """Problem of each foreign key of the inventory: missing table, count, or column.
 
-    One row per problem, keyed by ``env_id, table_name, fk_name``; a key with a
+    One row per problem, keyed by ``env_id, schema_name, table_name, fk_name``; a key with a
     missing table or with unequal column counts is not looked into further.  A
     key references its own schema unless it has a ``ref_schema``.
     """
@@ -223,6 +223,6 @@ def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> Data
         F.col("ref_table")
     )
     return (
-        rows.select("env_id", "table_name", "fk_name", problem.alias("problem"), subject.alias("subject"))
+        rows.select("env_id", "schema_name", "table_name", "fk_name", problem.alias("problem"), subject.alias("subject"))
         .filter("problem is not null").distinct()
     )

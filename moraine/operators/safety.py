@@ -6,14 +6,12 @@ apart by expressions, not by scanning the diff once per kind.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.functions.typenames import is_widening
-from moraine.operators.drift import Inventory, diff_columns, diff_foreign_keys, diff_indexes, table_sides
+from moraine.operators.drift import Inventory
 from moraine.operators.inventory import TABLE_KEY
-from moraine.operators.referential import fk_target_exists
+from moraine.operators.table_diff import nested_diff, renames
 from moraine.session import staged
 
 # Names of the safety levels.
@@ -102,46 +100,94 @@ def classify_rls(changes: DataFrame) -> DataFrame:
     )
 
 
-def classify_foreign_keys(added: DataFrame, desired: Inventory) -> DataFrame:
-    """Verdict of foreign keys that appear; they have validity but no safety level."""
-    key = ["env_id", "table_name", "fk_name"]
-    problems = fk_target_exists(desired.fks, desired.tables, desired.cols)
-    every = F.array_sort(F.collect_set(F.concat_ws(" ", "problem", "subject")))  # at most one per key column
-    broken = problems.groupBy(*key).agg(F.array_join(every, "; ").alias("_problem"))
-    none = F.lit(None).cast("boolean")
-    return _verdict(
-        added.select(*TABLE_KEY, "fk_name").join(broken, key, "left"),
-        operation="add_foreign_key", subject=F.col("fk_name"), valid=F.col("_problem").isNull(), reversible=True,
-        level=F.lit(None).cast("string"), breaking_change=none, data_loss=none, rollback_data_loss=none,
-        requires_multi_phase=none, lock_contention=none, message=F.coalesce("_problem", F.lit("")),
-    )
+def _key_problem(schema: Column, key: Column, known: Column) -> Column:
+    """What is wrong with the target of a foreign key, or null; ``known``: column names by (schema, table) of its environment."""
+    body = key["value"]
+    columns = F.element_at(known, F.struct(
+        F.coalesce(body["ref_schema"], schema).alias("schema_name"), body["ref_table"].alias("table_name")))
+    have = lambda c: F.size(F.array_compact(c))
+    strays = F.array_distinct(F.array_sort(F.transform(
+        F.filter(body["ref_columns"], lambda c: ~F.coalesce(F.array_contains(columns, c), F.lit(False))),
+        lambda c: F.concat(F.lit("missing_column "), F.concat_ws(".", body["ref_table"], c)))))
+    return F.when(columns.isNull(), F.concat_ws(" ", F.lit("missing_table"), body["ref_table"])).when(
+        have(body["column_names"]) != have(body["ref_columns"]), F.concat_ws(" ", F.lit("column_count"), body["ref_table"])
+    ).when(F.size(strays) > 0, F.array_join(strays, "; "))
+
+
+def judged_tables(current: Inventory, desired: Inventory) -> DataFrame:
+    """The nested diff with ``keys``: name and problem of every foreign key that appears.
+
+    Everything of an environment lies in one partition, so the targets of its
+    keys are looked up in a map of its desired tables without another exchange;
+    an environment's schema is a document in any case.
+    """
+    nested = nested_diff(current, desired, by=["env_id"])
+    if "desired_keys" not in nested.columns:
+        return nested.withColumn("keys", F.array().cast("array<struct<name:string,problem:string>>"))
+    here = F.struct(F.struct("schema_name", "table_name").alias("k"), F.col("desired_columns").alias("v"))
+    tables = nested.groupBy("env_id").agg(
+        F.collect_list(F.struct(*[c for c in nested.columns if c != "env_id"])).alias("_tables"),
+        F.map_from_entries(F.collect_list(F.when(F.col("status") != "removed", here))).alias("_known"))
+    fields = [c for c in nested.columns if c not in ("env_id", "desired_keys", "desired_columns")]
+    checked = F.transform("_tables", lambda t: F.struct(*[t[c].alias(c) for c in fields], F.transform(
+        t["desired_keys"], lambda k: F.struct(k["key"].alias("name"), _key_problem(t["schema_name"], k, F.col("_known")).alias("problem"))
+    ).alias("keys")))
+    return tables.select("env_id", F.inline(checked))
 
 
-def added_foreign_keys(current: Inventory, desired: Inventory) -> DataFrame:
-    """Foreign keys of the desired side with no namesake, those of new tables included."""
-    key = [*TABLE_KEY, "fk_name"]
-    return desired.fks.select(*key).distinct().join(current.fks.select(*key).distinct(), key, "left_anti")
+# What a verdict is read from; a row of any kind leaves the others' fields null.
+_JUDGED = ("kind", "column_name", "status", "changes", "old_type", "new_type", "new_nullable", "new_default", "problem")
+_JUDGED_TYPE = ("array<struct<kind:string,column_name:string,status:string,changes:array<string>,old_type:string,new_type:string,"
+                "new_nullable:boolean,new_default:string,problem:string>>")
 
 
-def classify_tables(sides: DataFrame) -> DataFrame:
-    """Verdict of removed tables and of row-security changes, from one table-level join."""
-    changed = "status = 'both' and not (old_rls_enabled <=> new_rls_enabled)"
-    rls = sides.filter(changed).select(*TABLE_KEY, F.col("new_rls_enabled").alias("rls_enabled"))
-    return classify_drop_table(sides).unionByName(classify_rls(rls))
+def _judged(kind: str | Column, **values: Column) -> Column:
+    given = {"kind": F.lit(kind) if isinstance(kind, str) else kind, **values}
+    return F.struct(*[given.get(f, F.lit(None)).alias(f) for f in _JUDGED])
+
+
+def _table_kind() -> Column:
+    """Operation on the table itself, or null."""
+    rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
+    return (
+        F.when(F.col("status") == "added", "create_table").when(F.col("status") == "removed", "drop_table")
+        .when(rls, F.when(F.col("new_rls_enabled"), "enable_rls").otherwise("disable_rls"))
+    )
+
+
+def _columns_judged(test) -> Column:
+    return F.transform(F.filter("columns", test), lambda c: _judged("column", **{f: c[f] for f in _JUDGED if f not in ("kind", "problem")}))
 
 
 def classify_diff(current: Inventory, desired: Inventory) -> DataFrame:
-    """The static verdict on a whole diff.
+    """The static verdict on a whole diff, from one row per table.
 
     Judged are dropped tables, added, dropped and retyped columns, row security
     and added foreign keys; nullability, default, key and index changes are not.
+    Foreign keys have validity but no safety level.
     """
-    result = classify_tables(table_sides(current, desired)).unionByName(
-        classify_columns(diff_columns(current, desired))
-    )
-    if current.fks is not None and desired.fks is not None:
-        result = result.unionByName(classify_foreign_keys(added_foreign_keys(current, desired), desired))
-    return result
+    tables = judged_tables(current, desired)
+    own = _table_kind()
+    rows = tables.select(*TABLE_KEY, F.inline(F.concat(
+        F.when(own.isNotNull() & (own != "create_table"), F.array(_judged(own))).otherwise(F.array()).cast(_JUDGED_TYPE),
+        _columns_judged(lambda c: (c["status"] != "modified") | F.array_contains(c["changes"], "type")).cast(_JUDGED_TYPE),
+        F.transform("keys", lambda k: _judged("add_foreign_key", column_name=k["name"], problem=k["problem"])).cast(_JUDGED_TYPE),
+    )))
+    kind, gone = F.col("kind"), F.col("kind") == "drop_table"
+    fk, none = kind == "add_foreign_key", F.lit(None).cast("boolean")
+    action = F.when(kind == "enable_rls", "enable").otherwise("disable")
+    on_table = {
+        "operation": kind, "subject": F.when(fk, F.col("column_name")).otherwise(F.col("table_name")),
+        "valid": ~fk | F.col("problem").isNull(), "reversible": ~gone,
+        "level": F.when(gone, DANGEROUS).when(~fk, SAFE),
+        **{f: F.when(fk, none).otherwise(gone) for f in ("breaking_change", "data_loss", "requires_multi_phase", "lock_contention")},
+        "rollback_data_loss": F.when(fk, none).otherwise(F.lit(False)),
+        "message": F.when(fk, F.coalesce("problem", F.lit("")))
+        .when(gone, F.concat(F.lit("rows of "), F.col("table_name"), F.lit(" cannot be brought back")))
+        .otherwise(F.concat(action, F.lit(" row security on "), F.col("table_name"))),
+    }
+    of_column = verdict_columns()
+    return _verdict(rows, **{f: F.when(kind == "column", of_column[f]).otherwise(on_table[f]) for f in VERDICT})
 
 
 # Level, reversible and multi-phase flag of the operations whose
@@ -149,6 +195,8 @@ def classify_diff(current: Inventory, desired: Inventory) -> DataFrame:
 CATALOG = {
     "create_table": (SAFE, "yes", False),
     "drop_table": (DANGEROUS, "no", True),
+    "rename_table": (MULTI_PHASE, "yes", True),
+    "rename_column": (MULTI_PHASE, "yes", True),
     "enable_rls": (SAFE, "yes", False),
     "disable_rls": (SAFE, "yes", False),
     "set_not_null": (LOSSY, "yes", True),
@@ -161,8 +209,12 @@ CATALOG = {
     "drop_foreign_key": (REVIEW, "yes", False),
     "add_unique": (LOSSY, "depends", True),
     "drop_unique": (REVIEW, "yes", False),
+    "add_check": (LOSSY, "depends", True),
+    "drop_check": (REVIEW, "yes", False),
     "create_index": (REVIEW, "yes", False),
+    "create_index_concurrently": (SAFE, "yes", False),
     "drop_index": (REVIEW, "yes", False),
+    "rename_index": (SAFE, "yes", False),
 }
 
 
@@ -174,74 +226,60 @@ def _catalog_entry(operation: Column) -> Column:
     return F.create_map(*entries)[operation]
 
 
-def _catalogued(df: DataFrame) -> DataFrame:
-    entry = _catalog_entry(F.col("operation"))
-    return df.select(
-        *TABLE_KEY, "operation", "subject", entry["l"].alias("level"), entry["r"].alias("reversible"),
-        entry["m"].alias("requires_multi_phase"),
-    )
+def classify_diff_full(current: Inventory, desired: Inventory, max_distance: int = 2) -> DataFrame:
+    """The static verdict plus the catalogued level of every other change, renames that the diff suggests included.
 
-
-def classify_diff_full(current: Inventory, desired: Inventory) -> DataFrame:
-    """The static verdict plus the catalogued level of every other change.
-
-    Each diff row unfolds into the operations it stands for, so the column and
-    the table diff are computed once.
+    Everything is read from one row per table, which unfolds into the operations
+    it stands for.  ``rename_column`` rows stand beside the drop and the add they
+    could replace, ``old -> new`` as subject; a column is in at most one of them.
     """
-    columns = diff_columns(current, desired)
-    change = lambda x: (
-        F.when(x == "nullable", F.when(F.col("new_nullable"), "drop_not_null").otherwise("set_not_null"))
-        .when(x == "default", F.when(F.col("new_default").isNull(), "drop_default").otherwise("set_default"))
-        .when(x == "is_primary_key",
-              F.when(F.col("new_is_primary_key"), "add_primary_key").otherwise("drop_primary_key"))
-    )
-    unfolded = columns.withColumn("_op", F.explode(
-        F.when(F.col("status") == "modified", F.transform("changes", lambda x: F.coalesce(change(x), F.lit("static"))))
-        .otherwise(F.array(F.lit("static")))
-    ))
-    # the verdict of a row is kept beside it, for the operation it belongs to
-    judged = verdict_columns()
-    static = F.col("_op") == "static"
-    entry = _catalog_entry(F.col("_op"))
-    parts = unfolded.select(
-        *TABLE_KEY,
-        F.when(static, judged["operation"]).otherwise(F.col("_op")).alias("operation"),
+    nested = nested_diff(current, desired)
+    kind = "array<struct<op:string,column_name:string,status:string,old_type:string,new_type:string,new_nullable:boolean,new_default:string>>"
+
+    def entry(op: Column, name: Column, **of: Column) -> Column:
+        names = ("status", "old_type", "new_type", "new_nullable", "new_default")
+        return F.struct(op.alias("op"), name.alias("column_name"), *[of.get(n, F.lit(None)).alias(n) for n in names])
+
+    def of_column(c: Column) -> Column:
+        change = lambda x: (
+            F.when(x == "nullable", F.when(c["new_nullable"], "drop_not_null").otherwise("set_not_null"))
+            .when(x == "default", F.when(c["new_default"].isNull(), "drop_default").otherwise("set_default"))
+            .when(x == "is_primary_key", F.when(c["new_is_primary_key"], "add_primary_key").otherwise("drop_primary_key"))
+        )
+        # the verdict on a column's own definition is computed for "static" rows
+        ops = F.when(c["status"] == "modified", F.transform(c["changes"], lambda x: F.coalesce(change(x), F.lit("static")))) \
+            .otherwise(F.array(F.lit("static")))
+        body = {n: c[n] for n in ("status", "old_type", "new_type", "new_nullable", "new_default")}
+        return F.transform(ops, lambda op: entry(op, c["column_name"], **body))
+
+    def steps(rows: str, name: str, made, gone) -> Column:
+        """A changed body is a drop and an add."""
+        return F.flatten(F.transform(rows, lambda r: F.array_compact(F.array(
+            F.when(r["status"] != "added", entry(gone(r), r[name])), F.when(r["status"] != "removed", entry(made(r), r[name]))))))
+
+    own = _table_kind()
+    ops = [
+        F.when(own.isNotNull(), F.array(entry(own, F.col("table_name")))).otherwise(F.array()).cast(kind),
+        F.flatten(F.transform("columns", of_column)).cast(kind),
+        F.transform(renames(F.col("columns"), max_distance), lambda r: entry(
+            F.lit("rename_column"), F.concat_ws(" -> ", r["old_name"], r["new_name"]))).cast(kind),
+    ]
+    if "indexes" in nested.columns:
+        ops.append(steps("indexes", "index_name",
+                         lambda r: F.when(F.coalesce(r["new_is_unique"], F.lit(False)), "add_unique").otherwise("create_index"),
+                         lambda r: F.when(F.coalesce(r["old_is_unique"], F.lit(False)), "drop_unique").otherwise("drop_index")).cast(kind))
+    if "foreign_keys" in nested.columns:
+        ops.append(steps("foreign_keys", "fk_name", lambda _: F.lit("add_foreign_key"), lambda _: F.lit("drop_foreign_key")).cast(kind))
+    rows = nested.select(*TABLE_KEY, F.inline(F.concat(*ops)))
+    judged, static = verdict_columns(), F.col("op") == "static"
+    listed = _catalog_entry(F.col("op"))
+    return rows.select(
+        *TABLE_KEY, F.when(static, judged["operation"]).otherwise(F.col("op")).alias("operation"),
         F.col("column_name").alias("subject"),
-        F.when(static, judged["level"]).otherwise(entry["l"]).alias("level"),
-        F.when(static, F.when(judged["reversible"], "yes").otherwise("no")).otherwise(entry["r"]).alias("reversible"),
-        F.when(static, judged["requires_multi_phase"]).otherwise(entry["m"]).alias("requires_multi_phase"),
-    )
-    rls = ~F.col("old_rls_enabled").eqNullSafe(F.col("new_rls_enabled"))
-    operation = (
-        F.when(F.col("status") == "added", "create_table").when(F.col("status") == "removed", "drop_table")
-        .when(rls, F.when(F.col("new_rls_enabled"), "enable_rls").otherwise("disable_rls"))
-    )
-    tables = table_sides(current, desired).select(
-        *TABLE_KEY, operation.alias("operation"), F.col("table_name").alias("subject")
-    ).filter("operation is not null")
-    named = [tables]
-    if current.idx is not None and desired.idx is not None:
-        step = F.col("_step")
-        made = F.when(F.coalesce("new_is_unique", F.lit(False)), "add_unique").otherwise("create_index")
-        gone = F.when(F.coalesce("old_is_unique", F.lit(False)), "drop_unique").otherwise("drop_index")
-        named.append(_steps(diff_indexes(current, desired)).select(
-            *TABLE_KEY, F.when(step == "add", made).otherwise(gone).alias("operation"), F.col("index_name").alias("subject")
-        ))
-    if current.fks is not None and desired.fks is not None:
-        named.append(_steps(diff_foreign_keys(current, desired)).select(
-            *TABLE_KEY, F.concat("_step", F.lit("_foreign_key")).alias("operation"), F.col("fk_name").alias("subject")
-        ))
-    return parts.unionByName(_catalogued(reduce(DataFrame.unionByName, named)))
-
-
-def _steps(diff: DataFrame) -> DataFrame:
-    """A changed body is a drop and an add."""
-    steps = (
-        F.when(F.col("status") == "added", F.array(F.lit("add")))
-        .when(F.col("status") == "removed", F.array(F.lit("drop")))
-        .otherwise(F.array(F.lit("drop"), F.lit("add")))
+        F.when(static, judged["level"]).otherwise(listed["l"]).alias("level"),
+        F.when(static, F.when(judged["reversible"], "yes").otherwise("no")).otherwise(listed["r"]).alias("reversible"),
+        F.when(static, judged["requires_multi_phase"]).otherwise(listed["m"]).alias("requires_multi_phase"),
     )
-    return diff.withColumn("_step", F.explode(steps))
 
 
 def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:

@@ -311,7 +311,13 @@ UNION ALL SELECT env_id, table_name, CASE WHEN ua THEN 'drop_unique' ELSE 'drop_
 UNION ALL SELECT env_id, table_name, CASE WHEN ub THEN 'add_unique' ELSE 'create_index' END, index_name, CASE WHEN ub THEN 'Lossy' ELSE 'Requires Review' END,
   CASE WHEN ub THEN 'depends' ELSE 'yes' END, ub FROM ij WHERE kb IS NOT NULL
 UNION ALL SELECT env_id, table_name, 'drop_foreign_key', fk_name, 'Requires Review', 'yes', false FROM fj WHERE ra IS NOT NULL
-UNION ALL SELECT env_id, table_name, 'add_foreign_key', fk_name, 'Requires Review', 'yes', false FROM fj WHERE rb IS NOT NULL""")
+UNION ALL SELECT env_id, table_name, 'add_foreign_key', fk_name, 'Requires Review', 'yes', false FROM fj WHERE rb IS NOT NULL
+UNION ALL SELECT env_id, table_name, 'rename_column', old_name || ' -> ' || new_name, 'Multi-Phase Required', 'yes', true FROM (
+  SELECT r.env_id, r.table_name, r.column_name AS old_name, a.column_name AS new_name,
+    row_number() OVER (PARTITION BY r.env_id, r.table_name, r.column_name ORDER BY levenshtein(lower(r.column_name), lower(a.column_name)), a.new_ordinal) AS i,
+    row_number() OVER (PARTITION BY r.env_id, r.table_name, a.column_name ORDER BY levenshtein(lower(r.column_name), lower(a.column_name)), r.column_name) AS j
+  FROM col_diff r JOIN col_diff a ON r.env_id = a.env_id AND r.table_name = a.table_name AND r.old_type = a.new_type
+  WHERE r.status = 'removed' AND a.status = 'added' AND levenshtein(lower(r.column_name), lower(a.column_name)) <= 2) WHERE i = 1 AND j = 1""")
 def classify_diff_full(d: Data):
     return sf.classify_diff_full(d.cur, d.des).select(
         "env_id", "table_name", "operation", "subject", "level", "reversible", "requires_multi_phase"
