@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moraine.functions.typenames import logical_type
-from moraine.operators.inventory import ROW_TYPES, TABLE_KEY
+from moraine.operators.inventory import ROW_TYPES, TABLE_KEY, group_foreign_keys, group_indexes
 from moraine.operators.table_diff import nested_diff, touched, unfolded
 from moraine.session import staged
 
@@ -286,31 +286,132 @@ _ATTRIBUTES = {
     "default_raw": ("set_default", "drop_default"),
     "is_pk": ("add_primary_key", "drop_primary_key"),
 }
+ON_COLUMNS = (ADD, DROP, *{a: None for actions in _ATTRIBUTES.values() for a in actions})
+ON_TABLES = ("rls_on", "rls_off")
+NEW_INDEX, NEW_KEY, DROP_NAMED = ("add_unique", "add_index"), "add_foreign_key", "drop_constraint"
+ON_NAMES = (*NEW_INDEX, NEW_KEY, DROP_NAMED)
+_KEY_BODY = "key_columns array<string>, is_unique boolean, ref_table string, ref_columns array<string>, on_delete string, on_update string"
 
 
-def replay_change_log(cols: DataFrame, tables: DataFrame, log: DataFrame, block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def composed(events: DataFrame, key: Sequence[str], steps: dict[str, Column], block: int) -> DataFrame:
+    """Running sums of ``steps`` over each key's events in order of ``seq``, however long its history is.
+
+    Adds ``<name>_before``, the sum of the earlier events, and ``<name>_low``,
+    the least that sum has been so far (0 at the start).  Both are computed
+    within blocks of sequence numbers; a block's total and lowest point then
+    compose over the blocks, of which there are few, so one key's history is
+    spread over many tasks.
+    """
+    blocks = events.withColumns({"_b": F.floor(F.col("seq") / block), **{f"_{n}": c.cast("bigint") for n, c in steps.items()}})
+    inside = Window.partitionBy(*key, "_b").orderBy("seq")
+    upto, until = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({f"_{n}_sum": F.sum(f"_{n}").over(upto) for n in steps})
+    totals = blocks.groupBy(*key, "_b").agg(*[c for n in steps for c in (
+        F.sum(f"_{n}").alias(f"_{n}_all"), F.min(f"_{n}_sum").alias(f"_{n}_least"))])
+    totals = totals.withColumns({f"_{n}_carried": F.coalesce(F.sum(f"_{n}_all").over(before), F.lit(0)) for n in steps})
+    totals = totals.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], F.col("_b").alias("_block"), *[c for n in steps for c in (
+        F.col(f"_{n}_carried"), F.least(F.lit(0), F.min(F.col(f"_{n}_carried") + F.col(f"_{n}_least")).over(before)).alias(f"_{n}_depth"))])
+    blocks = blocks.withColumns({f"_{n}_lowest": F.min(f"_{n}_sum").over(until) for n in steps})
+    here = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)], F.col("_b") == F.col("_block"))
+    joined = blocks.join(totals, here)
+    out = {}
+    for n in steps:
+        out[f"{n}_before"] = F.col(f"_{n}_carried") + F.col(f"_{n}_sum") - F.col(f"_{n}")
+        out[f"{n}_low"] = F.least(F.col(f"_{n}_depth"), F.col(f"_{n}_carried") + F.col(f"_{n}_lowest"))
+    return joined.select(*events.columns, *[c.alias(name) for name, c in out.items()])
+
+
+def known_log(tables: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the log on listed tables, keys of the unlisted tables it names)."""
+    missing = staged(
+        log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti"), "unknown"
+    )
+    return log.join(missing, TABLE_KEY, "left_anti"), missing
+
+
+def _named_events(idx: DataFrame | None, fks: DataFrame | None, log: DataFrame, block: int) -> DataFrame:
+    """Everything that happens to named constraints, in order, and what each drop removes.
+
+    A drop takes the earliest index of its name, else the earliest foreign key
+    of its name, else the table's primary key, whatever that is called:
+    ``target`` is index, foreign_key or primary_key.  How many indexes of a name
+    there are before a drop is a running sum that never falls below zero.
+    """
+    body = [f.split()[0] for f in _KEY_BODY.split(", ")]
+    typed = [F.col(n).cast(t) if n in log.columns else F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in _KEY_BODY.split(", "))]
+    parts = [log.filter(F.col("action").isin(*ON_NAMES) & F.col("constraint_name").isNotNull()).select(
+        *TABLE_KEY, F.col("constraint_name").alias("name"), "seq", "action", *typed)]
+    if idx is not None:
+        parts.append(group_indexes(idx).select(
+            *TABLE_KEY, F.col("index_name").alias("name"), F.lit(-1).cast("bigint").alias("seq"), F.lit("add_index").alias("action"),
+            F.col("column_names").alias("key_columns"), "is_unique"))
+    if fks is not None:
+        parts.append(group_foreign_keys(fks).select(
+            *TABLE_KEY, F.col("fk_name").alias("name"), F.lit(-1).cast("bigint").alias("seq"), F.lit(NEW_KEY).alias("action"),
+            F.col("column_names").alias("key_columns"), "ref_table", "ref_columns", "on_delete", "on_update"))
+    events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # a constraint on no column is none
+    events = events.filter((F.col("action") == DROP_NAMED) | (F.coalesce(F.size("key_columns"), F.lit(0)) > 0))
+    action, drop, key = F.col("action"), F.col("action") == DROP_NAMED, [*TABLE_KEY, "name"]
+    one = composed(events, key, {"x": F.when(action.isin(*NEW_INDEX), 1).when(drop, -1).otherwise(0)}, block)
+    one = one.withColumn("_x", F.col("x_before") - F.col("x_low") > 0)
+    two = composed(one, key, {"f": F.when(action == NEW_KEY, 1).when(drop & ~F.col("_x"), -1).otherwise(0)}, block)
+    target = F.when(drop, F.when(F.col("_x"), "index").when(F.col("f_before") - F.col("f_low") > 0, "foreign_key").otherwise("primary_key"))
+    return two.select(*key, "seq", "action", *body, target.alias("target"))
+
+
+def replay_keys(idx: DataFrame, fks: DataFrame, tables: DataFrame, log: DataFrame, block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Final indexes (unique rules among them) and foreign keys after an ordered log of changes.
+
+    The log's ``constraint_name`` says what ``add_unique``, ``add_index``,
+    ``add_foreign_key`` and ``drop_constraint`` are about; ``key_columns``,
+    ``is_unique``, ``ref_table``, ``ref_columns``, ``on_delete`` and
+    ``on_update`` are their bodies.  A name may be given again, and drops take
+    the earliest of it first.
+    """
+    log, _ = known_log(tables, log)
+    events = staged(_named_events(idx, fks, log, block), "named")
+
+    def left(added: Column, target: str) -> DataFrame:
+        key = [*TABLE_KEY, "name"]
+        own = events.filter(added | (F.col("target") == target))
+        taken = own.filter(F.col("target") == target).groupBy(*key).agg(F.count("*").alias("_taken"))
+        counted = composed(own.filter(added), key, {"i": F.lit(1)}, block)
+        return counted.join(taken, key, "left").filter(F.col("i_before") >= F.coalesce("_taken", F.lit(0)))
+
+    indexes = left(F.col("action").isin(*NEW_INDEX), "index").select(
+        *TABLE_KEY, F.col("name").alias("index_name"), F.col("key_columns").alias("column_names"),
+        ((F.col("action") == "add_unique") | F.coalesce("is_unique", F.lit(False))).alias("is_unique"))
+    keys = left(F.col("action") == NEW_KEY, "foreign_key").select(
+        *TABLE_KEY, F.col("name").alias("fk_name"), F.col("key_columns").alias("column_names"), "ref_table", "ref_columns",
+        "on_delete", "on_update")
+    return indexes, keys
+
+
+def replay_change_log(cols: DataFrame, tables: DataFrame, log: DataFrame, block: int = 100_000, idx: DataFrame | None = None,
+                      fks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Final columns after an ordered log of changes, and the log rows that could not apply.
 
     ``log``: ``env_id, schema_name, table_name, seq, action, column_name,
-    type_raw, nullable, default_raw, is_pk``.  Each attribute is the value of
-    the last event that set it, a map-side combined aggregate.  Whether a column
-    existed when an event arrived needs the order; that scan runs per block of
-    sequence numbers with the state carried between blocks, so a single column
-    with a huge history is spread over many tasks.
+    type_raw, nullable, default_raw, is_pk``, and ``constraint_name`` with the
+    bodies of ``replay_keys`` where constraints come and go.  Each attribute is
+    the value of the last event that set it, a map-side combined aggregate.
+    Whether a column existed when an event arrived needs the order; that scan
+    runs per block of sequence numbers with the state carried between blocks, so
+    a single column with a huge history is spread over many tasks.  A dropped
+    constraint that is no index and no foreign key clears the primary key.
+
+    Errors: ``unknown_table``, ``unknown_column``, ``unknown_constraint`` (nothing
+    of that name and no primary key), ``missing_name`` (a constraint without
+    one) and ``unsupported_action``.  A row in error changes nothing.
     """
+    whole, (log, missing) = log, known_log(tables, log)
     base = cols.select(
         *COLUMN_KEY, F.lit(-1).cast("bigint").alias("seq"), F.lit(ADD).alias("action"),
         "type_raw", "nullable", "default_raw", "is_pk",
     )
-    named = log.filter(~F.col("action").isin("rls_on", "rls_off")).select(*base.columns)
-    events = base.unionByName(named)
-    aggs = [F.max_by(F.col("action") == ADD, F.when(F.col("action").isin(ADD, DROP), F.col("seq"))).alias("_live")]
-    for name, actions in _ATTRIBUTES.items():
-        at = F.when(F.col("action").isin(ADD, *actions), F.col("seq"))
-        aggs.append(F.max_by(F.struct(_value_after(name).alias("v")), at).alias(f"_{name}"))
-    final = events.groupBy(*COLUMN_KEY).agg(*aggs).filter("_live").select(
-        *COLUMN_KEY, *[F.col(f"_{name}.v").alias(name) for name in _ATTRIBUTES]
-    )
+    events = base.unionByName(log.filter(F.col("action").isin(*ON_COLUMNS)).select(*base.columns))
 
     blocks = events.withColumn("_b", F.floor(F.col("seq") / block))
     lives = F.when(F.col("action") == ADD, True).when(F.col("action") == DROP, False)
@@ -324,14 +425,57 @@ def replay_change_log(cols: DataFrame, tables: DataFrame, log: DataFrame, block:
         .filter((F.col("action") != ADD) & ~F.col("_state"))
         .select(*COLUMN_KEY, "seq", "action", F.lit("unknown_column").alias("error"))
     )
-    missing = staged(
-        log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti"), "unknown"
-    )
-    orphan = log.join(missing, TABLE_KEY, "left_semi").select(
-        *COLUMN_KEY, "seq", "action", F.lit("unknown_table").alias("error")
+    odd = log.filter(~F.coalesce(F.col("action").isin(*ON_COLUMNS, *ON_TABLES, *ON_NAMES), F.lit(False)))
+    errors = [stray, _error(odd, "unsupported_action")]
+    final = _final_columns(events, None)
+    if "constraint_name" in log.columns:
+        nameless = log.filter(F.col("action").isin(*ON_NAMES) & F.col("constraint_name").isNull())
+        errors.append(_error(nameless, "missing_name"))
+        clears = staged(_named_events(idx, fks, log, block).filter("target = 'primary_key'").select(*TABLE_KEY, "seq", "action"), "clears")
+        final, unmet = _with_clears(events, stray, clears, block)
+        errors.append(unmet)
+    errors.append(_error(whole.join(missing, TABLE_KEY, "left_semi"), "unknown_table"))
+    return final.join(missing, TABLE_KEY, "left_anti"), reduce(DataFrame.unionByName, errors)
+
+
+def _error(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(*COLUMN_KEY, "seq", "action", F.lit(name).alias("error"))
+
+
+def _final_columns(events: DataFrame, cleared: Column | None) -> DataFrame:
+    """Live columns with the last value of each attribute; ``cleared``: condition under which a primary key no longer holds."""
+    aggs = [F.max_by(F.col("action") == ADD, F.when(F.col("action").isin(ADD, DROP), F.col("seq"))).alias("_live")]
+    for name, actions in _ATTRIBUTES.items():
+        at = F.when(F.col("action").isin(ADD, *actions), F.col("seq"))
+        value = _value_after(name)
+        if name == "is_pk" and cleared is not None:
+            value = value & ~cleared
+        aggs.append(F.max_by(F.struct(value.alias("v")), at).alias(f"_{name}"))
+    return events.groupBy(*COLUMN_KEY).agg(*aggs).filter("_live").select(
+        *COLUMN_KEY, *[F.col(f"_{name}.v").alias(name) for name in _ATTRIBUTES]
     )
-    known = stray.join(missing, TABLE_KEY, "left_anti")
-    return final.join(missing, TABLE_KEY, "left_anti"), known.unionByName(orphan)
+
+
+def _with_clears(events: DataFrame, stray: DataFrame, clears: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Final columns and failed drops where drops of constraints clear primary keys.
+
+    The clears of a table cut its history into segments, numbered by a running
+    count.  In each segment a table has a primary key if the last event of any
+    column that touches one leaves it set; a clear at the end of a segment
+    without one has found nothing to drop.
+    """
+    marks = clears.select(*TABLE_KEY, F.lit(None).cast("string").alias("column_name"), "seq", "action", F.lit(1).alias("_clear"))
+    cut = composed(events.withColumn("_clear", F.lit(0)).unionByName(marks, allowMissingColumns=True), TABLE_KEY,
+                   {"c": F.col("_clear")}, block).withColumnRenamed("c_before", "_segment")
+    total = clears.groupBy(*TABLE_KEY).agg(F.count("*").alias("_clears"))
+    placed = cut.filter("_clear = 0").join(total, TABLE_KEY, "left")
+    final = _final_columns(placed, F.col("_segment") < F.coalesce("_clears", F.lit(0)))
+    touching = F.col("action").isin(ADD, DROP, *_ATTRIBUTES["is_pk"])
+    value = F.when(F.col("action") == DROP, False).otherwise(_value_after("is_pk"))
+    keyed = placed.filter(touching).join(stray.select(*COLUMN_KEY, "seq"), [*COLUMN_KEY, "seq"], "left_anti") \
+        .groupBy(*COLUMN_KEY, "_segment").agg(F.max_by(value, "seq").alias("_pk")).filter("_pk")
+    unmet = cut.filter("_clear = 1").join(keyed.select(*TABLE_KEY, "_segment").distinct(), [*TABLE_KEY, "_segment"], "left_anti")
+    return final, _error(unmet, "unknown_constraint")
 
 
 def _value_after(name: str) -> Column:
