@@ -128,7 +128,7 @@ def judged_tables(current: Inventory, desired: Inventory) -> DataFrame:
     tables = nested.groupBy("env_id").agg(
         F.collect_list(F.struct(*[c for c in nested.columns if c != "env_id"])).alias("_tables"),
         F.map_from_entries(F.collect_list(F.when(F.col("status") != "removed", here))).alias("_known"))
-    fields = [c for c in nested.columns if c not in ("env_id", "desired_keys", "desired_columns")]
+    fields = [c for c in nested.columns if c not in ("env_id", "desired_keys", "desired_columns", "desired_primary_key")]
     checked = F.transform("_tables", lambda t: F.struct(*[t[c].alias(c) for c in fields], F.transform(
         t["desired_keys"], lambda k: F.struct(k["key"].alias("name"), _key_problem(t["schema_name"], k, F.col("_known")).alias("problem"))
     ).alias("keys")))
@@ -283,28 +283,41 @@ def classify_diff_full(current: Inventory, desired: Inventory, max_distance: int
 
 
 def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
-    """The static level beside the level the data supports.
+    """The static level beside the level the data supports, and the values a drop would take along.
 
-    ``probes``: ``table_name, column_name, failed, changed, null_rows,
-    duplicates`` measured on the table itself, one row per column; with
-    ``env_id`` each measurement judges its own environment only.  A change
-    without a probe keeps its static level.
+    ``probes``: ``table_name``, ``subject`` (or ``column_name``) and any of
+    ``failed, changed, null_rows, duplicates, lost`` measured on the table
+    itself; with ``env_id``, ``schema_name`` or ``operation`` each measurement
+    judges only what it was taken for.  A change whose measure is missing keeps
+    its static level.
     """
-    key = [c for c in ("env_id", "schema_name") if c in probes.columns] + ["table_name", "subject"]
-    probed = verdicts.join(staged(probes.withColumnRenamed("column_name", "subject"), "probes"), key, "left")
-    measured = F.col("failed").isNotNull()
+    if "subject" not in probes.columns:
+        probes = probes.withColumnRenamed("column_name", "subject")
+    key = [c for c in ("env_id", "schema_name", "table_name", "operation", "subject") if c in probes.columns]
+    missing = {m: F.lit(None).cast("bigint") for m in ("failed", "changed", "null_rows", "duplicates", "lost") if m not in probes.columns}
+    probed = verdicts.join(staged(probes.withColumns(missing), "probes"), key, "left")
+
+    def by(*measures: str) -> Column:
+        """Dangerous where any measure found a row, safe where all were taken and found none."""
+        found = [F.coalesce(F.col(m) > 0, F.lit(False)) for m in measures]
+        taken = [F.col(m).isNotNull() for m in measures]
+        any_found, all_taken = found[0], taken[0]
+        for f, t in zip(found[1:], taken[1:], strict=True):
+            any_found, all_taken = any_found | f, all_taken & t
+        return F.when(any_found, DANGEROUS).when(all_taken, SAFE).otherwise(F.col("level"))
+
+    operation = F.col("operation")
     level = (
-        F.when(~measured, F.col("level"))
-        .when(F.col("operation") == "alter_type",
-              F.when(F.col("failed") > 0, DANGEROUS).when(F.col("changed") > 0, LOSSY).otherwise(SAFE))
-        .when(F.col("operation").isin("set_not_null", "add_primary_key") & (F.col("null_rows") > 0), DANGEROUS)
-        .when(F.col("operation").isin("add_unique", "add_primary_key") & (F.col("duplicates") > 0), DANGEROUS)
-        .when(F.col("operation").isin("set_not_null", "add_unique", "add_primary_key"), SAFE)
+        F.when((operation == "alter_type") & F.col("failed").isNotNull(),
+               F.when(F.col("failed") > 0, DANGEROUS).when(F.col("changed") > 0, LOSSY).otherwise(SAFE))
+        .when(operation == "set_not_null", by("null_rows"))
+        .when(operation == "add_primary_key", by("null_rows", "duplicates"))
+        .when(operation == "add_unique", by("duplicates"))
         .otherwise(F.col("level"))
     )
     rank = F.create_map(*[x for i, l in enumerate((SAFE, REVIEW, LOSSY, MULTI_PHASE, DANGEROUS)) for x in (F.lit(l), F.lit(i))])
     shift = F.when(rank[level] > rank[F.col("level")], "upgraded").when(rank[level] < rank[F.col("level")], "downgraded").otherwise("unchanged")
-    return probed.select(*verdicts.columns, level.alias("data_level"), shift.alias("shift"))
+    return probed.select(*verdicts.columns, level.alias("data_level"), shift.alias("shift"), F.col("lost").alias("impact"))
 
 
 def safety_rollup(verdicts: DataFrame, envs: DataFrame) -> DataFrame:

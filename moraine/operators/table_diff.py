@@ -29,9 +29,9 @@ def nested_diff(current, desired, kinds: Sequence[str] = KINDS, by: Sequence[str
     ``status`` is added, removed or both; ``old_rls_enabled``, ``new_rls_enabled``;
     and for each of ``kinds`` that both sides have, an array of what was added,
     removed or modified, with ``old_*``, ``new_*``, ``status`` and ``changes``
-    (empty unless the table is on both sides).  ``desired_columns`` and
-    ``desired_keys`` hold the names of all desired columns and the foreign keys
-    that have no namesake on the current side, new tables included.  The only
+    (empty unless the table is on both sides).  ``desired_columns``,
+    ``desired_primary_key`` and ``desired_keys`` hold the names of all desired
+    columns, those of the primary key, and the foreign keys that have no namesake on the current side, new tables included.  The only
     exchange is by ``by``, a part of the table's key.
     """
     have = {"columns": True, "indexes": current.idx is not None and desired.idx is not None,
@@ -75,6 +75,8 @@ def nested_diff(current, desired, kinds: Sequence[str] = KINDS, by: Sequence[str
         shown.append(F.when(both, merged).otherwise(F.array().cast(_diff_type(out, kind, name, fields))).alias(kind))
     if "columns" in kinds:
         shown.append(F.map_keys("_columns_new").alias("desired_columns"))
+        keys = F.map_filter("_columns_new", lambda _, c: F.coalesce(c["is_primary_key"], F.lit(False)))
+        shown.append(F.map_keys(keys).alias("desired_primary_key"))
     if "foreign_keys" in kinds:
         fresh = F.map_filter("_foreign_keys_new", lambda k, _: ~F.map_contains_key(F.col("_foreign_keys_old"), k))
         shown.append(F.map_entries(fresh).alias("desired_keys"))

@@ -69,7 +69,7 @@ def write_monitor(
 
 
 def unique_arrivals(df: DataFrame, keys: Sequence[str], time: str, delay: str = "10 minutes") -> DataFrame:
-    """The first arrival of each key within the watermark's span; ``run_unique`` looks back without limit."""
+    """The first arrival of each key within the watermark's span; ``run_unique`` keeps the first by order, without limit."""
     timed = df.withColumn(time, F.col(time).cast("timestamp"))
     if not df.isStreaming:
         return timed.dropDuplicates(list(keys))
@@ -107,22 +107,52 @@ def monitored(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("window_start", "window_end").agg(latest).select("window_start", "window_end", "v.*")
 
 
-def run_unique(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
-    """Publish the first arrival of each key, however far apart arrivals of a key are.
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each key the row that comes first by ``order``, kept as keyed state; a batch yields the keys whose first row it changed.
 
-    A batch is held against the keys that other batches have published, so no
-    state grows with time; only its own keys are shuffled.
+    One state row per key, however often the key arrives: a micro-batch loads
+    and stores the keys it holds and no others.  Nulls of ``order`` come last,
+    null keys are equal, and rows that are equal by ``order`` are told apart by
+    a hash of the whole row, then by arrival.  Equal keys of a batch are combined
+    before the shuffle.
+    """
+    # the instant of arrival is the same for all of a micro-batch, replays included
+    whole = df.select(F.struct(*df.columns).alias("_row"), F.current_timestamp().alias("_arrived"))
+    row = F.col("_row")
+    rank = F.struct(*[c for o in order for c in (row[o].isNull(), row[o])], F.xxhash64("_row"), F.col("_arrived"))
+    best = whole.groupBy(*[row[k].alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(F.struct("_row", "_arrived"), rank).alias("_best"))
+    return best.filter(F.col("_best._arrived") == F.current_timestamp()).select("_best._row.*")
+
+
+def run_unique(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, order: Sequence[str] = (),
+               within: tuple[str, str] | None = None) -> None:
+    """Publish one row of each key, the first by ``order`` (by arrival if none is given), however far apart its rows are.
+
+    Each batch writes the keys whose first row it found or, when an earlier row
+    came late, replaced; ``unique_rows`` reads the latest of each.  Nothing that
+    was published is read again.  State holds one row per key for good; with
+    ``within`` (time column, span) it expires: a key that comes back after the
+    span counts as new, and rows later than the span are dropped.
     """
-    spark = df.sparkSession
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(list(keys))
-        if is_dir(spark, path):
-            known = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*keys)
-            fresh = fresh.join(known, list(keys), "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    _batch_files(df.writeStream, path, checkpoint, write)
+    if within:
+        time, span = within
+        timed = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, span)
+        _batch_files(timed.dropDuplicatesWithinWatermark(list(keys)).writeStream, path, checkpoint, write)
+    else:
+        _batch_files(first_rows(df, keys, order).writeStream.outputMode("update"), path, checkpoint, write)
+
+
+def unique_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The published row of every key: what the latest batch wrote of it."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch_id"]
+    latest = F.max_by(F.struct(*columns), "batch_id").alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(latest).select(
+        *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def run_quarantine(df: DataFrame, rules: Sequence[RowRule], path: str, checkpoint: str) -> None:

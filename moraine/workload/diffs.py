@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moraine.operators import drift as dr
-from moraine.operators import probes as pr
 from moraine.operators import safety as sf
+from moraine.plans import probing as pb
 from moraine.workload.data import Data, fleet
 from moraine.workload.registry import query
 
@@ -290,7 +290,7 @@ def safety_rollup(d: Data):
     return rolled.withColumn("dangerous_operations", F.array_join("dangerous_operations", ";"))
 
 
-@query("classify_diff_full", _JUDGED + """,
+_FULL = _JUDGED + """,
 ia AS (SELECT env_id, table_name, index_name, string_agg(column_name, ',' ORDER BY ordinal) AS k, bool_and(is_unique) AS u FROM cur_idx GROUP BY ALL),
 ib AS (SELECT env_id, table_name, index_name, string_agg(column_name, ',' ORDER BY ordinal) AS k, bool_and(is_unique) AS u FROM des_idx GROUP BY ALL),
 both_tables AS (SELECT env_id, table_name FROM cur_tables INTERSECT SELECT env_id, table_name FROM des_tables),
@@ -298,8 +298,8 @@ ij AS (SELECT env_id, table_name, index_name, ia.k AS ka, ib.k AS kb, ia.u AS ua
   WHERE (ia.k, ia.u) IS DISTINCT FROM (ib.k, ib.u) AND (env_id, table_name) IN (SELECT (env_id, table_name) FROM both_tables)),
 fj AS (SELECT env_id, table_name, fk_name, a.ref_table AS ra, b.ref_table AS rb FROM cur_fks a FULL JOIN des_fks b USING (env_id, table_name, fk_name)
   WHERE (a.ref_table, a.ref_column, a.column_name, a.on_delete) IS DISTINCT FROM (b.ref_table, b.ref_column, b.column_name, b.on_delete)
-  AND (env_id, table_name) IN (SELECT (env_id, table_name) FROM both_tables))
-SELECT env_id, table_name, operation, subject, level, CASE WHEN reversible THEN 'yes' ELSE 'no' END AS reversible, requires_multi_phase FROM verdict
+  AND (env_id, table_name) IN (SELECT (env_id, table_name) FROM both_tables)),
+full_verdict AS (SELECT env_id, table_name, operation, subject, level, CASE WHEN reversible THEN 'yes' ELSE 'no' END AS reversible, requires_multi_phase FROM verdict
 UNION ALL SELECT env_id, table_name, CASE WHEN new_nullable THEN 'drop_not_null' ELSE 'set_not_null' END, column_name,
   CASE WHEN new_nullable THEN 'Requires Review' ELSE 'Lossy' END, 'yes', NOT new_nullable FROM col_diff WHERE contains(changes, 'nullable')
 UNION ALL SELECT env_id, table_name, CASE WHEN new_default IS NULL THEN 'drop_default' ELSE 'set_default' END, column_name, 'Requires Review', 'yes', false
@@ -317,27 +317,62 @@ UNION ALL SELECT env_id, table_name, 'rename_column', old_name || ' -> ' || new_
     row_number() OVER (PARTITION BY r.env_id, r.table_name, r.column_name ORDER BY levenshtein(lower(r.column_name), lower(a.column_name)), a.new_ordinal) AS i,
     row_number() OVER (PARTITION BY r.env_id, r.table_name, a.column_name ORDER BY levenshtein(lower(r.column_name), lower(a.column_name)), r.column_name) AS j
   FROM col_diff r JOIN col_diff a ON r.env_id = a.env_id AND r.table_name = a.table_name AND r.old_type = a.new_type
-  WHERE r.status = 'removed' AND a.status = 'added' AND levenshtein(lower(r.column_name), lower(a.column_name)) <= 2) WHERE i = 1 AND j = 1""")
+  WHERE r.status = 'removed' AND a.status = 'added' AND levenshtein(lower(r.column_name), lower(a.column_name)) <= 2) WHERE i = 1 AND j = 1) """
+
+
+@query("classify_diff_full", _FULL + "SELECT * FROM full_verdict")
 def classify_diff_full(d: Data):
     return sf.classify_diff_full(d.cur, d.des).select(
         "env_id", "table_name", "operation", "subject", "level", "reversible", "requires_multi_phase"
     )
 
 
-@query("classify_with_data", _JUDGED + """,
-p AS (SELECT count(*) FILTER (WHERE o_orderkey > 2147483647) AS failed FROM orders)
-SELECT env_id, table_name, operation, subject, level,
-  CASE WHEN operation = 'alter_type' AND table_name = 'routes' AND subject = 'route_id' THEN CASE WHEN p.failed > 0 THEN 'Dangerous' ELSE 'Safe' END ELSE level END AS data_level,
-  CASE WHEN operation = 'alter_type' AND table_name = 'routes' AND subject = 'route_id' AND p.failed = 0 THEN 'downgraded' ELSE 'unchanged' END AS shift
-FROM col_verdict, p""")
+# data of the tables the diff changes, by environment; both forms read the same definitions
+_PROBED = {
+    "routes": ("orders", {
+        "env_id": "o_custkey", "route_id": "o_orderkey",
+        "code": "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END",
+        "fare_zone": "CAST(floor(o_totalprice / 10) AS INTEGER)", "opened_at": "o_orderdate",
+        "operator": "CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END"}),
+    "runs": ("events", {
+        "env_id": "user_id", "vehicle": "CASE WHEN event_type <> 'error' THEN event_type END", "left_at": "ts",
+        "remarks": "CASE WHEN event_type = 'view' THEN props END"}),
+    "calls": ("events", {
+        "env_id": "user_id", "run_id": "CAST(event_id % 500 AS INTEGER)",
+        "stop_id": "CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS INTEGER) END"}),
+}
+_PROBED_SQL = ", ".join(
+    f"p_{t} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {base})" for t, (base, cols) in _PROBED.items())
+
+
+@query("classify_with_data", _FULL + ", " + _PROBED_SQL + """,
+measured AS (
+  SELECT env_id, 'routes' AS table_name, 'alter_type' AS operation, 'route_id' AS subject, count(*) FILTER (WHERE route_id > 2147483647) AS failed,
+    count(*) FILTER (WHERE route_id > 2147483647) AS changed, NULL AS null_rows, NULL AS duplicates, NULL AS lost FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'routes', 'alter_type', 'fare_zone', count(*) FILTER (WHERE fare_zone > 32767), count(*) FILTER (WHERE fare_zone > 32767), NULL, NULL, NULL FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'routes', 'alter_type', 'opened_at', 0, 0, NULL, NULL, NULL FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'routes', 'set_not_null', 'code', NULL, NULL, count(*) FILTER (WHERE code IS NULL), NULL, NULL FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'routes', 'add_unique', 'routes_code_key', NULL, NULL, NULL, count(code) - count(DISTINCT code), NULL FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'routes', 'drop_column', 'operator', NULL, NULL, NULL, NULL, count(operator) FROM p_routes GROUP BY env_id
+  UNION ALL SELECT env_id, 'runs', 'alter_type', 'vehicle', 0, 0, NULL, NULL, NULL FROM p_runs GROUP BY env_id
+  UNION ALL SELECT env_id, 'runs', 'alter_type', 'left_at', 0, 0, NULL, NULL, NULL FROM p_runs GROUP BY env_id
+  UNION ALL SELECT env_id, 'runs', 'drop_column', 'remarks', NULL, NULL, NULL, NULL, count(remarks) FROM p_runs GROUP BY env_id
+  UNION ALL SELECT env_id, 'calls', 'add_primary_key', unnest(['run_id', 'stop_id']), NULL, NULL, count(*) FILTER (WHERE stop_id IS NULL),
+    count(*) FILTER (WHERE stop_id IS NOT NULL) - count(DISTINCT (run_id, stop_id)) FILTER (WHERE stop_id IS NOT NULL), NULL FROM p_calls GROUP BY env_id),
+judged AS (
+  SELECT v.env_id, table_name, operation, subject, level, lost AS impact,
+    CASE WHEN operation = 'alter_type' AND failed IS NOT NULL THEN CASE WHEN failed > 0 THEN 'Dangerous' WHEN changed > 0 THEN 'Lossy' ELSE 'Safe' END
+      WHEN operation IN ('set_not_null', 'add_unique', 'add_primary_key') AND m.env_id IS NOT NULL
+        THEN CASE WHEN coalesce(null_rows, 0) + coalesce(duplicates, 0) > 0 THEN 'Dangerous' ELSE 'Safe' END ELSE level END AS data_level
+  FROM full_verdict v LEFT JOIN measured m USING (env_id, table_name, operation, subject))
+SELECT env_id, table_name, operation, subject, level, data_level, impact,
+  CASE sign(list_position(['Safe', 'Requires Review', 'Lossy', 'Multi-Phase Required', 'Dangerous'], data_level)
+    - list_position(['Safe', 'Requires Review', 'Lossy', 'Multi-Phase Required', 'Dangerous'], level))
+    WHEN 1 THEN 'upgraded' WHEN -1 THEN 'downgraded' ELSE 'unchanged' END AS shift
+FROM judged""")
 def classify_with_data(d: Data):
-    # routes.route_id is probed on the order keys that stand in for its values
-    ids = d.orders.select(F.col("o_orderkey").alias("route_id"))
-    probe = pr.cast_probe(ids, {"route_id": "int"}).select(
-        F.lit("routes").alias("table_name"), "column_name", "failed", F.lit(0).alias("changed"),
-        F.lit(0).alias("null_rows"), F.lit(0).alias("duplicates"),
-    )
-    verdicts = sf.classify_columns(dr.diff_columns(d.cur, d.des))
-    return sf.classify_with_data(verdicts, probe).select(
-        "env_id", "table_name", "operation", "subject", "level", "data_level", "shift"
+    data = {t: getattr(d, base).select(*[F.expr(e).alias(c) for c, e in cols.items()]) for t, (base, cols) in _PROBED.items()}
+    probes = pb.measured_probes(pb.wanted_probes(d.cur, d.des), data)
+    return sf.classify_with_data(sf.classify_diff_full(d.cur, d.des), probes).select(
+        "env_id", "table_name", "operation", "subject", "level", "data_level", "impact", "shift"
     )

@@ -75,9 +75,10 @@ def stream_quarantine(d: Data):
     return d.spark.read.parquet(f"{path}/rows").select("event_id", F.array_join("reasons", ";").alias("reasons"), "outcome")
 
 
-@query("stream_dedupe", "SELECT count(DISTINCT (user_id, event_type)) AS keys, count(DISTINCT (user_id, event_type)) AS rows FROM events")
+@query("stream_dedupe", """
+SELECT user_id, event_type, event_id, ts, value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) = 1""")
 def stream_dedupe(d: Data):
-    path = scratch_dir(d.spark, "dedupe")
-    jobs.run_unique(_in_pieces(d, "arrivals"), ["user_id", "event_type"], f"{path}/rows", f"{path}/checkpoint")
-    kept = d.spark.read.parquet(f"{path}/rows")
-    return kept.agg(F.count_distinct("user_id", "event_type").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    path, keys = scratch_dir(d.spark, "dedupe"), ["user_id", "event_type"]
+    jobs.run_unique(_in_pieces(d, "arrivals"), keys, f"{path}/rows", f"{path}/checkpoint", ["value", "event_id"])
+    return jobs.unique_rows(d.spark, f"{path}/rows", keys).select("user_id", "event_type", "event_id", "ts", "value", "props")
