@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from moraine.sources.files import delete, delete_at_exit
+
 # Only settings whose Spark defaults do not fit large skewed tables.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,9 +55,44 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_RECORDS: list[list[str]] = []  # of each open ``recorded_scratch``, the folders made so far
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing path below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/moraine-{label}-{uuid.uuid4().hex}"
+    """A new, not yet existing path below the shared root, which goes with the driver at the latest.
+
+    What is in it may be read until then.  ``recorded_scratch`` and ``dropped``
+    let it go as soon as it is known that nothing reads it any more.
+    """
+    path = f"{shared_root(spark).rstrip('/')}/moraine-{label}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """Lists the scratch folders made inside, for ``drop_scratch`` once what was computed from them is written."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not record]
+
+
+def drop_scratch(spark: SparkSession, record: list[str]) -> None:
+    """Remove the listed folders; the list is empty afterwards."""
+    while record:
+        delete(spark, record.pop())
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Remove the files behind a ``staged`` frame that nothing reads any more."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 def staged(df: DataFrame, label: str = "keys") -> DataFrame:
@@ -68,4 +107,6 @@ def staged(df: DataFrame, label: str = "keys") -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out

@@ -60,3 +60,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     """Remove a file or a folder with all it holds; false when there is none."""
     p, fs = _path(spark, path)
     return fs.delete(p, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder that is yet to be made removed when the driver's file system closes."""
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)  # only what is there can be marked
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
