@@ -17,13 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from moraine.llm.words import GAP_BYTE, raw_bytes, slices, split_words
 from moraine.session import staged
 
 CACHE = 400_000  # distinct words of a generation, of which a Python worker remembers two
 MARKS = b".,;:!?|"
+SLICE = 4 << 20  # bytes of text whose distinct words are encoded together
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b" \t\n\x0b\x0c\r")] = GAP_BYTE
 LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]{1,60}")  # composed letters, which no normal form changes
 _WORDS: dict[str, "WordIds"] = {}
 STREAM = "part int, id {key}, local_start long, n long, ids binary"
@@ -88,6 +93,24 @@ class WordIds(dict):
         self.learn(set().union(*lists))
         return [b"".join([*map(self.__getitem__, words), end]) for words in lists]
 
+    def encode_slice(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """The same for texts without special tokens, as one array: (ids of each text with ``end_id`` behind them, as bytes; their number), each distinct word looked up once."""
+        words = split_words(texts, KINDS)
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        self.learn(set(distinct))
+        ids = [self[w] for w in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[words.code]
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        per_text = np.bincount(words.doc, n, len(texts)).astype(np.int64) + 1
+        out = np.full(int(per_text.sum()), end_id, "<u4")
+        # every text before a word has put one end before it
+        out[at + np.repeat(words.doc, n)] = flat[at + np.repeat(begin[words.code] - before, n)]
+        bounds = np.concatenate([[0], np.cumsum(per_text)]) * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(out)]), per_text
+
 
 def word_ids(path: str) -> WordIds:
     """The worker's words: they outlive a task where Spark keeps its Python workers."""
@@ -104,17 +127,25 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, tex
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         for batch in source:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                ids = words.encode(piece.column("text").to_pylist(), end)
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            texts = batch.column("text")
+            special = pa.compute.fill_null(pa.compute.match_substring(texts, "<|"), False)
+            plain = pa.compute.if_else(special, pa.scalar("", texts.type), texts)
+            for lo, hi in slices(np.diff(raw_bytes(plain)[1]), SLICE):
+                ids, n = words.encode_slice(plain.slice(lo, hi - lo), end_id)
+                cased = np.flatnonzero(special.slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+                if len(cased):
+                    own = ids.to_pylist()
+                    for i in cased.tolist():  # special tokens may stand in these
+                        own[i] = words.encode([texts[lo + i].as_py().encode()], end)[0]
+                        n[i] = len(own[i]) // 4
+                    ids = pa.array(own, pa.large_binary())
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.record_batch({
-                    "part": pa.array(np.full(len(ids), part, np.int32)), "id": piece.column("id"),
-                    "local_start": pa.array(starts), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
+                    "part": pa.array(np.full(len(ids), part, np.int32)), "id": batch.column("id").slice(lo, hi - lo),
+                    "local_start": pa.array(starts), "n": pa.array(n), "ids": ids.cast(pa.binary())})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return staged(rows.mapInArrow(encode, STREAM.format(key=key)), "pack-stream")
 
 

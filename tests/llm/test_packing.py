@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -39,6 +40,16 @@ def test_real_texts_and_a_small_cache(spark, tokenizer, monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_slice_gives_the_ids_of_its_texts():
+    rnd, words = random.Random(6), packing.WordIds(VOCABULARY)
+    bits = ["a", "Don't", "'s", "Été", "ß", "x1", "42", ".", "...", " ", "\n", "\t\x0b", "\x1c", "日本", "Σ", " word "]
+    for _ in range(100):
+        texts = [rnd.choice([None, "", "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))]) for _ in range(rnd.randint(0, 9))]
+        ids, n = words.encode_slice(pa.array(texts, pa.string()), 1)
+        want = words.encode([(t or "").encode() for t in texts], np.array([1], "<u4").tobytes())
+        assert ids.to_pylist() == want and n.tolist() == [len(w) // 4 for w in want]
+
+
 @pytest.mark.parametrize("total", [0, 1, 7, 8, 9, 40, 47])
 def test_edges_leave_no_padding(total):
     edges = packing.window_edges(total, 8)
