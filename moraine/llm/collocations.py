@@ -28,15 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from moraine.llm.words import BREAK_BYTE, GAP_BYTE, raw_bytes, slices, split_words
 from moraine.session import staged
 
-SHARDS = 3
+SHARDS = 2
 BLOCK = 8 << 20  # bytes of text coded together; a longer text is a block of its own
 BLOOM_BITS = 25  # the filter of reached pairs has 2^25 bits, 4 MiB, whatever the input
 EMIT = 1 << 16  # rows of an Arrow batch
+NEVER = 1 << 30
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = GAP_BYTE
 KINDS[list(b".,;:!?\n\x0b\x0c\r")] = BREAK_BYTE
 BLOCKS = "shard int, lang string, words array<string>, codes binary, first binary"
-COUNTS = "lang string, phrase string, k int, since int, n long"
+COUNTS = "lang string, phrase string, since int, n long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,8 +110,7 @@ def _counted(lang: str, parts: list[pa.Array], since: np.ndarray | int, n: np.nd
         phrase = (pc.binary_join_element_wise(*some, " ") if len(some) > 1 else some[0]).cast(pa.string())
         when = pa.repeat(pa.scalar(since, pa.int32()), len(phrase)) if isinstance(since, int) else pa.array(since[lo:lo + EMIT], pa.int32())
         yield pa.record_batch({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase,
-                               "k": pa.repeat(pa.scalar(len(parts), pa.int32()), len(phrase)), "since": when,
-                               "n": pa.array(n[lo:lo + EMIT], pa.int64())})
+                               "since": when, "n": pa.array(n[lo:lo + EMIT], pa.int64())})
 
 
 def _phrases(lang: str, words: pa.Array, ids: list[np.ndarray], since: np.ndarray | int) -> Iterator[pa.RecordBatch]:
@@ -128,31 +128,40 @@ def _phrases(lang: str, words: pa.Array, ids: list[np.ndarray], since: np.ndarra
     yield from _counted(lang, [words.take(pa.array(i[at])) for i in ids], since if isinstance(since, int) else since[at], n)
 
 
-def scan(blocks: DataFrame, step: int, shards: int, bloom, recent) -> DataFrame:
-    """Phrases of two and three words that the step looks at, counted by block.
+def _block(batch: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, np.ndarray]:
+    """(language, distinct words, codes, steps) of a block: of each pair of neighbours, the step since when both are frequent."""
+    codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
+    first = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
+    words = batch.column("words")[i].values
+    when = np.full(len(words), NEVER, np.int32)
+    when[batch.column("at")[i].values.to_numpy()] = batch.column("reached")[i].values.to_numpy()
+    since = np.maximum(when[codes[1:]], when[codes[:-1]])
+    since[first[1:]] = NEVER  # a new piece begins between the two
+    return batch.column("lang")[i].as_py(), words, codes, since
 
-    ``blocks`` carry ``at`` and ``reached``: codes of their words that reached
-    the threshold, and the steps.  ``since`` is the step at which the later word
-    of a pair did; whether a triple is counted is for an exact join to say.
-    """
-    oldest = step - shards
+
+def scan_pairs(blocks: DataFrame, step: int, shards: int) -> DataFrame:
+    """Pairs of words that the step counts, by block; ``since`` is the step at which the later word reached the threshold."""
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
-                first = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
-                when = np.full(len(words), 1 << 30, np.int32)
-                when[batch.column("at")[i].values.to_numpy()] = batch.column("reached")[i].values.to_numpy()
-                since = np.maximum(when[codes[1:]], when[codes[:-1]])
-                counted = ~first[1:] & (since < step)
-                fresh = np.flatnonzero(counted & (since >= oldest))
-                yield from _phrases(lang, words, [codes[fresh], codes[fresh + 1]], since[fresh])
-                if bloom is None:
-                    continue
-                del fresh, since
-                pair = np.flatnonzero(counted)
+                lang, words, codes, since = _block(batch, i)
+                at = np.flatnonzero((since < step) & (since >= step - shards))
+                yield from _phrases(lang, words, [codes[at], codes[at + 1]], since[at])
+
+    made: Callable = count
+    return blocks.mapInArrow(made, COUNTS)
+
+
+def scan_triples(blocks: DataFrame, step: int, bloom, recent) -> DataFrame:
+    """Three words both of whose pairs may have reached the threshold, the later one within the last cycle, by block."""
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                lang, words, codes, since = _block(batch, i)
+                pair = np.flatnonzero(since < step)
                 hashes = word_hashes(words.to_pylist())
                 places = bloom_places(pair_hashes(lang, hashes[codes[pair]], hashes[codes[pair + 1]]))
                 hit = np.zeros(len(codes), np.uint8)
@@ -167,7 +176,7 @@ def scan(blocks: DataFrame, step: int, shards: int, bloom, recent) -> DataFrame:
                 yield from _phrases(lang, words, [codes[three], codes[three + 1], codes[three + 2]], -1)
 
     made: Callable = count
-    return blocks.select("lang", "words", "codes", "first", "at", "reached").mapInArrow(made, COUNTS)
+    return blocks.mapInArrow(made, COUNTS)
 
 
 def bloom_of(pairs: DataFrame) -> bytes:
@@ -216,35 +225,39 @@ def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
                                              F.col("held.reached").alias("reached"))
 
 
-def _after(state: DataFrame | None, found: DataFrame, step: int, shards: int, least: int) -> DataFrame:
-    """Pairs and triples (lang, phrase, k, since, n, reached) after a step.
+def _merged(state: DataFrame | None, found: DataFrame) -> DataFrame:
+    """State and the counts of a step by phrase: since, n before, ``more`` of this step, reached."""
+    zero = F.lit(0).cast("bigint")
+    both = found.select("lang", "phrase", "since", zero.alias("n"), F.col("n").alias("more"), F.lit(None).cast("int").alias("reached"))
+    if state is not None:
+        both = state.select("lang", "phrase", "since", "n", zero.alias("more"), "reached").unionAll(both)
+    return both.groupBy("lang", "phrase").agg(F.max("since").alias("since"), F.sum("n").alias("n"), F.sum("more").alias("more"),
+                                              F.min("reached").alias("reached"))
+
+
+def _kept(now: DataFrame, step: int, shards: int, least: int, label: str) -> DataFrame:
+    """lang, phrase, since, n, reached after a step.
 
     Counts still open are kept whole; of those that have seen their full cycle
     only the frequent ones, so what is carried from step to step is small once
     most phrases have been counted.
     """
-    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("int")
-    both = found.select("lang", "phrase", "k", "since", zero.alias("n"), "n", none.alias("reached")).toDF(
-        "lang", "phrase", "k", "since", "n", "more", "reached")
-    if state is not None:
-        both = state.select("lang", "phrase", "k", "since", "n", zero.alias("more"), "reached").unionAll(both)
-    merged = both.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("since").alias("since"), F.sum("n").alias("n"),
-                                                F.sum("more").alias("more"), F.min("reached").alias("reached"))
-    now = merged.filter("k = 2")
-    if state is not None:
-        # the exact test that the Bloom filter only foretold: both pairs reached, the later one within the last cycle
-        open_pairs = state.filter((F.col("k") == 2) & F.col("reached").isNotNull()).select("lang", "phrase", "reached")
-        head = open_pairs.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("one"))
-        tail = open_pairs.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("two"))
-        three = merged.filter("k = 3 and more > 0").withColumns({
-            "head": F.substring_index("phrase", " ", 2), "tail": F.substring_index("phrase", " ", -2)}) \
-            .join(head, ["lang", "head"]).join(tail, ["lang", "tail"]).withColumn("since", F.greatest("one", "two")) \
-            .withColumn("more", F.when(F.col("since") >= step - shards, F.col("more")).otherwise(zero)).filter("n + more > 0")
-        now = now.unionByName(three.select(*now.columns)).unionByName(merged.filter("k = 3 and more = 0"))
     total = F.col("n") + F.col("more")
     return staged(now.filter((F.col("since") > step - shards) | (total >= least)).select(
-        "lang", "phrase", "k", "since", total.alias("n"),
-        F.coalesce("reached", F.when(total >= least, F.lit(step))).alias("reached")), "phrase-longer")
+        "lang", "phrase", "since", total.alias("n"),
+        F.coalesce("reached", F.when(total >= least, F.lit(step))).alias("reached")), label)
+
+
+def _exact(merged: DataFrame, pairs: DataFrame, step: int, shards: int) -> DataFrame:
+    """The exact test of triples that the Bloom filter only foretold: both pairs reached, the later one within the last cycle."""
+    zero = F.lit(0).cast("bigint")
+    pairs = pairs.select("lang", "phrase", "reached")
+    head = pairs.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("one"))
+    tail = pairs.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("two"))
+    return merged.withColumns({"head": F.substring_index("phrase", " ", 2), "tail": F.substring_index("phrase", " ", -2)}) \
+        .join(head, ["lang", "head"]).join(tail, ["lang", "tail"]).withColumn("since", F.greatest("one", "two")) \
+        .withColumn("more", F.when(F.col("since") >= step - shards, F.col("more")).otherwise(zero)).filter("n + more > 0") \
+        .select("lang", "phrase", "since", "n", "more", "reached")
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_col: str = "text",
@@ -253,23 +266,26 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_c
     spark: SparkSession = docs.sparkSession
     blocks = coded_blocks(docs, shards, text_col, lang_col)
     words: DataFrame | None = None
-    longer: DataFrame | None = None  # pairs and triples
+    pairs: DataFrame | None = None
+    triples: DataFrame | None = None
     final: DataFrame | None = None  # blocks with the steps of their words, once all words are counted
-    step, last = 0, shards - 1
+    step, last, pair_steps = 0, shards - 1, 2 * shards
     while step <= last:
         here = F.col("shard") == step % shards
         if step:
             ready = final.filter(here) if final is not None else _with_words(
                 blocks.filter(here), words.filter(F.col("reached").isNotNull()))
-            bloom = recent = None
-            if longer is not None:
-                pairs = longer.filter((F.col("k") == 2) & F.col("reached").isNotNull())
-                bloom = recent = spark.sparkContext.broadcast(bloom_of(pairs))
+            if pairs is not None:
+                known = pairs.filter(F.col("reached").isNotNull())
+                bloom = recent = spark.sparkContext.broadcast(bloom_of(known))
                 if step > shards:
-                    recent = spark.sparkContext.broadcast(bloom_of(pairs.filter(F.col("reached") >= step - shards)))
-            longer = _after(longer, scan(ready, step, shards, bloom, recent), step, shards, least)
-            for bits in {id(x): x for x in (bloom, recent) if x is not None}.values():
-                bits.unpersist()
+                    recent = spark.sparkContext.broadcast(bloom_of(known.filter(F.col("reached") >= step - shards)))
+                triples = _kept(_exact(_merged(triples, scan_triples(ready, step, bloom, recent)), known, step, shards),
+                                step, shards, least, "phrase-triples")
+                for bits in {id(x): x for x in (bloom, recent)}.values():
+                    bits.unpersist()
+            if step < pair_steps:
+                pairs = _kept(_merged(pairs, scan_pairs(ready, step, shards)), step, shards, least, "phrase-pairs")
         if step < shards:
             more = word_counts(blocks.filter(here)).withColumn("reached", F.lit(None).cast("int"))
             more = words.unionByName(more) if words is not None else more
@@ -279,14 +295,15 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_c
         if step == shards - 1:
             reached = words.agg(F.max("reached")).first()[0]
             if reached is not None:
-                last = max(last, reached + shards)
+                pair_steps = reached + 1 + shards
+                last = max(last, pair_steps - 1)
                 final = staged(_with_words(blocks, words.filter(F.col("reached").isNotNull())), "phrase-ready")
-        elif step == last and longer is not None:
-            reached = longer.filter("k = 2").agg(F.max("reached")).first()[0]
+        elif step == pair_steps - 1 and pairs is not None:
+            reached = pairs.agg(F.max("reached")).first()[0]
             last = max(last, reached + shards) if reached is not None else last
         step += 1
-    longer = longer if longer is not None else words.limit(0).withColumn("k", F.lit(2))
-    return tuple(x.select("lang", "phrase", "n") for x in (words, longer.filter("k = 2"), longer.filter("k = 3")))
+    none = words.limit(0)
+    return tuple((x if x is not None else none).select("lang", "phrase", "n") for x in (words, pairs, triples))
 
 
 def mine_phrases(docs: DataFrame, least: int = 10, top: int | None = 2000, shards: int = SHARDS, share: int = 50,
