@@ -96,7 +96,8 @@ def same_types(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> boo
     return all(left.schema[c].dataType.simpleString() == right.schema[c].dataType.simpleString() for c in columns)
 
 
-def _fingerprint(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates ``n, x, low, high`` that are the same for the same rows in any order."""
     # XOR alone cancels pairs of equal rows; the count and the sums over a second,
     # differently seeded hash do not.  Two 20-bit slices keep the sums inside a
     # long for 10^12 rows and more.
@@ -116,7 +117,7 @@ def content_compare(left: DataFrame, right: DataFrame, columns: Sequence[str] |
     exchange, whatever its size.
     """
     columns = list(columns or left.columns)
-    sides = [df.agg(*_fingerprint(df, columns)).withColumn("side", F.lit(i)) for i, df in enumerate((left, right))]
+    sides = [df.agg(*fingerprint(df, columns)).withColumn("side", F.lit(i)) for i, df in enumerate((left, right))]
     both = reduce(DataFrame.unionByName, sides)
     same = [F.min(F.coalesce(F.col(c).cast("string"), F.lit(""))) == F.max(F.coalesce(F.col(c).cast("string"), F.lit("")))
             for c in ("n", "x", "low", "high")]

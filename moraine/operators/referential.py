@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.operators.checks import any_null, key_counts
-from moraine.session import staged
+from moraine.session import dropped, staged
 
 
 def parent_keys(parent: DataFrame, parent_cols: Sequence[str], child_cols: Sequence[str]) -> DataFrame:
@@ -71,9 +71,14 @@ def fk_on_delete_set(
 def fk_on_delete_restrict(
     child: DataFrame, child_cols: Sequence[str], deleted: DataFrame, parent_cols: Sequence[str]
 ) -> DataFrame:
-    """Parents that cannot go because a child row still holds their key."""
-    held = child.select(*[F.col(c).alias(p) for c, p in zip(child_cols, parent_cols)]).distinct()
-    return deleted.join(held, list(parent_cols), "left_semi")
+    """Parents that cannot go because a child row still holds their key.
+
+    The deleted keys are staged first: the child table meets them where it lies
+    if they are few, and only its rows with such a key are reduced to keys.
+    """
+    keys = staged(deleted.select(*[F.col(p).alias(c) for c, p in zip(child_cols, parent_cols)]).distinct(), "deleted")
+    held = child.select(*child_cols).join(keys, list(child_cols), "left_semi").distinct()
+    return deleted.join(held.select(*[F.col(c).alias(p) for c, p in zip(child_cols, parent_cols)]), list(parent_cols), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -115,10 +120,19 @@ def fk_on_delete_cascade(
 
     Every table that the edges reach from ``start`` is in the result.  An acyclic
     graph is walked in topological order; only the deleted keys of each level are
-    staged, the rows stay lazy.  A cyclic one (a table that references itself,
-    say) is iterated on keys alone until nothing more is removed; ``keys`` then
-    names each table's primary key, and the rows are fetched in the end.
+    staged, the rows stay lazy.  A first table that references itself by its key
+    is resolved by path doubling, in logarithmic rounds.  Any other cycle is
+    iterated on keys alone until nothing more is removed; ``keys`` then names
+    each table's primary key, and the rows are fetched in the end.
     """
+    own = [e for e in edges if e.child == e.parent == start]
+    if len(own) == 1 and tuple((keys or {}).get(start, ())) == own[0].ref_columns and _topological(
+            [e for e in edges if e is not own[0]], start):
+        # the only cycle is the first table's reference to itself: that one by doubling, the others in order
+        edge = own[0]
+        removed, kept = fk_on_delete_cascade_self(tables[start], edge.ref_columns, edge.columns, deleted)
+        rest = fk_on_delete_cascade(tables, [e for e in edges if e is not edge], start, removed, keys)
+        return rest | {start: (removed, kept)}
     order = _topological(edges, start)
     if order is None:
         return _cascade_cyclic(tables, edges, start, deleted, keys or {})
@@ -138,6 +152,41 @@ def fk_on_delete_cascade(
     return result
 
 
+def fk_on_delete_cascade_self(
+    df: DataFrame, key: Sequence[str], parent: Sequence[str], deleted: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(removed rows, kept rows) of a table whose rows name a parent row of the same table, by path doubling.
+
+    ``deleted`` holds the keys that go; with them goes every row that has one of
+    them above it.  Each row carries its farthest known ancestor and whether a
+    deleted row lies between; a round looks the ancestor's own ancestor up and so
+    doubles the reach: a chain of n rows takes log2(n) rounds where a walk by
+    levels takes n.  Only narrow (key, ancestor) rows move.  Rows without a
+    parent, or with one that does not exist, end a path; paths that run in a
+    circle end when their reach exceeds the table.
+    """
+    def one(columns: Sequence[str]) -> Column:
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        return F.when(whole, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
+
+    gone = staged(deleted.select(one(key).alias("k"), F.lit(True).alias("_gone")).filter("k is not null").distinct(), "deleted")
+    start = df.select(one(key).alias("k"), one(parent).alias("up")).filter("k is not null").join(gone, "k", "left")
+    state = staged(start.select("k", F.when(F.col("_gone"), None).otherwise(F.col("up")).alias("up"),
+                                F.coalesce("_gone", F.lit(False)).alias("hit")), "ancestors")
+    reach, rows = 1, state.count()
+    while reach <= rows and not state.filter("up is not null").isEmpty():
+        above = state.select(F.col("k").alias("up"), F.col("up").alias("_next"), F.col("hit").alias("_hit"), F.lit(True).alias("_there"))
+        moved = state.filter("up is not null").join(above, "up", "left")
+        hit = F.coalesce("_hit", F.lit(False))
+        moved = moved.select("k", F.when(hit, None).otherwise(F.col("_next")).alias("up"), hit.alias("hit"))
+        before, state = state, staged(state.filter("up is null").unionByName(moved), "ancestors")
+        dropped(before)
+        reach *= 2
+    removed = staged(state.filter("hit").select("k"), "removed")
+    flagged = df.withColumn("_k", one(key)).join(removed.select(F.col("k").alias("_k"), F.lit(True).alias("_hit")), "_k", "left")
+    return (flagged.filter("_hit").select(*df.columns), flagged.filter("_hit is null").select(*df.columns))
+
+
 def _without(df: DataFrame, gone: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of ``df`` that are not in ``gone`` by these columns; a null equals a null."""
     other = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in columns])

@@ -36,6 +36,7 @@ class AddColumn:
     nullable: bool = True
     default: str | None = None
     source: str | None = None  # expression that fills the column instead of the default
+    rules: tuple = ()  # rules that come with the column
     order = 0
 
     def apply(self, t: Table, now: Column | None = None) -> Table:
@@ -44,6 +45,7 @@ class AddColumn:
         else:
             df = evolve.generated_column(t.df, self.name, self.source, self.data_type)
         rules = t.rules if self.nullable else t.rules + (NotNull(self.name),)
+        rules += tuple(r for r in self.rules if r not in rules)
         defaults = {**t.defaults, self.name: self.default} if self.default is not None else t.defaults
         return replace(t, df=df, rules=rules, defaults=defaults)
 
@@ -178,9 +180,11 @@ class DropColumn:
         return replace(t, df=evolve.drop_column(t.df, self.name), rules=rules, defaults=defaults)
 
     def inverse(self, before: Table) -> AddColumn:
-        # Old values cannot come back from the definition alone, only the
-        # column can, so it returns as nullable; see ``rollback_drop_column``.
-        return AddColumn(self.name, before.data_type(self.name), default=before.defaults.get(self.name))
+        # Old values cannot come back from the definition alone, only the column
+        # and its rules can; until ``rollback_drop_column`` has filled it, a
+        # NOT NULL rule reports every row without a default.
+        rules = tuple(r for r in before.rules if _mentions(r, self.name))
+        return AddColumn(self.name, before.data_type(self.name), default=before.defaults.get(self.name), rules=rules)
 
 
 Change = (
@@ -252,9 +256,11 @@ def inverse_changes(before: Table, changes: Sequence[Change]) -> list[Change]:
 
 
 def rollback_changes(after: Table, before: Table, changes: Sequence[Change], now: Column | None = None) -> Table:
-    """Undo the changes; columns end in the order they had before."""
+    """Undo the changes; columns and rules end in the order they had before."""
     undone = reduce(lambda t, c: c.apply(t, now), inverse_changes(before, changes), after)
-    return replace(undone, df=undone.df.select(*before.df.columns))
+    place = {r: i for i, r in enumerate(before.rules)}
+    rules = tuple(sorted(undone.rules, key=lambda r: place.get(r, len(place))))
+    return replace(undone, df=undone.df.select(*before.df.columns), rules=rules)
 
 
 def unique_rule(*columns: str) -> AddRule:

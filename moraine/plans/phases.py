@@ -6,9 +6,9 @@ that must not run raises.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
+import json
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -17,6 +17,9 @@ from moraine.operators.checks import (
 )
 from moraine.operators.measures import backfill_gap_count, content_compare, pending
 from moraine.session import staged
+from moraine.sources.files import list_names, read_text, replace_text
+
+MANIFEST = "_finished"
 
 
 class GateError(RuntimeError):
@@ -136,6 +139,65 @@ def backfill_pending_batches(
     )
 
 
+def run_backfill(
+    df: DataFrame, key: str, size: int, new: str, old: str, data_type: str, path: str, batches: int = 16, stop_after: int | None = None
+) -> int:
+    """Backfill the whole table in batches of key ranges, each written once; returns how many batches this run wrote.
+
+    A batch covers a run of buckets of ``size`` keys, and its range reaches the
+    scan as a filter.  It is written to a folder of its own and then entered in
+    the manifest beside it; a run that was stopped or killed goes on with the
+    batches that are not entered, overwriting what a lost one has left.  The
+    manifest holds the split, so a later run keeps it even if the table grew: new
+    keys below or above fall into the first or the last range, and rows with a
+    null key are a batch of their own.  ``stop_after`` ends the run early.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    noted = read_text(spark, f"{root}/{MANIFEST}/split")
+    if noted is None:
+        low, high = df.agg(F.min(key), F.max(key)).first()
+        first, last = (0, 0) if low is None else (low // size, high // size)
+        step = max(1, -(-(last - first + 1) // batches))
+        split = {"key": key, "size": size, "new": new, "old": old, "type": data_type,
+                 "edges": [b * size for b in range(first + step, last + 1, step)]}
+        replace_text(spark, f"{root}/{MANIFEST}/split", json.dumps(split))
+    else:
+        split = json.loads(noted)
+        asked = {"key": key, "size": size, "new": new, "old": old, "type": data_type}
+        if any(split[k] != v for k, v in asked.items()):
+            raise GateError(f"{root} holds another backfill: {noted}")
+    edges = split["edges"]
+    ranges = {"null": F.col(key).isNull()}
+    for i in range(len(edges) + 1):
+        above = F.lit(True) if i == 0 else F.col(key) >= edges[i - 1]
+        ranges[str(i)] = above & (F.lit(True) if i == len(edges) else F.col(key) < edges[i]) & F.col(key).isNotNull()
+    wrote = 0
+    finished = set(list_names(spark, f"{root}/{MANIFEST}"))
+    for name, wanted in ranges.items():
+        if f"batch-{name}" in finished:
+            continue
+        if stop_after is not None and wrote >= stop_after:
+            break
+        part = df.filter(wanted)
+        seen = Observation()
+        filled = type_change_backfill(part, old, new, data_type).observe(seen, F.count(F.lit(1)).alias("rows"))
+        filled.write.mode("overwrite").parquet(f"{root}/batch-{name}")
+        replace_text(spark, f"{root}/{MANIFEST}/batch-{name}", json.dumps({"rows": seen.get["rows"]}))
+        wrote += 1
+    return wrote
+
+
+def read_backfill(spark, path: str) -> DataFrame:
+    """The rows of all finished batches; refused while any is missing."""
+    root = path.rstrip("/")
+    split = read_text(spark, f"{root}/{MANIFEST}/split")
+    done = [n for n in list_names(spark, f"{root}/{MANIFEST}") if n.startswith("batch-")] if split else []
+    missing = {"batch-null", *(f"batch-{i}" for i in range(len(json.loads(split)["edges"]) + 1))} - set(done) if split else {"all"}
+    if missing:
+        raise GateError(f"backfill at {root} has not finished: {sorted(missing)}")
+    return spark.read.parquet(*[f"{root}/{n}" for n in done])
+
+
 # ------------------------------------------------------- archive and deprecation
 
 

@@ -10,7 +10,9 @@ from moraine.plans import changes as ch
 from moraine.plans import phases as ph
 from moraine.plans import rollback as rb
 from moraine.session import scratch_dir
-from moraine.sources.publish import publish_table, read_published, recreate_table
+from moraine.sources.publish import (
+    PublishError, Staged, publish_table, publish_tables, read_published, read_set, recreate_table,
+)
 from moraine.workload.data import NOW, Data, using
 from moraine.workload.registry import query
 
@@ -61,23 +63,28 @@ def alter_column_type_using(d: Data):
     return changed.select("o_orderkey", "o_orderpriority")
 
 
-@query("set_not_null", """
-SELECT 'not_null(c_mktsegment)' AS rule, 0::BIGINT AS violations, count(*) AS rows, true AS passed FROM customer""")
+@query("set_not_null", using("cust") + """
+SELECT 'before' AS state, 'not_null(c_mktsegment)' AS rule, count(*) FILTER (WHERE c_mktsegment IS NULL) AS violations, count(*) AS rows FROM cust
+UNION ALL SELECT 'after', 'not_null(c_mktsegment)', 0, count(*) FROM cust WHERE c_mktsegment IS NOT NULL""")
 def set_not_null(d: Data):
-    table = ch.SetNotNull("c_mktsegment").apply(ch.Table(d.customer))
-    return ck.check_summary(table.df, table.rules)
+    """Declared on the table as it is, and on what a quarantine of its violations leaves."""
+    before = ch.SetNotNull("c_mktsegment").apply(ch.Table(d.cust))
+    good, _ = ck.quarantine_split(before.df, before.rules)
+    after = ch.SetNotNull("c_mktsegment").apply(ch.Table(good))
+    parts = [ck.check_summary(t.df, t.rules).select(F.lit(n).alias("state"), "rule", "violations", "rows") for n, t in (("before", before), ("after", after))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("append_with_defaults", using("gone_customers") + """
-SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer
-UNION ALL SELECT c_custkey + 1000000, NULL, 'GENERAL' FROM gone_customers""")
+SELECT c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT c_custkey + 1000000, c_name, NULL, 0.0, 'GENERAL' FROM gone_customers""")
 def append_with_defaults(d: Data):
-    table = d.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    # the nation is present and null, the segment is left out
+    # the nation is present and null, balance and segment are left out
     incoming = d.gone_customers.select(
-        (F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(None).cast("int").alias("c_nationkey")
+        (F.col("c_custkey") + 1000000).alias("c_custkey"), "c_name", F.lit(None).cast("int").alias("c_nationkey")
     )
-    appended = ev.append_with_defaults(table, incoming, {"c_mktsegment": "'GENERAL'", "c_nationkey": "0"})
+    defaults = {"c_mktsegment": "'GENERAL'", "c_nationkey": "0", "c_acctbal": "0"}
+    appended = ev.append_with_defaults(d.customer, incoming, defaults)
     return appended.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
 
 
@@ -92,14 +99,25 @@ def recreate_copy(d: Data):
     return read_published(d.spark, root)
 
 
-@query("recreate_copy_without_rule", """
-SELECT 'unique(o_orderkey)' AS rule, 0::BIGINT AS violations, count(*) AS rows, true AS passed FROM orders""")
+@query("recreate_copy_without_rule", using("gone_customers") + """
+SELECT 'refused' AS state, NULL AS o_orderkey, NULL AS o_custkey, count(*) > 0 AS refused FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone_customers)
+UNION ALL SELECT 'rebuilt', o_orderkey, o_custkey, false FROM orders""")
 def recreate_copy_without_rule(d: Data):
+    """With its foreign key the copy is refused, without it the rebuilt table is published under the rules that are left."""
     fk = ck.ForeignKey(("o_custkey",), "gone_customers", ("c_custkey",))
-    table = ch.Table(d.orders, (ck.Unique(("o_orderkey",)), fk))
+    table, parents = ch.Table(d.orders, (ck.Unique(("o_orderkey",)), fk)), {"gone_customers": d.gone_customers}
+    root, columns = scratch_dir(d.spark, "without-rule"), d.orders.dtypes
+    refused = False
+    try:
+        recreate_table(table.df, columns, root, table.rules, parents)
+    except PublishError:
+        refused = True
     copy = ch.DropRule(fk).apply(table)
-    rebuilt = ev.recreate_copy(copy.df, copy.df.dtypes)
-    return ck.check_summary(rebuilt, copy.rules)
+    recreate_table(copy.df, columns, root, copy.rules, parents)
+    rows = read_published(d.spark, root).select(F.lit("rebuilt").alias("state"), "o_orderkey", "o_custkey", F.lit(False).alias("refused"))
+    none = F.lit(None).cast("bigint")
+    return rows.unionByName(d.spark.range(1).select(
+        F.lit("refused").alias("state"), none.alias("o_orderkey"), none.alias("o_custkey"), F.lit(refused).alias("refused")))
 
 
 @query("generated_column", """
@@ -135,11 +153,26 @@ _REVERSIBLE = [
 ]
 
 
-@query("rollback_changes", "SELECT * FROM orders")
+_RULED = (ck.NotNull("o_orderstatus"), ck.Unique(("o_orderkey",)), ck.OneOf("o_orderstatus", ("F", "O")),
+          ck.Check("priced", "o_totalprice > 0"))
+
+
+@query("rollback_changes", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, NULL AS rule, NULL AS violations FROM orders
+UNION ALL SELECT NULL, NULL, NULL, NULL, r.rule, r.violations FROM (
+  SELECT 'not_null(o_orderstatus)' AS rule, 0 AS violations UNION ALL SELECT 'unique(o_orderkey)', 0
+  UNION ALL SELECT 'enum(o_orderstatus)', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))
+  UNION ALL SELECT 'check(priced)', (SELECT count(*) FROM orders WHERE NOT o_totalprice > 0)) r""")
 def rollback_changes(d: Data):
-    before = ch.Table(d.orders)
-    after = ch.apply_changes(before, _REVERSIBLE)
-    return ch.rollback_changes(after, before, _REVERSIBLE).df
+    """Forward and back over a table with rules, a dropped column's among them, its values from the archive."""
+    before = ch.Table(d.orders, _RULED)
+    steps = [*_REVERSIBLE[:2], ch.SetRls(True), ch.DropColumn("o_orderstatus")]
+    archive = ph.archive_column(d.orders, ["o_orderkey"], "o_orderstatus", d.now)
+    back = ch.rollback_changes(ch.apply_changes(before, steps), before, steps)
+    rows = rb.rollback_drop_column(back.df.drop("o_orderstatus"), "o_orderstatus", "string", archive, ["o_orderkey"])
+    checked = ck.check_summary(rows, back.rules)
+    shown = rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return shown.unionByName(checked.select("rule", "violations"), allowMissingColumns=True)
 
 
 @query("rollback_check", """
@@ -172,22 +205,65 @@ def rollback_alter_type(d: Data):
     return back.select("event_id", F.col("big_id").cast("string").alias("big_id"), "big_id_unfit")
 
 
-@query("add_index", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+@query("add_index", """
+SELECT column_name, true AS skips, (SELECT count(*) FROM lineitem) AS rows, (SELECT CAST(sum(l_quantity) AS BIGINT) FROM lineitem) AS quantity
+FROM (VALUES ('l_partkey'), ('l_suppkey')) AS c(column_name)""")
 def add_index(d: Data):
-    return ev.file_layout(d.lineitem, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Whether a probe on either column, by the minima and maxima of the files written, skips half of them or more."""
+    path = scratch_dir(d.spark, "index")
+    ev.curve_layout(d.lineitem, ["l_partkey", "l_suppkey"], 16).write.parquet(path)
+    laid = d.spark.read.parquet(path)
+    # probes in the middle of either column's values
+    probes = laid.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in ("l_partkey", "l_suppkey")]).first().asDict()
+    found = ev.files_admitting(laid, probes).select("column_name", (F.col("admitting") * 2 <= F.col("files")).alias("skips"))
+    totals = laid.agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").cast("bigint").alias("quantity")).first()
+    return found.withColumns({"rows": F.lit(totals["rows"]), "quantity": F.lit(totals["quantity"])})
 
 
 @query("drop_index", """
-SELECT 'unique(o_orderkey)' AS rule, 0::BIGINT AS violations, count(*) AS rows, true AS passed FROM orders""")
+SELECT 'unique(o_custkey)' AS rule, 'declared' AS state, count(*) - count(DISTINCT o_custkey) > 0 AS violated FROM orders
+UNION ALL SELECT 'unique(o_orderkey)', 'declared', count(*) - count(DISTINCT o_orderkey) > 0 FROM orders
+UNION ALL SELECT 'unique(o_orderkey)', 'left', count(*) - count(DISTINCT o_orderkey) > 0 FROM orders""")
 def drop_index(d: Data):
+    """Two unique rules, one of them violated; the drop takes that one along."""
     both = ch.Table(d.orders, (ck.Unique(("o_orderkey",)), ck.Unique(("o_custkey",))))
     left = ch.DropRule(ck.Unique(("o_custkey",))).apply(both)
-    return ck.check_summary(left.df, left.rules)
+    parts = [ck.check_summary(t.df, t.rules).select("rule", F.lit(n).alias("state"), (F.col("violations") > 0).alias("violated"))
+             for n, t in (("declared", both), ("left", left))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("publish_table", """
-SELECT l_returnflag, count(*) AS rows FROM lineitem GROUP BY l_returnflag""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, true AS refused FROM lineitem""")
 def publish_table_query(d: Data):
+    """Published once; a second version that breaks a rule is refused, and readers stay on the first."""
     root = scratch_dir(d.spark, "publish")
-    publish_table(d.lineitem, root, [ck.NotNull("l_orderkey"), ck.Check("quantity", "l_quantity > 0")])
-    return read_published(d.spark, root).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+    rules = [ck.NotNull("l_orderkey"), ck.Check("quantity", "l_quantity > 0")]
+    publish_table(d.lineitem, root, rules)
+    refused = False
+    try:
+        publish_table(d.lineitem.withColumn("l_quantity", F.lit(-1.0)), root, rules)
+    except PublishError:
+        refused = True
+    return read_published(d.spark, root).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", F.lit(refused).alias("refused"))
+
+
+@query("publish_tables", """
+SELECT 'orders' AS table_name, o_orderkey AS key, o_custkey AS parent, true AS refused FROM orders
+UNION ALL SELECT 'customer', c_custkey, NULL, true FROM customer""")
+def publish_tables_query(d: Data):
+    """A set of two: a change whose second table breaks its foreign key leaves both on their old versions."""
+    root, fk = scratch_dir(d.spark, "set"), ck.ForeignKey(("o_custkey",), "customer", ("c_custkey",))
+    first = publish_tables(d.spark, root, {"customer": Staged(d.customer, (ck.PrimaryKey(("c_custkey",)),)), "orders": Staged(d.orders, (fk,))})
+    refused = False
+    try:
+        publish_tables(d.spark, root, {
+            "customer": Staged(d.customer.withColumn("c_custkey", F.col("c_custkey") + 10**9)),
+            "orders": Staged(d.orders, (fk,))}, first["hash"])
+    except PublishError:
+        refused = True
+    now = read_set(d.spark, root)
+    parts = [now[n].select(F.lit(n).alias("table_name"), F.col(k).alias("key"), p.alias("parent"), F.lit(refused).alias("refused"))
+             for n, k, p in (("orders", "o_orderkey", F.col("o_custkey")), ("customer", "c_custkey", F.lit(None).cast("bigint")))]
+    return parts[0].unionByName(parts[1])

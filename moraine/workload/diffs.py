@@ -215,6 +215,71 @@ def replay_change_log_errors(d: Data):
     return errors.select("env_id", "table_name", "column_name", "seq", "action", "error")
 
 
+# named constraints: two names shared by indexes and keys, drops of any of them, a primary key, and what is no action
+_ACTIONS = ("add_unique", "add_foreign_key", "drop_constraint", "drop_constraint", "add_primary_key", "vacuum", "add_index")
+_NAMED_COLUMNS = {
+    "env_id": "user_id", "schema_name": "'public'", "table_name": "'runs'", "seq": "event_id",
+    "action": "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ACTIONS)) + " END",
+    "column_name": "'run_id'", "type_raw": "CAST(NULL AS STRING)", "nullable": "CAST(NULL AS BOOLEAN)",
+    "default_raw": "CAST(NULL AS STRING)", "is_pk": "CAST(NULL AS BOOLEAN)",
+    "constraint_name": "CASE WHEN value > 40 THEN 'runs_route_left' WHEN value > 20 THEN 'runs_route_id_fkey' ELSE 'other' END",
+    "ref_table": "event_type",
+}
+_NAMED_SQL = fleet("tables", "cols", "idx", "fks") + ", log AS (SELECT " + ", ".join(
+    f"{e} AS {c}" for c, e in _NAMED_COLUMNS.items()) + """ FROM events),
+ev AS (
+  SELECT env_id, seq, action, constraint_name AS name, ref_table FROM log WHERE action <> 'vacuum'
+  UNION ALL SELECT DISTINCT env_id, -1, 'add_index', index_name, NULL FROM des_idx WHERE table_name = 'runs'
+  UNION ALL SELECT DISTINCT env_id, -1, 'add_foreign_key', fk_name, ref_table FROM des_fks WHERE table_name = 'runs'),
+s1 AS (SELECT *, CASE WHEN action IN ('add_unique', 'add_index') THEN 1 WHEN action = 'drop_constraint' THEN -1 ELSE 0 END AS x FROM ev),
+r1 AS (SELECT *, sum(x) OVER (PARTITION BY env_id, name ORDER BY seq) AS sx FROM s1),
+t1 AS (SELECT *, action = 'drop_constraint' AND sx >= least(0, min(sx) OVER (PARTITION BY env_id, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS hit_x FROM r1),
+s2 AS (SELECT *, CASE WHEN action = 'add_foreign_key' THEN 1 WHEN action = 'drop_constraint' AND NOT coalesce(hit_x, false) THEN -1 ELSE 0 END AS f FROM t1),
+r2 AS (SELECT *, sum(f) OVER (PARTITION BY env_id, name ORDER BY seq) AS sf FROM s2),
+t2 AS (SELECT *, f = -1 AND sf >= least(0, min(sf) OVER (PARTITION BY env_id, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS hit_f FROM r2),
+pk AS (SELECT *, f = -1 AND NOT coalesce(hit_f, false) AS clear FROM t2),
+pk_state AS (SELECT *, last_value(CASE WHEN action = 'add_primary_key' THEN 1 WHEN clear THEN 0 END IGNORE NULLS)
+  OVER (PARTITION BY env_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS has_pk FROM pk)
+"""
+
+
+def _named_log(d: Data):
+    return d.events.select(*[F.expr(e).alias(c) for c, e in _NAMED_COLUMNS.items()],
+                           F.array(F.lit("route_id")).alias("key_columns"), F.array(F.lit("id")).alias("ref_columns"))
+
+
+@query("replay_constraints", _NAMED_SQL + """,
+adds AS (SELECT *, CASE WHEN action = 'add_foreign_key' THEN 'foreign_key' ELSE 'index' END AS kind FROM t2 WHERE action IN ('add_unique', 'add_index', 'add_foreign_key')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY env_id, name, kind ORDER BY seq) AS i FROM adds),
+taken AS (SELECT env_id, name, CASE WHEN hit_x THEN 'index' ELSE 'foreign_key' END AS kind, count(*) AS n FROM t2 WHERE hit_x OR hit_f GROUP BY ALL)
+SELECT a.env_id, a.kind, a.name, CASE WHEN a.kind = 'index' THEN a.action = 'add_unique' END AS is_unique,
+  CASE WHEN a.kind = 'foreign_key' THEN a.ref_table END AS ref_table
+FROM numbered a LEFT JOIN taken t USING (env_id, name, kind) WHERE a.i > coalesce(t.n, 0) AND env_id IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT env_id, 'primary_key', 'run_id', NULL, NULL FROM (
+  SELECT c_custkey AS env_id, coalesce(arg_max(CASE WHEN action = 'add_primary_key' THEN 1 WHEN clear THEN 0 END, seq)
+    FILTER (WHERE action = 'add_primary_key' OR clear), 1) AS has FROM customer LEFT JOIN pk ON env_id = c_custkey GROUP BY c_custkey) WHERE has = 1""")
+def replay_constraints(d: Data):
+    """Indexes, foreign keys and the primary key of ``runs`` after the log."""
+    runs = [df.filter("table_name = 'runs'") for df in (d.des.tables, d.des.cols, d.des.idx, d.des.fks)]
+    log = _named_log(d).join(d.envs, "env_id", "left_semi")
+    final, _ = dr.replay_change_log(runs[1], runs[0], log, 1000, runs[2], runs[3])
+    indexes, keys = dr.replay_keys(runs[2], runs[3], runs[0], log, 1000)
+    none = F.lit(None)
+    return indexes.select("env_id", F.lit("index").alias("kind"), F.col("index_name").alias("name"), "is_unique", none.cast("string").alias("ref_table")) \
+        .unionByName(keys.select("env_id", F.lit("foreign_key").alias("kind"), F.col("fk_name").alias("name"), none.cast("boolean").alias("is_unique"), "ref_table")) \
+        .unionByName(final.filter("is_pk").select("env_id", F.lit("primary_key").alias("kind"), F.col("column_name").alias("name"),
+                                                  none.cast("boolean").alias("is_unique"), none.cast("string").alias("ref_table")))
+
+
+@query("replay_constraint_errors", _NAMED_SQL + """
+SELECT env_id, seq, 'unknown_constraint' AS error FROM pk_state WHERE clear AND coalesce(has_pk, 1) = 0 AND env_id IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT env_id, seq, 'unsupported_action' FROM log WHERE action = 'vacuum' AND env_id IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT env_id, seq, 'unknown_table' FROM log WHERE env_id NOT IN (SELECT c_custkey FROM customer)""")
+def replay_constraint_errors(d: Data):
+    _, errors = dr.replay_change_log(d.des.cols, d.des.tables, _named_log(d), 1000, d.des.idx, d.des.fks)
+    return errors.select("env_id", "seq", "error")
+
+
 # --------------------------------------------------------------------- verdicts
 
 _SAFE_PAIRS = ("(('integer', 'bigint'), ('bigint', 'numeric'), ('varchar', 'text'), "

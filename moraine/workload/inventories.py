@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from moraine.operators import drift as dr
 from moraine.operators import inventory as iv
 from moraine.operators import lint as ln
 from moraine.session import scratch_dir
 from moraine.sources import schema_docs as sd
-from moraine.sources.tables import table_set_summary
 from moraine.workload.data import SCHEMAS, Data, fleet
 from moraine.workload.registry import query
 
 _TABLE_COUNTS = " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, {len(s.split(','))}::BIGINT AS columns, count(*) AS rows FROM {n}" for n, s in SCHEMAS.items()
-)
+    f"SELECT '{n}' AS table_name, '{c.split()[0]}' AS column_name, count(*) AS rows, count(DISTINCT {c.split()[0]}) AS distinct_values FROM {n}"
+    for n, s in SCHEMAS.items() for c in s.split(", "))
 
 
 @query("read_table_set", _TABLE_COUNTS)
 def read_table_set(d: Data):
-    return table_set_summary(d.table_set())
+    """Rows and distinct values of every column of every table, so that each value is read."""
+    parts = []
+    for name, df in d.table_set().items():
+        values = df.select(F.lit(name).alias("table_name"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.md5(F.to_json(F.struct(c)) if kind.startswith("array") else F.col(c).cast("string")).alias("value"))
+            for c, kind in df.dtypes])))
+        parts.append(values.groupBy("table_name", "column_name").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("distinct_values")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("inventory_tables", fleet("tables") + """

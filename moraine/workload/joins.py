@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from moraine.operators import policy as po
 from moraine.operators import referential as rf
 from moraine.operators import snapshots as sn
+from moraine.session import staged
 from moraine.workload.data import Data, fleet, using
 from moraine.workload.registry import query
 
@@ -48,7 +51,7 @@ judged AS (SELECT f.*, CASE
   WHEN s.a <> s.b THEN 'column_count'
   WHEN NOT EXISTS (SELECT 1 FROM cur_cols c WHERE c.env_id = f.env_id AND c.table_name = f.ref_table AND c.column_name = f.ref_column) THEN 'missing_column'
   END AS problem FROM broken f JOIN sizes s USING (env_id, table_name, fk_name))
-SELECT DISTINCT env_id, table_name, fk_name, problem,
+SELECT DISTINCT env_id, schema_name, table_name, fk_name, problem,
   CASE WHEN problem = 'missing_column' THEN concat_ws('.', ref_table, ref_column) ELSE ref_table END AS subject
 FROM judged WHERE problem IS NOT NULL""")
 def fk_target_exists(d: Data):
@@ -63,11 +66,10 @@ def fk_target_exists(d: Data):
 
 
 @query("fk_on_delete_cascade", using("gone_customers") + """,
-gone_orders AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone_customers)),
-gone_lines AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone_orders))
-SELECT 'customer' AS table_name, (SELECT count(*) FROM gone_customers) AS removed, count(*) - (SELECT count(*) FROM gone_customers) AS kept FROM customer
-UNION ALL SELECT 'orders', (SELECT count(*) FROM gone_orders), count(*) - (SELECT count(*) FROM gone_orders) FROM orders
-UNION ALL SELECT 'lineitem', (SELECT count(*) FROM gone_lines), count(*) - (SELECT count(*) FROM gone_lines) FROM lineitem""")
+gone_orders AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone_customers))
+SELECT 'customer' AS table_name, c_custkey AS key, NULL AS part, c_acctbal AS value, c_custkey IN (SELECT c_custkey FROM gone_customers) AS removed FROM customer
+UNION ALL SELECT 'orders', o_orderkey, NULL, o_totalprice, o_custkey IN (SELECT c_custkey FROM gone_customers) FROM orders
+UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber, l_extendedprice, l_orderkey IN (SELECT o_orderkey FROM gone_orders) FROM lineitem""")
 def fk_on_delete_cascade(d: Data):
     edges = [
         rf.Edge("orders", ("o_custkey",), "customer", ("c_custkey",)),
@@ -77,16 +79,30 @@ def fk_on_delete_cascade(d: Data):
         {"customer": d.customer, "orders": d.orders, "lineitem": d.lineitem}, edges, "customer", d.gone_customers,
         {"customer": ["c_custkey"]},
     )
+    shown = {"customer": ("c_custkey", None, "c_acctbal"), "orders": ("o_orderkey", None, "o_totalprice"),
+             "lineitem": ("l_orderkey", "l_linenumber", "l_extendedprice")}
     parts = []
-    for name, (removed, kept) in outcome.items():
-        parts += [
-            removed.agg(F.count(F.lit(1)).alias("removed"), F.lit(0).alias("kept")).withColumn("table_name", F.lit(name)),
-            kept.agg(F.lit(0).alias("removed"), F.count(F.lit(1)).alias("kept")).withColumn("table_name", F.lit(name)),
-        ]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    return total.groupBy("table_name").agg(F.sum("removed").alias("removed"), F.sum("kept").alias("kept"))
+    for name, sides in outcome.items():
+        key, part, value = shown[name]
+        parts += [df.select(F.lit(name).alias("table_name"), F.col(key).alias("key"),
+                            (F.col(part) if part else F.lit(None).cast("int")).alias("part"), F.col(value).alias("value"),
+                            F.lit(gone).alias("removed")) for df, gone in zip(sides, (True, False), strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("fk_on_delete_cascade_chain", """
+WITH chained AS (SELECT event_id, user_id, event_type, lag(event_id) OVER w AS previous,
+  max(CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 1 ELSE 0 END) OVER w AS gone FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, previous, gone = 1 AS removed FROM chained""")
+def fk_on_delete_cascade_chain(d: Data):
+    """Every event names its user's event before it."""
+    chain = d.events.select("event_id", "event_type", F.lag("event_id").over(
+        Window.partitionBy("user_id").orderBy("event_id")).alias("previous"))
+    rows = staged(chain, "chain")
+    removed, kept = rf.fk_on_delete_cascade_self(
+        rows, ["event_id"], ["previous"], rows.filter("event_type = 'error' AND event_id % 3 = 0").select("event_id"))
+    return removed.select("event_id", "previous", F.lit(True).alias("removed")).unionByName(
+        kept.select("event_id", "previous", F.lit(False).alias("removed")))
 
 
 @query("fk_on_delete_set_null", using("gone_customers") + """
@@ -152,6 +168,20 @@ def snapshot_diff(d: Data):
                             d.orders_later, ["o_orderkey"])
 
 
+_LATER_SQL = """, now AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 997 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+  FROM orders WHERE o_orderkey % 1009 <> 0)
+SELECT o.o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'deleted' ELSE 'updated' END AS change
+FROM orders o LEFT JOIN now n USING (o_orderkey) WHERE n.o_orderkey IS NULL OR n.o_totalprice <> o.o_totalprice"""
+
+
+@query("snapshot_diff_tree", "WITH unused AS (SELECT 1)" + _LATER_SQL)
+def snapshot_diff_tree(d: Data):
+    """About two rows in a thousand differ."""
+    old = d.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 997 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return sn.snapshot_diff_tree(old, old.filter("o_orderkey % 1009 <> 0").withColumn("o_totalprice", price), ["o_orderkey"], 64)
+
+
 @query("backup_merge", using("live_orders") + """
 SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS VARCHAR) AS channel FROM live_orders
 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, NULL FROM orders

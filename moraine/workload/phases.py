@@ -139,6 +139,17 @@ def batched_backfill(d: Data):
     return ph.batched_backfill(d.cust, "c_custkey", 100, "segment_new", "c_mktsegment")
 
 
+@query("batched_backfill_resume", using("cust") + """
+SELECT c_custkey, c_mktsegment, coalesce(segment_new, c_mktsegment) AS segment_new, c_acctbal FROM cust""")
+def batched_backfill_resume(d: Data):
+    """Stopped after three batches, then resumed: the whole table, filled."""
+    path = scratch_dir(d.spark, "backfill")
+    arguments = (d.cust, "c_custkey", 10, "segment_new", "c_mktsegment", "string", path, 8)
+    ph.run_backfill(*arguments, stop_after=3)
+    ph.run_backfill(*arguments)
+    return ph.read_backfill(d.spark, path).select("c_custkey", "c_mktsegment", "segment_new", "c_acctbal")
+
+
 @query("rollback_loss", using("evt_dual") + """
 SELECT count(*) AS rows, count(*) FILTER (WHERE value_new IS NOT NULL AND ts >= TIMESTAMP '2024-01-20 00:00:00') AS lost_rows FROM evt_dual""")
 def rollback_loss(d: Data):
