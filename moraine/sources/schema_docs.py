@@ -9,10 +9,12 @@ both are tested by expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from moraine.operators.drift import Inventory
 from moraine.operators.inventory import TABLE_KEY, grouped_keys
+from moraine.session import staged
 
 # The fields of the document contract, required ones first.
 DOCUMENT = (("tables",), ("dialect",))
@@ -39,7 +41,7 @@ _FK_TYPE = (
 @dataclass(frozen=True)
 class SchemaDocs:
     inventory: Inventory
-    rejected: DataFrame  # env_id, problem; one row per problem
+    rejected: DataFrame  # env_id, place, named, problem; one row per problem and place
 
 
 def read_schema_docs(spark: SparkSession, path: str, one_per_line: bool = False) -> SchemaDocs:
@@ -80,6 +82,8 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
     """``env_id, document`` to inventory frames of the accepted documents, and the rejected ones.
 
     A document is checked within its own row, so nothing is shuffled or joined.
+    Problems name their place (``tables[1].columns[0]``) and the names on the way
+    (``runs.code``); the same problem in two places is two rows.
     """
     raw = "array<string>"  # nested objects stay JSON text until their fields are tested
     none = F.array().cast(raw)
@@ -114,20 +118,28 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
         objects(t["v"]["indexes"], _INDEX_TYPE, INDEX, "index").alias("xs"),
         objects(t["v"]["foreign_keys"], _FK_TYPE, FOREIGN_KEY, "foreign key").alias("fs"),
     )).alias("ts"))
-    problems = F.concat("p", F.flatten(F.transform("ts", lambda t: F.concat(
-        t["p"],
-        F.flatten(F.transform(t["cs"], lambda o: o["p"])),
-        F.flatten(F.transform(t["xs"], lambda o: o["p"])),
-        F.flatten(F.transform(t["fs"], lambda o: o["p"])),
-        F.flatten(F.transform(t["fs"], actions)),
-        F.when(F.size(t["cs"]) == 0, F.array(F.lit("table without columns"))).otherwise(none),
-    ))))
-    checked = deep.withColumn("problems", F.array_distinct(problems))
-    rejected = checked.select("env_id", F.explode("problems").alias("problem"))
-    # unfolding a conditional array, not filtering first: a filter would move down
-    # and parse every document a second time
-    accepted = F.when(F.size("problems") == 0, F.col("ts"))
-    good = checked.select("env_id", F.explode(accepted).alias("t")).select(
+    def at(problems: Column, place: Column, *names: Column) -> Column:
+        """Each problem with where it is: the path in the document, and the names on it."""
+        return F.transform(problems, lambda x: F.struct(place.alias("place"), F.concat_ws(".", *names).alias("named"), x.alias("problem")))
+
+    def within(items: Column, table: Column, i: Column, part: str, more=None) -> Column:
+        def of(o: Column, j: Column) -> Column:
+            place = F.concat(F.lit("tables["), i, F.lit(f"].{part}["), j, F.lit("]"))
+            return at(F.concat(o["p"], more(o)) if more else o["p"], place, table["name"], o["v"]["name"])
+        return F.flatten(F.transform(items, of))
+
+    def of_table(t: Column, i: Column) -> Column:
+        bare = F.when(F.size(t["cs"]) == 0, F.array(F.lit("table without columns"))).otherwise(none)
+        return F.concat(
+            at(F.concat(t["p"], bare), F.concat(F.lit("tables["), i, F.lit("]")), t["name"]),
+            within(t["cs"], t, i, "columns"), within(t["xs"], t, i, "indexes"), within(t["fs"], t, i, "foreign_keys", actions))
+
+    problems = F.concat(at(F.col("p"), F.lit("document")), F.flatten(F.transform("ts", of_table)))
+    # parsed once, however many of the frames below are used; a document with problems keeps only those
+    checked = deep.withColumn("problems", problems)
+    checked = staged(checked.select("env_id", "problems", F.when(F.size("problems") == 0, F.col("ts")).alias("ts")), "documents")
+    rejected = checked.select("env_id", F.inline("problems"))
+    good = checked.select("env_id", F.explode("ts").alias("t")).select(
         "env_id",
         F.coalesce("t.schema", F.lit("public")).alias("schema_name"),
         F.col("t.name").alias("table_name"),

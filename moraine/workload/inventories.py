@@ -191,14 +191,16 @@ def write_inventory(d: Data):
 @query("read_schema_docs", fleet("tables", "cols") + """
 SELECT env_id, table_name, row_number() OVER (PARTITION BY env_id, table_name ORDER BY column_name) AS ordinal, column_name,
   CASE type_raw WHEN 'int8' THEN 'bigint' WHEN 'pg_catalog.int4' THEN 'integer' WHEN 'timestamptz' THEN 'timestamp with time zone' ELSE type_raw END AS type_raw,
-  nullable, coalesce(default_raw, '') AS default_raw, is_pk, '' AS problem
+  nullable, coalesce(default_raw, '') AS default_raw, is_pk, '' AS problem, '' AS named
 FROM cur_cols WHERE env_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (17, 18))
 UNION ALL SELECT c_custkey, '', 0, '', '', false, '', false,
-  CASE c_nationkey WHEN 17 THEN 'unknown table field owner' ELSE 'missing column field nullable' END FROM customer WHERE c_nationkey IN (17, 18)""")
+  CASE c_nationkey WHEN 17 THEN 'unknown table field owner' ELSE 'missing column field nullable' END,
+  CASE c_nationkey WHEN 17 THEN 'runs' ELSE n END
+FROM customer LEFT JOIN (VALUES (18, 'routes.code'), (18, 'routes.mode')) AS v(k, n) ON k = c_nationkey WHERE c_nationkey IN (17, 18)""")
 def read_schema_docs(d: Data):
     docs = dr.canonical_schema(d.cur).join(d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey"), "env_id")
     spoiled = F.when(F.col("c_nationkey") == 17, F.replace("document", F.lit('"name":"runs"}'), F.lit('"name":"runs","owner":"me"}'))).when(
-        F.col("c_nationkey") == 18, F.regexp_replace("document", '"name":"code","nullable":(true|false),', '"name":"code",')
+        F.col("c_nationkey") == 18, F.regexp_replace("document", '"name":"(code|mode)","nullable":(true|false),', '"name":"$1",')
     ).otherwise(F.col("document"))
     path = scratch_dir(d.spark, "docs")
     docs.select(F.to_json(F.struct(F.col("env_id").cast("string").alias("env_id"), spoiled.alias("document")))).write.text(path)
@@ -206,12 +208,12 @@ def read_schema_docs(d: Data):
     env = F.col("env_id").cast("bigint").alias("env_id")
     cols = read.inventory.cols.select(
         env, "table_name", F.col("ordinal").cast("bigint").alias("ordinal"), "column_name", "type_raw", "nullable",
-        F.coalesce("default_raw", F.lit("")).alias("default_raw"), "is_pk", F.lit("").alias("problem"),
+        F.coalesce("default_raw", F.lit("")).alias("default_raw"), "is_pk", F.lit("").alias("problem"), F.lit("").alias("named"),
     )
     no = F.lit(False)
     bad = read.rejected.select(
         env, F.lit("").alias("table_name"), F.lit(0).cast("bigint").alias("ordinal"), F.lit("").alias("column_name"),
-        F.lit("").alias("type_raw"), no.alias("nullable"), F.lit("").alias("default_raw"), no.alias("is_pk"), "problem",
+        F.lit("").alias("type_raw"), no.alias("nullable"), F.lit("").alias("default_raw"), no.alias("is_pk"), "problem", "named",
     )
     return cols.unionByName(bad)
 
