@@ -9,8 +9,11 @@ is that of the whole corpus; every part of a frequent phrase is frequent, so
 none is missed.  What is counted late in one scan needs no scan of its own.
 
 The step at which a word was reached comes to each block by a join on the
-block's own dictionary.  Reached pairs come as a Bloom filter of fixed size,
-which only spares work: after the shuffle an exact join decides.  Counts are
+block's own dictionary.  Reached pairs come as Bloom filters of fixed size, one
+for each step that reached any: a pair counts as reached at the first step whose
+filter holds it after its words.  That never changes later and is never after the true step, so
+every triple of frequent pairs is counted for exactly one cycle; a triple let in
+by chance cannot be frequent and falls away by its exact count.  Counts are
 pre-aggregated by block and keyed by (lang, phrase) text, so no hash decides a
 count and a language that holds most texts is spread over all tasks.
 """
@@ -23,20 +26,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from moraine.llm.words import BREAK_BYTE, GAP_BYTE, raw_bytes, slices, split_words
-from moraine.session import staged
+from moraine.llm.common import executor_slots
+from moraine.llm.words import BREAK_BYTE, GAP_BYTE, Words, raw_bytes, slices, split_words
+from moraine.session import dropped, staged
 
 SHARDS = 2
 BLOCK = 8 << 20  # bytes of text coded together; a longer text is a block of its own
-BLOOM_BITS = 25  # the filter of reached pairs has 2^25 bits, 4 MiB, whatever the input
+BLOOM_BITS = 25  # a filter of reached pairs has 2^25 bits, 4 MiB, whatever the input
 EMIT = 1 << 16  # rows of an Arrow batch
 NEVER = 1 << 30
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = GAP_BYTE
 KINDS[list(b".,;:!?\n\x0b\x0c\r")] = BREAK_BYTE
-BLOCKS = "shard int, lang string, words array<string>, codes binary, first binary"
+BLOCKS = "shard int, lang string, words array<string>, n long, codes binary"
 COUNTS = "lang string, phrase string, since int, n long"
 
 
@@ -61,6 +66,26 @@ def bloom_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def packed_codes(words: Words) -> tuple[pa.Array, bytes]:
+    """(dictionary by falling count, codes): codes byte plane by byte plane, then the bits of first words, compressed.
+
+    Common words have small codes, so the upper planes are nearly empty.
+    """
+    order = np.argsort(-np.bincount(words.code, minlength=len(words.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    planes = rank[words.code].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    body = np.ascontiguousarray(planes).tobytes() + np.packbits(words.first).tobytes()
+    return words.dictionary.take(pa.array(order)), zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpacked_codes(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, whether each word is the first of a piece)."""
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    codes = np.ascontiguousarray(body[:4 * n].reshape(4, n).T).view("<u4").reshape(n).astype(np.int32)
+    return codes, np.unpackbits(body[4 * n:], count=n).astype(bool)
+
+
 def coded_blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataFrame:
     """One row per block of one language: its distinct words and their codes in order, dealt to shards in turn."""
 
@@ -81,10 +106,10 @@ def coded_blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) ->
                 for a, b in slices(np.diff(raw_bytes(texts)[1]), BLOCK):
                     words = split_words(texts.slice(a, b - a), KINDS)
                     if len(words.code):
+                        dictionary, codes = packed_codes(words)
                         yield pa.RecordBatch.from_pylist([{
                             "shard": turn % shards, "lang": langs.dictionary[int(at[lo])].as_py(),
-                            "words": words.dictionary.to_pylist(), "codes": words.code.astype("<i4").tobytes(),
-                            "first": np.packbits(words.first).tobytes()}], schema)
+                            "words": dictionary.to_pylist(), "n": len(words.code), "codes": codes}], schema)
                         turn += 1
 
         for batch in source:
@@ -96,8 +121,8 @@ def coded_blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) ->
         if held:
             yield from blocks(pa.Table.from_batches(held))
 
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.string())),
-                        ("codes", pa.binary()), ("first", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int64()),
+                        ("codes", pa.binary())])
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     made: Callable = code
@@ -130,8 +155,7 @@ def _phrases(lang: str, words: pa.Array, ids: list[np.ndarray], since: np.ndarra
 
 def _block(batch: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, np.ndarray]:
     """(language, distinct words, codes, steps) of a block: of each pair of neighbours, the step since when both are frequent."""
-    codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
-    first = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
+    codes, first = unpacked_codes(batch.column("codes")[i].as_py(), batch.column("n")[i].as_py())
     words = batch.column("words")[i].values
     when = np.full(len(words), NEVER, np.int32)
     when[batch.column("at")[i].values.to_numpy()] = batch.column("reached")[i].values.to_numpy()
@@ -154,8 +178,11 @@ def scan_pairs(blocks: DataFrame, step: int, shards: int) -> DataFrame:
     return blocks.mapInArrow(made, COUNTS)
 
 
-def scan_triples(blocks: DataFrame, step: int, bloom, recent) -> DataFrame:
-    """Three words both of whose pairs may have reached the threshold, the later one within the last cycle, by block."""
+def scan_triples(blocks: DataFrame, step: int, shards: int, filters: list[tuple[int, object]]) -> DataFrame:
+    """Three words both of whose pairs count as reached, the later one within the last cycle, by block.
+
+    ``filters``: (step, Bloom filter of the pairs reached in it), steps rising.
+    """
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -163,17 +190,18 @@ def scan_triples(blocks: DataFrame, step: int, bloom, recent) -> DataFrame:
                 lang, words, codes, since = _block(batch, i)
                 pair = np.flatnonzero(since < step)
                 hashes = word_hashes(words.to_pylist())
-                places = bloom_places(pair_hashes(lang, hashes[codes[pair]], hashes[codes[pair + 1]]))
-                hit = np.zeros(len(codes), np.uint8)
-                for value, name in ((1, bloom), (2, recent)):
+                one, two = bloom_places(pair_hashes(lang, hashes[codes[pair]], hashes[codes[pair + 1]]))
+                found = np.full(len(pair), NEVER, np.int32)
+                for reached, name in reversed(filters):
                     bits = np.frombuffer(name.value, np.uint8)
-                    both = np.ones(len(pair), bool)
-                    for place in places:
-                        both &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                    hit[pair[both]] |= value
-                here, after = hit[:-1], hit[1:]
-                three = np.flatnonzero((here & after & 1 == 1) & ((here | after) & 2 == 2))
-                yield from _phrases(lang, words, [codes[three], codes[three + 1], codes[three + 2]], -1)
+                    both = (bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1
+                    # a pair is counted only after its words are reached, so it cannot be before that
+                    found[(both == 1) & (since[pair] < reached)] = reached
+                when = np.full(len(codes), NEVER, np.int32)
+                when[pair] = found
+                later = np.maximum(when[:-1], when[1:])
+                three = np.flatnonzero((later < step) & (later >= step - shards))
+                yield from _phrases(lang, words, [codes[three], codes[three + 1], codes[three + 2]], later[three])
 
     made: Callable = count
     return blocks.mapInArrow(made, COUNTS)
@@ -209,11 +237,11 @@ def word_counts(blocks: DataFrame) -> DataFrame:
         for batch in source:
             for i in range(batch.num_rows):
                 words = batch.column("words")[i].values
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
+                codes, _ = unpacked_codes(batch.column("codes")[i].as_py(), batch.column("n")[i].as_py())
                 yield from _counted(batch.column("lang")[i].as_py(), [words], -1, np.bincount(codes, minlength=len(words)))
 
     made: Callable = count
-    return blocks.select("lang", "words", "codes").mapInArrow(made, COUNTS).select("lang", "phrase", "n")
+    return blocks.select("lang", "words", "n", "codes").mapInArrow(made, COUNTS).select("lang", "phrase", "n")
 
 
 def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
@@ -221,7 +249,7 @@ def _with_words(blocks: DataFrame, words: DataFrame) -> DataFrame:
     known = words.select("lang", F.col("phrase").alias("word"), "reached")
     held = blocks.select("block", "lang", F.posexplode("words").alias("at", "word")).join(known, ["lang", "word"]) \
         .groupBy("block").agg(F.collect_list(F.struct("at", "reached")).alias("held"))
-    return blocks.join(held, "block").select("shard", "lang", "words", "codes", "first", F.col("held.at").alias("at"),
+    return blocks.join(held, "block").select("shard", "lang", "words", "n", "codes", F.col("held.at").alias("at"),
                                              F.col("held.reached").alias("reached"))
 
 
@@ -248,18 +276,6 @@ def _kept(now: DataFrame, step: int, shards: int, least: int, label: str) -> Dat
         F.coalesce("reached", F.when(total >= least, F.lit(step))).alias("reached")), label)
 
 
-def _exact(merged: DataFrame, pairs: DataFrame, step: int, shards: int) -> DataFrame:
-    """The exact test of triples that the Bloom filter only foretold: both pairs reached, the later one within the last cycle."""
-    zero = F.lit(0).cast("bigint")
-    pairs = pairs.select("lang", "phrase", "reached")
-    head = pairs.select("lang", F.col("phrase").alias("head"), F.col("reached").alias("one"))
-    tail = pairs.select("lang", F.col("phrase").alias("tail"), F.col("reached").alias("two"))
-    return merged.withColumns({"head": F.substring_index("phrase", " ", 2), "tail": F.substring_index("phrase", " ", -2)}) \
-        .join(head, ["lang", "head"]).join(tail, ["lang", "tail"]).withColumn("since", F.greatest("one", "two")) \
-        .withColumn("more", F.when(F.col("since") >= step - shards, F.col("more")).otherwise(zero)).filter("n + more > 0") \
-        .select("lang", "phrase", "since", "n", "more", "reached")
-
-
 def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_col: str = "text",
                   lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, pairs, triples): lang, phrase, n of all words and of the frequent phrases, n over all texts."""
@@ -268,6 +284,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_c
     words: DataFrame | None = None
     pairs: DataFrame | None = None
     triples: DataFrame | None = None
+    filters: list[tuple[int, object]] = []
     final: DataFrame | None = None  # blocks with the steps of their words, once all words are counted
     step, last, pair_steps = 0, shards - 1, 2 * shards
     while step <= last:
@@ -276,21 +293,24 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_c
             ready = final.filter(here) if final is not None else _with_words(
                 blocks.filter(here), words.filter(F.col("reached").isNotNull()))
             if pairs is not None:
-                known = pairs.filter(F.col("reached").isNotNull())
-                bloom = recent = spark.sparkContext.broadcast(bloom_of(known))
-                if step > shards:
-                    recent = spark.sparkContext.broadcast(bloom_of(known.filter(F.col("reached") >= step - shards)))
-                triples = _kept(_exact(_merged(triples, scan_triples(ready, step, bloom, recent)), known, step, shards),
-                                step, shards, least, "phrase-triples")
-                for bits in {id(x): x for x in (bloom, recent)}.values():
-                    bits.unpersist()
+                # pairs that the step before has brought to the threshold
+                fresh = pairs.filter(F.col("reached") == step - 1)
+                if not fresh.isEmpty():
+                    filters.append((step - 1, spark.sparkContext.broadcast(bloom_of(fresh))))
+                before = triples
+                triples = _kept(_merged(triples, scan_triples(ready, step, shards, filters)), step, shards, least, "phrase-triples")
+                dropped(before)
             if step < pair_steps:
+                before = pairs
                 pairs = _kept(_merged(pairs, scan_pairs(ready, step, shards)), step, shards, least, "phrase-pairs")
+                dropped(before)
         if step < shards:
             more = word_counts(blocks.filter(here)).withColumn("reached", F.lit(None).cast("int"))
+            before = words
             more = words.unionByName(more) if words is not None else more
             words = staged(more.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
                            .withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))), "phrase-words")
+            dropped(before)
         # a phrase that becomes countable at step s is done after step s + shards - 1
         if step == shards - 1:
             reached = words.agg(F.max("reached")).first()[0]
@@ -298,10 +318,14 @@ def phrase_counts(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_c
                 pair_steps = reached + 1 + shards
                 last = max(last, pair_steps - 1)
                 final = staged(_with_words(blocks, words.filter(F.col("reached").isNotNull())), "phrase-ready")
+                dropped(blocks)
         elif step == pair_steps - 1 and pairs is not None:
             reached = pairs.agg(F.max("reached")).first()[0]
             last = max(last, reached + shards) if reached is not None else last
         step += 1
+    for _, bits in filters:
+        bits.unpersist()
+    dropped(final)
     none = words.limit(0)
     return tuple((x if x is not None else none).select("lang", "phrase", "n") for x in (words, pairs, triples))
 
@@ -348,8 +372,15 @@ def mine_phrases(docs: DataFrame, least: int = 10, top: int | None = 2000, shard
                           F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     two = two.join(inside, ["lang", "phrase"], "left") \
         .filter(F.coalesce(F.col("longer") * 100 < F.col("a") * share, F.lit(True))).drop("longer")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = two.unionByName(three.drop("head", "tail")).withColumn("rank", F.row_number().over(order))
+    best_first = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    found = two.unionByName(three.drop("head", "tail"))
+    if top is not None:
+        # the best of each part of a language first, so one language's phrases are not sorted in one task
+        part = F.pmod(F.xxhash64("phrase"), F.lit(executor_slots(docs.sparkSession)))
+        some = Window.partitionBy("lang", "_part").orderBy(*best_first)
+        found = found.withColumn("_part", part).withColumn("_rank", F.row_number().over(some)).filter(F.col("_rank") <= top) \
+            .drop("_part", "_rank")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("int"), "phrase", "a", "l", "r", "n",
