@@ -6,6 +6,11 @@ has enough support and confidence become rules.  Every url is reduced to the set
 of tokens that occur in any mined rule, equal sets are judged once, and a set
 meets only the rules listed under its tokens: each rule stands in the index
 under the rarest of its tokens.
+
+Tokens that stand in exactly the same labelled urls are one item to the miner:
+the host and its parents, words and path of a site built from one template would
+else be listed in all their combinations, which have the same support.  A url
+holds such an item if it holds any of its tokens.
 """
 
 from __future__ import annotations
@@ -59,15 +64,34 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def mine_rules(labelled: DataFrame, support: float, confidence: float, most_items: int) -> DataFrame:
+def alike(labelled: DataFrame) -> DataFrame:
+    """token, item: the first of all tokens that stand in the same rows of ``labelled``.
+
+    A token's rows are known by their number and three digests, which add up in
+    any order, so no list of rows is gathered; equal rows are counted once.
+    """
+    sets = labelled.select("tokens").distinct().select("tokens", F.xxhash64("tokens").alias("h"), F.xxhash64("tokens", F.lit(7)).alias("g"))
+    marks = sets.select(F.explode("tokens").alias("token"), "h", "g").groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor("g").alias("y"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFF))).alias("low"))
+    same = marks.groupBy("n", "x", "y", "low").agg(F.min("token").alias("item"))
+    return staged(marks.join(same, ["n", "x", "y", "low"]).select("token", "item"), "url-alike")
+
+
+def with_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """tokens, items: each distinct token set with the items it holds, in order."""
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    return found.groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def mine_rules(labelled: DataFrame, support: float, confidence: float, most_items: int | None = None) -> DataFrame:
     """items, verdict, confidence, support, lead (rarest item) of the rules found in ``labelled`` (tokens, known).
 
-    ``most_items`` bounds the length of a rule, as support and confidence bound their number.
+    Support and confidence bound their number; ``most_items`` may bound their length.
     """
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "known"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = staged(model.associationRules.filter(
-        F.col("consequent")[0].isin("=allow", "=block") & (F.size("antecedent") <= most_items)
+        F.col("consequent")[0].isin("=allow", "=block") & (F.lit(True) if most_items is None else F.size("antecedent") <= most_items)
         & (F.size(F.filter("antecedent", lambda x: x.startswith("="))) == 0)), "url-rules")
     single = staged(model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq"),
                     "url-items")
@@ -78,7 +102,7 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, most_item
     return staged(lead.withColumnRenamed("antecedent", "items"), "url-mined")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, support: float = 0.02, confidence: float = 0.6, most_items: int = 4,
+def judge_urls(pages: DataFrame, rules=RULES, support: float = 0.02, confidence: float = 0.6, most_items: int | None = None,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule (null where none fits), verdict, and the mined items that decided the rest.
 
@@ -100,12 +124,15 @@ def judge_urls(pages: DataFrame, rules=RULES, support: float = 0.02, confidence:
     if not counts:
         return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.lit(usual).alias("verdict"),
                            F.lit(None).cast("string").alias("mined"))
-    mined = mine_rules(labelled, support, confidence, most_items)
+    items = alike(labelled)
+    named = with_items(labelled.select("tokens").distinct(), items)
+    baskets = labelled.select("tokens", "known").join(named, "tokens", "left").select(
+        F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "known")
+    mined = mine_rules(baskets, support, confidence, most_items)
     open_sets = rows.filter("known IS NULL").groupBy("tokens").agg(F.count("*").alias("n"))
-    used = mined.select(F.explode("items").alias("token")).distinct()
-    # a set is reduced to the tokens that occur in rules, so that few different sets are left
-    spread = open_sets.select("tokens", F.explode("tokens").alias("token")).join(used, "token")
-    reduced = staged(spread.groupBy("tokens").agg(F.array_sort(F.collect_list("token")).alias("set")), "url-sets")
+    used = items.join(mined.select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
+    # a set is reduced to the items that occur in rules, so that few different sets are left
+    reduced = staged(with_items(open_sets, used).withColumnRenamed("items", "set"), "url-sets")
     met = reduced.select("set").distinct().select("set", F.explode("set").alias("lead")).join(mined, "lead") \
         .filter(F.forall("items", lambda x: F.array_contains("set", x)))
     best = met.groupBy("set").agg(F.max(F.struct(

@@ -327,6 +327,20 @@ def test_mined_rules_equal_counting(spark):
     assert {(tuple(sorted(r["items"])), r.verdict, round(r.confidence, 9)) for r in mined} == want
 
 
+def test_a_site_of_one_template_is_mined_at_once(spark):
+    """24 tokens that stand in the same urls are one item, not 2^24 item sets; other urls of the site follow their rule."""
+    one = "http://a.b.c.d.e.example.com/en/p1/q/r/s?t=1&u=2&v=3&w=4"
+    other = [(f"https://shop{i % 7}.net/es/x{i}", None) for i in range(60)]
+    open_urls = ["http://a.b.c.d.e.example.org/q/r", "https://elsewhere.io/", "https://shop3.io/y"]
+    urls = [one] * 200 + [u for u, _ in other] + open_urls
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(pages).collect()}
+    assert len(got) == len(urls) and got[0].verdict == "block" and got[0].rule == "example.com/en/"
+    assert all(got[i].verdict in ("allow", "block") for i in range(260, 263))
+    labelled = spark.createDataFrame([(["a", "b", "c"], "allow"), (["a", "b"], "block"), (["d"], "allow")] * 2, "tokens array<string>, known string")
+    assert {r.token: r["item"] for r in url_rules.alike(labelled).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
 # ------------------------------------------------------------------ personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
