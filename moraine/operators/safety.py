@@ -320,6 +320,35 @@ def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
     return probed.select(*verdicts.columns, level.alias("data_level"), shift.alias("shift"), F.col("lost").alias("impact"))
 
 
+# By operation and level, the ways of this library that spare the risk.
+ALTERNATIVES = {
+    ("add_column", DANGEROUS): (
+        "add it nullable, fill it with expand_backfill, then not_null_pipeline", "give it a default"),
+    ("drop_column", DANGEROUS): (
+        "archive_column first, and archive_verify before the drop", "contract_column once no reader is left, in a change of its own"),
+    ("drop_table", DANGEROUS): (
+        "archive_table and drop_table_guard before the drop", "rename it and watch for readers first"),
+    ("alter_type", DANGEROUS): (
+        "type_change_backfill into a new column, stream_dual_write, then type_change_finish",
+        "cast_probe on the data", "alter_column_type_using with an expression"),
+    ("alter_type", LOSSY): ("round_trip_probe on the data",),
+    ("set_not_null", LOSSY): ("null_backfill, then not_null_pipeline",),
+    ("add_unique", LOSSY): ("unique_pipeline with dedupe_keep_first",),
+    ("add_primary_key", MULTI_PHASE): ("check_primary_key, then unique_pipeline and not_null_pipeline",),
+    ("add_check", LOSSY): ("check_expression on the data, then quarantine_split",),
+    ("rename_column", MULTI_PHASE): ("expand_backfill under the new name, stream_dual_write, then contract_column",),
+    ("create_index", REVIEW): ("rewrite_statement to build it concurrently",),
+    ("enable_rls", SAFE): ("rls_coverage of every role before it is enabled",),
+}
+
+
+def safer_alternatives(verdicts: DataFrame) -> DataFrame:
+    """The verdicts with ``alternatives``: ways to the same end with less risk, none where there are none."""
+    entries = [x for (op, level), ways in ALTERNATIVES.items() for x in (F.lit(f"{op} {level}"), F.array(*map(F.lit, ways)))]
+    found = F.element_at(F.create_map(*entries), F.concat_ws(" ", "operation", "level"))
+    return verdicts.withColumn("alternatives", F.coalesce(found, F.array().cast("array<string>")))
+
+
 def safety_rollup(verdicts: DataFrame, envs: DataFrame) -> DataFrame:
     """Per environment: operations per level, the overall flags and the dangerous operations by name.
 

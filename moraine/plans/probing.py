@@ -31,9 +31,10 @@ def wanted_probes(current: Inventory, desired: Inventory) -> DataFrame:
 
     A new type needs failed and changed conversions; NOT NULL the nulls; a
     primary key nulls and repeated keys over all its desired columns; a unique
-    index its repeated keys; a dropped column the values it takes along.
+    index its repeated keys; a dropped column or table the values or rows it
+    takes along.
     """
-    nested = nested_diff(current, desired).filter("status = 'both'")
+    nested = nested_diff(current, desired).filter("status <> 'added'")
 
     def want(operation: str, subject: Column, columns: Column, target: Column | None = None) -> Column:
         return F.struct(F.lit(operation).alias("operation"), subject.alias("subject"), columns.alias("columns"),
@@ -51,6 +52,8 @@ def wanted_probes(current: Inventory, desired: Inventory) -> DataFrame:
         F.transform(F.filter("columns", lambda c: c["status"] == "removed"),
                     lambda c: want("drop_column", c["column_name"], own(c))),
     ]
+    whole = want("drop_table", F.col("table_name"), F.array().cast("array<string>"))
+    parts.append(F.when(F.col("status") == "removed", F.array(whole)).otherwise(F.array()))
     if "indexes" in nested.columns:
         fresh = F.filter("indexes", lambda x: (x["status"] != "removed") & F.coalesce(x["new_is_unique"], F.lit(False)))
         parts.append(F.transform(fresh, lambda x: want("add_unique", x["index_name"], x["new_column_names"])))
@@ -60,6 +63,8 @@ def wanted_probes(current: Inventory, desired: Inventory) -> DataFrame:
 def _measure(df: DataFrame, spec) -> dict[str, Column] | None:
     """Aggregates of one measurement by name; None where the table lacks a column or Spark the type."""
     types = dict(df.dtypes)
+    if spec.operation == "drop_table":
+        return {"lost": F.count(F.lit(1))}
     if not spec.columns or any(c not in types for c in spec.columns):
         return None
     first = F.col(spec.columns[0])
@@ -105,7 +110,7 @@ def measured_probes(wanted: DataFrame, tables: Mapping[str | tuple[str, str], Da
             aggs += [c.alias(at[m]) for m, c in found.items()]
             entries.append(F.struct(
                 *[F.lit(spec[c]).alias(c) for c in ("schema_name", "table_name", "operation", "subject", "target")],
-                F.array(*map(F.lit, spec.columns)).alias("columns"),
+                F.array(*map(F.lit, spec.columns)).cast("array<string>").alias("columns"),
                 *[(F.col(at[m]) if m in at else F.lit(None)).cast("bigint").alias(m) for m in MEASURES]))
         if entries:
             parts.append(df.groupBy("env_id").agg(*aggs).select("env_id", F.inline(F.array(*entries))))

@@ -392,6 +392,16 @@ def classify_diff_full(d: Data):
     )
 
 
+_WAYS = "CASE " + " ".join(f"WHEN operation = '{op}' AND level = '{level}' THEN '{'; '.join(ways)}'"
+                           for (op, level), ways in sf.ALTERNATIVES.items()) + " ELSE '' END"
+
+
+@query("safer_alternatives", _FULL + f"SELECT env_id, table_name, operation, subject, {_WAYS} AS alternatives FROM full_verdict")
+def safer_alternatives(d: Data):
+    return sf.safer_alternatives(sf.classify_diff_full(d.cur, d.des)).select(
+        "env_id", "table_name", "operation", "subject", F.array_join("alternatives", "; ").alias("alternatives"))
+
+
 # data of the tables the diff changes, by environment; both forms read the same definitions
 _PROBED = {
     "routes": ("orders", {
@@ -405,6 +415,7 @@ _PROBED = {
     "calls": ("events", {
         "env_id": "user_id", "run_id": "CAST(event_id % 500 AS INTEGER)",
         "stop_id": "CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS INTEGER) END"}),
+    "incidents": ("events", {"env_id": "user_id", "details": "props"}),
 }
 _PROBED_SQL = ", ".join(
     f"p_{t} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {base})" for t, (base, cols) in _PROBED.items())
@@ -422,6 +433,7 @@ measured AS (
   UNION ALL SELECT env_id, 'runs', 'alter_type', 'vehicle', 0, 0, NULL, NULL, NULL FROM p_runs GROUP BY env_id
   UNION ALL SELECT env_id, 'runs', 'alter_type', 'left_at', 0, 0, NULL, NULL, NULL FROM p_runs GROUP BY env_id
   UNION ALL SELECT env_id, 'runs', 'drop_column', 'remarks', NULL, NULL, NULL, NULL, count(remarks) FROM p_runs GROUP BY env_id
+  UNION ALL SELECT env_id, 'incidents', 'drop_table', 'incidents', NULL, NULL, NULL, NULL, count(*) FROM p_incidents GROUP BY env_id
   UNION ALL SELECT env_id, 'calls', 'add_primary_key', unnest(['run_id', 'stop_id']), NULL, NULL, count(*) FILTER (WHERE stop_id IS NULL),
     count(*) FILTER (WHERE stop_id IS NOT NULL) - count(DISTINCT (run_id, stop_id)) FILTER (WHERE stop_id IS NOT NULL), NULL FROM p_calls GROUP BY env_id),
 judged AS (

@@ -104,6 +104,15 @@ def test_probes_are_planned_from_the_diff(spark, rows, levels, lost):
     assert all(r.data_level == r.level and r.impact is None for k, r in of.items() if k[0] == "f")
 
 
+def test_a_dropped_table_tells_its_rows(spark):
+    cur, des = inventory(spark, CURRENT), inventory(spark, {})
+    data = spark.range(4).selectExpr("'e' AS env_id", "id AS k")
+    got = sf.classify_with_data(sf.classify_diff_full(cur, des), pb.measured_probes(pb.wanted_probes(cur, des), {"t": data})).collect()
+    assert [(r.operation, r.data_level, r.impact) for r in got] == [("drop_table", "Dangerous", 4)]
+    (row,) = sf.safer_alternatives(sf.classify_diff_full(cur, des)).collect()
+    assert len(row.alternatives) == 2
+
+
 def test_probes_scan_a_table_once(spark):
     path = scratch_dir(spark, "probed")
     spark.createDataFrame([("e", 1, 1, "a", "x")], "env_id string, k long, n int, s string, gone string").write.parquet(path)
