@@ -159,14 +159,24 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("times", F.lit(0)).cast("long").alias("times"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, placed: bool = True, **options) -> DataFrame:
     """The mix itself: every column of ``docs`` for each time a document is taken, with shard and place.
 
     Shards hold about ``shard_words`` words, so ordering one is bounded work.
+    Without ``placed`` only the columns of ``docs`` are returned; a column of
+    theirs that is called like one of the two keeps its name, and the added one
+    gets underscores behind its own.
     """
     columns = tuple(docs.columns)
     sized, drawn = mix_rows(docs, keep=columns, **options)
+    taken = drawn.select("row", "epoch", "shard", "spot").join(sized.select("row", "kept_columns"), "row")
+    if not placed:
+        return taken.select("kept_columns.*")
     here = Window.partitionBy("shard").orderBy("spot", "row", "epoch")
-    return drawn.select("row", "epoch", "shard", "spot").join(sized.select("row", "kept_columns"), "row") \
-        .withColumn("place", F.row_number().over(here)) \
-        .select("kept_columns.*", F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
+    names, known = [], {c.lower() for c in columns}
+    for name in ("mix_shard", "mix_place"):
+        while name in known:
+            name += "_"
+        names.append(name)
+    return taken.withColumn("place", F.row_number().over(here)).select(
+        "kept_columns.*", F.col("shard").alias(names[0]), F.col("place").alias(names[1]))

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from moraine.llm.common import fold
 from moraine.session import staged
@@ -204,7 +204,7 @@ def lined_up(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def summary(p: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     largest = np.zeros(n)
     np.maximum.at(largest, owner, p)
-    return np.bincount(owner, p, n), largest
+    return np.bincount(owner, p, n).astype(float), largest  # of no words numpy counts in whole numbers
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, in_all: tuple[int, int]) -> Model:
@@ -329,7 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held = (fold(F.col(id_col)) == 0).alias("held_out")
     if keep:
         rows = docs.select(F.struct(*docs.columns).alias("kept_columns"), held, text)
-        schema = SCORED.format(key=key).replace(f"id {key}", f"kept_columns {rows.schema[0].dataType.simpleString()}")
+        schema = T.StructType([rows.schema["kept_columns"], *T.StructType.fromDDL(SCORED.format(key=key)).fields[1:]])
         return rows.mapInArrow(score, schema)
     rows = docs.select(F.col(id_col).alias("id"), held, text)
     return rows.mapInArrow(score, SCORED.format(key=key)).withColumnRenamed("id", id_col)
