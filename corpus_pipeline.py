@@ -61,7 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, at weights 1, 2, 3 in turn."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs, placed=False)
 
 
 @stage
