@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from moraine.llm.common import fold
+from moraine.llm.words import GAP_BYTE, split_words
 from moraine.session import staged
 
 SAMPLE = 2000  # documents of either label that the model is fitted on
@@ -32,6 +33,8 @@ SAMPLE_BYTES = 8 << 20  # and bytes of their texts, half for either label, by wh
 SHARE = 64  # a text over this part of its label's bytes comes after all others
 SLOTS = 1 << 18  # hashed weights
 WORDS_HELD = 500_000
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b" \t\n\x0b\x0c\r")] = GAP_BYTE
 EDGES = b".,;:!?|\"'()[]{}<>*_#"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,9 +129,12 @@ class Chain:
 def fit_chain(words: list[bytes], token: np.ndarray, begins: np.ndarray, tags: np.ndarray,
               rounds: int = 40, rate: float = 0.3) -> tuple[np.ndarray, Chain]:
     """Weights and chain by Adam on the penalised log-likelihood of all tokens at once."""
-    of_word = [slots(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), list(map(len, of_word)))
-    slot = np.concatenate([np.array(s) for s in of_word])
+    flat, sizes = array("q"), array("q")  # one list an attribute of all words, not a list a word
+    for w in words:
+        own = slots(w)
+        flat.extend(own)
+        sizes.append(len(own))
+    owner, slot = np.repeat(np.arange(len(words)), np.frombuffer(sizes, np.int64)), np.frombuffer(flat, np.int64)
     weights, bias, chain = np.zeros(SLOTS), -3.0, Chain()
     heavy = 1.0 + 4.0 * tags  # rare state
     state = np.zeros((2, SLOTS + 6))
@@ -161,24 +167,36 @@ def fit_chain(words: list[bytes], token: np.ndarray, begins: np.ndarray, tags: n
 
 # ------------------------------------------------------------------ the model
 
-def suspicious(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words with a part that is significantly commoner in toxic documents (likelihood ratio, over all parts)."""
-    counts = (Counter(), Counter())
-    for words, y in zip(texts, toxic.tolist(), strict=True):
-        counts[y].update({p for w in set(words) for p in parts(w)})
+def suspicious(words: list[bytes], token: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Of each distinct word, whether a part of it is significantly commoner in toxic documents (likelihood ratio, over all parts)."""
+    number: dict[bytes, int] = {}
+    flat, sizes = array("q"), array("q")
+    for w in words:
+        own = {number.setdefault(p, len(number)) for p in parts(w)}
+        flat.extend(own)
+        sizes.append(len(own))
+    of_word, size = np.frombuffer(flat, np.int64), np.frombuffer(sizes, np.int64)
+    first = np.cumsum(size) - size
+    seen = np.unique(owner * len(words) + token)  # a word counts once a document, and so does a part
+    doc, word = seen // len(words), seen % len(words)
+    n_parts = size[word]
+    at = np.arange(int(n_parts.sum())) + np.repeat(first[word] - (np.cumsum(n_parts) - n_parts), n_parts)
+    seen = np.unique(np.repeat(doc, n_parts) * len(number) + of_word[at])
+    doc, part_ids = seen // len(number), seen % len(number)
+    in_clean, in_toxic = (np.bincount(part_ids[toxic[doc] == y], minlength=len(number)).tolist() for y in (0, 1))
     n = [int((toxic == y).sum()) for y in (0, 1)]
-    bar = 2 * math.log(1 + len(counts[0].keys() | counts[1].keys()))
+    bar = 2 * math.log(1 + len(number))
 
-    def strong(part: bytes) -> bool:
-        b, a = counts[0][part], counts[1][part]
+    def strong(part: bytes, at: int) -> bool:
+        b, a = in_clean[at], in_toxic[at]
         rate = (a + b) / (n[0] + n[1])
         if part == b"=" or a / n[1] <= 3 * rate * n[1] / (n[0] + n[1]) or a * n[0] <= 20 * b * n[1]:
             return False
         terms = ((a, n[1] * rate), (b, n[0] * rate), (n[1] - a, n[1] * (1 - rate)), (n[0] - b, n[0] * (1 - rate)))
         return 2 * sum(k * math.log(k / e) for k, e in terms if k) >= bar
 
-    bad = {p for p in counts[1] if strong(p)}
-    return {w for words in texts for w in words if any(p in bad for p in parts(w))}
+    bad = np.array([bool(in_toxic[i]) and strong(p, i) for p, i in number.items()])
+    return np.bincount(np.repeat(np.arange(len(words)), size), bad[of_word], len(words)) > 0
 
 
 @dataclass
@@ -207,24 +225,24 @@ def summary(p: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.bincount(owner, p, n).astype(float), largest  # of no words numpy counts in whole numbers
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, in_all: tuple[int, int]) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, in_all: tuple[int, int]) -> Model:
     """``in_all``: clean and toxic documents among all labelled ones, which the sample stands for."""
     none = Model(np.append(np.zeros(SLOTS), -30.0), Chain(), np.array([-30.0, 0.0, 0.0]))
     if not toxic.any():
         return none
-    lists = [t.lower().split() for t in texts]
-    bad = suspicious(lists, toxic) if not toxic.all() else set()
-    n, begins, owner = lined_up(lists)
-    number: dict[bytes, int] = {}
-    token = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64, int(n.sum()))
-    documents = len(lists)
-    del lists, texts  # only numbers are needed from here on
+    documents = len(texts)
+    split = split_words(texts, KINDS)
+    token, owner, words = split.code, split.doc, split.dictionary.cast(pa.large_binary()).to_pylist()
+    begins = np.ones(len(owner), bool)
+    begins[1:] = owner[1:] != owner[:-1]
+    bad = suspicious(words, token, owner, toxic) if not toxic.all() and words else np.zeros(len(words), bool)
+    del split, texts  # only numbers are needed from here on
     weights, chain = none.weights, none.chain
-    if bad and len(token) > 1:
-        tags = np.array([w in bad for w in number], bool)[token] & (toxic[owner] == 1)
-        weights, chain = fit_chain(list(number), token, begins, tags.astype(float))
+    if bad.any() and len(token) > 1:
+        tags = bad[token] & (toxic[owner] == 1)
+        weights, chain = fit_chain(words, token, begins, tags.astype(float))
     model = Model(weights, chain, none.head)
-    scores = np.array([weights[slots(w)].sum() for w in number]) + weights[-1]
+    scores = np.array([weights[slots(w)].sum() for w in words]) + weights[-1]
     p = chain.marginals(scores[token], begins)[0] if len(token) else np.zeros(0)
     expected, largest = summary(p, owner, documents)
     x = np.stack([np.ones(documents), np.log1p(expected), largest], 1)
@@ -282,9 +300,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         picked, docs.select(F.col(id_col).alias("id")).schema.add("toxic", "integer").add("size", "integer").add("body", "long"))
     rows = texts.join(F.broadcast(rows), "id").filter("octet_length(text) = size AND xxhash64(text) = body") \
         .dropDuplicates(["id"]).orderBy(order, "id")
-    got = list(rows.toLocalIterator())
-    toxic, raw = np.array([r.toxic for r in got], np.int64), [bytes(r.text) for r in got]
-    del got
+    got = rows.select("toxic", F.col("text").cast("string").alias("text")).toArrow().combine_chunks()
+    toxic, raw = got.column("toxic").to_numpy().astype(np.int64), got.column("text")
+    raw = pa.concat_arrays(raw.chunks) if raw.num_chunks else pa.array([], pa.string())
     return fit(raw, toxic, (in_all.get(0, 0), in_all.get(1, 0)))
 
 
