@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from moraine.llm import collocations, pivots, ranked_search
@@ -164,11 +165,25 @@ def test_ranked_search_equals_full_scoring(spark, monkeypatch):
     assert searched(spark, docs, items) == plain_search(docs, items)
 
 
-def test_ranked_search_cuts_wide_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ranked_search, "CELLS", 30)
-    docs = [(i, " ".join(f"t{j}" for j in range(i, i + 9))) for i in range(40)]
-    items = [(0, "t3 t4 t20 t21 t22"), (1, "t39")]
-    assert searched(spark, docs, items, 1, 3) == plain_search(docs, items, 3)
+@pytest.mark.parametrize("cells,listed", [(30, 2), (1, 32), (1 << 20, 4)])
+def test_wide_chunks_are_cut_and_bounds_hold(monkeypatch, cells, listed):
+    """The visit of a chunk by blocks gives the best rows of a full scoring, however the chunk is cut."""
+    monkeypatch.setattr(ranked_search, "CELLS", cells)
+    monkeypatch.setattr(ranked_search, "LISTED", listed)
+    rng = random.Random(cells)
+    docs = [dict.fromkeys(rng.sample(range(30), rng.randint(0, 12)), 0) for _ in range(60)]
+    docs = [{t: rng.choice([5, 5, rng.randint(1, 90)]) for t in sorted(d)} for d in docs]
+    bounds = np.cumsum([0, *map(len, docs)])
+    chunk = ranked_search.Chunk({
+        "rows": np.arange(60, dtype=np.int64).tobytes(), "ids": (np.arange(60, dtype=np.int64) // 2).tobytes(),
+        "null_ids": np.zeros(60, bool).tobytes(), "bounds": bounds.astype("<i8").tobytes(),
+        "t": np.array([t for d in docs for t in d], "<i8").tobytes(), "v": np.array([v for d in docs for v in d.values()], "<i8").tobytes()})
+    items = [np.array(sorted(rng.sample(range(35), rng.randint(1, 9)))) for _ in range(20)]
+    best, floor = [[] for _ in items], [1] * len(items)
+    ranked_search._visit(chunk, 0, 60, items, best, floor, 5)
+    for item, own in zip(items, best, strict=True):
+        scores = [(-sum(d.get(t, 0) for t in item.tolist()), False, i // 2, i) for i, d in enumerate(docs)]
+        assert own == sorted(x for x in scores if x[0] < 0)[:5]
 
 
 def test_ranked_search_on_odd_rows(spark):
