@@ -248,7 +248,8 @@ def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> Data
 
     One row per problem, keyed by ``env_id, schema_name, table_name, fk_name``; a key with a
     missing table or with unequal column counts is not looked into further.  A
-    key references its own schema unless it has a ``ref_schema``.
+    key references its own schema unless it has a ``ref_schema``.  All frames
+    grow with the fleet, however small they look to the planner: they are merged.
     """
     own = F.col("schema_name")
     fks = fks.withColumn("_s", F.coalesce("ref_schema", own) if "ref_schema" in fks.columns else own)
@@ -259,9 +260,9 @@ def fk_target_exists(fks: DataFrame, tables: DataFrame, cols: DataFrame) -> Data
         F.count("column_name").alias("_n"), F.count("ref_column").alias("_m")
     )
     rows = (
-        fks.join(per_fk, ["env_id", "schema_name", "table_name", "fk_name"])
-        .join(known, ["env_id", "_s", "ref_table"], "left")
-        .join(columns, ["env_id", "_s", "ref_table", "ref_column"], "left")
+        fks.join(per_fk.hint("merge"), ["env_id", "schema_name", "table_name", "fk_name"])
+        .join(known.hint("merge"), ["env_id", "_s", "ref_table"], "left")
+        .join(columns.hint("merge"), ["env_id", "_s", "ref_table", "ref_column"], "left")
     )
     problem = (
         F.when(F.col("_t").isNull(), "missing_table")

@@ -220,6 +220,7 @@ DRIFT = {
     }),
 }
 _ATTRS = ["c_nationkey", "c_acctbal", "c_mktsegment"]
+TENANTS_A_TASK = 4_000  # a tenant unfolds into some eighty rows
 
 
 def _literal(value) -> str:
@@ -336,16 +337,26 @@ class Data:
     def now(self):
         return F.expr(f"timestamp_ntz'{NOW}'")
 
+    @cached_property
+    def tenants(self) -> DataFrame:
+        """The customers, dealt out by environment before anything is unfolded from them.
+
+        Their file is small, so one task would unfold, group and sort the whole
+        fleet.  Tasks are as many as the tenants ask for, and rows of an
+        environment stay together from here on.
+        """
+        tasks = -(-self.customer.count() // TENANTS_A_TASK)
+        return self.customer.select(F.col("c_custkey").alias("env_id"), *_ATTRS).repartition(max(1, tasks), "env_id")
+
     @cached_property
     def envs(self) -> DataFrame:
-        return self.customer.select(F.col("c_custkey").alias("env_id"))
+        return self.tenants.select("env_id")
 
     def current(self, kind: str) -> DataFrame:
         """The drifted inventory, unfolded from one literal in one scan of the tenants."""
         (keep, changed), extra = DRIFT[kind], EXTRA[kind]
         rows = [{**r, "rule": 0} for r in BASE[kind]] + [{**r, "rule": i} for i, (r, _) in enumerate(extra, 1)]
-        tenants = self.customer.select(F.col("c_custkey").alias("env_id"), *_ATTRS)
-        unfolded = tenants.select("env_id", *_ATTRS, F.inline(literal_rows(rows, ROW_TYPES[kind] + ", rule int")))
+        unfolded = self.tenants.select("env_id", *_ATTRS, F.inline(literal_rows(rows, ROW_TYPES[kind] + ", rule int")))
         applies = " OR ".join([f"(rule = 0 AND {keep})"] + [f"(rule = {i} AND {w})" for i, (_, w) in enumerate(extra, 1)])
         return unfolded.filter(applies).select("env_id", *[
             F.expr(f"CASE WHEN rule = 0 THEN {changed[c]} ELSE {c} END").alias(c) if c in changed else F.col(c)

@@ -57,7 +57,7 @@ FROM judged WHERE problem IS NOT NULL""")
 def fk_target_exists(d: Data):
     fk, nation = F.col("fk_name"), F.col("c_nationkey")
     to_route, to_run = fk == "runs_route_id_fkey", fk == "calls_run_id_fkey"
-    broken = d.des.fks.join(d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey"), "env_id").withColumns({
+    broken = d.des.fks.join(d.tenants.select("env_id", "c_nationkey").hint("merge"), "env_id").withColumns({
         "ref_table": F.when((nation == 6) & to_route, "services").otherwise(F.col("ref_table")),
         "ref_column": F.when((nation == 7) & to_route, "rid").when((nation == 9) & to_run, F.lit(None)).otherwise(
             F.col("ref_column")),
