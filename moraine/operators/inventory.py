@@ -2,7 +2,9 @@
 
 Inputs are the catalog tables of all environments with an ``env_id`` column;
 outputs are the canonical inventory frames.  One environment contributes a few
-hundred rows, so every key below is spread evenly.
+hundred rows, so every key below is spread evenly.  Both sides of a join grow
+with the fleet, but catalogs compress so well (and unfolded literals count so
+little) that the planner would broadcast one: they are merged by hint.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def inventory_columns(raw: DataFrame, pk_columns: DataFrame) -> DataFrame:
     """Columns with nullable flag, default and primary-key flag (false when not listed)."""
     keys = [*TABLE_KEY, "column_name"]
     flagged = pk_columns.select(*keys).distinct().withColumn("is_pk", F.lit(True))
-    return raw.join(flagged, keys, "left").select(
+    return raw.join(flagged.hint("merge"), keys, "left").select(
         *TABLE_KEY,
         "ordinal",
         "column_name",
@@ -58,7 +60,7 @@ def inventory_indexes(index_columns: DataFrame, constraints: DataFrame) -> DataF
     backing = constraints.filter(F.col("constraint_type").isin("PRIMARY KEY", "UNIQUE")).select(
         "env_id", "schema_name", F.col("constraint_name").alias("index_name")
     )
-    return index_columns.join(backing, ["env_id", "schema_name", "index_name"], "left_anti").select(
+    return index_columns.join(backing.hint("merge"), ["env_id", "schema_name", "index_name"], "left_anti").select(
         *TABLE_KEY, "index_name", "ordinal", "column_name", "is_unique"
     )
 
@@ -82,7 +84,7 @@ def inventory_foreign_keys(
     refs, on_refs = of(ref_usage, "ordinal", "ref_table", "ref_column")
     rules, on_rules = of(actions, "delete_rule", "update_rule")
     return (
-        found.join(used, on_used).join(refs, [*on_refs, "ordinal"]).join(rules, on_rules)
+        found.join(used.hint("merge"), on_used).join(refs.hint("merge"), [*on_refs, "ordinal"]).join(rules.hint("merge"), on_rules)
         .select(
             *TABLE_KEY,
             F.col("constraint_name").alias("fk_name"),
@@ -125,10 +127,10 @@ def inventory_policies(policies: DataFrame, roles: DataFrame) -> DataFrame:
     command = F.create_map(*[F.lit(x) for kv in POLICY_COMMANDS.items() for x in kv])[F.col("command_code")]
     named = (
         policies.select(*key, F.explode("role_ids").alias("role_id"))
-        .join(roles, ["env_id", "role_id"])
+        .join(roles.hint("merge"), ["env_id", "role_id"])
         .groupBy(*key).agg(F.array_sort(F.collect_set("role_name")).alias("roles"))
     )
-    return policies.join(named, key, "left").select(
+    return policies.join(named.hint("merge"), key, "left").select(
         *key,
         command.alias("command"),
         "permissive",
@@ -141,7 +143,7 @@ def inventory_policies(policies: DataFrame, roles: DataFrame) -> DataFrame:
 def inventory_rls(wanted: DataFrame, tables: DataFrame) -> DataFrame:
     """Row-security flag of each wanted table; ``found`` is false where there is no such table."""
     known = tables.select(*TABLE_KEY, "rls_enabled", F.lit(True).alias("found"))
-    return wanted.select(*TABLE_KEY).join(known, TABLE_KEY, "left").select(
+    return wanted.select(*TABLE_KEY).join(known.hint("merge"), TABLE_KEY, "left").select(
         *TABLE_KEY,
         F.coalesce("rls_enabled", F.lit(False)).alias("rls_enabled"),
         F.coalesce("found", F.lit(False)).alias("found"),
@@ -164,7 +166,7 @@ def serial_columns(cols: DataFrame, sequence_owners: DataFrame) -> DataFrame:
         *TABLE_KEY, F.col("sequence_name").alias("_seq"), "column_name"
     ).distinct().withColumn("_own", F.lit(True))
     marked = cols.withColumn("_seq", sequence_name(F.coalesce("default_raw", F.lit("")))).join(
-        owners, [*TABLE_KEY, "column_name", "_seq"], "left"
+        owners.hint("merge"), [*TABLE_KEY, "column_name", "_seq"], "left"
     )
     serial = ~F.col("nullable") & F.col("type_raw").isin(*SERIAL_NAMES) & F.col("_own").isNotNull()
     names = F.create_map(*[F.lit(x) for kv in SERIAL_NAMES.items() for x in kv])

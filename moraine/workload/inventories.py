@@ -36,8 +36,8 @@ def read_table_set(d: Data):
 SELECT env_id, schema_name, table_name, rls_enabled FROM cur_tables""")
 def inventory_tables(d: Data):
     raw = d.cur.tables.withColumn("table_type", F.lit("BASE TABLE"))
-    views = d.customer.select(
-        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("late_runs").alias("table_name"),
+    views = d.tenants.select(
+        "env_id", F.lit("public").alias("schema_name"), F.lit("late_runs").alias("table_name"),
         F.lit(False).alias("rls_enabled"), F.lit("VIEW").alias("table_type"),
     )
     system = views.withColumns({"schema_name": F.lit("pg_catalog"), "table_type": F.lit("BASE TABLE")})
@@ -86,8 +86,8 @@ def inventory_foreign_keys(d: Data):
         "env_id", "schema_name", F.col("fk_name").alias("constraint_name"), "table_name", "ordinal", "column_name", "ref_table",
         "ref_column", F.coalesce("on_delete", F.lit("NO ACTION")).alias("delete_rule"), F.lit("NO ACTION").alias("update_rule"),
     )
-    pair = d.customer.select(
-        F.col("c_custkey").alias("env_id"), F.lit("public").alias("schema_name"), F.lit("runs_pair_fkey").alias("constraint_name"),
+    pair = d.tenants.select(
+        "env_id", F.lit("public").alias("schema_name"), F.lit("runs_pair_fkey").alias("constraint_name"),
         F.lit("runs").alias("table_name"),
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("ordinal"), F.lit(a).alias("column_name"), F.lit("routes").alias("ref_table"), F.lit(b).alias("ref_column"))
@@ -118,7 +118,7 @@ SELECT c_custkey AS env_id, 'runs' AS table_name, p AS policy_name, command,
   coalesce(u, '') AS using_expr
 FROM customer, (VALUES ('read_own', 'SELECT', 'route_id = 1'), ('everyone', 'ALL', 'true'), ('limit_own', 'UPDATE', NULL)) AS t(p, command, u)""")
 def inventory_policies(d: Data):
-    env = F.col("c_custkey").alias("env_id")
+    env = F.col("env_id")
     building = F.col("c_mktsegment") == "BUILDING"
     roles = F.when(building, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     entries = [
@@ -127,8 +127,8 @@ def inventory_policies(d: Data):
                  F.lit(u).cast("string").alias("using_expr"), F.lit(None).cast("string").alias("check_expr"))
         for n, c, p, u in (("read_own", "r", True, "route_id = 1"), ("everyone", "*", True, "true"), ("limit_own", "w", False, None))
     ]
-    policies = d.customer.select(env, F.lit("public").alias("schema_name"), F.lit("runs").alias("table_name"), F.inline(F.array(*entries)))
-    role_names = d.customer.select(env, F.inline(F.array(
+    policies = d.tenants.select(env, F.lit("public").alias("schema_name"), F.lit("runs").alias("table_name"), F.inline(F.array(*entries)))
+    role_names = d.tenants.select(env, F.inline(F.array(
         F.struct(F.lit(1).alias("role_id"), F.lit("clerk").alias("role_name")),
         F.struct(F.lit(2).alias("role_id"), F.lit("auditor").alias("role_name")),
     )))
@@ -152,8 +152,8 @@ FROM (SELECT *, (table_name, column_name) IN (('routes', 'route_id'), ('runs', '
         AND NOT (table_name = 'runs' AND env_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 15)) AS s FROM cur_cols)""")
 def serial_columns(d: Data):
     # the owned sequences; tenants of nation 15 have lost the one of runs
-    owners = d.customer.select(
-        F.col("c_custkey").alias("env_id"), "c_nationkey", F.lit("public").alias("schema_name"),
+    owners = d.tenants.select(
+        "env_id", "c_nationkey", F.lit("public").alias("schema_name"),
         F.inline(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"))
                            for t, c in (("routes", "route_id"), ("runs", "run_id"), ("stops", "stop_id"))])),
     ).filter("NOT (table_name = 'runs' AND c_nationkey = 15)").select(
@@ -198,7 +198,7 @@ UNION ALL SELECT c_custkey, '', 0, '', '', false, '', false,
   CASE c_nationkey WHEN 17 THEN 'runs' ELSE n END
 FROM customer LEFT JOIN (VALUES (18, 'routes.code'), (18, 'routes.mode')) AS v(k, n) ON k = c_nationkey WHERE c_nationkey IN (17, 18)""")
 def read_schema_docs(d: Data):
-    docs = dr.canonical_schema(d.cur).join(d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey"), "env_id")
+    docs = dr.canonical_schema(d.cur).join(d.tenants.select("env_id", "c_nationkey").hint("merge"), "env_id")
     spoiled = F.when(F.col("c_nationkey") == 17, F.replace("document", F.lit('"name":"runs"}'), F.lit('"name":"runs","owner":"me"}'))).when(
         F.col("c_nationkey") == 18, F.regexp_replace("document", '"name":"(code|mode)","nullable":(true|false),', '"name":"$1",')
     ).otherwise(F.col("document"))
@@ -239,13 +239,13 @@ UNION ALL SELECT env_id, table_name, 'invalid_fk_column', 'error', fk_name || '.
 UNION ALL SELECT env_id, table_name, 'duplicate_index', 'warning', index_name FROM (SELECT *, row_number() OVER (PARTITION BY env_id, table_name, index_name, ordinal) AS r FROM lx WHERE ordinal = 1) WHERE r > 1
 UNION ALL SELECT env_id, table_name, 'invalid_index_column', 'error', index_name || '.' || column_name FROM lx WHERE (env_id, table_name, column_name) NOT IN (SELECT (env_id, table_name, column_name) FROM lc)""")
 def lint_inventory(d: Data):
-    who = d.customer.select(F.col("c_custkey").alias("env_id"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    who = d.tenants
     public = F.lit("public").alias("schema_name")
     tables = d.cur.tables.drop("rls_enabled").unionByName(
         who.filter("c_nationkey = 1").select("env_id", public, F.lit("staging").alias("table_name"))
     )
     names = [*iv.TABLE_KEY, "column_name", "type_raw", "is_pk"]
-    cols = d.cur.cols.join(who, "env_id").withColumn(
+    cols = d.cur.cols.join(who.hint("merge"), "env_id").withColumn(
         "type_raw", F.when((F.col("column_name") == "vehicle") & (F.col("c_acctbal") < 0), "").otherwise(F.col("type_raw"))
     ).select(names).unionByName(
         who.filter("c_mktsegment = 'BUILDING'").select(
@@ -254,7 +254,7 @@ def lint_inventory(d: Data):
             F.lit("text").alias("type_raw"), F.lit(False).alias("is_pk"),
         )
     )
-    again = d.cur.idx.join(who.filter("c_mktsegment = 'HOUSEHOLD'").select("env_id"), "env_id").filter("index_name = 'runs_route_left'")
+    again = d.cur.idx.join(who.filter("c_mktsegment = 'HOUSEHOLD'").select("env_id").hint("merge"), "env_id").filter("index_name = 'runs_route_left'")
     return ln.lint_inventory(tables, cols, d.cur.idx.unionByName(again), d.des.fks).drop("schema_name")
 
 
@@ -270,9 +270,9 @@ SELECT env_id, table_name, column_name, CASE WHEN column_name = 'code' THEN 'txe
   CASE WHEN column_name = 'code' THEN 'text' ELSE 'timestamp' END AS nearest_type, CASE WHEN column_name = 'code' THEN 2::BIGINT ELSE 1::BIGINT END AS distance
 FROM cur_cols JOIN customer ON c_custkey = env_id WHERE (column_name = 'code' AND c_acctbal < 0) OR (column_name = 'opened_at' AND c_mktsegment = 'MACHINERY')""")
 def lint_unknown_type(d: Data):
-    who = d.customer.select(F.col("c_custkey").alias("env_id"), "c_acctbal", "c_mktsegment")
+    who = d.tenants.select("env_id", "c_acctbal", "c_mktsegment")
     typo = F.when((F.col("column_name") == "code") & (F.col("c_acctbal") < 0), "txet").when(
         (F.col("column_name") == "opened_at") & (F.col("c_mktsegment") == "MACHINERY"), "TIMESTAMPZ"
     ).otherwise(F.col("type_raw"))
-    found = ln.lint_unknown_type(d.cur.cols.join(who, "env_id").withColumn("type_raw", typo))
+    found = ln.lint_unknown_type(d.cur.cols.join(who.hint("merge"), "env_id").withColumn("type_raw", typo))
     return found.select("env_id", "table_name", "column_name", "type_raw", "nearest_type", F.col("distance").cast("bigint").alias("distance"))
