@@ -69,7 +69,7 @@ def lint_inventory(tables: DataFrame, cols: DataFrame, idx: DataFrame, fks: Data
     schema = F.coalesce("ref_schema", "schema_name") if "ref_schema" in fks.columns else F.col("schema_name")
     there = tables.select("env_id", F.col("schema_name").alias("_s"), F.col("table_name").alias("ref_table")).distinct()
     targets = fks.select(*TABLE_KEY, "fk_name", "ref_table", schema.alias("_s")).distinct().join(
-        there, ["env_id", "_s", "ref_table"], "left_anti"
+        there.hint("merge"), ["env_id", "_s", "ref_table"], "left_anti"
     )
     missing = targets.select(
         *TABLE_KEY, F.lit("invalid_fk_table").alias("code"), F.lit("error").alias("severity"),
