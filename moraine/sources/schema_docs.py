@@ -169,13 +169,14 @@ def parse_schema_docs(docs: DataFrame) -> SchemaDocs:
 def schema_documents(inv: Inventory) -> DataFrame:
     """``env_id, document`` with all that an inventory holds: schemas, row security, types as they are, column order.
 
-    Lists are columns of a table and tables of an environment.
+    Lists are columns of a table and tables of an environment.  Each kind of row
+    grows with the fleet, so the joins merge, however small a side looks to the planner.
     """
     column = F.struct("ordinal", F.struct(
         F.col("column_name").alias("name"), F.col("type_raw").alias("type"), "nullable",
         F.col("default_raw").alias("default"), F.col("is_pk").alias("is_primary_key")).alias("v"))
     tables = inv.tables.join(
-        inv.cols.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(column)).alias("_c")), TABLE_KEY, "left")
+        inv.cols.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(column)).alias("_c")).hint("merge"), TABLE_KEY, "left")
     body = {
         "name": F.col("table_name"), "schema": F.col("schema_name"), "rls_enabled": F.col("rls_enabled"),
         "columns": F.transform("_c", lambda c: c["v"]),
@@ -183,14 +184,14 @@ def schema_documents(inv: Inventory) -> DataFrame:
     if inv.idx is not None:
         entry = F.struct(F.col("index_name").alias("name"), F.col("column_names").alias("columns"), F.col("is_unique").alias("unique"))
         tables = tables.join(grouped_keys(inv.idx, "index_name", ["column_name"], ["is_unique"]).groupBy(*TABLE_KEY).agg(
-            F.array_sort(F.collect_list(entry)).alias("_x")), TABLE_KEY, "left")
+            F.array_sort(F.collect_list(entry)).alias("_x")).hint("merge"), TABLE_KEY, "left")
         body["indexes"] = F.col("_x")
     if inv.fks is not None:
         entry = F.struct(
             F.col("fk_name").alias("name"), F.col("column_names").alias("columns"), F.col("ref_table").alias("referenced_table"),
             F.col("ref_columns").alias("referenced_columns"), "on_delete", "on_update")
         keys = grouped_keys(inv.fks, "fk_name", ["column_name", "ref_column"], ["ref_table", "on_delete", "on_update"])
-        tables = tables.join(keys.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_f")), TABLE_KEY, "left")
+        tables = tables.join(keys.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_f")).hint("merge"), TABLE_KEY, "left")
         body["foreign_keys"] = F.col("_f")
     text = F.to_json(F.struct(*[c.alias(n) for n, c in body.items()]))
     sorted_tables = F.array_sort(F.collect_list(F.struct("schema_name", "table_name", text.alias("text"))))
