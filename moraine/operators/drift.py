@@ -238,7 +238,7 @@ def schema_hash(inv: Inventory, envs: DataFrame | None = None) -> DataFrame:
     """SHA-256 of each environment's canonical document; listed environments without tables included."""
     docs = canonical_schema(inv)
     if envs is not None:
-        docs = envs.select("env_id").distinct().join(docs, "env_id", "left").select(
+        docs = envs.select("env_id").distinct().join(docs.hint("merge"), "env_id", "left").select(
             "env_id", F.coalesce("document", F.lit(EMPTY_DOCUMENT)).alias("document")
         )
     return docs.select("env_id", F.sha2("document", 256).alias("schema_hash"))
@@ -314,7 +314,7 @@ def composed(events: DataFrame, key: Sequence[str], steps: dict[str, Column], bl
         F.col(f"_{n}_carried"), F.least(F.lit(0), F.min(F.col(f"_{n}_carried") + F.col(f"_{n}_least")).over(before)).alias(f"_{n}_depth"))])
     blocks = blocks.withColumns({f"_{n}_lowest": F.min(f"_{n}_sum").over(until) for n in steps})
     here = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)], F.col("_b") == F.col("_block"))
-    joined = blocks.join(totals, here)
+    joined = blocks.join(totals.hint("merge"), here)
     out = {}
     for n in steps:
         out[f"{n}_before"] = F.col(f"_{n}_carried") + F.col(f"_{n}_sum") - F.col(f"_{n}")
@@ -324,8 +324,9 @@ def composed(events: DataFrame, key: Sequence[str], steps: dict[str, Column], bl
 
 def known_log(tables: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the log on listed tables, keys of the unlisted tables it names)."""
+    # both grow with the fleet, however small an inventory looks to the planner: they are merged, here and below
     missing = staged(
-        log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti"), "unknown"
+        log.select(*TABLE_KEY).distinct().join(tables.select(*TABLE_KEY).distinct().hint("merge"), TABLE_KEY, "left_anti"), "unknown"
     )
     return log.join(missing, TABLE_KEY, "left_anti"), missing
 
@@ -378,7 +379,7 @@ def replay_keys(idx: DataFrame, fks: DataFrame, tables: DataFrame, log: DataFram
         own = events.filter(added | (F.col("target") == target))
         taken = own.filter(F.col("target") == target).groupBy(*key).agg(F.count("*").alias("_taken"))
         counted = composed(own.filter(added), key, {"i": F.lit(1)}, block)
-        return counted.join(taken, key, "left").filter(F.col("i_before") >= F.coalesce("_taken", F.lit(0)))
+        return counted.join(taken.hint("merge"), key, "left").filter(F.col("i_before") >= F.coalesce("_taken", F.lit(0)))
 
     indexes = left(F.col("action").isin(*NEW_INDEX), "index").select(
         *TABLE_KEY, F.col("name").alias("index_name"), F.col("key_columns").alias("column_names"),
@@ -421,7 +422,7 @@ def replay_change_log(cols: DataFrame, tables: DataFrame, log: DataFrame, block:
     inside = Window.partitionBy(*COLUMN_KEY, "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     state = F.coalesce(F.last(lives, ignorenulls=True).over(inside), F.col("_carried"), F.lit(False))
     stray = (
-        blocks.join(carried, [*COLUMN_KEY, "_b"]).withColumn("_state", state)
+        blocks.join(carried.hint("merge"), [*COLUMN_KEY, "_b"]).withColumn("_state", state)
         .filter((F.col("action") != ADD) & ~F.col("_state"))
         .select(*COLUMN_KEY, "seq", "action", F.lit("unknown_column").alias("error"))
     )
@@ -468,13 +469,13 @@ def _with_clears(events: DataFrame, stray: DataFrame, clears: DataFrame, block:
     cut = composed(events.withColumn("_clear", F.lit(0)).unionByName(marks, allowMissingColumns=True), TABLE_KEY,
                    {"c": F.col("_clear")}, block).withColumnRenamed("c_before", "_segment")
     total = clears.groupBy(*TABLE_KEY).agg(F.count("*").alias("_clears"))
-    placed = cut.filter("_clear = 0").join(total, TABLE_KEY, "left")
+    placed = cut.filter("_clear = 0").join(total.hint("merge"), TABLE_KEY, "left")
     final = _final_columns(placed, F.col("_segment") < F.coalesce("_clears", F.lit(0)))
     touching = F.col("action").isin(ADD, DROP, *_ATTRIBUTES["is_pk"])
     value = F.when(F.col("action") == DROP, False).otherwise(_value_after("is_pk"))
-    keyed = placed.filter(touching).join(stray.select(*COLUMN_KEY, "seq"), [*COLUMN_KEY, "seq"], "left_anti") \
+    keyed = placed.filter(touching).join(stray.select(*COLUMN_KEY, "seq").hint("merge"), [*COLUMN_KEY, "seq"], "left_anti") \
         .groupBy(*COLUMN_KEY, "_segment").agg(F.max_by(value, "seq").alias("_pk")).filter("_pk")
-    unmet = cut.filter("_clear = 1").join(keyed.select(*TABLE_KEY, "_segment").distinct(), [*TABLE_KEY, "_segment"], "left_anti")
+    unmet = cut.filter("_clear = 1").join(keyed.select(*TABLE_KEY, "_segment").distinct().hint("merge"), [*TABLE_KEY, "_segment"], "left_anti")
     return final, _error(unmet, "unknown_constraint")
 
 
@@ -495,4 +496,4 @@ def replay_rls(tables: DataFrame, log: DataFrame) -> DataFrame:
     last = log.filter(F.col("action").isin("rls_on", "rls_off")).groupBy(*TABLE_KEY).agg(
         F.max_by(F.col("action") == "rls_on", "seq").alias("_rls")
     )
-    return tables.join(last, TABLE_KEY, "left").select(*TABLE_KEY, F.coalesce("_rls", "rls_enabled").alias("rls_enabled"))
+    return tables.join(last.hint("merge"), TABLE_KEY, "left").select(*TABLE_KEY, F.coalesce("_rls", "rls_enabled").alias("rls_enabled"))

@@ -261,7 +261,7 @@ UNION ALL SELECT env_id, 'primary_key', 'run_id', NULL, NULL FROM (
 def replay_constraints(d: Data):
     """Indexes, foreign keys and the primary key of ``runs`` after the log."""
     runs = [df.filter("table_name = 'runs'") for df in (d.des.tables, d.des.cols, d.des.idx, d.des.fks)]
-    log = _named_log(d).join(d.envs, "env_id", "left_semi")
+    log = _named_log(d).join(d.envs.hint("merge"), "env_id", "left_semi")
     final, _ = dr.replay_change_log(runs[1], runs[0], log, 1000, runs[2], runs[3])
     indexes, keys = dr.replay_keys(runs[2], runs[3], runs[0], log, 1000)
     none = F.lit(None)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from moraine.operators import drift
 from moraine.operators.drift import Inventory
 from moraine.sources.schema_docs import schema_documents
 from moraine.workload import queries
@@ -40,3 +41,19 @@ def test_tenants_are_dealt_out_before_they_are_unfolded(spark):
 
 def test_tables_of_a_tenant_are_grouped_where_they_lie(spark):
     assert plan_of(queries()["lint_duplicate_pk"](spark, LARGE)).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", [
+    "replay_change_log", "replay_change_log_errors", "replay_constraints", "replay_constraint_errors", "safety_rollup"])
+def test_replay_broadcasts_staged_sets_only(spark, name):
+    plan = plan_of(queries()[name](spark, SMALL))
+    for part in plan.split("BroadcastExchange")[1:]:  # what is broadcast is read from the scratch folder, nothing else
+        scan = part.split("FileScan", 1)[1].split("\n")[0]
+        assert "customer.parquet" not in scan and "events.parquet" not in scan
+
+
+def test_unlisted_tables_are_found_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(drift, "staged", lambda df, label: df)
+    d = Data(spark, SMALL)
+    log = d.events.selectExpr("user_id AS env_id", "'public' AS schema_name", "'runs' AS table_name")
+    assert "Broadcast" not in plan_of(drift.known_log(d.des.tables, log)[1])
