@@ -295,7 +295,7 @@ def classify_with_data(verdicts: DataFrame, probes: DataFrame) -> DataFrame:
         probes = probes.withColumnRenamed("column_name", "subject")
     key = [c for c in ("env_id", "schema_name", "table_name", "operation", "subject") if c in probes.columns]
     missing = {m: F.lit(None).cast("bigint") for m in ("failed", "changed", "null_rows", "duplicates", "lost") if m not in probes.columns}
-    probed = verdicts.join(staged(probes.withColumns(missing), "probes"), key, "left")
+    probed = verdicts.join(staged(probes.withColumns(missing), "probes").hint("merge"), key, "left")
 
     def by(*measures: str) -> Column:
         """Dangerous where any measure found a row, safe where all were taken and found none."""
@@ -365,7 +365,7 @@ def safety_rollup(verdicts: DataFrame, envs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("level") == DANGEROUS, named))).alias("dangerous_operations"),
     )
     zero = F.lit(0).cast("bigint")
-    return envs.select("env_id").distinct().join(per_env, "env_id", "left").select(
+    return envs.select("env_id").distinct().join(per_env.hint("merge"), "env_id", "left").select(
         "env_id",
         *[F.coalesce(c, zero).alias(c) for c in ("operations", *levels)],
         F.coalesce("all_valid", F.lit(True)).alias("all_valid"),

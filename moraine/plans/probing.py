@@ -118,4 +118,4 @@ def measured_probes(wanted: DataFrame, tables: Mapping[str | tuple[str, str], Da
         return wanted.select(*SUBJECT, *[F.lit(None).cast("bigint").alias(m) for m in MEASURES]).limit(0)
     found = reduce(DataFrame.unionByName, parts).withColumnsRenamed({c: f"_{c}" for c in (*SUBJECT, "columns", "target")})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*SUBJECT, "columns", "target")])
-    return wanted.join(found, same).select(*SUBJECT, *MEASURES)
+    return wanted.join(found.hint("merge"), same).select(*SUBJECT, *MEASURES)
