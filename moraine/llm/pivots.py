@@ -36,8 +36,9 @@ FIRST = 2  # candidate blocks that a block of queries meets before all others
 SLACK = 4e-6  # radians, over the rounding of angles kept in 32 bits
 BLOCK = ("kind int, n int, dim int, wide int, norm double, low array<float>, high array<float>, "
          "rows binary, ids binary, null_ids binary, data binary, angles binary")
-HITS = "q_block long, query_row long, query_id long, row long, vec_id long, score long"
+HITS = "q_block long, query_row long, query_id long, row long, vec_id long, score long, past string"
 LIMIT = (1 << 63) - 1
+NINES = str.maketrans("0123456789", "9876543210")
 LARGEST = 1e100  # components beyond count as this much
 
 
@@ -189,6 +190,16 @@ def _scores(q: np.ndarray, x: np.ndarray, sizes: float) -> np.ndarray:
     return np.array([[sum(int(a) * b for a, b in zip(r, c, strict=True)) for c in whole] for r in q.tolist()], object)
 
 
+def past_long(score: int) -> str | None:
+    """A text that sorts as the score does, for scores that a long can not tell apart."""
+    if -LIMIT - 1 < score < LIMIT:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04d}{digits}"
+    return f"{9999 - len(digits):04d}" + digits.translate(NINES)
+
+
 class TopK:
     """The best k of each query so far: score falling, id rising, null ids last, row rising."""
 
@@ -252,10 +263,10 @@ def _evaluate(pairs: DataFrame, asks: DataFrame, blocks: DataFrame, floors: Data
                     search(q, lo, min(lo + TOGETHER, len(q.rows)), x, top)
             for i, best in enumerate(top.best):
                 found += [{"q_block": row["q_block"], "query_row": int(q.rows[i]), "query_id": int(q.ids[i]), "row": r,
-                           "vec_id": None if null else v, "score": max(-LIMIT - 1, min(LIMIT, -s))} for s, null, v, r in best]
+                           "vec_id": None if null else v, "score": max(-LIMIT - 1, min(LIMIT, -s)), "past": past_long(-s)} for s, null, v, r in best]
         return pa.Table.from_pylist(found, schema)
 
-    schema = pa.schema([(c, pa.int64()) for c in ("q_block", "query_row", "query_id", "row", "vec_id", "score")])
+    schema = pa.schema([*((c, pa.int64()) for c in ("q_block", "query_row", "query_id", "row", "vec_id", "score")), ("past", pa.string())])
     made: Callable = run
     return left.groupBy("q_block", "part").cogroup(right.groupBy("for_block", "for_part")).applyInArrow(made, HITS)
 
@@ -282,7 +293,7 @@ def block_pairs(asks: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("past"), F.asc_nulls_last("vec_id"), F.asc("row"))
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -309,7 +320,7 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     pairs = block_pairs(asks, blocks, executor_slots(vectors.sparkSession))
     first = staged(_evaluate(pairs.filter("part = 0"), asks, blocks, None, k), "pivot-first")
     # the k-th score of every query so far; a block of queries all of which have one needs no candidates below the least
-    known = _best(first, k).filter((F.col("rank") == k) & (F.abs("score") < 1 << 53)).groupBy("q_block").agg(
+    known = _best(first, k).filter((F.col("rank") == k) & F.col("score").between(1 - (1 << 53), (1 << 53) - 1)).groupBy("q_block").agg(
         F.map_from_entries(F.collect_list(F.struct("query_row", "score"))).alias("floors"),
         F.count("*").alias("known"), F.min("score").alias("least"))
     floors = staged(known.join(asks.select(F.col("block").alias("q_block"), "n"), "q_block").withColumn(
