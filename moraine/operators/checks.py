@@ -20,7 +20,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from moraine.session import staged
+from moraine.session import dropped, staged
+
+MANY_REPEATED = 1_000_000  # repeated keys, 8 MB of hashes, above which they are not broadcast
 
 
 @dataclass(frozen=True)
@@ -275,14 +277,20 @@ def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     """Keeps the lowest row by ``order`` of each key; rows with a null key all stay.
 
     Keys meet first, as hashes: rows whose key occurs once stay in place, only
-    the others are ranked.  The literal ``rank = 1`` filter lets Spark cut each
-    task's rows to one per key before the shuffle, so a hot key does not land in
-    one task whole.
+    the others are ranked.  Where too many keys repeat to be handed to every
+    task, finding their rows would move all rows before those are moved again;
+    then all are ranked, and move once.  The literal ``rank = 1`` filter lets
+    Spark cut each task's rows to one per key before the shuffle, so a hot key
+    does not land in one task whole.
     """
     digest = F.xxhash64(*keys)
     again = repeated_digests(df.filter(~any_null(keys)), keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if again.count() > MANY_REPEATED:
+        dropped(again)
+        kept = df.filter(~any_null(keys)).withColumn("_rank", rank).filter("_rank = 1").select(*df.columns)
+        return kept.unionByName(df.filter(any_null(keys)))
     marked = df.withColumn("_digest", F.when(~any_null(keys), digest))
-    first = Window.partitionBy(*keys).orderBy(*order)
-    ranked = marked.join(again, "_digest", "left_semi").withColumn("_rank", F.row_number().over(first))
+    ranked = marked.join(again, "_digest", "left_semi").withColumn("_rank", rank)
     kept = ranked.filter("_rank = 1").select(*df.columns)
     return kept.unionByName(marked.join(again, "_digest", "left_anti").select(*df.columns))
