@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from moraine.operators import drift as dr
 from moraine.operators import inventory as iv
@@ -21,17 +21,32 @@ _TABLE_COUNTS = " UNION ALL ".join(
 
 @query("read_table_set", _TABLE_COUNTS)
 def read_table_set(d: Data):
-    """Rows and distinct values of every column of every table, so that each value is read."""
+    """Rows and distinct values of every column of every table, so that each value is read.
+
+    A value travels as its hash: 64 bits take a number or a time one to one, a
+    text or an array has 128.
+    """
     parts = []
     for name, df in d.table_set().items():
-        values = df.select(F.lit(name).alias("table_name"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.md5(F.to_json(F.struct(c)) if kind.startswith("array") else F.col(c).cast("string")).alias("value"))
-            for c, kind in df.dtypes])))
-        parts.append(values.groupBy("table_name", "column_name").agg(
-            F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("distinct_values")))
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), *_hashes(c, kind)) for i, (c, kind) in enumerate(df.dtypes)])))
+        counted = values.groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("a", "b").alias("distinct_values"))
+        # one row per column of the table, which may be empty
+        by_column = counted.agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("rows", "distinct_values")))).alias("m"))
+        parts.append(by_column.select(F.lit(name).alias("table_name"), F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column_name"),
+            *[F.coalesce(F.col("m")[i][n], F.lit(0)).alias(n) for n in ("rows", "distinct_values")],
+        ) for i, c in enumerate(df.columns)]))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _hashes(column: str, kind: str) -> list[Column]:
+    """``a`` and ``b`` of a value, ``a`` null where it is null."""
+    value = F.to_json(F.struct(column)) if kind.startswith("array") else F.col(column)
+    wide = kind == "string" or kind.startswith("array")
+    return [F.when(F.col(column).isNotNull(), F.xxhash64(value)).alias("a"),
+            (F.xxhash64(F.lit("b"), value) if wide else F.lit(0).cast("bigint")).alias("b")]
+
+
 @query("inventory_tables", fleet("tables") + """
 SELECT env_id, schema_name, table_name, rls_enabled FROM cur_tables""")
 def inventory_tables(d: Data):
