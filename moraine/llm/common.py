@@ -75,6 +75,15 @@ def whole_runs(source: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes as one compressed value: first bytes together, second bytes together, and so on."""
+    return pa.compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1).T.copy().view(dtype).ravel()
+
+
 def executor_slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session, at least one."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
