@@ -27,13 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from moraine.llm.common import run_starts, tokens, whole_runs
+from moraine.llm.common import run_starts, small_batches, tokens, whole_runs
 from moraine.llm.components import components
 from moraine.session import staged
 
 FREQUENT = 1 << 19  # shingles whose order is looked up, at most
-FLUSH = 4 << 20  # shingles a task counts together
-WORDS_HELD = 500_000  # word hashes a task remembers
+FLUSH = 1 << 20  # shingles a task counts together
+WORDS_HELD = 100_000  # word hashes a task remembers
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -397,8 +397,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     ids are equal or null; null ids count only where a component has no other.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    join = Join(texts, words, percent)
-    at = components(join.links())
+    with small_batches(docs.sparkSession):  # whatever reads texts is written inside
+        join = Join(texts, words, percent)
+        links = join.links()
+    at = components(links)
     classes = join.classes.select("cid", "n", "s1", "s2", "id").join(at.withColumnRenamed("node", "cid"), "cid", "left") \
         .select("n", "s1", "s2", "id", F.coalesce("component", "cid").alias("component"))
     classes = staged(classes, "jaccard-placed")
